@@ -115,5 +115,5 @@ def block_flag(body, status, window: int | None = None, needles=None) -> Column:
     needles = needles or BLOCK_NEEDLES
     b = F.coalesce(col_of(body), F.lit(""))
     head = F.lower(F.substring(b, 1, window) if window else b)
-    pat = "|".join(n.replace("-", r"\-") for n in needles)
+    pat = "|".join(needles)
     return F.coalesce(col_of(status).isin(403, 429), F.lit(False)) | head.rlike(pat)

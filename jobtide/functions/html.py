@@ -75,6 +75,14 @@ def _heading_caps(x: Column) -> Column:
         .otherwise(x)
 
 
+def strip_fragment(c) -> Column:
+    """Light strip for structured fields: plain text is only trimmed; text with '<' or '&'
+    gets line breaks for <br> and block closes, then tags and entities are resolved."""
+    x = col_of(c)
+    h = _sub(_sub(x, r"(?i)<br\s*/?>", "\n"), r"(?i)</(p|li|div|h[1-6]|tr|ul|ol|section)>", "\n")
+    return F.when(x.rlike("[<&]"), js_trim(dom_text(h))).otherwise(js_trim(x))
+
+
 PROFILES = ("justjoin", "rocketjobs", "nofluffjobs", "talentdays", "olx")
 
 
@@ -95,8 +103,7 @@ def html_to_text(c, profile: str) -> Column:
         t = js_trim(_sub(_sub(t, r" *\n *", "\n"), r"\n{3,}", "\n\n"))
         t = F.substring(t, 1, DESCRIPTION_CAP)
     elif profile == "nofluffjobs":
-        h = _sub(_sub(x, r"(?i)<br\s*/?>", "\n"), r"(?i)</(p|li|div|h[1-6]|tr|ul|ol|section)>", "\n")
-        stripped = F.when(x.rlike("[<&]"), js_trim(dom_text(h))).otherwise(js_trim(x))
+        stripped = strip_fragment(x)
         t = _sub(_sub(_sub(stripped, "\r", ""), r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
         t = F.substring(js_trim(t), 1, DESCRIPTION_CAP)
     elif profile == "talentdays":

@@ -1,3 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
 from jobtide.plans import q_core  # noqa: F401
+from jobtide.plans import q_text  # noqa: F401

@@ -9,8 +9,8 @@ partitions), each partition is sorted, and a row's number is
 
 The per-(partition, group) counts are a small table (≤ partitions + groups rows); its
 running sum is a window over at most ``#partitions`` rows per group.  The order key
-must be unique within a group, which makes the sort — and therefore
-``monotonically_increasing_id`` — deterministic under task retries.
+must be unique within a group, which makes the sort deterministic; the tagged rows are
+checkpointed so the partition-dependent ids are computed exactly once.
 """
 
 from __future__ import annotations
@@ -20,14 +20,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobtide.session import cut_lineage
+
 
 def number_within(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "rn",
                   partitions: int | None = None) -> DataFrame:
     keys = [*group, *order]
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
+              .withColumn("_mid", F.monotonically_increasing_id())
+              .withColumn("_pid", F.shiftright(F.col("_mid"), 33)))
+    # The ids depend on the physical partitioning, so they are frozen once with a
+    # reliable checkpoint (shared storage): both uses below and any task retry see the
+    # same ids, and an executor loss cannot renumber rows.
+    tagged = cut_lineage(tagged)
     stats = tagged.groupBy("_pid", *group).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     w = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))

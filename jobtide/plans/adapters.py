@@ -151,6 +151,44 @@ SELECT n_nationkey AS id,
 FROM {nation}
 """
 
+# Landed list pages: one page response per event; source from the user, pages 1..3.
+ADAPTERS["pages_ev"] = """
+SELECT 'R' || lpad(CAST(day(ts) AS STRING), 2, '0') AS run_id,
+       CASE user_id % 8 WHEN 0 THEN 'justjoin' WHEN 1 THEN 'rocketjobs' WHEN 2 THEN 'nofluffjobs'
+            WHEN 3 THEN 'talentdays' WHEN 4 THEN 'pracuj' WHEN 5 THEN 'theprotocol' WHEN 6 THEN 'olx'
+            ELSE 'indeed' END AS source,
+       CAST(event_id % 3 + 1 AS INT) AS page_no,
+       event_id AS position,
+       CASE WHEN event_type = 'error' AND value > 400 THEN 403 WHEN value > 485 THEN 503 ELSE 200 END AS status,
+       CASE WHEN event_type = 'signup' THEN 'Brak wyników dla ' || props
+            WHEN event_type = 'error' AND value < 3 THEN 'Just a moment...' ELSE props END AS text,
+       CASE WHEN event_type IN ('click', 'view') AND value > 300 THEN 1 ELSE 0 END AS n_offers
+FROM {events}
+"""
+
+# Indeed-style card rows derived from events.
+ADAPTERS["cards_ev"] = """
+SELECT event_id AS position,
+       CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Senior Analyst ' || event_type
+            WHEN 2 THEN 'Junior Developer (staż)' WHEN 3 THEN 'Team Lead ' || CAST(user_id AS STRING)
+            ELSE 'Stażysta w dziale IT' END AS title,
+       CASE event_id % 3 WHEN 0 THEN 'a' || CAST(event_id AS STRING) WHEN 1 THEN NULL ELSE '' END AS jk,
+       CASE event_id % 4 WHEN 0 THEN '/rc/clk?jk=b' || CAST(user_id AS STRING) || '&from=x'
+            WHEN 1 THEN '/pagead/' || CAST(event_id AS STRING)
+            WHEN 2 THEN 'https://pl.indeed.com/job/' || CAST(event_id AS STRING) ELSE NULL END AS href,
+       'U' || CAST(user_id AS STRING) AS company,
+       CASE user_id % 3 WHEN 0 THEN '52-407 Wrocław' WHEN 1 THEN 'Opole' END AS loc,
+       CASE event_type WHEN 'click' THEN 'od ' || CAST(user_id * 100 AS STRING) || ' zł'
+            WHEN 'view' THEN CAST(user_id * 10 AS STRING) || ' 000 zł – ' || CAST(user_id * 12 AS STRING) || ' 000 zł'
+            WHEN 'purchase' THEN 'do 8 000 PLN' ELSE '40 godz.' END AS salaryText,
+       CASE event_id % 4 WHEN 0 THEN 'Umowa o pracę, B2B' WHEN 1 THEN 'kontrakt B2B' WHEN 2 THEN 'umowa zlecenie'
+            ELSE 'Pełny etat' END AS metaText,
+       CASE WHEN event_type = 'view' THEN 'Praca zdalna' WHEN event_type = 'click' THEN 'remote-first team' ELSE '' END
+         AS cardText,
+       CASE WHEN event_id % 2 = 0 THEN 'Dzisiaj' END AS publishedAt
+FROM {events}
+"""
+
 
 def _spark_tables(sf_dir: str) -> dict[str, str]:
     d = sf_dir.rstrip("/")

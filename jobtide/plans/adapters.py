@@ -207,3 +207,18 @@ def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+# Conversation turns as list items (one item per turn, grouped per conversation).
+ADAPTERS["turns_cv"] = """
+SELECT conv_id, turn, role, text,
+       substr(text, 1, 30) AS title,
+       CASE WHEN turn % 3 = 0 THEN '' ELSE role END AS company,
+       CASE WHEN turn % 5 = 4 THEN NULL ELSE 'c' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) END AS slug,
+       CASE WHEN turn % 2 = 0 THEN 'Wrocław' END AS city,
+       CASE WHEN turn % 4 = 3 THEN NULL ELSE CAST(turn * 1000 AS DOUBLE) END AS sal_from,
+       CASE WHEN turn % 4 = 2 THEN CAST(turn * 1500 AS DOUBLE) END AS sal_to,
+       CASE WHEN turn % 2 = 0 THEN '2024-02-01' END AS published,
+       CASE WHEN turn % 3 = 0 THEN 'remote' ELSE 'office' END AS workplace,
+       role || ' ' || CAST(turn AS STRING) AS label
+FROM {conversations}
+"""

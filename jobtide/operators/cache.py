@@ -20,16 +20,19 @@ def cache_prune(cache: DataFrame, now, days: int = TTL_DAYS, ts: str = "fetched_
 
 
 def cache_upsert(cache: DataFrame, new: DataFrame, key: str = "url_key", ts: str = "fetched_at",
-                 desc: str = "description", tie: str | None = None) -> DataFrame:
+                 desc: str = "description", tie: str | None = None, prefer_new: bool = True) -> DataFrame:
     """This run's successes (non-empty description) replace older entries; failures
     never enter; an untouched entry keeps its timestamp.  The new side always wins a key
-    (latest write first); among old entries the newest wins.  Grouped ``max_by`` → partial aggregation per key."""
+    (latest write first); among old entries the newest wins.  ``prefer_new=False`` orders
+    purely by event time (out-of-order streams).  Grouped ``max_by`` → partial aggregation per key."""
     good = new.where(F.coalesce(F.length(F.col(desc)) > 0, F.lit(False)))
     cols = cache.columns
+    order = [F.col("_side"), F.col(ts)] if prefer_new else [F.col(ts), F.col("_side")]
     both = (cache.withColumn("_side", F.lit(0))
                  .unionByName(good.select(*cols).withColumn("_side", F.lit(1))))
     return (both.groupBy(key)
-                .agg(F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct(F.col("_side"), F.col(ts), *([F.col(tie)] if tie else [])))
+                .agg(F.max_by(F.struct(*[F.col(c) for c in cols]),
+                              F.struct(*order, *([F.col(tie)] if tie else [])))
                      .alias("_w"))
                 .select("_w.*"))
 

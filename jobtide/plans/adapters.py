@@ -202,7 +202,8 @@ def adapter_sql(name: str) -> str:
 
 def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Adapter as a Spark DataFrame read straight from the parquet tables."""
-    return spark.sql(ADAPTERS[name].format(**_spark_tables(sf_dir)))
+    from jobtide.session import spread
+    return spread(spark.sql(ADAPTERS[name].format(**_spark_tables(sf_dir))))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,8 +9,8 @@ is served from the freshly written cache.  The same result is reached with:
   joined back — a grouped aggregate, so a hot key is combined map-side;
 * F4 abort cut: ``min(position)`` of blocked attempts per (run, source);
 * F5 consecutive-failure cut: attempts are numbered densely per (run, source) with a
-  range-partitioned numbering (no one-task-per-source window), and the third of three
-  consecutive status-0 attempts is found with two equi-joins on (run, source, index);
+  range-partitioned numbering (no one-task-per-source window), and runs of consecutive
+  status-0 attempts are found by a grouped vote count over (run, source, index);
 * outcome = ordered ``when`` chain from a per-source rule set.
 """
 
@@ -72,14 +72,20 @@ def abort_cut(att: DataFrame) -> DataFrame:
 
 
 def consecutive_fail_cut(att: DataFrame, n: int = 3) -> DataFrame:
-    """position of the n-th consecutive status-0 attempt per (run, source)."""
+    """position of the n-th consecutive status-0 attempt per (run, source).
+
+    Attempts get a dense per-source index.  Every failure at index j votes for the run
+    ending at j, j+1, …, j+n-1; an end index collecting n votes closes n consecutive
+    failures.  One explode + one grouped count (map-side combined) replaces n-1
+    self-joins."""
     attempts = number_within(att.where(F.col("_attempt")).select(*KEY, "position", "status"), KEY, ["position"], "_i")
     fails = attempts.where(F.col("status") == 0).select(*KEY, "position", "_i")
-    cand = fails
-    for k in range(1, n):
-        prev = fails.select(*KEY, (F.col("_i") + k).alias("_i"))
-        cand = cand.join(prev, [*KEY, "_i"], "left_semi")
-    return cand.groupBy(*KEY).agg(F.min("position").alias("cut_consecutive"))
+    votes = fails.select(*KEY, "position", "_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_d"))
+    ends = (votes.groupBy(*KEY, (F.col("_i") + F.col("_d")).alias("_end"))
+            .agg(F.count(F.lit(1)).alias("_votes"),
+                 F.max(F.when(F.col("_d") == 0, F.col("position"))).alias("_pos")))
+    return ends.where((F.col("_votes") == n) & F.col("_pos").isNotNull()) \
+        .groupBy(*KEY).agg(F.min("_pos").alias("cut_consecutive"))
 
 
 def resolve_outcomes(att: DataFrame, rules: OutcomeRules) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from jobtide.functions.classify import CONTRACT_LABEL_RE, EXPERIENCE_LABEL_RE
 from jobtide.functions.common import first_nonblank
 from jobtide.functions.html import html_to_text
 from jobtide.functions.jsonx import embedded_skill_list, list_values
@@ -394,3 +395,78 @@ def q_first_nonempty(spark, sf):
     links = harvest_links(adapter(spark, sf, "html_pg"), "/").select("page_id", F.lit(2).alias("_prio"),
                                                                     F.col("href").alias("value"))
     return first_nonempty(["page_id"], ld, links).select("page_id", F.col("_prio").alias("prio"), "value")
+
+
+# ---------------------------------------------------------------- A4 + C1 talentdays, A6 + C1 pracuj
+
+def _td_item_json():
+    turn, conv = F.col("turn"), F.col("conv_id").cast("string")
+    item = F.struct(
+        F.struct(F.col("role").alias("name")).alias("employer"),
+        F.col("title").alias("position"),
+        F.when(turn % 5 != 4, F.concat(F.lit("c"), conv, F.lit("-"), turn.cast("string"))).alias("slug"),
+        F.struct(F.when(turn % 2 == 0, F.lit("Wrocław")).alias("name")).alias("city"),
+        F.struct((turn * 100).alias("min"), F.when(turn % 3 == 0, turn * 150).alias("max"),
+                 F.lit("PLN").alias("currency")).alias("wages"),
+        F.lit("Staż").alias("jobType"),
+        F.when(turn % 2 == 0, F.lit("zero")).otherwise(F.lit("JUNIOR")).alias("experience"),
+        F.when(turn % 3 == 0, F.array(F.lit("REMOTE"), F.lit("OFFICE"))).otherwise(F.array(F.lit("OFFICE"))).alias("workplace"))
+    return F.to_json(item)
+
+
+@query("q_talentdays", sql=f"""
+SELECT * FROM (
+  SELECT conv_id, {_RN} AS position, 'talentdays' AS source, nullif(role, '') AS company, nullif(title, '') AS title,
+         CASE WHEN turn % 5 <> 4 THEN 'https://talentdays.pl/praca-i-staz/c' || CAST(conv_id AS VARCHAR) || '-'
+              || CAST(turn AS VARCHAR) END AS url,
+         CASE WHEN turn % 2 = 0 THEN 'Wrocław' END AS city, CAST(turn * 100 AS DOUBLE) AS salary_from,
+         CASE WHEN turn % 3 = 0 THEN CAST(turn * 150 AS DOUBLE) END AS salary_to, 'PLN' AS salary_currency,
+         'Staż' AS contract_type, CASE WHEN turn % 2 = 0 THEN 'zero' ELSE 'JUNIOR' END AS experience_level,
+         turn % 3 = 0 AS remote
+  FROM {{{{turns_cv}}}}) WHERE url IS NOT NULL AND upper(experience_level) = 'ZERO'""")
+def q_talentdays(spark, sf):
+    from jobtide.functions.classify import entry_level
+    from jobtide.sources.landing import TALENTDAYS_ITEM
+    t = adapter(spark, sf, "turns_cv")
+    docs = _per_conv(t, _td_item_json(), "items")
+    arr = F.concat(F.lit("["), F.array_join("items", ", "), F.lit("]"))
+    k = F.col("conv_id") % 3
+    payload = (F.when(k == 0, F.concat(F.lit('{"json": {"data": '), arr, F.lit(', "meta": {"nextCursor": null}}}')))
+               .when(k == 1, F.concat(F.lit('{"result": {"data": '), arr, F.lit("}}")))
+               .otherwise(F.concat(F.lit('{"items": '), arr, F.lit("}"))))
+    items = ingest_postings(docs.select("conv_id", payload.alias("payload")))
+    typed = items.select("conv_id", F.col("item_pos").alias("position"),
+                         F.try_variant_get("item", "$", TALENTDAYS_ITEM.simpleString()).alias("item"))
+    out = require(to_common(typed, "talentdays", keep=("conv_id", "position")), "talentdays")
+    out = out.where(entry_level(None, "experience_level", exp_filter="ZERO"))
+    return out.select("conv_id", F.col("position").cast("bigint").alias("position"), "source", "company", "title", "url",
+                      "city", "salary_from", "salary_to", "salary_currency", "contract_type", "experience_level", "remote")
+
+
+_PR_LABELS = "list_filter(list_value(title, 'Pełny etat', lang || ' ' || source, substr(text, 1, 80)), lambda x: length(x) BETWEEN 1 AND 59)"
+_PR_SAL = ("CASE doc_id % 3 WHEN 0 THEN '5 000–7 000 zł / mies.' WHEN 1 THEN '30,50–45 zł/godz.' "
+           "ELSE 'wynagrodzenie w zł' END")
+_PR_F, _PR_T, _PR_C = sqlx.salary(_PR_SAL, "pracuj")
+
+
+@query("q_pracuj_cards", sql=f"""
+SELECT doc_id, 'pracuj' AS source, title, source AS company, 'https://www.pracuj.pl/praca/x,oferta,' || CAST(doc_id AS VARCHAR) AS url,
+       {_PR_F} AS salary_from, {_PR_T} AS salary_to, {_PR_C} AS salary_currency,
+       (list_filter({_PR_LABELS}, lambda x: regexp_matches(lower(x), '{CONTRACT_LABEL_RE}')))[1] AS contract_type,
+       (list_filter({_PR_LABELS}, lambda x: regexp_matches(lower(x), '{EXPERIENCE_LABEL_RE}')))[1] AS experience_level,
+       CASE WHEN regexp_matches(lower(array_to_string({_PR_LABELS}, ' | ')), 'zdaln') THEN true
+            WHEN regexp_matches(lower(array_to_string({_PR_LABELS}, ' | ')), 'stacjonarn') THEN false END AS remote
+FROM {{{{text_doc}}}} WHERE length(title) > 0""")
+def q_pracuj_cards(spark, sf):
+    d = adapter(spark, sf, "text_doc")
+    cards = d.select(
+        "doc_id", "title", F.col("source").alias("company"), F.lit(None).cast("string").alias("city"),
+        F.concat(F.lit("https://www.pracuj.pl/praca/x,oferta,"), F.col("doc_id").cast("string")).alias("url"),
+        F.when(F.col("doc_id") % 3 == 0, F.lit("5 000–7 000 zł / mies."))
+        .when(F.col("doc_id") % 3 == 1, F.lit("30,50–45 zł/godz.")).otherwise(F.lit("wynagrodzenie w zł")).alias("salaryText"),
+        F.array("title", F.lit("Pełny etat"), F.concat_ws(" ", "lang", "source"), F.substring("text", 1, 80)).alias("labels"),
+        F.lit(None).cast("string").alias("published_at"))
+    rows = ingest_cards(cards, "pracuj")
+    out = to_common(rows, "pracuj", keep=("doc_id",))
+    return out.select("doc_id", "source", "title", "company", "url", "salary_from", "salary_to", "salary_currency",
+                      "contract_type", "experience_level", "remote")

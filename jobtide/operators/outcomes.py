@@ -57,10 +57,12 @@ def _flags(att: DataFrame) -> DataFrame:
                .withColumn("_success", F.coalesce(ok, F.lit(False)) & nonempty))
 
 
-def reuse_twins(att: DataFrame) -> DataFrame:
-    """adds ``twin`` — a later offer whose key was fetched successfully earlier in the run."""
+def reuse_twins(att: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
+    """adds ``twin`` — a later offer whose key was fetched successfully earlier in the
+    run — and, for ``fields``, ``twin_<field>`` copied from that first success."""
+    extra = [F.min_by(F.col(f), F.col("position")).alias(f"twin_{f}") for f in fields]
     first_ok = (att.where(F.col("_has_url") & ~F.col("cache_hit") & ~F.col("no_slug") & F.col("_success"))
-                .groupBy(*KEY, "url_key").agg(F.min("position").alias("_first_ok")))
+                .groupBy(*KEY, "url_key").agg(F.min("position").alias("_first_ok"), *extra))
     return (att.join(first_ok, [*KEY, "url_key"], "left")
                .withColumn("twin", F.coalesce((F.col("position") > F.col("_first_ok")) & ~F.col("cache_hit"), F.lit(False)))
                .drop("_first_ok"))
@@ -88,10 +90,10 @@ def consecutive_fail_cut(att: DataFrame, n: int = 3) -> DataFrame:
         .groupBy(*KEY).agg(F.min("_pos").alias("cut_consecutive"))
 
 
-def resolve_outcomes(att: DataFrame, rules: OutcomeRules) -> DataFrame:
+def resolve_outcomes(att: DataFrame, rules: OutcomeRules, twin_fields: tuple[str, ...] = ()) -> DataFrame:
     """Adds twin, attempt, cut, outcome (cached|fetched|error|blocked|skipped) and detail_error."""
     a = _flags(att)
-    a = reuse_twins(a)
+    a = reuse_twins(a, twin_fields)
     a = a.withColumn("_attempt", F.col("_has_url") & ~F.col("cache_hit") & ~F.col("twin") & ~F.col("no_slug"))
     cuts = abort_cut(a)
     if rules.consecutive_fail_limit:

@@ -223,3 +223,16 @@ SELECT conv_id, turn, role, text,
        role || ' ' || CAST(turn AS STRING) AS label
 FROM {conversations}
 """
+
+# Landed detail responses for the documents (HTML bodies; some blocked or failing).
+ADAPTERS["detail_doc"] = """
+SELECT 'R1' AS run_id,
+       source,
+       doc_id AS position,
+       'https://justjoin.it/job-offer/' || lang || '-' || CAST(doc_id % 300 AS STRING) AS url,
+       CASE WHEN doc_id % 97 = 0 THEN 403 WHEN doc_id % 13 = 0 THEN 500 ELSE 200 END AS status,
+       CASE WHEN doc_id % 211 = 0 THEN '<title>Just a moment...</title> captcha'
+            WHEN doc_id % 17 = 0 THEN '<p> </p>'
+            ELSE '<h2>Opis</h2><p>' || replace(substr(text, 1, 200), '<', ' ') || '</p><ul><li>' || lang || '</li></ul>' END AS body
+FROM {documents}
+"""

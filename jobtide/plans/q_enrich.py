@@ -306,3 +306,64 @@ def q_consec_fail(spark, sf):
 FROM ({_outcome_sql(RULES['nofluffjobs'])}) GROUP BY run_id, source""")
 def q_run_status(spark, sf):
     return run_status(_outcomes(spark, sf, "nofluffjobs"), RULES["nofluffjobs"])
+
+
+# ---------------------------------------------------------------- end-to-end detail enrichment (Entry 2)
+
+_DETAIL_CACHE_SQL = f"""SELECT {sqlx.url_key("'https://justjoin.it/job-offer/' || d.lang || '-' || CAST(d.doc_id % 300 AS VARCHAR)")} AS url_key,
+  arg_max('cached ' || CAST(d.doc_id AS VARCHAR), d.doc_id) AS description
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality = 1 GROUP BY 1"""
+
+
+@query("q_detail_pipeline", sql=f"""
+WITH a0 AS (SELECT run_id, source, position, status, {sqlx.url_key('url')} AS url_key,
+                   (coalesce(status IN (403, 429), false) OR regexp_matches(lower(substr(coalesce(body, ''), 1, 600)),
+                    'captcha|just a moment|cf-chl|datadome|access denied|attention required')) AS blocked,
+                   CASE WHEN status = 200 THEN {sqlx.html_text('body', 'olx')} END AS description
+            FROM {{{{detail_doc}}}}),
+     hc AS ({_DETAIL_CACHE_SQL}),
+     a AS (SELECT a0.*, hc.description IS NOT NULL AS cache_hit, hc.description AS hit_description, false AS no_slug,
+                  a0.url_key <> '' AS has_url, coalesce(status BETWEEN 200 AND 299 AND NOT blocked, false) AS ok,
+                  coalesce(status BETWEEN 200 AND 299 AND NOT blocked, false) AND coalesce(length(a0.description) > 0, false)
+                    AS success
+           FROM a0 LEFT JOIN hc ON a0.url_key = hc.url_key AND length(hc.description) > 0),
+     f AS (SELECT run_id, source, url_key, min(position) AS first_ok, arg_min(description, position) AS twin_description
+           FROM a WHERE has_url AND NOT cache_hit AND success GROUP BY 1, 2, 3),
+     c AS (SELECT a.*, coalesce(a.position > f.first_ok AND NOT a.cache_hit, false) AS twin, f.twin_description,
+                  has_url AND NOT cache_hit AND NOT coalesce(a.position > f.first_ok AND NOT a.cache_hit, false) AS attempt
+           FROM a LEFT JOIN f USING (run_id, source, url_key)),
+     cb AS (SELECT run_id, source, min(position) AS cut FROM c WHERE attempt AND blocked GROUP BY 1, 2),
+     o AS (SELECT c.*, cb.cut, CASE WHEN NOT has_url OR coalesce(position > cb.cut, false) THEN 'skipped'
+                  WHEN cache_hit OR twin THEN 'cached' WHEN blocked THEN 'blocked' WHEN success THEN 'fetched'
+                  ELSE 'error' END AS outcome FROM c LEFT JOIN cb USING (run_id, source))
+SELECT source, CAST(position AS BIGINT) AS position, outcome,
+       md5(CASE WHEN outcome = 'cached' AND cache_hit THEN hit_description WHEN outcome = 'cached' THEN twin_description
+                WHEN outcome = 'fetched' THEN description END) AS description_md5,
+       substr(CASE WHEN outcome = 'blocked' THEN 'blocked (status ' || CAST(coalesce(status, 0) AS VARCHAR) || ')'
+                   WHEN outcome = 'error' AND ok THEN 'empty description'
+                   WHEN outcome = 'error' THEN 'detail fetch failed (status ' || CAST(coalesce(status, 0) AS VARCHAR) || ')' END,
+              1, 120) AS detail_error
+FROM o""")
+def q_detail_pipeline(spark, sf):
+    """Entry 2 end to end: cache lookup → attach landed responses → HTML to text → block
+    flags → twins / abort cut / outcomes → override merge of cached, twin or fetched fields."""
+    from jobtide.functions.html import html_to_text
+    from jobtide.plans.adapters import table
+    d = adapter(spark, sf, "detail_doc").withColumn("url_key", url_key("url"))
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    cache = (docs.join(labels.where("quality = 1"), "doc_id")
+             .select(url_key(F.concat(F.lit("https://justjoin.it/job-offer/"), "lang", F.lit("-"),
+                                      (F.col("doc_id") % 300).cast("string"))).alias("url_key"),
+                     F.concat(F.lit("cached "), F.col("doc_id").cast("string")).alias("description"), "doc_id")
+             .groupBy("url_key").agg(F.max_by("description", "doc_id").alias("description"))
+             .select("url_key", F.struct("description").alias("f")))
+    att = (EN.cache_lookup(d, cache)
+           .withColumn("blocked", block_flag("body", "status", 600))
+           .withColumn("description", F.when(F.col("status") == 200, html_to_text("body", "olx")))
+           .withColumn("no_slug", F.lit(False)))
+    out = resolve_outcomes(att, RULES["justjoin"], twin_fields=("description",))
+    final = (F.when((F.col("outcome") == "cached") & F.col("cache_hit"), F.col("hit_f.description"))
+             .when(F.col("outcome") == "cached", F.col("twin_description"))
+             .when(F.col("outcome") == "fetched", F.col("description")))
+    return out.select("source", F.col("position").cast("bigint").alias("position"), "outcome",
+                      F.md5(final).alias("description_md5"), "detail_error")

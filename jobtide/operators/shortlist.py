@@ -30,28 +30,29 @@ def exclude_applied(offers: DataFrame, tracker: DataFrame, key: str = "identity_
     return offers.join(applied, offers[key] == applied["_ak"], "left_anti")
 
 
-def score(offers: DataFrame, weights: DataFrame, text_cols: Sequence[str], out: str = "fit_score") -> DataFrame:
-    """L3: sum of weight × (pattern matches the joined text).  ``weights`` is a small
-    configuration table (pattern, weight) collected once on the driver and inlined as
-    native expressions."""
+def score(offers: DataFrame, weights: Sequence[tuple[str, float]], text_cols: Sequence[str],
+          out: str = "fit_score") -> DataFrame:
+    """L3: sum of weight × (pattern matches the joined text).  ``weights`` is the profile's
+    (pattern, weight) configuration; each rule becomes one native column expression, so
+    scoring is a single projection over the offers (no join, no Python per row)."""
     text = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in text_cols]))
     total = F.lit(0.0)
-    for r in weights.collect():
-        total = total + F.when(text.rlike(r["pattern"]), F.lit(float(r["weight"]))).otherwise(F.lit(0.0))
+    for pattern, weight in weights:
+        total = total + F.when(text.rlike(pattern), F.lit(float(weight))).otherwise(F.lit(0.0))
     return offers.withColumn(out, total)
 
 
-def pick_variant(offers: DataFrame, variants: DataFrame, text_cols: Sequence[str], key: str = "doc_id") -> DataFrame:
+def pick_variant(offers: DataFrame, variants: Sequence[tuple[str, Sequence[str]]], text_cols: Sequence[str]) -> DataFrame:
     """L4: per offer the CV variant with the highest keyword score; ties go to the
-    alphabetically first name.  Variants are a handful of configuration rows, so each is
-    scored as a native column (no join against the offers)."""
+    alphabetically first name.  Variants are a handful of configuration entries, each
+    scored as a native column (no cross join against the offers)."""
     text = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in text_cols]))
     scored = []
-    for r in variants.orderBy("name").collect():
+    for name, keywords in sorted(variants):
         s = F.lit(0)
-        for kw in r["keywords"]:
+        for kw in keywords:
             s = s + F.when(text.contains(kw), F.lit(1)).otherwise(F.lit(0))
-        scored.append(F.struct(s.alias("score"), F.lit(r["name"]).alias("name")))
+        scored.append(F.struct(s.alias("score"), F.lit(name).alias("name")))
     best = F.reduce(F.array(*scored), F.get(F.array(*scored), 0),
                     lambda acc, x: F.when(x["score"] > acc["score"], x).otherwise(acc))
     return offers.withColumn("_best", best).withColumn("cv_variant", F.col("_best.name")) \

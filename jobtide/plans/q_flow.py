@@ -338,8 +338,7 @@ def q_hard_exclude(spark, sf):
     f"CASE WHEN regexp_matches(lower(coalesce(title, '') || ' ' || coalesce(text, '')), '{p}') THEN {w} ELSE 0.0 END"
     for p, w in WEIGHTS) + " AS DOUBLE) AS fit_score FROM {{text_doc}}")
 def q_fit_score(spark, sf):
-    w = spark.createDataFrame(WEIGHTS, "pattern string, weight double")
-    return SL.score(adapter(spark, sf, "text_doc"), w, ["title", "text"]).select("doc_id", "fit_score")
+    return SL.score(adapter(spark, sf, "text_doc"), WEIGHTS, ["title", "text"]).select("doc_id", "fit_score")
 
 
 def _variant_sql():
@@ -354,9 +353,8 @@ def _variant_sql():
 
 @query("q_pick_variant", sql=_variant_sql())
 def q_pick_variant(spark, sf):
-    v = spark.createDataFrame(VARIANTS, "name string, keywords array<string>")
-    return SL.pick_variant(adapter(spark, sf, "text_doc"), v, ["title", "text"]).select("doc_id", "cv_variant",
-                                                                                        "variant_score")
+    return SL.pick_variant(adapter(spark, sf, "text_doc"), VARIANTS, ["title", "text"]).select(
+        "doc_id", "cv_variant", "variant_score")
 
 
 __all__ = ["json"]

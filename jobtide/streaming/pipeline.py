@@ -91,11 +91,9 @@ def stream_cache(spark: SparkSession, src: str, base: str, checkpoint: str, ttl_
             prev = None
         current = prev if prev is not None else sp.createDataFrame([], CACHE_ROW)
         merged = cache_upsert(current, batch.select(*CACHE_ROW.fieldNames()), tie="event_id", prefer_new=False)
-        now = merged.agg(F.max("fetched_at").alias("now"))
-        # One-row "now", attached with a broadcast equi-join on a constant key.
-        now_k = now.withColumn("_k", F.lit(1))
-        pruned = (merged.withColumn("_k", F.lit(1)).join(F.broadcast(now_k), "_k")
-                  .transform(lambda d: cache_prune(d, F.col("now"), ttl_days)).drop("_k", "now"))
+        # The TTL clock: one aggregate value (newest fetch so far) read on the driver.
+        now = merged.agg(F.max("fetched_at")).first()[0]
+        pruned = cache_prune(merged, F.lit(now).cast("timestamp"), ttl_days) if now is not None else merged
         pruned.write.mode("overwrite").parquet(f"{base}/v={batch_id}")
 
     _run(s.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)

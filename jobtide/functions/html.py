@@ -45,12 +45,19 @@ def decode_entities(c) -> Column:
     return x
 
 
-def dom_text(c, drop_head: bool = True) -> Column:
-    """textContent of the document body."""
+def strip_noise(c, drop_head: bool = True) -> Column:
+    """Remove the parts a body's textContent never shows here: the head, script and style
+    bodies and comments.  Doing this first is order-independent with the profiles' tag
+    rules, and lets all profiles share one evaluation (subexpression elimination)."""
     x = col_of(c)
     if drop_head:
         x = F.regexp_replace(x, rx(r"(?is)<head\b.*?</head>"), F.lit(""))
-    x = F.regexp_replace(x, rx(r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"), F.lit(""))
+    return F.regexp_replace(x, rx(r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"), F.lit(""))
+
+
+def dom_text(c, drop_head: bool = True, noise_stripped: bool = False) -> Column:
+    """textContent of the document body."""
+    x = col_of(c) if noise_stripped else strip_noise(c, drop_head)
     x = F.regexp_replace(x, rx("<[^>]*>"), F.lit(""))
     return decode_entities(x)
 
@@ -75,12 +82,12 @@ def _heading_caps(x: Column) -> Column:
         .otherwise(x)
 
 
-def strip_fragment(c) -> Column:
+def strip_fragment(c, noise_stripped: bool = False) -> Column:
     """Light strip for structured fields: plain text is only trimmed; text with '<' or '&'
     gets line breaks for <br> and block closes, then tags and entities are resolved."""
     x = col_of(c)
     h = _sub(_sub(x, r"(?i)<br\s*/?>", "\n"), r"(?i)</(p|li|div|h[1-6]|tr|ul|ol|section)>", "\n")
-    return F.when(x.rlike("[<&]"), js_trim(dom_text(h))).otherwise(js_trim(x))
+    return F.when(x.rlike("[<&]"), js_trim(dom_text(h, noise_stripped=noise_stripped))).otherwise(js_trim(x))
 
 
 PROFILES = ("justjoin", "rocketjobs", "nofluffjobs", "talentdays", "olx")
@@ -88,9 +95,9 @@ PROFILES = ("justjoin", "rocketjobs", "nofluffjobs", "talentdays", "olx")
 
 def html_to_text(c, profile: str) -> Column:
     """Plain text of an HTML fragment under one of the five source profiles; blank → null."""
-    x = col_of(c)
+    x = strip_noise(c)
     if profile == "justjoin":
-        t = dom_text(x)
+        t = dom_text(x, noise_stripped=True)
         t = js_trim(_sub(_sub(t, "\r", ""), r"\n{3,}", "\n\n"))
         t = F.substring(t, 1, DESCRIPTION_CAP)
     elif profile == "rocketjobs":
@@ -98,12 +105,12 @@ def html_to_text(c, profile: str) -> Column:
         h = _sub(h, r"(?i)<br\s*/?>", "\n")
         h = _sub(h, r"(?i)<li[^>]*>", "\n- ")
         h = _sub(h, r"(?i)</(p|div|li|ul|ol|tr|table|section)>", "\n")
-        t = dom_text(h)
+        t = dom_text(h, noise_stripped=True)
         t = _sub(F.translate(t, "\u00a0", " "), r"[ \t]+", " ")
         t = js_trim(_sub(_sub(t, r" *\n *", "\n"), r"\n{3,}", "\n\n"))
         t = F.substring(t, 1, DESCRIPTION_CAP)
     elif profile == "nofluffjobs":
-        stripped = strip_fragment(x)
+        stripped = strip_fragment(x, noise_stripped=True)
         t = _sub(_sub(_sub(stripped, "\r", ""), r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
         t = F.substring(js_trim(t), 1, DESCRIPTION_CAP)
     elif profile == "talentdays":
@@ -111,14 +118,14 @@ def html_to_text(c, profile: str) -> Column:
         h = _sub(h, r"(?i)<li[^>]*>", "- ")
         h = _sub(h, r"(?i)</(li|tr)>", "\n")
         h = _sub(h, r"(?i)</(p|div|section|article|ul|ol|table|h[1-6])>", "\n\n")
-        t = F.translate(dom_text(h), "\u00a0", " ")
+        t = F.translate(dom_text(h, noise_stripped=True), "\u00a0", " ")
         t = _sub(_sub(_sub(t, "\r", ""), r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
         t = F.substring(js_trim(t), 1, DESCRIPTION_CAP)
     elif profile == "olx":
         h = _sub(x, r"(?i)<br\s*/?>", "\n")
         h = _sub(h, r"(?i)</(p|li|div|h[1-6]|ul|ol|tr)>", "\n")
         h = _sub(h, r"(?i)<li[^>]*>", "- ")
-        t = dom_text(h)
+        t = dom_text(h, noise_stripped=True)
         t = _sub(_sub(_sub(t, "\r", ""), r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
         t = F.substring(js_trim(t), 1, DESCRIPTION_CAP)
     else:

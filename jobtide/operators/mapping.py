@@ -8,12 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.functions.classify import contract_type, infer_remote, pick_label, seniority, keep_labels, \
-    CONTRACT_LABEL_RE, EXPERIENCE_LABEL_RE
-from jobtide.functions.common import blank_to_null, first_nonblank, js_trim, trimmed_or_null
+from jobtide.functions.classify import CONTRACT_LABEL_RE, EXPERIENCE_LABEL_RE, contract_type, infer_remote, pick_label, \
+    seniority
+from jobtide.functions.common import blank_to_null, js_trim, trimmed_or_null
 from jobtide.functions.dates import date_or_raw, epoch_to_iso
 from jobtide.functions.salary import parse_salary
-from jobtide.functions.text import clean_city, split_place_date
+from jobtide.functions.text import clean_city
 from jobtide.functions.urls import abs_url, query_id
 from jobtide.schema import OFFER
 

@@ -198,14 +198,11 @@ _DIM_KEY_SQL = ("CASE id % 9 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enu
 @query("q_dim_lookup", sql=f"""
 SELECT id, {_DIM_KEY_SQL} AS source, {sqlx.source_display(_DIM_KEY_SQL)} AS source_name FROM {{{{place_na}}}}""")
 def q_dim_lookup(spark, sf):
-    from jobtide.schema import SOURCES as S
-    key = F.lit(None).cast("string")
     expr = None
-    for i, s in enumerate(S):
+    for i, s in enumerate(SOURCES):
         expr = F.when(F.col("id") % 9 == i, F.lit(s)) if expr is None else expr.when(F.col("id") % 9 == i, F.lit(s))
     d = adapter(spark, sf, "place_na").withColumn("source", expr.otherwise(F.lower("name")))
     dim = spark.createDataFrame(list(SOURCE_NAMES.items()), "key string, name string")
-    del key
     return EN.lookup(d, dim, "source", "key", "name", "source_name").select("id", "source", "source_name")
 
 

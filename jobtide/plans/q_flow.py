@@ -3,8 +3,6 @@ shortlist (C1–C3, C6–C7, F1, G1, H1, E3–E5, F7, B2–B3, D10–D11, L1–L
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from jobtide.functions.classify import BLOCK_NEEDLES_EXTENDED
@@ -356,5 +354,3 @@ def q_pick_variant(spark, sf):
     return SL.pick_variant(adapter(spark, sf, "text_doc"), VARIANTS, ["title", "text"]).select(
         "doc_id", "cv_variant", "variant_score")
 
-
-__all__ = ["json"]

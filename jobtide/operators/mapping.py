@@ -175,7 +175,7 @@ def to_common(df: DataFrame, source: str, keep: tuple[str, ...] = ("run_id", "po
     for f in OFFER.fields[1:]:
         expr = m.get(f.name)
         cols.append((expr if expr is not None else F.lit(None)).cast(f.dataType).alias(f.name))
-    extra = [F.col(k) for k in keep if k in df.columns]
+    extra = [F.col(k) for k in keep if k in df.columns and k not in m]
     extra += [m[k].alias(k) for k in m if k not in OFFER.fieldNames()]
     return df.select(*extra, *cols)
 

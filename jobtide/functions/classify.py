@@ -110,10 +110,32 @@ BLOCK_NEEDLES_EXTENDED = BLOCK_NEEDLES + ["cloudflare", "verifying you are human
 BLOCK_WINDOW = {"justjoin": 6000, "rocketjobs": None, "nofluffjobs": 2000, "talentdays": None, "olx": 600}
 
 
-def block_flag(body, status, window: int | None = None, needles=None) -> Column:
-    """True when the status is 403/429 or a needle appears in the first ``window`` characters."""
+def block_flag(body, status, window: int | None = None, needles=None, has_content=None) -> Column:
+    """True when the status is 403/429 or a needle appears in the first ``window``
+    characters.  With ``has_content`` the needles are only searched when the expected
+    structured content is missing (a real offer page may mention 'captcha' in a script)."""
     needles = needles or BLOCK_NEEDLES
     b = F.coalesce(col_of(body), F.lit(""))
     head = F.lower(F.substring(b, 1, window) if window else b)
     pat = "|".join(needles)
-    return F.coalesce(col_of(status).isin(403, 429), F.lit(False)) | head.rlike(pat)
+    needle = head.rlike(pat)
+    if has_content is not None:
+        needle = needle & ~F.coalesce(has_content, F.lit(False))
+    return F.coalesce(col_of(status).isin(403, 429), F.lit(False)) | needle
+
+
+def detail_has_content(body, source: str) -> Column:
+    """Structured content whose presence disables the needle scan (per source):
+    justjoin any JSON-LD block, rocketjobs a JobPosting block, talentdays a JSON body,
+    olx a JSON body with ``data``; nofluffjobs a JSON body (the original always scans)."""
+    from jobtide.functions.html import jsonld_blocks
+    b = col_of(body)
+    if source == "justjoin":
+        return F.size(jsonld_blocks(b)) > 0
+    if source == "rocketjobs":
+        return F.exists(jsonld_blocks(b), lambda x: F.lower(x).contains('"jobposting"'))
+    if source in ("talentdays", "nofluffjobs"):
+        return F.try_parse_json(b).isNotNull()
+    if source == "olx":
+        return F.try_variant_get(F.try_parse_json(b), "$.data", "variant").isNotNull()
+    return F.lit(False)

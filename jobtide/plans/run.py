@@ -15,7 +15,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobtide.functions.classify import BLOCK_WINDOW, block_flag
+from jobtide.functions.classify import BLOCK_WINDOW, block_flag, detail_has_content
 from jobtide.functions.dates import run_file_stamp, run_tab_stamp
 from jobtide.functions.html import html_to_text
 from jobtide.functions.urls import identity_key, url_key
@@ -66,7 +66,8 @@ def run_details(offers: DataFrame, details: DataFrame, cache: DataFrame, source:
     o = EN.cache_lookup(o, cache)
     d = details.select("run_id", "source", "position", "status", "body")
     att = (o.join(d, ["run_id", "source", "position"], "left")
-           .withColumn("blocked", block_flag("body", "status", BLOCK_WINDOW.get(source)))
+           .withColumn("blocked", block_flag("body", "status", BLOCK_WINDOW.get(source),
+                                             has_content=detail_has_content(F.col("body"), source)))
            .withColumn("_fetched_desc", F.when(F.col("status").between(200, 299),
                                                html_to_text("body", profile or source)))
            .withColumn("no_slug", F.lit(False)))

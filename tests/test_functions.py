@@ -138,3 +138,13 @@ def test_block_flag_windows(spark):
     df = spark.createDataFrame([(body, 200), ("ok", 429), ("fine", 200)], "b string, s int")
     got = df.select(C.block_flag("b", "s", 600).alias("olx"), C.block_flag("b", "s", 2000).alias("nfj")).collect()
     assert [(g["olx"], g["nfj"]) for g in got] == [(False, True), (True, True), (False, False)]
+
+
+def test_block_needles_skipped_when_content_present(spark):
+    page = '<script type="application/ld+json">{"@type": "JobPosting"}</script><script>captcha()</script>'
+    df = spark.createDataFrame([(page, 200), ("<html>captcha</html>", 200)], "b string, s int")
+    got = df.select(C.block_flag("b", "s", 6000, has_content=C.detail_has_content(F.col("b"), "justjoin"))).collect()
+    assert [g[0] for g in got] == [False, True]
+    js = spark.createDataFrame([('{"data": {"description": "captcha"}}', 200), ("captcha", 200)], "b string, s int")
+    got = js.select(C.block_flag("b", "s", 600, has_content=C.detail_has_content(F.col("b"), "olx"))).collect()
+    assert [g[0] for g in got] == [False, True]

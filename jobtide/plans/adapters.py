@@ -200,10 +200,19 @@ def adapter_sql(name: str) -> str:
     return ADAPTERS[name].format(**{t: t for t in TABLES}).strip()
 
 
+def _tables_of(name: str) -> list[str]:
+    sql = ADAPTERS[name]
+    return [t for t in TABLES if "{" + t + "}" in sql]
+
+
 def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Adapter as a Spark DataFrame read straight from the parquet tables."""
+    """Adapter as a Spark DataFrame read straight from the parquet tables.  When the base
+    scans yield fewer splits than the cluster has cores, the rows are spread before the
+    (often regex-heavy) per-row work; on large inputs nothing is added."""
     from jobtide.session import spread
-    return spread(spark.sql(ADAPTERS[name].format(**_spark_tables(sf_dir))))
+    df = spark.sql(ADAPTERS[name].format(**_spark_tables(sf_dir)))
+    splits = max(table(spark, sf_dir, t).rdd.getNumPartitions() for t in _tables_of(name))
+    return spread(df, scan_partitions=splits)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

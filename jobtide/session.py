@@ -79,12 +79,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread CPU-heavy per-row work when a scan yields fewer splits than the cluster has
-    cores (small or single-row-group files).  On large inputs the scan already has many
-    more splits than cores and this is a no-op, so no shuffle is added at scale."""
-    sc = df.sparkSession.sparkContext
-    want = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+def spread(df: DataFrame, scan_partitions: int, min_partitions: int | None = None) -> DataFrame:
+    """Spread CPU-heavy per-row work when the input scans yield fewer splits than the
+    cluster has cores (small or single-row-group files).  On large inputs the scans already
+    have many more splits than cores and this is a no-op, so no shuffle is added at scale.
+    ``scan_partitions`` comes from the raw file scans (planning only, nothing runs)."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if scan_partitions >= want:
         return df
     return df.repartition(want)

@@ -79,3 +79,12 @@ def run_sinks(df: DataFrame, sinks: dict) -> dict:
     finally:
         src.unpersist()
     return result
+
+
+def append_tracker_table(df: DataFrame, table: str, buckets: int = 256) -> None:
+    """B4 for a catalog table: tracker rows appended per run_tab and bucketed (and sorted)
+    by ``url_key``.  History only grows; bucketing lets the per-run anti-join against all
+    applied history (D10) shuffle the new offers only, never the history."""
+    out = df if "url_key" in df.columns else df.withColumn("url_key", url_key("url"))
+    (out.write.mode("append").format("parquet").partitionBy("run_tab")
+        .bucketBy(buckets, "url_key").sortBy("url_key").saveAsTable(table))

@@ -12,7 +12,8 @@ def spark():
     from jobtide.session import build_session
     scratch = tempfile.mkdtemp(prefix="jobtide-test-")
     os.environ.setdefault("JOBTIDE_SCRATCH", scratch)
-    s = build_session("local[4]", 4, app_name="jobtide-tests", extra={"spark.local.dir": scratch})
+    s = build_session("local[4]", 4, app_name="jobtide-tests",
+                      extra={"spark.local.dir": scratch, "spark.sql.warehouse.dir": os.path.join(scratch, "warehouse")})
     yield s
     s.stop()
 

@@ -39,3 +39,22 @@ def test_numbering_hot_group_spans_partitions(spark):
     out = number_within(df, ["g"], ["o"], "rn", partitions=6)
     stats = out.groupBy("g").agg(F.min("rn").alias("lo"), F.max("rn").alias("hi"), F.count("*").alias("n")).collect()
     assert sorted((r["g"], r["lo"], r["hi"], r["n"]) for r in stats) == [(0, 1, 4000, 4000), (1, 1, 2000, 2000)]
+
+
+def test_bucketed_history_is_not_shuffled_for_the_anti_join(spark):
+    from jobtide.operators.shortlist import exclude_applied
+    from jobtide.sinks.export import append_tracker_table
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hist = spark.range(0, 2000).select(F.lit("T1").alias("run_tab"), F.col("id").alias("id"),
+                                           F.concat(F.lit("https://x.pl/"), (F.col("id") % 500).cast("string")).alias("url"),
+                                           F.when(F.col("id") % 2 == 0, "Wysłane").otherwise("Do wysłania").alias("status"))
+        append_tracker_table(hist, "tracker_hist_test", buckets=8)
+        t = spark.table("tracker_hist_test")
+        offers = spark.range(0, 1000).select(F.concat(F.lit("https://x.pl/"), F.col("id").cast("string")).alias("identity_key"))
+        out = exclude_applied(offers, t)
+        plan = out._jdf.queryExecution().executedPlan().treeString()
+        assert plan.count("Exchange hashpartitioning") == 1
+        assert out.count() == 1000 - 250
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -52,16 +52,46 @@ def filters_from_url(cfg: DataFrame, id_cols=("source",), url: str = "url") -> D
 FIELD_COLUMN = {"city": "city", "employment_type": "contract_type", "experience": "experience_level"}
 
 
+def _norm(field: str, c):
+    # Cities are compared as slugs: a URL says 'wroclaw' where the offer says 'Wrocław'.
+    from jobtide.functions.text import slug
+    return slug(c, "dash") if field == "city" else F.lower(c)
+
+
 def apply_filters(offers: DataFrame, filters: DataFrame, key: str = "source") -> DataFrame:
     """Per field, an offer passes when its source has no filter rows for the field or
-    its value equals one of them (case-insensitive).  Filter rows come from
-    configuration (a handful per source), so they are broadcast."""
+    its value equals one of them (case-insensitive; cities as slugs).  Filter rows come
+    from configuration (a handful per source), so they are broadcast."""
     out = offers
     for field, col in FIELD_COLUMN.items():
         ff = F.broadcast(filters.where(F.col("field") == field)
-                         .select(F.col(key).alias("_fk"), F.lower(F.col("value")).alias("_fv")).distinct())
+                         .select(F.col(key).alias("_fk"), _norm(field, F.col("value")).alias("_fv")).distinct())
         has = F.broadcast(filters.where(F.col("field") == field).select(F.col(key).alias("_fk")).distinct())
-        hit = out.join(ff, (out[key] == ff["_fk"]) & (F.lower(out[col]) == ff["_fv"]), "left_semi")
+        hit = out.join(ff, (out[key] == ff["_fk"]) & (_norm(field, out[col]) == ff["_fv"]), "left_semi")
         free = out.join(has, out[key] == has["_fk"], "left_anti")
         out = hit.unionByName(free)
     return out
+
+
+# Sources whose list API takes employment-type and city filters by default.
+DEFAULT_FILTER_SOURCES = ["justjoin", "rocketjobs"]
+DEFAULT_CATEGORY = "internship"
+DEFAULT_LOCATION = "Wrocław"
+
+
+def config_filters(cfg: DataFrame, sources=DEFAULT_FILTER_SOURCES) -> DataFrame:
+    """A15 + C6/C7 defaults: filter rows for a run.  Pasted URLs in ``urls`` (non-empty)
+    give override rows; for the default sources every (source, field) without an override
+    falls back to the configured category (else 'internship') and location (else
+    'Wrocław').  The configuration is a one-row table, so everything here is tiny."""
+    pasted = (cfg.select(F.explode("urls").alias("source", "url"))
+              .where(F.length(F.trim(F.coalesce(F.col("url"), F.lit("")))) > 0))
+    over = filters_from_url(pasted)
+    cat = F.coalesce(F.nullif(F.trim(F.col("category")), F.lit("")), F.lit(DEFAULT_CATEGORY))
+    loc = F.coalesce(F.nullif(F.trim(F.col("location")), F.lit("")), F.lit(DEFAULT_LOCATION))
+    srcs = F.array(*[F.lit(s) for s in sources])
+    defaults = cfg.select(F.explode(srcs).alias("source"), cat.alias("employment_type"), loc.alias("city")).select(
+        "source", F.expr("stack(2, 'employment_type', employment_type, 'city', city) AS (field, value)"),
+        F.lit(0).alias("idx"))
+    missing = defaults.join(over.select("source", "field").distinct(), ["source", "field"], "left_anti")
+    return over.unionByName(missing.select("source", "field", "idx", "value"))

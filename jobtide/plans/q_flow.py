@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobtide.functions.classify import BLOCK_NEEDLES_EXTENDED
-from jobtide.functions.text import slug
 from jobtide.functions.urls import abs_url, identity_key, query_id, url_key
 from jobtide.operators import shortlist as SL
 from jobtide.operators.dedup import dedup_run, dedup_source
@@ -194,11 +193,7 @@ def q_source_filters(spark, sf):
         "experience_level", F.when(F.col("position") % 3 == 0, F.lit("junior"))
         .when(F.col("position") % 3 == 1, F.lit("mid")).otherwise(F.lit("senior")))
     cfg = spark.createDataFrame(FILTER_CONFIG, "source string, url string")
-    filters = filters_from_url(cfg)
-    # City filters compare slugs (the portal matched 'wroclaw' against 'Wrocław').
-    o = o.withColumn("city_slug", slug("city", "dash"))
-    filters = filters.withColumn("value", F.when(F.col("field") == "city", slug("value", "dash")).otherwise(F.col("value")))
-    out = apply_filters(o.withColumnRenamed("city", "_city").withColumnRenamed("city_slug", "city"), filters)
+    out = apply_filters(o, filters_from_url(cfg))
     return out.select(_pos(), "source")
 
 

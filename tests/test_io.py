@@ -62,3 +62,16 @@ def test_entry_and_contract(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert set(E.queries()) == set(E.oracle_sql())
+
+
+def test_config_filters_defaults_and_overrides(spark, tmp):
+    from jobtide.operators.filters import config_filters
+    from jobtide.sources.landing import read_run_config
+    p = os.path.join(tmp, "cfg.json")
+    with open(p, "w") as f:
+        json.dump({"keyword": "staż", "category": "", "location": "Opole", "radius": 30,
+                   "urls": {"justjoin": "https://justjoin.it/job-offers/wroclaw?employment-types=internship",
+                            "rocketjobs": "", "olx": ""}}, f)
+    got = sorted((r["source"], r["field"], r["value"]) for r in config_filters(read_run_config(spark, p)).collect())
+    assert got == [("justjoin", "city", "wroclaw"), ("justjoin", "employment_type", "internship"),
+                   ("rocketjobs", "city", "Opole"), ("rocketjobs", "employment_type", "internship")]

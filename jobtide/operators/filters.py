@@ -60,17 +60,19 @@ def _norm(field: str, c):
 
 def apply_filters(offers: DataFrame, filters: DataFrame, key: str = "source") -> DataFrame:
     """Per field, an offer passes when its source has no filter rows for the field or
-    its value equals one of them (case-insensitive; cities as slugs).  Filter rows come
-    from configuration (a handful per source), so they are broadcast."""
-    out = offers
+    its value equals one of them (case-insensitive; cities as slugs).  The filter rows
+    (configuration: a handful per source) are folded into one row per source holding a
+    value set per field, broadcast, and checked with one join and native array tests."""
+    sets = filters.groupBy(F.col(key).alias("_fk")).agg(*[
+        F.collect_set(F.when(F.col("field") == field, _norm(field, F.col("value")))).alias(f"_f_{field}")
+        for field in FIELD_COLUMN])
+    j = offers.join(F.broadcast(sets), offers[key] == sets["_fk"], "left")
+    ok = F.lit(True)
     for field, col in FIELD_COLUMN.items():
-        ff = F.broadcast(filters.where(F.col("field") == field)
-                         .select(F.col(key).alias("_fk"), _norm(field, F.col("value")).alias("_fv")).distinct())
-        has = F.broadcast(filters.where(F.col("field") == field).select(F.col(key).alias("_fk")).distinct())
-        hit = out.join(ff, (out[key] == ff["_fk"]) & (_norm(field, out[col]) == ff["_fv"]), "left_semi")
-        free = out.join(has, out[key] == has["_fk"], "left_anti")
-        out = hit.unionByName(free)
-    return out
+        allowed = F.col(f"_f_{field}")
+        ok = ok & (F.coalesce(F.size(allowed) == 0, F.lit(True))
+                   | F.coalesce(F.array_contains(allowed, _norm(field, F.col(col))), F.lit(False)))
+    return j.where(ok).drop("_fk", *[f"_f_{field}" for field in FIELD_COLUMN])
 
 
 # Sources whose list API takes employment-type and city filters by default.

@@ -42,7 +42,8 @@ def _run(q) -> None:
 
 def stream_collect(spark: SparkSession, src: str, out: str, checkpoint: str, files_per_trigger: int = 2) -> None:
     """Collect documents (JSON lines) → exploded offers → tracker columns."""
-    docs = (spark.readStream.schema(COLLECT_FILE.add("run_id", T.StringType()))
+    schema = T.StructType(COLLECT_FILE.fields + [T.StructField("run_id", T.StringType())])
+    docs = (spark.readStream.schema(schema)
             .option("maxFilesPerTrigger", files_per_trigger).json(src))
     offers = explode_collect(docs)
     rows = offers.select(

@@ -88,3 +88,12 @@ def test_stream_equals_batch(spark):
     b = q["q_salary_text"](spark, sf)
     assert s.count() == b.count()
     assert sorted(r[0] for r in s.select("salary").collect()) == sorted(r[0] for r in b.select("salary").collect())
+
+
+def test_queries_are_repeatable_in_one_session(spark):
+    import __spark_entry__ as E
+    q = E.queries()
+    for name in ("q_stream_collect", "q_tracker", "q_consec_fail"):
+        a = q[name](spark, "/root/testdata/sf0.001").count()
+        b = q[name](spark, "/root/testdata/sf0.001").count()
+        assert a == b > 0

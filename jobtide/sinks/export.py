@@ -31,7 +31,10 @@ def export_full(df: DataFrame, path: str, run_tab: str, generated_at: str) -> Da
     """B2: JSON lines per run plus a one-row manifest (run_tab, generated_at, count).
     The single-document envelope is never built: it would pass the whole run through
     one task."""
-    rec = export_records(df)
+    # Records in (source, list position) order.  orderBy range-partitions the rows, so a
+    # large run is sorted by many tasks, not gathered into one.
+    order = [c for c in ("run_id", "source", "position") if c in df.columns]
+    rec = export_records(df.orderBy(*order))
     rec.write.mode("overwrite").partitionBy("run_id").text(path + "/records")
     manifest = df.groupBy("run_id").agg(F.count(F.lit(1)).cast("bigint").alias("count")) \
         .withColumn("run_tab", F.lit(run_tab)).withColumn("generated_at", F.lit(generated_at))
@@ -47,8 +50,9 @@ def latest_rows(history: DataFrame, key: str = "run_tab") -> DataFrame:
 
 
 def append_tracker(df: DataFrame, path: str) -> None:
-    """Append this run's tracker rows under its own run_tab partition."""
-    df.write.mode("append").partitionBy("run_tab").parquet(path)
+    """Append this run's tracker rows under its own run_tab partition, in ID order."""
+    out = df.orderBy("run_tab", "id") if "id" in df.columns else df
+    out.write.mode("append").partitionBy("run_tab").parquet(path)
 
 
 def write_cache_version(cache: DataFrame, base: str, version: str) -> str:

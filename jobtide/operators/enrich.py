@@ -94,14 +94,16 @@ def merge_fill(df: DataFrame, right: str, fields: Sequence[str], group: Sequence
 
 
 def param(arr, keys: Sequence[str], field: str = "label") -> Column:
-    """First array element whose key equals one of ``keys`` in priority order; the
-    first occurrence of a key wins (no map: duplicate keys would raise)."""
-    out = None
-    for k in keys:
-        v = F.get(F.filter(arr if not isinstance(arr, str) else F.col(arr), lambda p: p["key"] == F.lit(k)), 0)
-        v = v[field] if field else v
-        out = v if out is None else F.coalesce(out, v)
-    return out
+    """The entry of the first key in ``keys`` that is present (the first occurrence of
+    a key wins; no map, duplicate keys would raise), then its ``field``.  A present key
+    with an empty field does not fall through to the next key."""
+    a = F.col(arr) if isinstance(arr, str) else arr
+
+    def first_with(k):
+        return F.get(F.filter(a, lambda p: p["key"] == F.lit(k)), 0)
+
+    entry = F.coalesce(*[first_with(k) for k in keys])
+    return entry[field] if field else entry
 
 
 def lookup(df: DataFrame, dim: DataFrame, key: str, dim_key: str, value: str, out: str,

@@ -20,7 +20,7 @@ from jobtide.schema import OFFER
 # Base URLs per source.
 BASE = {
     "justjoin": "https://justjoin.it/job-offer/",
-    "rocketjobs": "https://rocketjobs.pl/oferta/",
+    "rocketjobs": "https://rocketjobs.pl/oferta-pracy/",
     "talentdays": "https://talentdays.pl/praca-i-staz/",
     "nofluffjobs": "https://nofluffjobs.com",
     "nofluffjobs_rel": "https://nofluffjobs.com/pl/job/",

@@ -178,8 +178,8 @@ WITH p AS (SELECT doc_id, CASE doc_id % 3
                            struct_pack(key := 'agreement', label := 'second'))
     WHEN 1 THEN list_value(struct_pack(key := 'type', label := source), struct_pack(key := 'size', label := lang))
     ELSE list_value(struct_pack(key := 'size', label := lang)) END AS params FROM {{text_doc}})
-SELECT doc_id, coalesce((list_filter(params, lambda x: x.key = 'agreement'))[1].label,
-                        (list_filter(params, lambda x: x.key = 'type'))[1].label) AS contract_type FROM p""")
+SELECT doc_id, coalesce((list_filter(params, lambda x: x.key = 'agreement'))[1],
+                        (list_filter(params, lambda x: x.key = 'type'))[1]).label AS contract_type FROM p""")
 def q_param_first(spark, sf):
     d = adapter(spark, sf, "text_doc")
 

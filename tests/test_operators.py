@@ -121,3 +121,8 @@ def test_cap_per_source(spark):
                                    .alias("source"), F.col("id").alias("position"))
     got = cap_per_source(df, {"a": 3}).groupBy("source").count().collect()
     assert {r["source"]: r["count"] for r in got} == {"a": 3, "b": 10}
+
+
+def test_param_present_key_without_label_does_not_fall_through(spark):
+    df = spark.createDataFrame([([("agreement", None), ("type", "T")],)], "p array<struct<key:string,label:string>>")
+    assert df.select(EN.param("p", ["agreement", "type"])).first()[0] is None

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from jobtide.functions.classify import BLOCK_WINDOW, block_flag, detail_has_content
 from jobtide.functions.dates import run_file_stamp, run_tab_stamp
-from jobtide.functions.html import html_to_text
+from jobtide.functions.detail import detail_fields
 from jobtide.functions.urls import identity_key, url_key
 from jobtide.operators import cache as K
 from jobtide.operators import enrich as EN
@@ -57,39 +57,64 @@ def run_list(landing: DataFrame, source: str, filters: DataFrame | None = None)
     return conform(offers)
 
 
-def run_details(offers: DataFrame, details: DataFrame, cache: DataFrame, source: str, profile: str | None = None,
+def run_details(offers: DataFrame, details: DataFrame, cache: DataFrame, source: str,
                 now: dt.datetime | None = None) -> dict[str, DataFrame]:
     """Entry 2.  ``details`` = landing_detail rows (run_id, source, position, url, status,
-    body, error) whose body is the HTML description of the offer at that position."""
+    body, error) holding the source's detail response for the offer at that position.
+
+    Cache hits, twins and fresh fetches carry a fields struct; the source's merge rule
+    applies it: override (fields present replace list values; the description always)
+    or, for olx, fill-only with the salary triple taken only when the list had none."""
     rules = RULES[source]
-    o = offers.withColumn("url_key", url_key("url"))
-    o = EN.cache_lookup(o, cache)
+    o = EN.cache_lookup(offers.withColumn("url_key", url_key("url")), cache)
     d = details.select("run_id", "source", "position", "status", "body")
     att = (o.join(d, ["run_id", "source", "position"], "left")
            .withColumn("blocked", block_flag("body", "status", BLOCK_WINDOW.get(source),
                                              has_content=detail_has_content(F.col("body"), source)))
-           .withColumn("_fetched_desc", F.when(F.col("status").between(200, 299),
-                                               html_to_text("body", profile or source)))
+           .withColumn("_det", F.when(F.col("status").between(200, 299), detail_fields(F.col("body"), source)))
            .withColumn("no_slug", F.lit(False)))
-    # Outcome rules read the fetched text as ``description``; the list value is kept aside.
-    att = att.withColumnRenamed("description", "_list_desc").withColumnRenamed("_fetched_desc", "description")
-    out = resolve_outcomes(att, rules, twin_fields=("description",))
-    fetched = F.col("outcome") == "fetched"
-    hit = (F.col("outcome") == "cached") & F.col("cache_hit")
-    twin = (F.col("outcome") == "cached") & ~F.col("cache_hit")
-    enriched = (out.withColumn("new_description", F.when(fetched, F.col("description"))
-                               .when(hit, F.col("hit_f.description")).when(twin, F.col("twin_description"))
-                               .otherwise(F.col("_list_desc")))
-                .drop("description").withColumnRenamed("new_description", "description"))
+    # The outcome rules read the fetched text as ``description``; the list value is kept aside.
+    att = att.withColumnRenamed("description", "_list_desc").withColumn("description", F.col("_det.description"))
+    out = resolve_outcomes(att, rules, twin_fields=("_det",)).drop("description") \
+        .withColumnRenamed("_list_desc", "description")
+    hit_fields = F.struct(*[(F.col(f"hit_f.{f}") if f in K_FIELD_TYPES else F.lit(None)).cast(
+        "array<string>" if f.startswith("skills") else "double" if f.startswith("salary_") and f != "salary_currency"
+        else "string").alias(f) for f in DETAIL_ALL])
+    oc = F.col("outcome")
+    got = (F.when(oc == "fetched", F.col("_det"))
+           .when((oc == "cached") & F.col("cache_hit"), hit_fields)
+           .when(oc == "cached", F.col("twin__det")))
+    out = out.withColumn("_got", got)
+    cols = set(out.columns)
+    if rules.empty_is_fetched and source == "olx":          # fill-only merge
+        guard = F.col("salary_from").isNull() if "salary_from" in cols else F.lit(True)
+        out = out.withColumn("_guard", guard)
+        for f in DETAIL_ALL:
+            cur = F.col(f) if f in cols else F.lit(None)
+            if f in ("salary_from", "salary_to", "salary_currency"):
+                out = out.withColumn(f, F.when(F.col("_guard") & F.col("_got").isNotNull(), F.col(f"_got.{f}"))
+                                     .otherwise(cur))
+            else:
+                out = out.withColumn(f, F.coalesce(cur, F.col(f"_got.{f}")))
+        out = out.drop("_guard")
+    else:                                                    # override merge
+        for f in DETAIL_ALL:
+            cur = F.col(f) if f in cols else F.lit(None)
+            if f == "description":
+                out = out.withColumn(f, F.when(F.col("_got").isNotNull(), F.col("_got.description")).otherwise(cur))
+            else:
+                out = out.withColumn(f, F.coalesce(F.col(f"_got.{f}"), cur))
     stamp = F.lit(now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)).cast("timestamp")
-    new_entries = (enriched.where(fetched).select("url_key", stamp.alias("fetched_at"),
-                                                  F.struct(*[F.col(c).alias(c) if c in enriched.columns
-                                                             else F.lit(None).cast(K_FIELD_TYPES[c]).alias(c)
-                                                             for c in K_FIELD_TYPES]).alias("f")))
+    new_entries = out.where(oc == "fetched").select(
+        "url_key", stamp.alias("fetched_at"),
+        F.struct(*[F.col(f"_det.{c}").alias(c) for c in K_FIELD_TYPES]).alias("f"))
     new_cache = K.cache_upsert(cache, new_entries, desc="f.description")
-    return {"offers": conform(enriched), "cache": new_cache, "status": run_status(out, rules)}
+    enriched = conform(out.drop("_got", "_det", "twin__det", "body", "hit_f"))
+    return {"offers": enriched, "cache": new_cache, "status": run_status(out, rules)}
 
 
+DETAIL_ALL = ["description", "skills_required", "skills_nice", "valid_through", "apply_url", "expires_at",
+              "company", "contract_type", "experience_level", "salary_from", "salary_to", "salary_currency"]
 K_FIELD_TYPES = {"description": "string", "skills_required": "array<string>", "skills_nice": "array<string>",
                  "valid_through": "string", "apply_url": "string", "expires_at": "string"}
 

@@ -52,18 +52,25 @@ def test_run_details(spark):
     offers = spark.createDataFrame([("R1", "justjoin", i, f"https://justjoin.it/job-offer/{k}", None)
                                     for i, k in enumerate(["a", "b", "a", "c", "d"], start=1)],
                                    "run_id string, source string, position long, url string, description string")
+    def page(desc):
+        ld = json.dumps({"@type": "JobPosting", "description": desc})
+        return ('<html><script type="application/ld+json">' + ld + '</script>'
+                '<script>self.__next_f.push([1,"{\\"requiredSkills\\":[{\\"name\\":\\"SQL\\",\\"level\\":3}]}"])</script></html>')
     details = spark.createDataFrame([
-        ("R1", "justjoin", 1, "u", 200, "<p>Opis A</p>", None),
-        ("R1", "justjoin", 2, "u", 200, "<p>cached?</p>", None),
+        ("R1", "justjoin", 1, "u", 200, page("<p>Opis A</p>"), None),
+        ("R1", "justjoin", 2, "u", 200, page("<p>cached?</p>"), None),
         ("R1", "justjoin", 4, "u", 403, "denied", None),
-        ("R1", "justjoin", 5, "u", 200, "<p>never</p>", None)],
+        ("R1", "justjoin", 5, "u", 200, page("<p>never</p>"), None)],
         "run_id string, source string, position long, url string, status int, body string, error string")
     cache = spark.createDataFrame([("https://justjoin.it/job-offer/b", dt.datetime(2024, 1, 1),
                                     ("z cache", None, None, None, None, None))], DESC_CACHE)
     r = run_details(offers, details, cache, "justjoin", now=dt.datetime(2024, 2, 1))
-    got = {x["position"]: (x["description"], x["detail_error"]) for x in r["offers"].collect()}
+    rows = r["offers"].collect()
+    got = {x["position"]: (x["description"], x["detail_error"]) for x in rows}
     assert got == {1: ("Opis A", None), 2: ("z cache", None), 3: ("Opis A", None),
                    4: (None, "blocked (status 403)"), 5: (None, None)}
+    skills = {x["position"]: x["skills_required"] for x in rows}
+    assert skills[1] == ["SQL (level 3)"] and skills[3] == ["SQL (level 3)"] and skills[2] is None
     st = r["status"].first()
     assert (st["details_fetched"], st["details_cached"], st["detail_errors"], st["detail_aborted"]) == (1, 2, 1, True)
     keys = sorted(x["url_key"] for x in r["cache"].collect())

@@ -15,7 +15,7 @@ response shapes).  One struct column, built only from native expressions:
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.functions.common import col_of, js_trim, trimmed_or_null
@@ -91,3 +91,31 @@ def detail_fields(body, source: str) -> Column:
                      salary_to=F.try_variant_get(sal, "$.value.to", "double"),
                      salary_currency=F.nullif(_s(sal, "$.value.currency"), F.lit("")))
     raise ValueError(f"no detail shape for source {source!r}")
+
+
+def with_detail_fields(df: DataFrame, body: str, source: str, out: str = "_det") -> DataFrame:
+    """``detail_fields`` staged over several projections: the JSON body is parsed once and
+    every list is computed once per row (a single nested expression would re-evaluate
+    them in each section test).  Other sources are a single projection."""
+    if source != "nofluffjobs":
+        return df.withColumn(out, F.when(F.col(body).isNotNull(), detail_fields(F.col(body), source)))
+    v = F.col("_dv")
+    x = df.withColumn("_dv", F.try_parse_json(F.col(body)))
+
+    def lst(path):
+        return list_values(F.try_variant_get(v, path, "variant"))
+
+    x = x.withColumn("_dl", F.struct(
+        lst("$.requirements.musts").alias("musts"), lst("$.requirements.nices").alias("nices"),
+        lst("$.requirements.languages").alias("langs"), lst("$.specs.dailyTasks").alias("daily"),
+        lst("$.specs.responsibilities").alias("resp"),
+        concat_lists(lst("$.benefits.benefits"), lst("$.benefits.equipment"), lst("$.benefits.officePerks")).alias("ben"),
+        html_to_text(F.coalesce(_s(v, "$.details.description"), _s(v, "$.description")), "nofluffjobs").alias("desc"),
+        html_to_text(_s(v, "$.requirements.description"), "nofluffjobs").alias("req")))
+    x = x.withColumn("_dl", F.col("_dl"))  # keep the staged struct a separate projection
+    L = F.col("_dl")
+    text = compose_sections(L["desc"], L["musts"], L["langs"], L["nices"], L["daily"], L["resp"], L["ben"],
+                            requirements_text=L["req"])
+    fields = _pack(description=text, skills_required=F.when(F.size(L["musts"]) > 0, L["musts"]),
+                   skills_nice=F.when(F.size(L["nices"]) > 0, L["nices"]))
+    return x.withColumn(out, F.when(F.col(body).isNotNull(), fields)).drop("_dv", "_dl")

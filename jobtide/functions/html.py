@@ -34,15 +34,19 @@ def _decode_numeric_token(t: Column) -> Column:
     return F.when(ok, ch).otherwise(t)
 
 
+ENTITY_TOKEN = r"&[a-zA-Z][a-zA-Z0-9]{1,31};|" + NUMERIC_ENTITY + "|[^&]+|&"
+
+
 def decode_entities(c) -> Column:
-    """Decode numeric entities (token-wise, only when present) and the named table."""
+    """Decode named entities (fixed table) and numeric ones in a single pass over the text's
+    tokens; text without '&' is returned unchanged.  One token-wise pass decodes every
+    entity exactly once, like a parser (so '&amp;lt;' becomes '&lt;')."""
     x = col_of(c)
-    toks = F.regexp_extract_all(x, rx(f"{NUMERIC_ENTITY}|[^&]+|&"), F.lit(0))
-    numeric = F.array_join(F.transform(toks, _decode_numeric_token), "")
-    x = F.when(x.rlike(NUMERIC_ENTITY), numeric).otherwise(x)
-    for ent, ch in NAMED_ENTITIES:
-        x = F.replace(x, F.lit(ent), F.lit(ch))
-    return x
+    table = F.create_map(*[v for ent, ch in NAMED_ENTITIES for v in (F.lit(ent), F.lit(ch))])
+    toks = F.regexp_extract_all(x, rx(ENTITY_TOKEN), F.lit(0))
+    decoded = F.array_join(F.transform(toks, lambda t: F.coalesce(F.try_element_at(table, t),
+                                                                  _decode_numeric_token(t))), "")
+    return F.when(x.contains("&"), decoded).otherwise(x)
 
 
 def strip_noise(c, drop_head: bool = True) -> Column:

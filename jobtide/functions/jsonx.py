@@ -22,7 +22,7 @@ def list_values(v) -> Column:
         obj = F.schema_of_variant(el).startswith("OBJECT")
         raw = F.coalesce(*[F.try_variant_get(el, f"$.{k}", "string") for k in ("value", "name", "code")])
         s = F.when(is_str, F.try_variant_get(el, "$", "string")).when(obj, raw)
-        return js_trim(strip_fragment(F.coalesce(s, F.lit(""))))
+        return js_trim(strip_fragment(F.coalesce(s, F.lit("")), noise_stripped=True))
 
     return F.filter(F.transform(arr, one), lambda s: s != "")
 

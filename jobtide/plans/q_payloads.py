@@ -470,3 +470,78 @@ def q_pracuj_cards(spark, sf):
     out = to_common(rows, "pracuj", keep=("doc_id",))
     return out.select("doc_id", "source", "title", "company", "url", "salary_from", "salary_to", "salary_currency",
                       "contract_type", "experience_level", "remote")
+
+
+# ---------------------------------------------------------------- detail JSON bodies → fields (I10–I12 on responses)
+
+@query("q_detail_fields", sql=f"""
+WITH g AS (SELECT conv_id,
+                  arg_min('<p>' || replace(substr(text, 1, 60), '<', ' ') || '</p>', turn) AS d,
+                  coalesce(list(label ORDER BY turn) FILTER (WHERE role = 'user'), []) AS musts,
+                  CASE WHEN conv_id % 2 = 0 THEN ['PL'] ELSE [] END AS langs,
+                  CASE WHEN conv_id % 3 <> 0 THEN coalesce(list(label ORDER BY turn) FILTER (WHERE role <> 'user'), [])
+                       ELSE [] END AS nices,
+                  CASE WHEN conv_id % 4 = 1 THEN coalesce(list(label ORDER BY turn) FILTER (WHERE turn % 3 = 0), [])
+                       ELSE [] END AS daily,
+                  coalesce(list('task ' || CAST(turn AS VARCHAR) ORDER BY turn) FILTER (WHERE turn % 3 = 0), []) AS resp,
+                  list_concat(CASE WHEN conv_id % 4 = 0 THEN ['kawa'] ELSE [] END,
+                              CASE WHEN conv_id % 5 = 0 THEN ['owoce'] ELSE [] END) AS ben
+           FROM {{{{turns_cv}}}} GROUP BY conv_id),
+     h AS (SELECT conv_id, {sqlx.html_text('d', 'nofluffjobs')} AS d, musts, langs, nices,
+                  CASE WHEN len(daily) > 0 THEN daily ELSE resp END AS resp, ben FROM g)
+SELECT conv_id, {"{SECTIONS}"} AS description,
+       CASE WHEN len(musts) > 0 THEN array_to_string(musts, '|') END AS skills_required,
+       CASE WHEN len(nices) > 0 THEN array_to_string(nices, '|') END AS skills_nice
+FROM h""".replace("{SECTIONS}", "__SECTIONS__"))
+def q_detail_fields(spark, sf):
+    from jobtide.functions.detail import with_detail_fields
+    t = adapter(spark, sf, "turns_cv")
+    lab = lambda s: s["label"]
+    cid = F.col("conv_id")
+    g = t.groupBy("conv_id").agg(
+        F.min_by(F.concat(F.lit("<p>"), F.replace(F.substring("text", 1, 60), F.lit("<"), F.lit(" ")), F.lit("</p>")),
+                 "turn").alias("d"),
+        F.sort_array(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "label")))).alias("u"),
+        F.sort_array(F.collect_list(F.when(F.col("role") != "user", F.struct("turn", "label")))).alias("o"),
+        F.sort_array(F.collect_list(F.when(F.col("turn") % 3 == 0, F.struct("turn", "label")))).alias("k"),
+        F.sort_array(F.collect_list(F.when(F.col("turn") % 3 == 0, F.struct(
+            "turn", F.concat(F.lit("task "), F.col("turn").cast("string")).alias("label"))))).alias("r"))
+    empty = F.array().cast("array<string>")
+    musts = F.when(cid % 2 == 0, F.to_json(F.transform("u", lab))) \
+        .otherwise(F.to_json(F.transform("u", lambda s: F.struct(s["label"].alias("value")))))
+    nices = F.to_json(F.struct(F.when(cid % 3 != 0, F.transform("o", lambda s: F.struct(s["label"].alias("name"))))
+                               .otherwise(F.array().cast("array<struct<name:string>>")).alias("items")))
+    langs = F.to_json(F.when(cid % 2 == 0, F.array(F.struct(F.lit("PL").alias("code"))))
+                      .otherwise(F.array().cast("array<struct<code:string>>")))
+    specs = F.to_json(F.struct(F.when(cid % 4 == 1, F.transform("k", lab)).otherwise(empty).alias("dailyTasks"),
+                               F.transform("r", lab).alias("responsibilities")))
+    ben = F.to_json(F.struct(F.when(cid % 4 == 0, F.array(F.lit("kawa"))).alias("benefits"),
+                             F.lit(None).cast("array<string>").alias("equipment"),
+                             F.when(cid % 5 == 0, F.array(F.lit("owoce"))).alias("officePerks")))
+    body = F.concat(F.lit('{"details": '), F.to_json(F.struct(F.col("d").alias("description"))),
+                    F.lit(', "requirements": {"musts": '), musts, F.lit(', "nices": '), nices,
+                    F.lit(', "languages": '), langs, F.lit('}, "specs": '), specs, F.lit(', "benefits": '), ben, F.lit("}"))
+    g = with_detail_fields(g.select("conv_id", body.alias("body")), "body", "nofluffjobs", "f")
+    return g.select("conv_id", F.col("f.description").alias("description"),
+                    F.array_join("f.skills_required", "|").alias("skills_required"),
+                    F.array_join("f.skills_nice", "|").alias("skills_nice"))
+
+
+def _sections_from(desc, musts, langs, nices, resp, ben):
+    bul = "array_to_string(list_transform({x}, lambda z: '- ' || z), chr(10))"
+    d = f"nullif({sqlx.js_trim(desc)}, '')"
+    req = ("nullif(concat_ws(chr(10), CASE WHEN len(" + musts + ") > 0 THEN " + bul.format(x=musts) + " END, "
+           "CASE WHEN len(" + langs + ") > 0 THEN 'Języki: ' || array_to_string(" + langs + ", ', ') END), '')")
+    parts = [(d, "OPIS:"), (req, "WYMAGANIA:"),
+             (f"CASE WHEN len({nices}) > 0 THEN {bul.format(x=nices)} END", "MILE WIDZIANE:"),
+             (f"CASE WHEN len({resp}) > 0 THEN {bul.format(x=resp)} END", "OBOWIĄZKI:"),
+             (f"CASE WHEN len({ben}) > 0 THEN {bul.format(x=ben)} END", "BENEFITY:")]
+    joined = "concat_ws(chr(10) || chr(10), " + ", ".join(
+        f"CASE WHEN ({b}) IS NOT NULL THEN '{lab}' || chr(10) || ({b}) END" for b, lab in parts) + ")"
+    return f"nullif(substr({sqlx.js_trim(sqlx.sub(joined, chr(10) + '{3,}', chr(10) + chr(10)))}, 1, 15000), '')"
+
+
+from jobtide.plans.registry import ORACLE as _ORACLE  # noqa: E402
+
+_ORACLE["q_detail_fields"] = _ORACLE["q_detail_fields"].replace(
+    "__SECTIONS__", _sections_from("d", "musts", "langs", "nices", "resp", "ben"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from jobtide.functions.classify import BLOCK_WINDOW, block_flag, detail_has_content
 from jobtide.functions.dates import run_file_stamp, run_tab_stamp
-from jobtide.functions.detail import detail_fields
+from jobtide.functions.detail import with_detail_fields
 from jobtide.functions.urls import identity_key, url_key
 from jobtide.operators import cache as K
 from jobtide.operators import enrich as EN
@@ -71,8 +71,9 @@ def run_details(offers: DataFrame, details: DataFrame, cache: DataFrame, source:
     att = (o.join(d, ["run_id", "source", "position"], "left")
            .withColumn("blocked", block_flag("body", "status", BLOCK_WINDOW.get(source),
                                              has_content=detail_has_content(F.col("body"), source)))
-           .withColumn("_det", F.when(F.col("status").between(200, 299), detail_fields(F.col("body"), source)))
+           .withColumn("_ok_body", F.when(F.col("status").between(200, 299), F.col("body")))
            .withColumn("no_slug", F.lit(False)))
+    att = with_detail_fields(att, "_ok_body", source, "_det").drop("_ok_body")
     # The outcome rules read the fetched text as ``description``; the list value is kept aside.
     att = att.withColumnRenamed("description", "_list_desc").withColumn("description", F.col("_det.description"))
     out = resolve_outcomes(att, rules, twin_fields=("_det",)).drop("description") \

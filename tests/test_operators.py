@@ -126,3 +126,12 @@ def test_cap_per_source(spark):
 def test_param_present_key_without_label_does_not_fall_through(spark):
     df = spark.createDataFrame([([("agreement", None), ("type", "T")],)], "p array<struct<key:string,label:string>>")
     assert df.select(EN.param("p", ["agreement", "type"])).first()[0] is None
+
+
+def test_cap_pages(spark):
+    from jobtide.operators.positional import cap_pages
+    df = spark.createDataFrame([("olx", p) for p in range(1, 13)] + [("indeed", p) for p in range(1, 4)] + [("x", 9)],
+                               "source string, page_no int")
+    got = {r["source"]: r["n"] for r in cap_pages(df, {"olx": 10, "indeed": 2}).groupBy("source")
+           .agg(F.count("*").alias("n")).collect()}
+    assert got == {"olx": 10, "indeed": 2, "x": 1}

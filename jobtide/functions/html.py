@@ -102,7 +102,7 @@ def html_to_text(c, profile: str) -> Column:
     x = strip_noise(c)
     if profile == "justjoin":
         t = dom_text(x, noise_stripped=True)
-        t = js_trim(_sub(_sub(t, "\r", ""), r"\n{3,}", "\n\n"))
+        t = js_trim(_sub(F.translate(t, "\r", ""), r"\n{3,}", "\n\n"))
         t = F.substring(t, 1, DESCRIPTION_CAP)
     elif profile == "rocketjobs":
         h = _heading_caps(x)
@@ -115,7 +115,7 @@ def html_to_text(c, profile: str) -> Column:
         t = F.substring(t, 1, DESCRIPTION_CAP)
     elif profile == "nofluffjobs":
         stripped = strip_fragment(x, noise_stripped=True)
-        t = _sub(_sub(_sub(stripped, "\r", ""), r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
+        t = _sub(_sub(F.translate(stripped, "\r", ""), r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
         t = F.substring(js_trim(t), 1, DESCRIPTION_CAP)
     elif profile == "talentdays":
         h = _sub(x, r"(?i)<br\s*/?>", "\n")
@@ -123,14 +123,14 @@ def html_to_text(c, profile: str) -> Column:
         h = _sub(h, r"(?i)</(li|tr)>", "\n")
         h = _sub(h, r"(?i)</(p|div|section|article|ul|ol|table|h[1-6])>", "\n\n")
         t = F.translate(dom_text(h, noise_stripped=True), "\u00a0", " ")
-        t = _sub(_sub(_sub(t, "\r", ""), r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
+        t = _sub(_sub(F.translate(t, "\r", ""), r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
         t = F.substring(js_trim(t), 1, DESCRIPTION_CAP)
     elif profile == "olx":
         h = _sub(x, r"(?i)<br\s*/?>", "\n")
         h = _sub(h, r"(?i)</(p|li|div|h[1-6]|ul|ol|tr)>", "\n")
         h = _sub(h, r"(?i)<li[^>]*>", "- ")
         t = dom_text(h, noise_stripped=True)
-        t = _sub(_sub(_sub(t, "\r", ""), r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
+        t = _sub(_sub(F.translate(t, "\r", ""), r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
         t = F.substring(js_trim(t), 1, DESCRIPTION_CAP)
     else:
         raise ValueError(f"unknown html profile {profile!r}")

@@ -242,6 +242,6 @@ SELECT 'R1' AS run_id,
        CASE WHEN doc_id % 97 = 0 THEN 403 WHEN doc_id % 13 = 0 THEN 500 ELSE 200 END AS status,
        CASE WHEN doc_id % 211 = 0 THEN '<title>Just a moment...</title> captcha'
             WHEN doc_id % 17 = 0 THEN '<p> </p>'
-            ELSE '<h2>Opis</h2><p>' || replace(substr(text, 1, 200), '<', ' ') || '</p><ul><li>' || lang || '</li></ul>' END AS body
+            ELSE '<h2>Opis</h2><p>' || replace(text, '<', ' ') || '</p><ul><li>' || lang || '</li></ul>' END AS body
 FROM {documents}
 """

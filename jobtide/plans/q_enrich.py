@@ -67,13 +67,13 @@ def q_cache_map_explode(spark, sf):
 def _doc_offers(spark, sf):
     d = adapter(spark, sf, "descr_doc").withColumn("url_key", url_key("url"))
     cache = (d.where("hit").select("url_key", F.lit(NOW).cast("timestamp").alias("fetched_at"), F.struct(
-        F.when(F.col("quality") == 1, F.substring("text", 1, 100)).otherwise(F.lit("")).alias("description"),
+        F.when(F.col("quality") == 1, F.col("text")).otherwise(F.lit("")).alias("description"),
         F.when(F.col("toxic") == 0, F.lit("2024-12-31")).alias("valid_through")).alias("f")))
     return d, cache
 
 
 _DOC_CACHE_SQL = f"""SELECT {sqlx.url_key('url')} AS url_key,
-  CASE WHEN quality = 1 THEN substr(text, 1, 100) ELSE '' END AS description,
+  CASE WHEN quality = 1 THEN text ELSE '' END AS description,
   CASE WHEN toxic = 0 THEN '2024-12-31' END AS valid_through FROM {{{{descr_doc}}}} WHERE hit"""
 
 
@@ -104,7 +104,7 @@ _NFJ_URL_SQL = ("CASE WHEN position % 5 = 0 THEN 'https://nofluffjobs.com/pl/' |
 WITH o AS (SELECT position, {_NFJ_URL_SQL} AS url FROM {{{{descr_doc}}}}),
      k AS (SELECT position, url, nullif(lower(regexp_extract(url, '(?i)/job/([^/?#]+)', 1)), '') AS detail_id FROM o),
      d AS (SELECT lower(source) || '-' || CAST(position AS VARCHAR) AS detail_id, 200 AS status,
-                  substr(text, 1, 30) AS body FROM {{{{descr_doc}}}} WHERE hit)
+                  text AS body FROM {{{{descr_doc}}}} WHERE hit)
 SELECT CAST(k.position AS BIGINT) AS position, k.detail_id, d.status, d.body,
        CASE WHEN k.detail_id IS NULL THEN 'no slug in url' END AS detail_error
 FROM k LEFT JOIN d ON k.detail_id = d.detail_id""")
@@ -116,20 +116,20 @@ def q_attach_detail(spark, sf):
                                              F.col("position").cast("string"), F.lit("?x=1"))).alias("url"))
     details = base.where("hit").select(
         F.concat(F.lower("source"), F.lit("-"), F.col("position").cast("string")).alias("detail_id"),
-        F.lit(200).alias("status"), F.substring("text", 1, 30).alias("body"))
+        F.lit(200).alias("status"), F.col("text").alias("body"))
     out = EN.attach_detail(offers, details, "nofluffjobs")
     return out.select(F.col("position").cast("bigint").alias("position"), "detail_id", "status", "body", "detail_error")
 
 
 @query("q_merge_override", sql="""
 SELECT CAST(position AS BIGINT) AS position,
-       CASE WHEN hit THEN CASE WHEN quality = 1 THEN substr(text, 1, 40) END ELSE lang END AS description,
+       CASE WHEN hit THEN CASE WHEN quality = 1 THEN text END ELSE lang END AS description,
        CASE WHEN hit THEN CASE WHEN toxic = 0 THEN '2024-12-31' END END AS valid_through
 FROM {{descr_doc}}""")
 def q_merge_override(spark, sf):
     d = adapter(spark, sf, "descr_doc").withColumn("description", F.col("lang"))
     d = d.withColumn("f", F.when(F.col("hit"), F.struct(
-        F.when(F.col("quality") == 1, F.substring("text", 1, 40)).alias("description"),
+        F.when(F.col("quality") == 1, F.col("text")).alias("description"),
         F.when(F.col("toxic") == 0, F.lit("2024-12-31")).alias("valid_through"))))
     return EN.merge_override(d, "f").select(F.col("position").cast("bigint").alias("position"), "description",
                                             "valid_through")

@@ -221,7 +221,7 @@ def _sections_sql():
     joined = f"concat_ws(chr(10) || chr(10), {parts})"
     final = f"nullif(substr({sqlx.js_trim(sqlx.sub(joined, "\n{3,}", "\n\n"))}, 1, 15000), '')"
     return f"""
-WITH g AS (SELECT conv_id, {sqlx.html_text("arg_min(substr(text, 1, 80), turn)", 'nofluffjobs')} AS d,
+WITH g AS (SELECT conv_id, {sqlx.html_text("arg_min(text, turn)", 'nofluffjobs')} AS d,
                   coalesce(list(label ORDER BY turn) FILTER (WHERE role = 'user'), []) AS musts,
                   CASE WHEN conv_id % 2 = 0 THEN ['polski', 'angielski'] ELSE [] END AS langs,
                   CASE WHEN conv_id % 3 <> 0 THEN coalesce(list(label ORDER BY turn) FILTER (WHERE role <> 'user'), [])
@@ -237,7 +237,7 @@ def q_sections(spark, sf):
     t = adapter(spark, sf, "turns_cv")
     lab = lambda s: s["label"]
     g = t.groupBy("conv_id").agg(
-        F.min_by(F.substring("text", 1, 80), "turn").alias("d"),
+        F.min_by("text", "turn").alias("d"),
         F.sort_array(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "label")))).alias("u"),
         F.sort_array(F.collect_list(F.when(F.col("role") != "user", F.struct("turn", "label")))).alias("o"),
         F.sort_array(F.collect_list(F.when(F.col("turn") % 3 == 0, F.struct(
@@ -443,7 +443,7 @@ def q_talentdays(spark, sf):
                       "city", "salary_from", "salary_to", "salary_currency", "contract_type", "experience_level", "remote")
 
 
-_PR_LABELS = "list_filter(list_value(title, 'Pełny etat', lang || ' ' || source, substr(text, 1, 80)), lambda x: length(x) BETWEEN 1 AND 59)"
+_PR_LABELS = "list_filter(list_value(title, 'Pełny etat', lang || ' ' || source, text), lambda x: length(x) BETWEEN 1 AND 59)"
 _PR_SAL = ("CASE doc_id % 3 WHEN 0 THEN '5 000–7 000 zł / mies.' WHEN 1 THEN '30,50–45 zł/godz.' "
            "ELSE 'wynagrodzenie w zł' END")
 _PR_F, _PR_T, _PR_C = sqlx.salary(_PR_SAL, "pracuj")
@@ -464,7 +464,7 @@ def q_pracuj_cards(spark, sf):
         F.concat(F.lit("https://www.pracuj.pl/praca/x,oferta,"), F.col("doc_id").cast("string")).alias("url"),
         F.when(F.col("doc_id") % 3 == 0, F.lit("5 000–7 000 zł / mies."))
         .when(F.col("doc_id") % 3 == 1, F.lit("30,50–45 zł/godz.")).otherwise(F.lit("wynagrodzenie w zł")).alias("salaryText"),
-        F.array("title", F.lit("Pełny etat"), F.concat_ws(" ", "lang", "source"), F.substring("text", 1, 80)).alias("labels"),
+        F.array("title", F.lit("Pełny etat"), F.concat_ws(" ", "lang", "source"), F.col("text")).alias("labels"),
         F.lit(None).cast("string").alias("published_at"))
     rows = ingest_cards(cards, "pracuj")
     out = to_common(rows, "pracuj", keep=("doc_id",))
@@ -476,7 +476,7 @@ def q_pracuj_cards(spark, sf):
 
 @query("q_detail_fields", sql=f"""
 WITH g AS (SELECT conv_id,
-                  arg_min('<p>' || replace(substr(text, 1, 60), '<', ' ') || '</p>', turn) AS d,
+                  arg_min('<p>' || replace(text, '<', ' ') || '</p>', turn) AS d,
                   coalesce(list(label ORDER BY turn) FILTER (WHERE role = 'user'), []) AS musts,
                   CASE WHEN conv_id % 2 = 0 THEN ['PL'] ELSE [] END AS langs,
                   CASE WHEN conv_id % 3 <> 0 THEN coalesce(list(label ORDER BY turn) FILTER (WHERE role <> 'user'), [])
@@ -499,7 +499,7 @@ def q_detail_fields(spark, sf):
     lab = lambda s: s["label"]
     cid = F.col("conv_id")
     g = t.groupBy("conv_id").agg(
-        F.min_by(F.concat(F.lit("<p>"), F.replace(F.substring("text", 1, 60), F.lit("<"), F.lit(" ")), F.lit("</p>")),
+        F.min_by(F.concat(F.lit("<p>"), F.replace(F.col("text"), F.lit("<"), F.lit(" ")), F.lit("</p>")),
                  "turn").alias("d"),
         F.sort_array(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "label")))).alias("u"),
         F.sort_array(F.collect_list(F.when(F.col("role") != "user", F.struct("turn", "label")))).alias("o"),

@@ -58,7 +58,7 @@ def q_entry_level(spark, sf):
         C.entry_level(None, "lang", exp_filter="en").alias("by_experience"))
 
 
-_LABELS_SQL = "list_value(title, lang, source, substr(text, 1, 80))"
+_LABELS_SQL = "list_value(title, lang, source, text)"
 
 
 @query("q_remote", sql=f"""
@@ -73,7 +73,7 @@ SELECT doc_id,
 FROM {{{{text_doc}}}}""")
 def q_remote(spark, sf):
     d = adapter(spark, sf, "text_doc")
-    labels = F.array("title", "lang", "source", F.substring("text", 1, 80))
+    labels = F.array("title", "lang", "source", "text")
     return d.select("doc_id",
                     C.infer_remote("any", "title", "source").alias("remote_any"),
                     C.infer_remote("only_true", "title", "lang").alias("remote_only_true"),
@@ -91,7 +91,7 @@ SELECT doc_id,
 FROM {{{{text_doc}}}}""")
 def q_label_pick(spark, sf):
     d = adapter(spark, sf, "text_doc").withColumn(
-        "labels", C.keep_labels(F.array("title", "lang", "source", F.substring("text", 1, 80))))
+        "labels", C.keep_labels(F.array("title", "lang", "source", "text")))
     return d.select("doc_id", C.pick_label("labels", C.CONTRACT_LABEL_RE).alias("contract_type"),
                     C.pick_label("labels", C.EXPERIENCE_LABEL_RE).alias("experience_level"),
                     F.size("labels").alias("n_labels"))

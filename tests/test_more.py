@@ -97,3 +97,25 @@ def test_queries_are_repeatable_in_one_session(spark):
         a = q[name](spark, "/root/testdata/sf0.001").count()
         b = q[name](spark, "/root/testdata/sf0.001").count()
         assert a == b > 0
+
+
+def test_status_counters_bounded_and_keys_unique(spark):
+    import __spark_entry__ as E
+    q = E.queries()
+    st = q["q_run_status"](spark, "/root/testdata/sf0.001")
+    assert st.where("details_fetched + details_cached + detail_errors > count").count() == 0
+    d = q["q_dedup_run"](spark, "/root/testdata/sf0.001")
+    assert d.count() == d.select("run_id", "url_key").distinct().count()
+
+
+def test_prune_and_upsert_commute_on_disjoint_keys(spark):
+    import datetime as dt
+    from jobtide.operators.cache import cache_prune, cache_upsert
+    now = dt.datetime(2024, 3, 1)
+    old = spark.createDataFrame([("a", dt.datetime(2023, 1, 1), "x"), ("b", dt.datetime(2024, 2, 20), "y")],
+                                "url_key string, fetched_at timestamp_ntz, description string")
+    new = spark.createDataFrame([("c", dt.datetime(2024, 2, 28), "z")],
+                                "url_key string, fetched_at timestamp_ntz, description string")
+    one = cache_upsert(cache_prune(old, now, 60), new)
+    two = cache_prune(cache_upsert(old, new), now, 60)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))

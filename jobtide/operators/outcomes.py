@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.operators.numbering import number_within
+from jobtide.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -90,9 +91,16 @@ def consecutive_fail_cut(att: DataFrame, n: int = 3) -> DataFrame:
         .groupBy(*KEY).agg(F.min("_pos").alias("cut_consecutive"))
 
 
-def resolve_outcomes(att: DataFrame, rules: OutcomeRules, twin_fields: tuple[str, ...] = ()) -> DataFrame:
-    """Adds twin, attempt, cut, outcome (cached|fetched|error|blocked|skipped) and detail_error."""
+def resolve_outcomes(att: DataFrame, rules: OutcomeRules, twin_fields: tuple[str, ...] = (),
+                     materialize: bool = False) -> DataFrame:
+    """Adds twin, attempt, cut, outcome (cached|fetched|error|blocked|skipped) and detail_error.
+
+    The attempts table feeds several aggregates and joins; when its columns are expensive
+    (text extracted from detail bodies) ``materialize`` writes it once as a reliable
+    checkpoint so the extraction is not repeated per branch."""
     a = _flags(att)
+    if materialize:
+        a = cut_lineage(a)
     a = reuse_twins(a, twin_fields)
     a = a.withColumn("_attempt", F.col("_has_url") & ~F.col("cache_hit") & ~F.col("twin") & ~F.col("no_slug"))
     cuts = abort_cut(a)

@@ -358,7 +358,7 @@ def q_detail_pipeline(spark, sf):
            .withColumn("blocked", block_flag("body", "status", 600))
            .withColumn("description", F.when(F.col("status") == 200, html_to_text("body", "olx")))
            .withColumn("no_slug", F.lit(False)))
-    out = resolve_outcomes(att, RULES["justjoin"], twin_fields=("description",))
+    out = resolve_outcomes(att, RULES["justjoin"], twin_fields=("description",), materialize=True)
     final = (F.when((F.col("outcome") == "cached") & F.col("cache_hit"), F.col("hit_f.description"))
              .when(F.col("outcome") == "cached", F.col("twin_description"))
              .when(F.col("outcome") == "fetched", F.col("description")))

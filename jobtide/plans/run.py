@@ -76,7 +76,7 @@ def run_details(offers: DataFrame, details: DataFrame, cache: DataFrame, source:
     att = with_detail_fields(att, "_ok_body", source, "_det").drop("_ok_body")
     # The outcome rules read the fetched text as ``description``; the list value is kept aside.
     att = att.withColumnRenamed("description", "_list_desc").withColumn("description", F.col("_det.description"))
-    out = resolve_outcomes(att, rules, twin_fields=("_det",)).drop("description") \
+    out = resolve_outcomes(att, rules, twin_fields=("_det",), materialize=True).drop("description") \
         .withColumnRenamed("_list_desc", "description")
     hit_fields = F.struct(*[(F.col(f"hit_f.{f}") if f in K_FIELD_TYPES else F.lit(None)).cast(
         "array<string>" if f.startswith("skills") else "double" if f.startswith("salary_") and f != "salary_currency"

@@ -108,7 +108,7 @@ SELECT doc_id,
        source,
        lang,
        CASE doc_id % 12 {phrase_cases} END || ' ' || text AS text,
-       CASE doc_id % 12 {phrase_cases} END || ' ' || substr(text, 1, 60) AS title
+       CASE doc_id % 12 {phrase_cases} END || ' ' || lang || ' ' || source AS title
 FROM {documents}
 """.replace("{phrase_cases}", " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(TEXT_PHRASES)))
 
@@ -221,7 +221,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # Conversation turns as list items (one item per turn, grouped per conversation).
 ADAPTERS["turns_cv"] = """
 SELECT conv_id, turn, role, text,
-       substr(text, 1, 30) AS title,
+       text AS title,
        CASE WHEN turn % 3 = 0 THEN '' ELSE role END AS company,
        CASE WHEN turn % 5 = 4 THEN NULL ELSE 'c' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) END AS slug,
        CASE WHEN turn % 2 = 0 THEN 'Wrocław' END AS city,

@@ -110,7 +110,7 @@ def _nfj_item_json():
            .when(turn % 3 == 1, F.lit('"Trainee"')).otherwise(F.lit("[]")))
     dates = F.when(turn % 2 == 0, F.concat(F.lit('"posted": '), (F.lit(1704067200000) + turn * 86400000).cast("string"))) \
         .otherwise(F.lit('"renewed": 1706745600'))
-    base = F.to_json(F.struct(F.substring("text", 1, 25).alias("title"), F.col("role").alias("name"), loc.alias("location")))
+    base = F.to_json(F.struct(F.col("text").alias("title"), F.col("role").alias("name"), loc.alias("location")))
     # Splice the heterogeneous members (object-or-array salary, array-or-string seniority) into the object text.
     obj = F.regexp_replace(base, r"\}$", "")
     link_members = F.regexp_replace(F.regexp_replace(linkj, r"^\{", ""), r"\}$", "")
@@ -122,7 +122,7 @@ def _nfj_item_json():
 @query("q_variant_postings", sql=f"""
 SELECT * FROM (
   SELECT conv_id, {_RN} AS position, 'nofluffjobs' AS source, nullif({sqlx.js_trim('role')}, '') AS company,
-         nullif({sqlx.js_trim('substr(text, 1, 25)')}, '') AS title,
+         nullif({sqlx.js_trim('text')}, '') AS title,
          CASE turn % 3 WHEN 0 THEN 'https://nofluffjobs.com/pl/job/c' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR)
               WHEN 1 THEN 'https://nofluffjobs.com/pl/job/c' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR)
               ELSE 'https://nofluffjobs.com/pl/job/c' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) END AS url,
@@ -295,7 +295,7 @@ _TP_CARDS_SQL = """SELECT conv_id, turn,
   'B2B' AS contractRaw,
   CASE turn % 3 WHEN 0 THEN '2024-03-0' || CAST(turn % 9 + 1 AS VARCHAR) WHEN 1 THEN 'wczoraj' END AS dateRaw
 FROM {{turns_cv}}""".replace(
-    "{t1}", sqlx.js_trim("CASE WHEN turn % 3 = 0 THEN '  ' ELSE substr(text, 1, 20) END")).replace(
+    "{t1}", sqlx.js_trim("CASE WHEN turn % 3 = 0 THEN '  ' ELSE text END")).replace(
     "{t2}", sqlx.js_trim("role")).replace("{c1}", sqlx.js_trim("CASE WHEN turn % 2 = 0 THEN '' END")).replace(
     "{c2}", sqlx.js_trim("'Firma ' || CAST(conv_id AS VARCHAR)"))
 
@@ -321,7 +321,7 @@ def q_coalesce_candidates(spark, sf):
         F.when(turn % 6 == 5, F.lit(None)).otherwise(F.concat(F.lit("https://theprotocol.it/szczegoly/praca/c"),
                                                               F.col("conv_id").cast("string"), F.lit("-"),
                                                               turn.cast("string"))).alias("href"),
-        first_nonblank(F.when(turn % 3 == 0, F.lit("  ")).otherwise(F.substring("text", 1, 20)), "role").alias("title"),
+        first_nonblank(F.when(turn % 3 == 0, F.lit("  ")).otherwise(F.col("text")), "role").alias("title"),
         first_nonblank(F.when(turn % 2 == 0, F.lit("")), F.concat(F.lit("Firma "), F.col("conv_id").cast("string"))).alias("company"),
         F.when(turn % 4 == 0, F.lit("Kraków, Warszawa")).when(turn % 4 == 1, F.lit("Wrocław\nzdalnie"))
         .when(turn % 4 == 2, F.lit(", Gdańsk")).alias("cityRaw"),

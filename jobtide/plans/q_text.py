@@ -16,10 +16,10 @@ from jobtide.plans.registry import query
 VARIANTS = ("spaces", "dash", "trim", "fold")
 
 
-@query("q_slug", sql="SELECT doc_id, " + ", ".join(f"{sqlx.slug('title', v)} AS slug_{v}" for v in VARIANTS)
+@query("q_slug", sql="SELECT doc_id, " + ", ".join(f"{sqlx.slug('text', v)} AS slug_{v}" for v in VARIANTS)
        + " FROM {{text_doc}}")
 def q_slug(spark, sf):
-    return adapter(spark, sf, "text_doc").select("doc_id", *[slug("title", v).alias(f"slug_{v}") for v in VARIANTS])
+    return adapter(spark, sf, "text_doc").select("doc_id", *[slug("text", v).alias(f"slug_{v}") for v in VARIANTS])
 
 
 def _salary_query(dialect):

@@ -58,3 +58,10 @@ def test_bucketed_history_is_not_shuffled_for_the_anti_join(spark):
         assert out.count() == 1000 - 250
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_spread_is_a_no_op_when_scans_have_enough_splits(spark):
+    from jobtide.session import spread
+    df = spark.range(0, 1000, numPartitions=16)
+    assert "Exchange" not in spread(df, scan_partitions=16)._jdf.queryExecution().executedPlan().treeString()
+    assert "RoundRobinPartitioning" in spread(df, scan_partitions=1)._jdf.queryExecution().executedPlan().treeString()

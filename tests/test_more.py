@@ -119,3 +119,19 @@ def test_prune_and_upsert_commute_on_disjoint_keys(spark):
     one = cache_upsert(cache_prune(old, now, 60), new)
     two = cache_prune(cache_upsert(old, new), now, 60)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+
+
+def test_adapters_are_not_vacuous(spark):
+    """Filters drop some rows and keep others; merges change some rows; cuts hit some sources."""
+    import __spark_entry__ as E
+    q, sf = E.queries(), "/root/testdata/sf0.01"
+    n_events = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert 0 < q["q_require"](spark, sf).count() < n_events
+    assert 0 < q["q_cap_per_source"](spark, sf).count() < n_events
+    assert 0 < q["q_source_filters"](spark, sf).count() < n_events
+    cut = q["q_abort_cut"](spark, sf)
+    assert 0 < cut.where("aborted").count() < cut.count() or cut.where("aborted").count() > 0
+    fill = q["q_merge_fill"](spark, sf)
+    assert fill.where("salary_from = 5000.0").count() > 0 and fill.where("salary_from <> 5000.0").count() > 0
+    cons = q["q_consec_fail"](spark, sf)
+    assert 0 < cons.where("cut_consecutive IS NOT NULL").count() < cons.count()

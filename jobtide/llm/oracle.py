@@ -21,3 +21,36 @@ d as (
 select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
 from d group by doc_id"""
+
+_WORDS8 = f"""
+  select id, generate_subscripts(a, 1) as pos, unnest(a) as w, len(a) as n from (
+    select id, list_filter(regexp_split_to_array(translate(text, '{UP}', '{LOW}'),
+           '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as a from {{src}})"""
+
+ORACLE["op8_winnowing_decontamination"] = f"""
+with dw as ({_WORDS8.format(src="(select doc_id as id, text from documents)")}),
+iw as ({_WORDS8.format(src="(select item_id as id, text from benchmark)")}),
+spans as (select distinct least(n, 10) as k from iw),
+ig as (
+  select id, k, string_agg(w, ' ') over (partition by id, k order by pos rows between current row and 9 following)
+    as g, pos, n from iw, spans where least(n, 10) = k),
+ig2 as (select distinct id, k, g from ig where pos + k - 1 <= n),
+dg as (
+  select id, pos, n, string_agg(w, ' ') over (partition by id order by pos rows between current row and 9 following)
+    as g from dw),
+short as (
+  select d.id, d.pos, d.k, string_agg(e.w, ' ' order by e.pos) as g
+  from (select id, pos, n, k from dw, spans where k < 10 and pos + k - 1 <= n) d
+  join dw e on e.id = d.id and e.pos between d.pos and d.pos + d.k - 1 group by all),
+occ as (
+  select d.id as doc, d.pos, 10 as k, i.id as item from dg d join ig2 i on i.g = d.g and i.k = 10 where d.pos + 9 <= d.n
+  union all
+  select d.id, d.pos, d.k, i.id from short d join ig2 i on i.g = d.g and i.k = d.k),
+hit as (select doc, count(distinct p) as n_hit from (select doc, unnest(range(pos, pos + k)) as p from occ) group by doc),
+its as (
+  select doc, count(*) as n_items, string_agg(s, ',' order by s) as ids
+  from (select distinct doc, item::varchar as s from occ) group by doc),
+nw as (select id, count(*) as n_words from dw group by id)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from documents d left join nw on nw.id = d.doc_id left join hit on hit.doc = d.doc_id left join its on its.doc = d.doc_id"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobtide.llm import line_dedup, oracle, sharding
+from jobtide.llm import decontaminate, line_dedup, oracle, sharding, token_files
 from jobtide.llm.common import table
 from jobtide.session import scratch_path
 
@@ -15,5 +15,17 @@ def op4_sharding(spark, sf_dir):
     return sharding.assign(table(spark, sf_dir, "documents"), map_path=scratch_path(spark, "slot-map"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_sharding)}
+def op5_wavelet_token_files(spark, sf_dir):
+    import public_tokenizers
+    out = scratch_path(spark, "token-files")
+    token_files.write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), out)
+    return token_files.read_files(spark, out)
+
+
+def op8_winnowing_decontamination(spark, sf_dir):
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_sharding, op5_wavelet_token_files,
+                                     op8_winnowing_decontamination)}
 ORACLE = oracle.ORACLE

@@ -75,6 +75,12 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
         F.first("least").alias("least"), F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
+def _all_windows(span: int) -> Column:
+    """pos and key of every window of ``span`` words."""
+    return F.transform(_steps(F.size("wh"), span),
+                       lambda i: F.struct(i.alias("pos"), _key(F.col("wh"), i, span).alias("k")))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, th, spans (sorted [pos, len] of hit windows), items (sorted item ids) of hit documents."""
     windows = checkpointed(benchmark_windows(benchmark))
@@ -87,8 +93,12 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                        lens[WINDOW], MAX_BROADCAST)
         rows = _grams(keyed, ["doc_id", "th"])
         wh, least = F.col("wh"), F.col("least")
-        # A run of windows with one fingerprint is one row that carries the words all of them cover.
-        starts = F.filter(_steps(F.size("wh"), WINDOW), lambda i: (i == 0) | (F.get(least, i) != F.get(least, i - 1)))
+        # A run of windows with one fingerprint is one row that carries the words all of them cover.  One
+        # gram lies in `same` windows; only words that recur at short distance make a longer run, whose
+        # further windows get rows of their own.
+        same = WINDOW - GRAM + 1
+        starts = F.filter(_steps(F.size("wh"), WINDOW), lambda i: (i == 0) | (F.get(least, i) != F.get(least, i - 1))
+                          | (F.get(least, i) == F.get(least, i - same)))
         reach = 2 * WINDOW - GRAM
         runs = F.transform(starts, lambda i: F.struct(
             i.alias("at"), F.get(least, i).alias("p"), F.slice(wh, i + 1, reach).alias("near")))
@@ -99,9 +109,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             (F.col("at") + j).alias("pos"), _key(near, j, WINDOW).alias("k")))
         found.append(matched.select("doc_id", "th", F.explode(around).alias("w"), F.lit(WINDOW).alias("len")))
     for span in sorted(set(lens) - {WINDOW}):
-        every = F.transform(_steps(F.size("wh"), span), lambda i, s=span: F.struct(
-            i.alias("pos"), _key(F.col("wh"), i, s).alias("k")))
-        found.append(keyed.select("doc_id", "th", F.explode(every).alias("w"), F.lit(span).alias("len")))
+        found.append(keyed.select("doc_id", "th", F.explode(_all_windows(span)).alias("w"), F.lit(span).alias("len")))
     if not found:
         found = [keyed.where(F.lit(False)).select(
             "doc_id", "th", F.struct(F.lit(0).alias("pos"), _key(F.col("wh"), F.lit(0), 1).alias("k")).alias("w"),

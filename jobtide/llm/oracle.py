@@ -54,3 +54,21 @@ nw as (select id, count(*) as n_words from dw group by id)
 select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
        sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from documents d left join nw on nw.id = d.doc_id left join hit on hit.doc = d.doc_id left join its on its.doc = d.doc_id"""
+
+# Blanks are 0x20 and 0x09-0x0D.
+_WORDS1 = """
+  select doc_id, generate_subscripts(a, 1) as pos, unnest(a) as w, len(a) as n from (
+    select doc_id, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as a
+    from documents)"""
+
+ORACLE["op1_substring_dedup"] = f"""
+with w as ({_WORDS1}),
+g as (
+  select doc_id, pos, n, string_agg(w, ' ') over (partition by doc_id order by pos
+         rows between current row and 12 following) as g from w),
+g2 as (select doc_id, pos, min(doc_id) over (partition by g) as least from g where pos + 12 <= n),
+cut as (select distinct doc_id, unnest(range(pos, pos + 13)) as pos from g2 where least < doc_id),
+k as (select w.*, cut.pos is not null as gone from w left join cut on cut.doc_id = w.doc_id and cut.pos = w.pos)
+select d.doc_id, count(k.pos) as n_words, count(*) filter (gone) as n_removed,
+       sha256(coalesce(string_agg(w, ' ' order by k.pos) filter (not gone), '')) as kept_sha256
+from documents d left join k on k.doc_id = d.doc_id group by d.doc_id"""

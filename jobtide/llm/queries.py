@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from jobtide.llm import decontaminate, line_dedup, oracle, sharding, token_files
+from jobtide.llm import decontaminate, line_dedup, oracle, sharding, substring_dedup, token_files
 from jobtide.llm.common import table
 from jobtide.session import scratch_path
 
 
+def op1_substring_dedup(spark, sf_dir):
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"), whole_text=False) \
+        .withColumnRenamed("kept", "kept_sha256")
+
+
 def op2_line_dedup(spark, sf_dir):
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -26,6 +31,6 @@ def op8_winnowing_decontamination(spark, sf_dir):
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_sharding, op5_wavelet_token_files,
-                                     op8_winnowing_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op4_sharding,
+                                     op5_wavelet_token_files, op8_winnowing_decontamination)}
 ORACLE = oracle.ORACLE

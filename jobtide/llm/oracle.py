@@ -72,3 +72,19 @@ k as (select w.*, cut.pos is not null as gone from w left join cut on cut.doc_id
 select d.doc_id, count(k.pos) as n_words, count(*) filter (gone) as n_removed,
        sha256(coalesce(string_agg(w, ' ' order by k.pos) filter (not gone), '')) as kept_sha256
 from documents d left join k on k.doc_id = d.doc_id group by d.doc_id"""
+
+ORACLE["op3_jaccard_join"] = f"""
+with recursive w as ({_WORDS1.replace("(text,", f"(translate(text, '{UP}', '{LOW}'),")}),
+g as (
+  select doc_id, pos, n, string_agg(w, ' ') over (partition by doc_id order by pos
+         rows between current row and 3 following) as g from w),
+s as (select distinct doc_id, g from g where pos + least(n, 4) - 1 <= n),
+z as (select doc_id, count(*) as n from s group by doc_id),
+l as (
+  select a.doc_id as a, b.doc_id as b from s a join s b on a.g = b.g and a.doc_id <> b.doc_id
+  join z x on x.doc_id = a.doc_id join z y on y.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+r as (select doc_id as a, doc_id as b from documents union select r.a, l.b from r join l on l.a = r.b)
+select d.doc_id, coalesce(z.n, 0) as n_shingles, c.component_id
+from documents d left join z on z.doc_id = d.doc_id
+join (select a, min(b) as component_id from r group by a) c on c.a = d.doc_id"""

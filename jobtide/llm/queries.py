@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobtide.llm import decontaminate, line_dedup, oracle, sharding, substring_dedup, token_files
+from jobtide.llm import decontaminate, jaccard_join, line_dedup, oracle, sharding, substring_dedup, token_files
 from jobtide.llm.common import table
 from jobtide.session import scratch_path
 
@@ -16,6 +16,10 @@ def op2_line_dedup(spark, sf_dir):
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark, sf_dir):
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark, sf_dir):
     return sharding.assign(table(spark, sf_dir, "documents"), map_path=scratch_path(spark, "slot-map"))
 
@@ -31,6 +35,6 @@ def op8_winnowing_decontamination(spark, sf_dir):
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op4_sharding,
-                                     op5_wavelet_token_files, op8_winnowing_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_jaccard_join,
+                                     op4_sharding, op5_wavelet_token_files, op8_winnowing_decontamination)}
 ORACLE = oracle.ORACLE

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobtide.llm import decontaminate, jaccard_join, line_dedup, oracle, sharding, substring_dedup, token_files
+from jobtide.llm import decontaminate, jaccard_join, line_dedup, oracle, sharding, substring_dedup, token_files, toxicity
 from jobtide.llm.common import table
 from jobtide.session import scratch_path
 
@@ -35,6 +35,11 @@ def op8_winnowing_decontamination(spark, sf_dir):
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op9_toxicity_crf(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(toxicity.sample(docs, table(spark, sf_dir, "labels"))))
+
+
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_jaccard_join,
-                                     op4_sharding, op5_wavelet_token_files, op8_winnowing_decontamination)}
+                                     op4_sharding, op5_wavelet_token_files, op8_winnowing_decontamination, op9_toxicity_crf)}
 ORACLE = oracle.ORACLE

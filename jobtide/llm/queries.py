@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobtide.llm import decontaminate, jaccard_join, line_dedup, oracle, sharding, substring_dedup, token_files, toxicity
+from jobtide.llm import ann, decontaminate, jaccard_join, line_dedup, oracle, sharding, substring_dedup, token_files, toxicity
 from jobtide.llm.common import table
 from jobtide.session import scratch_path
 
@@ -40,6 +40,12 @@ def op9_toxicity_crf(spark, sf_dir):
     return toxicity.score(docs, toxicity.fit(toxicity.sample(docs, table(spark, sf_dir, "labels"))))
 
 
+def op10_nearest_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_jaccard_join,
-                                     op4_sharding, op5_wavelet_token_files, op8_winnowing_decontamination, op9_toxicity_crf)}
+                                     op4_sharding, op5_wavelet_token_files, op8_winnowing_decontamination, op9_toxicity_crf,
+                                     op10_nearest_neighbours)}
 ORACLE = oracle.ORACLE

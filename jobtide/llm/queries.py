@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from jobtide.llm import ann, decontaminate, jaccard_join, line_dedup, oracle, pieces, sharding, substring_dedup, token_files, toxicity
+from jobtide.llm import (ann, decontaminate, jaccard_join, line_dedup, lm_score, oracle, pieces, sharding,
+                         substring_dedup, token_files, toxicity)
 from jobtide.llm.common import table
 from jobtide.session import scratch_path
 
@@ -36,6 +37,11 @@ def op6_sentencepiece(spark, sf_dir):
     return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_cross_entropy_difference(spark, sf_dir):
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_score.score(table(spark, sf_dir, "documents"), good)
+
+
 def op8_winnowing_decontamination(spark, sf_dir):
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -52,6 +58,6 @@ def op10_nearest_neighbours(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_jaccard_join,
                                      op4_sharding, op5_wavelet_token_files, op6_sentencepiece,
-                                     op8_winnowing_decontamination, op9_toxicity_crf,
+                                     op7_cross_entropy_difference, op8_winnowing_decontamination, op9_toxicity_crf,
                                      op10_nearest_neighbours)}
 ORACLE = oracle.ORACLE

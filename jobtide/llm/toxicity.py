@@ -92,7 +92,7 @@ def _forward_backward(e: np.ndarray, lengths: np.ndarray, t: np.ndarray):
     """Marginals of state 1 (words x texts; texts sorted by length) and, per step, the joint of both
     states with the step before.  e: odds of state 1, t[i, j]: weight of going from i to j."""
     n, texts = e.shape
-    a, b = np.empty_like(e), np.empty_like(e)
+    a, b = np.full_like(e, 0.5), np.full_like(e, 0.5)      # cells behind a text stay at 0.5
     first = np.searchsorted(lengths, np.arange(n), side="right")    # texts that still have a word at each step
     a[0] = e[0] / (1 + e[0])
     for k in range(1, n):
@@ -100,14 +100,12 @@ def _forward_backward(e: np.ndarray, lengths: np.ndarray, t: np.ndarray):
         x = a[k - 1, c:]
         one = (x * t[1, 1] + (1 - x) * t[0, 1]) * e[k, c:]
         a[k, c:] = one / (one + x * t[1, 0] + (1 - x) * t[0, 0])
-    b[n - 1] = 0.5
     for k in range(n - 2, -1, -1):
         c = first[k + 1]
         y, o = b[k + 1, c:], e[k + 1, c:]
         one = t[1, 1] * o * y + t[1, 0] * (1 - y)
         zero = t[0, 1] * o * y + t[0, 0] * (1 - y)
         b[k, c:] = one / (one + zero)
-        b[k, :c] = 0.5
     p = a * b / (a * b + (1 - a) * (1 - b))
     return p, a, b
 

@@ -50,11 +50,11 @@ class WaveletMatrix:
         code[symbols] = np.arange(len(symbols))
         seq, planes, ranks = code[ids], [], []
         for level in reversed(range(max(1, (len(symbols) - 1).bit_length()) if len(symbols) else 0)):
-            bit = (seq >> level) & 1 == 1
+            bit = ((seq >> seq.dtype.type(level)) & seq.dtype.type(1)).astype(bool)
             packed = np.packbits(bit)
             planes.append(packed)
             ranks.append(_directory(packed))
-            seq = np.concatenate([seq[~bit], seq[bit]])
+            seq = np.concatenate([np.compress(~bit, seq), np.compress(bit, seq)])
         return cls(len(ids), symbols, planes, ranks)
 
     def _rank1(self, level: int, i: np.ndarray) -> np.ndarray:
@@ -118,8 +118,8 @@ class WaveletMatrix:
         for level in reversed(range(len(self.planes))):
             bit = np.unpackbits(self.planes[level], count=self.n).view(bool)
             before, z = np.empty_like(seq), self.zeros[level]
-            before[~bit] = seq[:z]
-            before[bit] = seq[z:] | seq.dtype.type(1 << (len(self.planes) - 1 - level))
+            before[np.flatnonzero(~bit)] = seq[:z]
+            before[np.flatnonzero(bit)] = seq[z:] | seq.dtype.type(1 << (len(self.planes) - 1 - level))
             seq = before
         return self.symbols[seq] if self.n else np.zeros(0, np.uint32)
 
@@ -145,14 +145,17 @@ class WordEncoder:
     """Ids of whole texts by the tokenizers library, the ids of words remembered.
 
     Words are what stands between blanks and line ends.  Words of letters alone are one token of the
-    pre-tokenizer, so many are encoded in one call and told apart by its word numbers; a full stop or
-    comma behind such a word is a token of its own.  All other words are encoded one by one.  Two
+    pre-tokenizer, so many are encoded in one call and told apart by the tokens that end a word; a full
+    stop or comma behind such a word is a token of its own.  All other words are encoded one by one.  Two
     generations of at most CACHE_WORDS words are kept; words in use move to the younger one.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok, self.seen, self.old = Tokenizer.from_file(path), {"": b""}, {}
+        vocabulary = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
 
     def _one(self, word: str) -> bytes:
         return np.array(self.tok.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
@@ -173,14 +176,15 @@ class WordEncoder:
         plain = list(plain)
         for i in range(0, len(plain), 4096):
             part = plain[i:i + 4096]
-            got = self.tok.encode(" ".join(part), add_special_tokens=False)
-            cut = (np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1)) * 4).tolist()
-            raw = np.array(got.ids, np.uint32).tobytes()
+            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            cut = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            if len(cut) != len(part) + 1:      # not the word ends this relies on
+                rest += part
+                continue
+            raw = ids.tobytes()
             seen.update((w, raw[cut[k]:cut[k + 1]]) for k, w in enumerate(part))
-        for c in ".,":
-            seen.setdefault(c, self._one(c))
+        seen.update((w, self._one(w)) for w in (*rest, ".", ",") if w not in seen)
         seen.update((w, seen[w[:-1]] + seen[w[-1]]) for w in ends)
-        seen.update((w, self._one(w)) for w in rest)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""

@@ -106,24 +106,24 @@ BLOCK_NEEDLES = ["captcha", "just a moment", "cf-chl", "datadome", "access denie
 BLOCK_NEEDLES_EXTENDED = BLOCK_NEEDLES + ["cloudflare", "verifying you are human", "verify you are human",
                                           "unusual traffic"]
 
-# Per-source block profile: characters of the body searched (None = whole body).
-BLOCK_WINDOW = {"justjoin": 6000, "rocketjobs": None, "nofluffjobs": 2000, "talentdays": None, "olx": 600}
 
-
-def block_flag(body, status, window: int | None = None, needles=None, has_content=None) -> Column:
-    """True when the status is 403/429 or a needle appears in the first ``window``
-    characters.  With ``has_content`` the needles are only searched when the expected
-    structured content is missing (a real offer page may mention 'captcha' in a script)."""
+def block_flag(body, status, needles=None, has_content=None) -> Column:
+    """True when the status is 403/429 or a needle appears anywhere in the body.  With
+    ``has_content`` the needles are only searched when the expected structured content is
+    missing (a real offer page may mention 'captcha' in a script)."""
     needles = needles or BLOCK_NEEDLES
-    b = F.coalesce(col_of(body), F.lit(""))
-    head = F.lower(F.substring(b, 1, window) if window else b)
-    pat = "|".join(needles)
-    needle = head.rlike(pat)
+    needle = F.lower(F.coalesce(col_of(body), F.lit(""))).rlike("|".join(needles))
     if has_content is not None:
         needle = needle & ~F.coalesce(has_content, F.lit(False))
     return F.coalesce(col_of(status).isin(403, 429), F.lit(False)) | needle
 
 
+def block_mark(body, needles=None) -> Column:
+    """The first needle (in list order) that the body holds; null if none."""
+    low = F.lower(F.coalesce(col_of(body), F.lit("")))
+    return F.coalesce(*[F.when(low.contains(n), F.lit(n)) for n in needles or BLOCK_NEEDLES])
+
+
 def detail_has_content(body, source: str) -> Column:
     """Structured content whose presence disables the needle scan (per source):
     justjoin any JSON-LD block, rocketjobs a JobPosting block, talentdays a JSON body,

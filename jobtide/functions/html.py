@@ -6,49 +6,50 @@ and the ``<head>`` are removed as well (the re-aim documented in the README)."""
 
 from __future__ import annotations
 
+import json
+from html import entities
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from jobtide.functions.common import col_of, js_trim, rx
-from jobtide.functions.text import DESCRIPTION_CAP
-
-# Named entities decoded natively (amp is decoded last).
-NAMED_ENTITIES = [
-    ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-    ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"),
-    ("&ndash;", "–"), ("&mdash;", "—"), ("&laquo;", "«"), ("&raquo;", "»"),
-    ("&bdquo;", "„"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&lsquo;", "‘"),
-    ("&rsquo;", "’"), ("&euro;", "€"), ("&bull;", "•"), ("&shy;", "\u00ad"),
-    ("&amp;", "&"),
-]
 
-NUMERIC_ENTITY = r"&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};"
+# The standard's character names, from Python's library: those that end in ';' and the older ones
+# that also count without it.
+_NAMES = {f"&{name}": ch for name, ch in entities.html5.items()}
+_OLD_NAMES = sorted((n for n in entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+NUMERIC_ENTITY = r"&#[0-9]{1,7};?|&#[xX][0-9a-fA-F]{1,6};?"
+ENTITY_TOKEN = rf"&[a-zA-Z][a-zA-Z0-9]{{1,31}};|&(?:{'|'.join(_OLD_NAMES)})|{NUMERIC_ENTITY}|[^&]+|&"
+# Numeric references to 128–159 mean the characters Windows-1252 has there.
+_C1 = {chr(i): bytes([i]).decode("cp1252", "ignore") for i in range(128, 160)}
 
 
 def _decode_numeric_token(t: Column) -> Column:
-    hexv = F.regexp_extract(t, "^&#[xX]([0-9a-fA-F]+);$", 1)
-    decv = F.regexp_extract(t, "^&#([0-9]+);$", 1)
+    hexv = F.regexp_extract(t, "^&#[xX]([0-9a-fA-F]+);?$", 1)
+    decv = F.regexp_extract(t, "^&#([0-9]+);?$", 1)
     cp = F.when(hexv != "", F.conv(hexv, 16, 10).cast("bigint")).when(decv != "", decv.cast("bigint"))
     ok = cp.isNotNull() & (cp > 0) & (cp <= 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
     ch = F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
-    return F.when(ok, ch).otherwise(t)
-
-
-ENTITY_TOKEN = r"&[a-zA-Z][a-zA-Z0-9]{1,31};|" + NUMERIC_ENTITY + "|[^&]+|&"
+    known = [(c, to) for c, to in _C1.items() if to]
+    return F.when(ok, F.translate(ch, "".join(c for c, _ in known), "".join(to for _, to in known))).otherwise(t)
 
 
 def decode_entities(c) -> Column:
-    """Decode named entities (fixed table) and numeric ones in a single pass over the text's
-    tokens; text without '&' is returned unchanged.  One token-wise pass decodes every
-    entity exactly once, like a parser (so '&amp;lt;' becomes '&lt;')."""
+    """Decode named and numeric entities in a single pass over the text's tokens, each exactly
+    once, like a parser (so '&amp;lt;' becomes '&lt;').  Text without '&' is returned
+    unchanged, and only tokens that start with '&' are looked up."""
     x = col_of(c)
-    table = F.create_map(*[v for ent, ch in NAMED_ENTITIES for v in (F.lit(ent), F.lit(ch))])
+    table = F.from_json(F.lit(json.dumps(_NAMES)), "map<string,string>")     # folded to one constant
     toks = F.regexp_extract_all(x, rx(ENTITY_TOKEN), F.lit(0))
-    decoded = F.array_join(F.transform(toks, lambda t: F.coalesce(F.try_element_at(table, t),
-                                                                  _decode_numeric_token(t))), "")
+    decoded = F.array_join(F.transform(toks, lambda t: F.when(
+        t.startswith("&"), F.coalesce(F.try_element_at(table, t), _decode_numeric_token(t))).otherwise(t)), "")
     return F.when(x.contains("&"), decoded).otherwise(x)
 
 
+# A parser opens a tag only before a letter, '/', '!' or '?'; any other '<' is text.
+TAG_RE = "<[a-zA-Z/!?][^>]*>"
+
+
 def strip_noise(c, drop_head: bool = True) -> Column:
     """Remove the parts a body's textContent never shows here: the head, script and style
     bodies and comments.  Doing this first is order-independent with the profiles' tag
@@ -62,7 +63,7 @@ def strip_noise(c, drop_head: bool = True) -> Column:
 def dom_text(c, drop_head: bool = True, noise_stripped: bool = False) -> Column:
     """textContent of the document body."""
     x = col_of(c) if noise_stripped else strip_noise(c, drop_head)
-    x = F.regexp_replace(x, rx("<[^>]*>"), F.lit(""))
+    x = F.regexp_replace(x, rx(TAG_RE), F.lit(""))
     return decode_entities(x)
 
 
@@ -77,7 +78,7 @@ def _heading_caps(x: Column) -> Column:
     heads = F.regexp_extract_all(x, rx(r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>"), F.lit(1))
 
     def fmt(h):
-        t = js_trim(_sub(_sub(h, "<[^>]+>", " "), r"\s+", " "))
+        t = js_trim(_sub(_sub(h, TAG_RE, " "), r"\s+", " "))
         t = _sub(t, r"[:\s]+$", "")
         return F.concat(F.lit("\n\n"), F.upper(t), F.lit(":\n"))
 
@@ -103,7 +104,6 @@ def html_to_text(c, profile: str) -> Column:
     if profile == "justjoin":
         t = dom_text(x, noise_stripped=True)
         t = js_trim(_sub(F.translate(t, "\r", ""), r"\n{3,}", "\n\n"))
-        t = F.substring(t, 1, DESCRIPTION_CAP)
     elif profile == "rocketjobs":
         h = _heading_caps(x)
         h = _sub(h, r"(?i)<br\s*/?>", "\n")
@@ -112,11 +112,10 @@ def html_to_text(c, profile: str) -> Column:
         t = dom_text(h, noise_stripped=True)
         t = _sub(F.translate(t, "\u00a0", " "), r"[ \t]+", " ")
         t = js_trim(_sub(_sub(t, r" *\n *", "\n"), r"\n{3,}", "\n\n"))
-        t = F.substring(t, 1, DESCRIPTION_CAP)
     elif profile == "nofluffjobs":
         stripped = strip_fragment(x, noise_stripped=True)
         t = _sub(_sub(F.translate(stripped, "\r", ""), r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
-        t = F.substring(js_trim(t), 1, DESCRIPTION_CAP)
+        t = js_trim(t)
     elif profile == "talentdays":
         h = _sub(x, r"(?i)<br\s*/?>", "\n")
         h = _sub(h, r"(?i)<li[^>]*>", "- ")
@@ -124,21 +123,21 @@ def html_to_text(c, profile: str) -> Column:
         h = _sub(h, r"(?i)</(p|div|section|article|ul|ol|table|h[1-6])>", "\n\n")
         t = F.translate(dom_text(h, noise_stripped=True), "\u00a0", " ")
         t = _sub(_sub(F.translate(t, "\r", ""), r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
-        t = F.substring(js_trim(t), 1, DESCRIPTION_CAP)
+        t = js_trim(t)
     elif profile == "olx":
         h = _sub(x, r"(?i)<br\s*/?>", "\n")
         h = _sub(h, r"(?i)</(p|li|div|h[1-6]|ul|ol|tr)>", "\n")
         h = _sub(h, r"(?i)<li[^>]*>", "- ")
         t = dom_text(h, noise_stripped=True)
         t = _sub(_sub(F.translate(t, "\r", ""), r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
-        t = F.substring(js_trim(t), 1, DESCRIPTION_CAP)
+        t = js_trim(t)
     else:
         raise ValueError(f"unknown html profile {profile!r}")
     return F.when(F.length(t) > 0, t)
 
 
 ANCHOR_RE = r'(?is)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
-JSONLD_RE = r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'
+JSONLD_RE = r'''(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>'''
 
 
 def anchors(html) -> Column:

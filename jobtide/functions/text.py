@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 from jobtide.functions.common import col_of, fold_accents, js_trim, rx, trimmed_or_null
 
-DESCRIPTION_CAP = 15000  # fixed value: description hard cap in characters
-
 
 def slug(c, variant: str = "dash") -> Column:
     """Accent-folded slug, four variants used by the sources:
@@ -60,9 +58,10 @@ def after_first(c, sep: str) -> Column:
     return F.when(pos > 0, js_trim(x.substr(pos + len(sep), F.lit(1 << 30))))
 
 
-def cap_text(c, n: int = DESCRIPTION_CAP) -> Column:
-    """Hard cap at ``n`` characters; blank → null."""
-    x = F.substring(col_of(c), 1, n)
+def whole_text(c) -> Column:
+    """The whole text; blank → null.  (The length limit of a spreadsheet cell has no
+    counterpart here, so nothing is cut.)"""
+    x = col_of(c)
     return F.when(F.length(js_trim(x)) > 0, x)
 
 
@@ -103,7 +102,7 @@ def compose_sections(description, musts, languages, nices, daily_tasks, responsi
     for label, body in zip(SECTION_LABELS, [desc, req, nice, tasks, ben]):
         parts.append(F.when(body.isNotNull(), F.concat(F.lit(label + "\n"), body)))
     joined = js_trim(F.regexp_replace(F.concat_ws("\n\n", *parts), rx("\n{3,}"), F.lit("\n\n")))
-    return F.nullif(F.substring(joined, 1, DESCRIPTION_CAP), F.lit(""))
+    return F.nullif(joined, F.lit(""))
 
 
 def format_skills(skills) -> Column:

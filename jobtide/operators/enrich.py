@@ -83,13 +83,13 @@ def merge_override(df: DataFrame, right: str, fields: Sequence[str] = DETAIL_FIE
 
 def merge_fill(df: DataFrame, right: str, fields: Sequence[str], group: Sequence[str] = (),
                group_guard: str | None = None) -> DataFrame:
-    """Right-side values only where the left is null.  ``group`` fields are taken
-    together, and only when ``group_guard`` (a left column) is null."""
+    """Right-side values only where the left is null; ``group`` fields only when
+    ``group_guard`` (a left column) is null as well."""
     df = df.withColumn("_guard", F.col(group_guard).isNull() if group_guard else F.lit(True))
     for f in fields:
         df = df.withColumn(f, F.coalesce(F.col(f), F.col(f"{right}.{f}")))
-    for f in group:
-        df = df.withColumn(f, F.when(F.col("_guard"), F.col(f"{right}.{f}")).otherwise(F.col(f)))
+    for f in group:     # each field on its own: only null ones, only from present values
+        df = df.withColumn(f, F.when(F.col("_guard"), F.coalesce(F.col(f), F.col(f"{right}.{f}"))).otherwise(F.col(f)))
     return df.drop("_guard")
 
 

@@ -185,13 +185,15 @@ REQUIRE = {"justjoin": "url", "rocketjobs": "url", "talentdays": "url", "pracuj"
            "nofluffjobs": "title_or_url", "olx": "title", "indeed": "title_or_url"}
 
 
-def require(df: DataFrame, source: str) -> DataFrame:
-    rule = REQUIRE.get(source, "url")
-    has = {"url": F.coalesce(F.col("url") != "", F.lit(False)),
-           "title": F.coalesce(F.col("title") != "", F.lit(False))}
-    if rule == "title_or_url":
-        return df.where(has["url"] | has["title"])
-    return df.where(has[rule])
+def require(df: DataFrame) -> DataFrame:
+    """Rows of any sources that meet their source's requirement (default: a url); one filter."""
+    url, title = (F.coalesce(F.col(c) != "", F.lit(False)) for c in ("url", "title"))
+    rule = {"url": url, "title": title, "title_or_url": url | title}
+    ok = None
+    for source, name in REQUIRE.items():
+        hit = F.col("source") == source
+        ok = F.when(hit, rule[name]) if ok is None else ok.when(hit, rule[name])
+    return df.where(ok.otherwise(url))
 
 
 def conform(df: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.operators.numbering import number_within
@@ -27,46 +27,102 @@ from jobtide.session import cut_lineage
 
 @dataclass(frozen=True)
 class OutcomeRules:
-    """Per-source detail rules."""
-    blocked_sets_error: bool = True
-    blocked_counts_error: bool = True
-    empty_is_fetched: bool = False
+    """Per-source detail rules.  Texts hold ``{status}``, ``{error}`` (transport
+    error) or ``{mark}`` (block needle found) where the source's message does."""
+    no_id: str = "no slug"
+    http_error: str = "http {status}"
+    transport_error: str = "{error}"
+    no_response: str = "no result"                 # status 0 without an error text
+    unparsed: str | None = None                    # a 2xx body without the expected content; None: http_error
+    unparsed_any_status: bool = False              # the body is parsed before the status is looked at
     empty_error: str = "empty description"
+    empty_is_fetched: bool = False
+    block_status: str | None = "http {status}"
+    block_needle: str | None = "block signal"
+    blocked_counts_error: bool = True
     consecutive_fail_limit: int | None = None
-    blocked_error_prefix: str = "blocked (status "
 
 
-# Per-source detail rules.
+# Per-source detail rules and messages.
 RULES = {
-    "justjoin": OutcomeRules(),
-    "rocketjobs": OutcomeRules(empty_error="empty description"),
-    "nofluffjobs": OutcomeRules(empty_is_fetched=True, consecutive_fail_limit=3),
-    "talentdays": OutcomeRules(blocked_counts_error=False, empty_error="no content"),
-    "olx": OutcomeRules(blocked_sets_error=False, blocked_counts_error=False, empty_is_fetched=True),
+    "justjoin": OutcomeRules(unparsed="ld+json not found", block_needle="block-signal: {mark}"),
+    "rocketjobs": OutcomeRules(unparsed="ld+json JobPosting not found", transport_error="fetch {error}",
+                               no_response="empty result"),
+    "talentdays": OutcomeRules(unparsed="bad json (http {status})", unparsed_any_status=True,
+                               transport_error="fetch {error}", no_response="no content", empty_error="no content",
+                               blocked_counts_error=False),
+    "nofluffjobs": OutcomeRules(no_id="no slug in url", http_error="detail fetch failed (status {status})",
+                                transport_error="detail fetch failed (status 0)",
+                                no_response="detail fetch failed (status 0)", empty_is_fetched=True,
+                                block_status="blocked (status {status})", block_needle="blocked (status {status})",
+                                consecutive_fail_limit=3),
+    "olx": OutcomeRules(no_id="no ad id on card", http_error="HTTP {status}", transport_error="HTTP 0 / {error}",
+                        no_response="HTTP 0", empty_is_fetched=True, block_status=None, block_needle=None,
+                        blocked_counts_error=False),
 }
 
 KEY = ["run_id", "source"]
+MAX_CUTS = 1 << 17   # (run, source) rows, some dozens of bytes each, that may be broadcast
 
 
 def _flags(att: DataFrame) -> DataFrame:
-    """Expects run_id, source, position, url_key, cache_hit, no_slug, status, blocked, description."""
-    ok = F.col("status").between(200, 299) & ~F.col("blocked")
+    """Expects run_id, source, position, url_key, cache_hit, no_slug, status, blocked, description;
+    optional: parsed (the body has the expected content; default true), error (transport
+    error text), block_mark (the needle found)."""
+    for name, default in (("parsed", F.lit(True)), ("error", F.lit(None).cast("string")),
+                          ("block_mark", F.lit(None).cast("string"))):
+        if name not in att.columns:
+            att = att.withColumn(name, default)
+    got = F.coalesce(F.col("status").between(200, 299) & ~F.col("blocked"), F.lit(False))
+    ok = got & F.coalesce(F.col("parsed"), F.lit(False))
     nonempty = F.coalesce(F.length(F.col("description")) > 0, F.lit(False))
     has_url = F.coalesce(F.col("url_key") != "", F.lit(False))
-    return (att.withColumn("_has_url", has_url)
-               .withColumn("_ok", F.coalesce(ok, F.lit(False)))
-               .withColumn("_success", F.coalesce(ok, F.lit(False)) & nonempty))
+    return (att.withColumn("_has_url", has_url).withColumn("_got", got)
+               .withColumn("_ok", ok).withColumn("_success", ok & nonempty))
+
+
+def _text(template: str | None) -> Column:
+    """The message with its places filled from the row."""
+    if template is None:
+        return F.lit(None).cast("string")
+    out = F.lit(template)
+    for place, value in (("{status}", F.coalesce(F.col("status"), F.lit(0)).cast("string")),
+                         ("{error}", F.coalesce(F.col("error"), F.lit(""))),
+                         ("{mark}", F.coalesce(F.col("block_mark"), F.lit("")))):
+        if place in template:
+            out = F.replace(out, F.lit(place), value)
+    return out
+
+
+def error_text(rules: OutcomeRules, outcome: Column) -> Column:
+    """The source's message for a blocked or failed detail; null otherwise."""
+    status = F.coalesce(F.col("status"), F.lit(0))
+    bad_body = ~F.coalesce(F.col("parsed"), F.lit(False))
+    failed = (F.when(F.col("no_slug"), F.lit(rules.no_id))
+              .when(F.col("_ok"), F.lit(rules.empty_error))
+              .when(F.col("_got"), _text(rules.unparsed or rules.http_error))
+              .when((status == 0) & (F.coalesce(F.col("error"), F.lit("")) != ""), _text(rules.transport_error))
+              .when(status == 0, _text(rules.no_response))
+              .when(bad_body & F.lit(rules.unparsed_any_status), _text(rules.unparsed))
+              .otherwise(_text(rules.http_error)))
+    block = F.when(status.isin(403, 429), _text(rules.block_status)).otherwise(_text(rules.block_needle))
+    return F.when(outcome == "blocked", block).when(outcome == "error", failed)
 
 
 def reuse_twins(att: DataFrame, fields: tuple[str, ...] = ()) -> DataFrame:
     """adds ``twin`` — a later offer whose key was fetched successfully earlier in the
     run — and, for ``fields``, ``twin_<field>`` copied from that first success."""
     extra = [F.min_by(F.col(f), F.col("position")).alias(f"twin_{f}") for f in fields]
-    first_ok = (att.where(F.col("_has_url") & ~F.col("cache_hit") & ~F.col("no_slug") & F.col("_success"))
+    # Only rows that can be or have a twin meet in the join; cached rows and rows without a key
+    # (which would all share one blank key) pass by.
+    can = F.col("_has_url") & ~F.col("cache_hit")
+    first_ok = (att.where(can & ~F.col("no_slug") & F.col("_success"))
                 .groupBy(*KEY, "url_key").agg(F.min("position").alias("_first_ok"), *extra))
-    return (att.join(first_ok, [*KEY, "url_key"], "left")
-               .withColumn("twin", F.coalesce((F.col("position") > F.col("_first_ok")) & ~F.col("cache_hit"), F.lit(False)))
-               .drop("_first_ok"))
+    rows = att.where(can).join(first_ok, [*KEY, "url_key"], "left")
+    rest = att.where(~can).withColumns({c: F.lit(None).cast(first_ok.schema[c].dataType)
+                                        for c in first_ok.columns if c not in (*KEY, "url_key")})
+    return (rows.unionByName(rest)
+            .withColumn("twin", F.coalesce(F.col("position") > F.col("_first_ok"), F.lit(False))).drop("_first_ok"))
 
 
 def abort_cut(att: DataFrame) -> DataFrame:
@@ -109,6 +165,10 @@ def resolve_outcomes(att: DataFrame, rules: OutcomeRules, twin_fields: tuple[str
         cuts = cuts.join(cc, KEY, "full_outer")
     else:
         cuts = cuts.withColumn("cut_consecutive", F.lit(None).cast("bigint"))
+    # One row per (run, source) that was cut: counted, so the wide rows need no exchange on a key
+    # with few values.
+    cuts = cut_lineage(cuts)
+    cuts = F.broadcast(cuts) if cuts.count() <= MAX_CUTS else cuts
     a = a.join(cuts, KEY, "left").withColumn("cut", F.least("cut_blocked", "cut_consecutive"))
     after_cut = F.coalesce(F.col("position") > F.col("cut"), F.lit(False))
     empty_outcome = "fetched" if rules.empty_is_fetched else "error"
@@ -119,15 +179,9 @@ def resolve_outcomes(att: DataFrame, rules: OutcomeRules, twin_fields: tuple[str
                .when(F.col("_success"), F.lit("fetched"))
                .when(F.col("_ok"), F.lit(empty_outcome))
                .otherwise(F.lit("error")))
-    status_txt = F.coalesce(F.col("status"), F.lit(0)).cast("string")
-    err = (F.when(outcome == "blocked", F.lit(None).cast("string") if not rules.blocked_sets_error
-                  else F.concat(F.lit(rules.blocked_error_prefix), status_txt, F.lit(")")))
-           .when((outcome == "error") & F.col("no_slug"), F.lit("no slug in url"))
-           .when((outcome == "error") & F.col("_ok"), F.lit(rules.empty_error))
-           .when(outcome == "error", F.concat(F.lit("detail fetch failed (status "), status_txt, F.lit(")"))))
-    return (a.withColumn("outcome", outcome).withColumn("detail_error", F.substring(err, 1, 120))
+    return (a.withColumn("outcome", outcome).withColumn("detail_error", error_text(rules, F.col("outcome")))
              .withColumn("attempt", F.col("_attempt"))
-             .drop("_has_url", "_ok", "_success", "_attempt"))
+             .drop("_has_url", "_got", "_ok", "_success", "_attempt", "parsed", "error", "block_mark"))
 
 
 def run_status(outcomes: DataFrame, rules: OutcomeRules, by=("run_id", "source")) -> DataFrame:

@@ -1,45 +1,29 @@
-"""Caps, run naming and per-page yield (G1, F7, E4), plus unions."""
+"""Crawl-budget report, run naming and per-page yield (G1, F7, E4), plus unions."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.functions.dates import run_file_stamp, run_tab_stamp
 from jobtide.operators.numbering import number_within
 
-# List-row caps per source (pages × rows per page, or pages × page size).
-CAPS = {"justjoin": 1000, "rocketjobs": 1000, "nofluffjobs": 1000, "talentdays": 300}
-PAGE_CAPS = {"olx": 10, "pracuj": 10, "theprotocol": 5, "indeed": 2}
-
-
-def cap_per_source(df: DataFrame, caps: Mapping[str, int], key: str = "source", order: str = "position",
-                   by=("run_id",)) -> DataFrame:
-    """G1: keep the first ``caps[source]`` rows per (run, source) by list order.  The cap is
-    the feature (it mirrors a fixed crawl budget).  Spark plans this as a
-    ``WindowGroupLimit`` that trims every partition to the cap *before* the shuffle, so a
-    hot source ships at most cap rows per map task."""
-    w = Window.partitionBy(*by, key).orderBy(order)
-    parts = []
-    for cap in sorted(set(caps.values())):
-        srcs = [k for k, v in caps.items() if v == cap]
-        # A literal limit per group of sources keeps the plan a WindowGroupLimit.
-        parts.append(df.where(F.col(key).isin(srcs)).withColumn("_rn", F.row_number().over(w))
-                     .where(F.col("_rn") <= F.lit(cap)).drop("_rn"))
-    parts.append(df.where(~F.col(key).isin(list(caps)) | F.col(key).isNull()))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+# List rows a crawl asks each source for (pages × rows per page).  Landed rows are
+# fetched already, so nothing is dropped by them; ``budget_report`` counts the rows beyond.
+BUDGETS = {"justjoin": 1000, "rocketjobs": 1000, "nofluffjobs": 1000, "talentdays": 300}
 
 
-def cap_pages(df: DataFrame, page_caps: Mapping[str, int], key: str = "source", page: str = "page_no") -> DataFrame:
-    """G1 for paged sources: pages beyond the source's page budget are dropped."""
-    m = F.create_map(*[x for k, v in page_caps.items() for x in (F.lit(k), F.lit(v))])
-    cap = F.try_element_at(m, F.col(key))
-    return df.where(cap.isNull() | (F.col(page) <= cap))
+def budget_report(df: DataFrame, budgets: Mapping[str, int], key: str = "source", by=("run_id",)) -> DataFrame:
+    """G1: rows per (run, source) and how many lie beyond the source's crawl budget (null
+    budget: no limit).  A grouped count; every landed row stays in the data."""
+    pairs = [x for k, v in budgets.items() for x in (F.lit(k), F.lit(v).cast("bigint"))]
+    budget = F.try_element_at(F.create_map(*pairs), F.col(key))
+    return (df.groupBy(*by, key).agg(F.count(F.lit(1)).cast("bigint").alias("rows"))
+              .withColumn("budget", budget)
+              .withColumn("beyond", F.greatest(F.col("rows") - F.coalesce(F.col("budget"), F.col("rows")),
+                                               F.lit(0)).cast("bigint")))
 
 
 def run_names(runs: DataFrame, ts: str = "started_at", run_key: str = "run_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.functions.common import js_trim
@@ -36,14 +36,45 @@ EMPTY_IS_BLOCKED = {"pracuj": "first_page_empty", "theprotocol": "empty", "indee
 NO_RESULTS_RE = "brak wyników|no results|nie znaleziono"
 
 
-def blocked_sources(pages: DataFrame, sources: list[str], needles: list[str]) -> DataFrame:
-    """Per (run, source) blocked flag from landed list pages: any block signal (needle
-    in the page text, 403/429, or 503 for indeed), or zero offers where the source's rule
-    treats empty as blocked.  Every configured source gets a row per run (sources
-    exploded from a fixed list, no join needed to create them)."""
-    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    signal = (text.rlike("|".join(needles)) | F.col("status").isin(403, 429)
-              | ((F.col("source") == "indeed") & (F.col("status") == 503)))
+# Needles each source's list page is searched for in body text and title, patterns
+# its final address is searched for, and the response header that marks a challenge.
+_COMMON = ["captcha", "just a moment", "cf-chl", "datadome", "access denied", "attention required"]
+LIST_NEEDLES = {
+    "justjoin": _COMMON, "rocketjobs": _COMMON, "talentdays": _COMMON, "olx": _COMMON, "pracuj": _COMMON,
+    "theprotocol": _COMMON, "nofluffjobs": _COMMON,
+    "indeed": [*_COMMON, "cloudflare", "verifying you are human", "verify you are human", "unusual traffic"],
+}
+URL_SIGNALS = {"olx": "|".join(_COMMON), "theprotocol": "challenge",
+               "pracuj": "challenge|cf-chl|captcha|__cf|datadome",
+               "indeed": "challenge|cf-chl|captcha|geo-blocked|blocked"}
+HEADER_SIGNALS = {"theprotocol": "challenge"}
+TITLE_SOURCES = ["indeed"]
+
+
+def block_signal(columns: list[str]) -> Column:
+    """A landed list page shows a block: its source's needles in text or title, its address, the
+    mitigation header, 403/429, or 503 for indeed.  title, final_url and cf_mitigated are optional."""
+    have = lambda c: F.lower(F.coalesce(F.col(c), F.lit(""))) if c in columns else F.lit("")
+    source = F.col("source")
+    title = F.when(source.isin(TITLE_SOURCES), have("title")).otherwise(F.lit(""))
+    text = F.concat_ws("\n", title, have("text"))
+    needle, address = F.lit(False), F.lit(False)
+    for s, words in LIST_NEEDLES.items():
+        needle = needle | ((source == s) & text.rlike("|".join(words)))
+    for s, pattern in URL_SIGNALS.items():
+        address = address | ((source == s) & have("final_url").rlike(pattern))
+    for s, word in HEADER_SIGNALS.items():
+        address = address | ((source == s) & have("cf_mitigated").contains(word))
+    return (needle | address
+            | F.coalesce(F.col("status").isin(403, 429), F.lit(False))
+            | ((source == "indeed") & F.coalesce(F.col("status") == 503, F.lit(False))))
+
+
+def blocked_sources(pages: DataFrame, sources: list[str]) -> DataFrame:
+    """Per (run, source) blocked flag from landed list pages: any block signal, or zero
+    offers where the source's rule treats empty as blocked.  Every configured source gets a
+    row per run (sources exploded from a fixed list, no join needed to create them)."""
+    text, signal = F.lower(F.coalesce(F.col("text"), F.lit(""))), block_signal(pages.columns)
     agg = pages.groupBy("run_id", "source").agg(
         F.max(signal).alias("_signal"),
         F.sum("n_offers").cast("bigint").alias("_offers"),

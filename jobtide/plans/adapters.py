@@ -74,7 +74,7 @@ FROM {orders}
 # Tracker history: one run tab per order month, status vocabulary from order status.
 ADAPTERS["tracker_or"] = """
 SELECT o_orderkey AS id,
-       'T' || CAST(year(o_orderdate) AS STRING) || '-' || lpad(CAST(month(o_orderdate) AS STRING), 2, '0') AS run_tab,
+       '01.' || lpad(CAST(month(o_orderdate) AS STRING), 2, '0') || '.' || CAST(year(o_orderdate) AS STRING) || ' 10-00' AS run_tab,
        o_orderdate AS started_at,
        'https://ex.pl/o/' || CAST(o_custkey AS STRING) AS url,
        'C' || CAST(o_custkey AS STRING) AS company,
@@ -242,6 +242,6 @@ SELECT 'R1' AS run_id,
        CASE WHEN doc_id % 97 = 0 THEN 403 WHEN doc_id % 13 = 0 THEN 500 ELSE 200 END AS status,
        CASE WHEN doc_id % 211 = 0 THEN '<title>Just a moment...</title> captcha'
             WHEN doc_id % 17 = 0 THEN '<p> </p>'
-            ELSE '<h2>Opis</h2><p>' || replace(text, '<', ' ') || '</p><ul><li>' || lang || '</li></ul>' END AS body
+            ELSE '<h2>Opis</h2><p>' || text || ' wiek <3 lata, Kr&oacute;l &Oacute; &lt;b&gt;</p><ul><li>' || lang || '</li></ul>' END AS body
 FROM {documents}
 """

@@ -7,11 +7,12 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from jobtide.functions.classify import block_flag
+from jobtide.functions.classify import block_flag, block_mark
 from jobtide.functions.urls import url_key
 from jobtide.operators import cache as K
 from jobtide.operators import enrich as EN
-from jobtide.operators.outcomes import RULES, OutcomeRules, resolve_outcomes, run_status
+from jobtide.operators.outcomes import RULES, resolve_outcomes, run_status
+from jobtide.operators.positional import union_sources
 from jobtide.plans import sqlx
 from jobtide.plans.adapters import adapter
 from jobtide.plans.registry import query
@@ -149,8 +150,9 @@ SELECT CAST(position AS BIGINT) AS position,
        coalesce(contract_type, CASE WHEN hit THEN lang END) AS contract_type,
        coalesce(experience_level, CASE WHEN hit THEN 'junior' END) AS experience_level,
        CASE WHEN salary_from IS NULL THEN CASE WHEN hit THEN 5000.0 END ELSE salary_from END AS salary_from,
-       CASE WHEN salary_from IS NULL THEN CASE WHEN hit THEN 7000.0 END ELSE salary_to END AS salary_to,
-       CASE WHEN salary_from IS NULL THEN CASE WHEN hit THEN 'PLN' END ELSE salary_currency END AS salary_currency
+       CASE WHEN salary_from IS NULL AND salary_to IS NULL AND hit THEN 7000.0 ELSE salary_to END AS salary_to,
+       CASE WHEN salary_from IS NULL AND salary_currency IS NULL AND hit THEN 'PLN' ELSE salary_currency END
+         AS salary_currency
 FROM l""")
 def q_merge_fill(spark, sf):
     p = F.col("position")
@@ -212,30 +214,59 @@ def _attempts(spark, sf):
     a = adapter(spark, sf, "attempts_ev")
     return a.select("run_id", "source", "position", "status", "cache_hit", "no_slug",
                     url_key("url").alias("url_key"),
-                    block_flag("body", "status").alias("blocked"),
+                    block_flag("body", "status").alias("blocked"), block_mark("body").alias("block_mark"),
+                    (F.col("position") % 11 != 0).alias("parsed"),
+                    F.when((F.col("status") == 0) & (F.col("position") % 3 == 0),
+                           F.concat(F.lit("net "), F.col("position").cast("string"))).alias("error"),
                     F.when(F.col("status") == 200, F.col("body")).alias("description"))
 
 
-def _outcome_sql(rules: OutcomeRules) -> str:
-    """Oracle: the same rules with plain window functions."""
-    empty = "'fetched'" if rules.empty_is_fetched else "'error'"
-    consec = ""
-    if rules.consecutive_fail_limit:
+# The messages of each source, written out: no id, http, transport, no response, unparsed body, empty
+# body, blocked by status, blocked by needle.
+_ST = "CAST(coalesce(status, 0) AS VARCHAR)"
+_HTTP, _NFJ = f"'http ' || {_ST}", f"'detail fetch failed (status ' || {_ST} || ')'"
+_BLOCKED = f"'blocked (status ' || {_ST} || ')'"
+_MESSAGES = {
+    "justjoin": ("'no slug'", _HTTP, "error", "'no result'", "'ld+json not found'", "'empty description'", _HTTP,
+                 "'block-signal: ' || mark"),
+    "rocketjobs": ("'no slug'", _HTTP, "'fetch ' || error", "'empty result'", "'ld+json JobPosting not found'",
+                   "'empty description'", _HTTP, "'block signal'"),
+    "talentdays": ("'no slug'", _HTTP, "'fetch ' || error", "'no content'", f"'bad json (http ' || {_ST} || ')'",
+                   "'no content'", _HTTP, "'block signal'"),
+    "nofluffjobs": ("'no slug in url'", _NFJ, "'detail fetch failed (status 0)'", "'detail fetch failed (status 0)'", _NFJ,
+                    "NULL", _BLOCKED, _BLOCKED),
+    "olx": ("'no ad id on card'", f"'HTTP ' || {_ST}", "'HTTP 0 / ' || error", "'HTTP 0'", f"'HTTP ' || {_ST}", "NULL",
+            "NULL", "NULL"),
+}
+
+
+def _outcome_sql(profile: str) -> str:
+    """Oracle: the source's rules with plain window functions."""
+    no_id, http, transport, silent, unparsed, empty_text, by_status, by_needle = _MESSAGES[profile]
+    empty = "'fetched'" if profile in ("nofluffjobs", "olx") else "'error'"
+    if profile == "nofluffjobs":
         consec = """, n AS (SELECT *, lag(status, 1) OVER w AS s1, lag(status, 2) OVER w AS s2 FROM c WHERE attempt
               WINDOW w AS (PARTITION BY run_id, source ORDER BY position)),
      cc AS (SELECT run_id, source, min(position) AS cut_c FROM n WHERE status = 0 AND s1 = 0 AND s2 = 0 GROUP BY 1, 2)"""
     else:
         consec = ", cc AS (SELECT run_id, source, CAST(NULL AS BIGINT) AS cut_c FROM c WHERE false)"
-    blocked_err = ("NULL" if not rules.blocked_sets_error else
-                   f"'{rules.blocked_error_prefix}' || CAST(coalesce(status, 0) AS VARCHAR) || ')'")
+    any_status = f"WHEN NOT parsed THEN {unparsed}" if profile == "talentdays" else ""
     return f"""
 WITH a0 AS (SELECT run_id, source, position, status, cache_hit, no_slug, {sqlx.url_key('url')} AS url_key,
                    (coalesce(status IN (403, 429), false) OR regexp_matches(lower(coalesce(body, '')),
                     'captcha|just a moment|cf-chl|datadome|access denied|attention required')) AS blocked,
+                   CASE WHEN contains(lower(body), 'captcha') THEN 'captcha'
+                        WHEN contains(lower(body), 'just a moment') THEN 'just a moment'
+                        WHEN contains(lower(body), 'cf-chl') THEN 'cf-chl' WHEN contains(lower(body), 'datadome') THEN 'datadome'
+                        WHEN contains(lower(body), 'access denied') THEN 'access denied'
+                        WHEN contains(lower(body), 'attention required') THEN 'attention required' ELSE '' END AS mark,
+                   position % 11 <> 0 AS parsed,
+                   CASE WHEN status = 0 AND position % 3 = 0 THEN 'net ' || CAST(position AS VARCHAR) ELSE '' END AS error,
                    CASE WHEN status = 200 THEN body END AS description FROM {{{{attempts_ev}}}}),
-     a AS (SELECT *, url_key <> '' AS has_url, coalesce(status BETWEEN 200 AND 299 AND NOT blocked, false) AS ok,
-                  coalesce(status BETWEEN 200 AND 299 AND NOT blocked, false) AND coalesce(length(description) > 0, false)
-                    AS success FROM a0),
+     a AS (SELECT *, url_key <> '' AS has_url, coalesce(status BETWEEN 200 AND 299 AND NOT blocked, false) AS got,
+                  coalesce(status BETWEEN 200 AND 299 AND NOT blocked, false) AND parsed AS ok,
+                  coalesce(status BETWEEN 200 AND 299 AND NOT blocked, false) AND parsed
+                    AND coalesce(length(description) > 0, false) AS success FROM a0),
      f AS (SELECT run_id, source, url_key, min(position) AS first_ok FROM a
            WHERE has_url AND NOT cache_hit AND NOT no_slug AND success GROUP BY 1, 2, 3),
      b AS (SELECT a.*, coalesce(a.position > f.first_ok AND NOT a.cache_hit, false) AS twin
@@ -250,26 +281,28 @@ WITH a0 AS (SELECT run_id, source, position, status, cache_hit, no_slug, {sqlx.u
                  WHEN cache_hit OR twin THEN 'cached' WHEN no_slug THEN 'error' WHEN blocked THEN 'blocked'
                  WHEN success THEN 'fetched' WHEN ok THEN {empty} ELSE 'error' END AS outcome
            FROM c LEFT JOIN cuts USING (run_id, source))
-SELECT *, substr(CASE WHEN outcome = 'blocked' THEN {blocked_err}
-                      WHEN outcome = 'error' AND no_slug THEN 'no slug in url'
-                      WHEN outcome = 'error' AND ok THEN '{rules.empty_error}'
-                      WHEN outcome = 'error' THEN 'detail fetch failed (status ' || CAST(coalesce(status, 0) AS VARCHAR) || ')'
-                 END, 1, 120) AS detail_error FROM o"""
+SELECT *, CASE WHEN outcome = 'blocked' THEN CASE WHEN status IN (403, 429) THEN {by_status} ELSE {by_needle} END
+               WHEN outcome = 'error' THEN CASE WHEN no_slug THEN {no_id} WHEN ok THEN {empty_text} WHEN got THEN {unparsed}
+                 WHEN coalesce(status, 0) = 0 AND error <> '' THEN {transport} WHEN coalesce(status, 0) = 0 THEN {silent}
+                 {any_status} ELSE {http} END END AS detail_error FROM o"""
 
 
 def _outcomes(spark, sf, profile):
     return resolve_outcomes(_attempts(spark, sf), RULES[profile])
 
 
-@query("q_outcome", sql=f"""SELECT run_id, source, CAST(position AS BIGINT) AS position, outcome, detail_error
-FROM ({_outcome_sql(RULES['justjoin'])})""")
+@query("q_outcome", sql=" UNION ALL ".join(
+    f"""SELECT '{p}' AS rules, run_id, source, CAST(position AS BIGINT) AS position, outcome, detail_error
+FROM ({_outcome_sql(p)})""" for p in _MESSAGES))
 def q_outcome(spark, sf):
-    return _outcomes(spark, sf, "justjoin").select("run_id", "source", F.col("position").cast("bigint").alias("position"),
-                                                   "outcome", "detail_error")
+    parts = [_outcomes(spark, sf, p).select(F.lit(p).alias("rules"), "run_id", "source",
+                                            F.col("position").cast("bigint").alias("position"), "outcome", "detail_error")
+             for p in RULES]
+    return union_sources(*parts)
 
 
 @query("q_twin_reuse", sql=f"""SELECT run_id, source, CAST(position AS BIGINT) AS position, twin, outcome
-FROM ({_outcome_sql(RULES['olx'])}) WHERE twin OR cache_hit""")
+FROM ({_outcome_sql('olx')}) WHERE twin OR cache_hit""")
 def q_twin_reuse(spark, sf):
     o = _outcomes(spark, sf, "olx")
     return o.where(F.col("twin") | F.col("cache_hit")).select(
@@ -278,7 +311,7 @@ def q_twin_reuse(spark, sf):
 
 @query("q_abort_cut", sql=f"""SELECT run_id, source, CAST(min(cut) AS BIGINT) AS cut, min(cut) IS NOT NULL AS aborted,
   CAST(count(*) FILTER (WHERE outcome = 'skipped') AS BIGINT) AS untouched
-FROM ({_outcome_sql(RULES['talentdays'])}) GROUP BY run_id, source""")
+FROM ({_outcome_sql('talentdays')}) GROUP BY run_id, source""")
 def q_abort_cut(spark, sf):
     o = _outcomes(spark, sf, "talentdays")
     return o.groupBy("run_id", "source").agg(F.min("cut").cast("bigint").alias("cut"),
@@ -288,7 +321,7 @@ def q_abort_cut(spark, sf):
 
 @query("q_consec_fail", sql=f"""SELECT run_id, source, CAST(min(cut_c) AS BIGINT) AS cut_consecutive,
   CAST(min(cut_b) AS BIGINT) AS cut_blocked
-FROM ({_outcome_sql(RULES['nofluffjobs'])}) GROUP BY run_id, source""")
+FROM ({_outcome_sql('nofluffjobs')}) GROUP BY run_id, source""")
 def q_consec_fail(spark, sf):
     o = _outcomes(spark, sf, "nofluffjobs")
     return o.groupBy("run_id", "source").agg(F.min("cut_consecutive").cast("bigint").alias("cut_consecutive"),
@@ -300,7 +333,7 @@ def q_consec_fail(spark, sf):
   CAST(count(*) FILTER (WHERE outcome = 'cached') AS BIGINT) AS details_cached,
   CAST(count(*) FILTER (WHERE outcome = 'error' OR outcome = 'blocked') AS BIGINT) AS detail_errors,
   bool_or(cut IS NOT NULL) AS detail_aborted
-FROM ({_outcome_sql(RULES['nofluffjobs'])}) GROUP BY run_id, source""")
+FROM ({_outcome_sql('nofluffjobs')}) GROUP BY run_id, source""")
 def q_run_status(spark, sf):
     return run_status(_outcomes(spark, sf, "nofluffjobs"), RULES["nofluffjobs"])
 
@@ -314,7 +347,7 @@ FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality = 1 GROUP
 
 @query("q_detail_pipeline", sql=f"""
 WITH a0 AS (SELECT run_id, source, position, status, {sqlx.url_key('url')} AS url_key,
-                   (coalesce(status IN (403, 429), false) OR regexp_matches(lower(substr(coalesce(body, ''), 1, 600)),
+                   (coalesce(status IN (403, 429), false) OR regexp_matches(lower(coalesce(body, '')),
                     'captcha|just a moment|cf-chl|datadome|access denied|attention required')) AS blocked,
                    CASE WHEN status = 200 THEN {sqlx.html_text('body', 'olx')} END AS description
             FROM {{{{detail_doc}}}}),
@@ -336,10 +369,10 @@ WITH a0 AS (SELECT run_id, source, position, status, {sqlx.url_key('url')} AS ur
 SELECT source, CAST(position AS BIGINT) AS position, outcome,
        md5(CASE WHEN outcome = 'cached' AND cache_hit THEN hit_description WHEN outcome = 'cached' THEN twin_description
                 WHEN outcome = 'fetched' THEN description END) AS description_md5,
-       substr(CASE WHEN outcome = 'blocked' THEN 'blocked (status ' || CAST(coalesce(status, 0) AS VARCHAR) || ')'
-                   WHEN outcome = 'error' AND ok THEN 'empty description'
-                   WHEN outcome = 'error' THEN 'detail fetch failed (status ' || CAST(coalesce(status, 0) AS VARCHAR) || ')' END,
-              1, 120) AS detail_error
+       CASE WHEN outcome = 'blocked' AND status IN (403, 429) THEN 'http ' || CAST(status AS VARCHAR)
+            WHEN outcome = 'blocked' THEN 'block-signal: captcha'
+            WHEN outcome = 'error' AND ok THEN 'empty description'
+            WHEN outcome = 'error' THEN 'http ' || CAST(coalesce(status, 0) AS VARCHAR) END AS detail_error
 FROM o""")
 def q_detail_pipeline(spark, sf):
     """Entry 2 end to end: cache lookup → attach landed responses → HTML to text → block
@@ -355,7 +388,7 @@ def q_detail_pipeline(spark, sf):
              .groupBy("url_key").agg(F.max_by("description", "doc_id").alias("description"))
              .select("url_key", F.struct("description").alias("f")))
     att = (EN.cache_lookup(d, cache)
-           .withColumn("blocked", block_flag("body", "status", 600))
+           .withColumn("blocked", block_flag("body", "status")).withColumn("block_mark", block_mark("body"))
            .withColumn("description", F.when(F.col("status") == 200, html_to_text("body", "olx")))
            .withColumn("no_slug", F.lit(False)))
     out = resolve_outcomes(att, RULES["justjoin"], twin_fields=("description",), materialize=True)

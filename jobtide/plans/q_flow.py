@@ -5,13 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from jobtide.functions.classify import BLOCK_NEEDLES_EXTENDED
 from jobtide.functions.urls import abs_url, identity_key, query_id, url_key
 from jobtide.operators import shortlist as SL
 from jobtide.operators.dedup import dedup_run, dedup_source
 from jobtide.operators.filters import apply_filters, filters_from_url
 from jobtide.operators.mapping import require, to_common
-from jobtide.operators.positional import cap_per_source, page_yield, run_names, union_sources
+from jobtide.operators.positional import budget_report, page_yield, run_names, union_sources
 from jobtide.operators.status import blocked_sources, vocab_violations
 from jobtide.plans import sqlx
 from jobtide.plans.adapters import adapter
@@ -70,8 +69,7 @@ def q_require(spark, sf):
         "position", F.coalesce(F.try_element_at(m, F.col("source")), F.lit("pracuj")).alias("source"),
         F.when(F.col("position") % 7 == 0, F.lit(None)).otherwise(F.col("url")).alias("url"),
         F.when(F.col("position") % 5 == 0, F.lit("")).otherwise(F.col("title")).alias("title"))
-    parts = [require(d.where(F.col("source") == s), s) for s in ("justjoin", "olx", "nofluffjobs", "pracuj")]
-    return union_sources(*parts).select(_pos(), "source")
+    return require(d).select(_pos(), "source")
 
 
 _HREF_SQL = ("CASE page_id % 3 WHEN 0 THEN regexp_extract(url, '^https?://[^/]+(/.*)$', 1) "
@@ -127,13 +125,13 @@ CAPS_EV = {"click": 1000, "view": 300, "purchase": 1000}
 
 
 @query("q_cap_per_source", sql="""
-SELECT run_id, source, CAST(position AS BIGINT) AS position FROM (
-  SELECT *, row_number() OVER (PARTITION BY run_id, source ORDER BY position) AS rn FROM {{offers_ev}})
-WHERE (source IN ('click', 'purchase') AND rn <= 1000) OR (source = 'view' AND rn <= 300)
-   OR source NOT IN ('click', 'purchase', 'view')""")
+SELECT run_id, source, count(*) AS rows,
+       CAST(CASE WHEN source IN ('click', 'purchase') THEN 1000 WHEN source = 'view' THEN 300 END AS BIGINT) AS budget,
+       CAST(CASE WHEN source IN ('click', 'purchase') THEN greatest(count(*) - 1000, 0)
+                 WHEN source = 'view' THEN greatest(count(*) - 300, 0) ELSE 0 END AS BIGINT) AS beyond
+FROM {{offers_ev}} GROUP BY run_id, source""")
 def q_cap_per_source(spark, sf):
-    d = adapter(spark, sf, "offers_ev")
-    return cap_per_source(d, CAPS_EV).select("run_id", "source", _pos())
+    return budget_report(adapter(spark, sf, "offers_ev"), CAPS_EV)
 
 
 @query("q_page_yield", sql=f"""
@@ -201,7 +199,10 @@ def q_source_filters(spark, sf):
 
 @query("q_blocked_sources", sql=f"""
 WITH p AS (SELECT * FROM {{{{pages_ev}}}}),
-     sig AS (SELECT *, regexp_matches(lower(coalesce(text, '')), '{"|".join(BLOCK_NEEDLES_EXTENDED)}')
+     sig AS (SELECT *, regexp_matches(lower(coalesce(text, '')),
+                         'captcha|just a moment|cf-chl|datadome|access denied|attention required')
+                       OR (source = 'indeed' AND regexp_matches(lower(coalesce(text, '')),
+                           'cloudflare|verifying you are human|verify you are human|unusual traffic'))
                        OR status IN (403, 429) OR (source = 'indeed' AND status = 503) AS signal FROM p),
      a AS (SELECT run_id, source, bool_or(signal) AS sig, sum(n_offers) AS offers,
                   sum(CASE WHEN page_no = 1 THEN n_offers ELSE 0 END) AS first_offers,
@@ -220,7 +221,7 @@ SELECT r.run_id, r.source, CAST(coalesce(a.offers, 0) AS BIGINT) AS offers,
 FROM r LEFT JOIN a ON r.run_id = a.run_id AND r.source = a.source""")
 def q_blocked_sources(spark, sf):
     p = adapter(spark, sf, "pages_ev")
-    return blocked_sources(p, SOURCES, BLOCK_NEEDLES_EXTENDED).withColumn("offers", F.col("offers").cast("bigint"))
+    return blocked_sources(p, SOURCES).withColumn("offers", F.col("offers").cast("bigint"))
 
 
 @query("q_vocab", sql="""
@@ -257,7 +258,8 @@ def q_run_names(spark, sf):
 
 
 @query("q_latest_run", sql="""
-SELECT CAST(id AS BIGINT) AS id, run_tab FROM {{tracker_or}} WHERE run_tab = (SELECT max(run_tab) FROM {{tracker_or}})""")
+SELECT CAST(id AS BIGINT) AS id, run_tab FROM {{tracker_or}} 
+WHERE run_tab = (SELECT arg_max(run_tab, strptime(run_tab, '%d.%m.%Y %H-%M')) FROM {{tracker_or}})""")
 def q_latest_run(spark, sf):
     from jobtide.sinks.export import latest_rows
     return latest_rows(adapter(spark, sf, "tracker_or")).select(F.col("id").cast("bigint").alias("id"), "run_tab")

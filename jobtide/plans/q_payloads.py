@@ -85,7 +85,7 @@ def q_ingest_nested(spark, sf):
         .otherwise(F.to_json("data"))
     landing = docs.select("conv_id", payload.alias("payload"))
     items = ingest_board_api(landing).withColumnRenamed("item_pos", "position")
-    out = require(to_common(items, "justjoin", keep=("conv_id", "position")), "justjoin")
+    out = require(to_common(items, "justjoin", keep=("conv_id", "position")))
     return out.select("conv_id", F.col("position").cast("bigint").alias("position"), "source", "company", "title", "url",
                       "city", "salary_from", "salary_to", "salary_currency", "contract_type", "experience_level",
                       "published_at", "remote")
@@ -145,7 +145,7 @@ def q_variant_postings(spark, sf):
                .when(k == 1, F.concat(F.lit('{"json": {"data": '), arr, F.lit("}}")))
                .otherwise(F.concat(F.lit('{"meta": {"pages": [1, 2]}, "result": {"data": '), arr, F.lit("}}"))))
     items = ingest_postings(docs.select("conv_id", payload.alias("payload"))).withColumnRenamed("item_pos", "position")
-    out = require(to_common(items, "nofluffjobs", keep=("conv_id", "position")), "nofluffjobs")
+    out = require(to_common(items, "nofluffjobs", keep=("conv_id", "position")))
     return out.select("conv_id", F.col("position").cast("bigint").alias("position"), "source", "company", "title", "url",
                       "city", "salary_from", "salary_to", "salary_currency", "contract_type", "experience_level",
                       "published_at", "remote")
@@ -219,7 +219,7 @@ def _sections_sql():
                       for lab, b in zip(["OPIS:", "WYMAGANIA:", "MILE WIDZIANE:", "OBOWIĄZKI:", "BENEFITY:"],
                                         [desc, req, nice, tasks, ben]))
     joined = f"concat_ws(chr(10) || chr(10), {parts})"
-    final = f"nullif(substr({sqlx.js_trim(sqlx.sub(joined, "\n{3,}", "\n\n"))}, 1, 15000), '')"
+    final = f"nullif({sqlx.js_trim(sqlx.sub(joined, "\n{3,}", "\n\n"))}, '')"
     return f"""
 WITH g AS (SELECT conv_id, {sqlx.html_text("arg_min(text, turn)", 'nofluffjobs')} AS d,
                   coalesce(list(label ORDER BY turn) FILTER (WHERE role = 'user'), []) AS musts,
@@ -437,7 +437,7 @@ def q_talentdays(spark, sf):
     items = ingest_postings(docs.select("conv_id", payload.alias("payload")))
     typed = items.select("conv_id", F.col("item_pos").alias("position"),
                          F.try_variant_get("item", "$", TALENTDAYS_ITEM.simpleString()).alias("item"))
-    out = require(to_common(typed, "talentdays", keep=("conv_id", "position")), "talentdays")
+    out = require(to_common(typed, "talentdays", keep=("conv_id", "position")))
     out = out.where(entry_level(None, "experience_level", exp_filter="ZERO"))
     return out.select("conv_id", F.col("position").cast("bigint").alias("position"), "source", "company", "title", "url",
                       "city", "salary_from", "salary_to", "salary_currency", "contract_type", "experience_level", "remote")
@@ -476,7 +476,7 @@ def q_pracuj_cards(spark, sf):
 
 @query("q_detail_fields", sql=f"""
 WITH g AS (SELECT conv_id,
-                  arg_min('<p>' || replace(text, '<', ' ') || '</p>', turn) AS d,
+                  arg_min('<p>' || text || '</p>', turn) AS d,
                   coalesce(list(label ORDER BY turn) FILTER (WHERE role = 'user'), []) AS musts,
                   CASE WHEN conv_id % 2 = 0 THEN ['PL'] ELSE [] END AS langs,
                   CASE WHEN conv_id % 3 <> 0 THEN coalesce(list(label ORDER BY turn) FILTER (WHERE role <> 'user'), [])
@@ -499,7 +499,7 @@ def q_detail_fields(spark, sf):
     lab = lambda s: s["label"]
     cid = F.col("conv_id")
     g = t.groupBy("conv_id").agg(
-        F.min_by(F.concat(F.lit("<p>"), F.replace(F.col("text"), F.lit("<"), F.lit(" ")), F.lit("</p>")),
+        F.min_by(F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>")),
                  "turn").alias("d"),
         F.sort_array(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "label")))).alias("u"),
         F.sort_array(F.collect_list(F.when(F.col("role") != "user", F.struct("turn", "label")))).alias("o"),
@@ -538,7 +538,7 @@ def _sections_from(desc, musts, langs, nices, resp, ben):
              (f"CASE WHEN len({ben}) > 0 THEN {bul.format(x=ben)} END", "BENEFITY:")]
     joined = "concat_ws(chr(10) || chr(10), " + ", ".join(
         f"CASE WHEN ({b}) IS NOT NULL THEN '{lab}' || chr(10) || ({b}) END" for b, lab in parts) + ")"
-    return f"nullif(substr({sqlx.js_trim(sqlx.sub(joined, chr(10) + '{3,}', chr(10) + chr(10)))}, 1, 15000), '')"
+    return f"nullif({sqlx.js_trim(sqlx.sub(joined, chr(10) + '{3,}', chr(10) + chr(10)))}, '')"
 
 
 from jobtide.plans.registry import ORACLE as _ORACLE  # noqa: E402

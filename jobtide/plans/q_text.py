@@ -8,7 +8,7 @@ from jobtide.functions import classify as C
 from jobtide.functions.dates import date_or_raw, epoch_to_iso
 from jobtide.functions.html import html_to_text
 from jobtide.functions.salary import parse_salary
-from jobtide.functions.text import cap_text, clean_city, slug, split_place_date
+from jobtide.functions.text import clean_city, slug, split_place_date, whole_text
 from jobtide.plans import sqlx
 from jobtide.plans.adapters import adapter, table
 from jobtide.plans.registry import query
@@ -177,24 +177,24 @@ def q_html_text(spark, sf):
     return adapter(spark, sf, "html_pg").select("page_id", *[html_to_text("html", p).alias(f"text_{p}") for p in _PROFILES])
 
 
-_CAP_SQL = f"CASE WHEN length({sqlx.js_trim('substr(text, 1, 15000)')}) > 0 THEN substr(text, 1, 15000) END"
+_CAP_SQL = f"CASE WHEN length({sqlx.js_trim('text')}) > 0 THEN text END"
 
 
 @query("q_truncate", sql=f"""
 SELECT position, CAST(length({_CAP_SQL}) AS INTEGER) AS desc_len, md5({_CAP_SQL}) AS desc_md5
 FROM {{{{descr_doc}}}}""")
 def q_truncate(spark, sf):
-    d = adapter(spark, sf, "descr_doc").withColumn("d", cap_text("text"))
+    d = adapter(spark, sf, "descr_doc").withColumn("d", whole_text("text"))
     return d.select("position", F.length("d").alias("desc_len"), F.md5("d").alias("desc_md5"))
 
 
-_WINDOWS = {"justjoin": 6000, "nofluffjobs": 2000, "olx": 600, "rocketjobs": None}
+_NEEDLES = ["captcha", "just a moment", "cf-chl", "datadome", "access denied", "attention required"]
+_MORE_NEEDLES = [*_NEEDLES, "cloudflare", "verifying you are human", "verify you are human", "unusual traffic"]
 
 
-@query("q_block_flag", sql="SELECT doc_id, "
-       + ", ".join(f"{sqlx.block('body', 'status', w, C.BLOCK_NEEDLES)} AS blocked_{s}" for s, w in _WINDOWS.items())
-       + f", {sqlx.block('body', 'status', None, C.BLOCK_NEEDLES_EXTENDED)} AS blocked_list_page FROM {{{{body_doc}}}}")
+@query("q_block_flag", sql=f"""SELECT doc_id, {sqlx.block('body', 'status', _NEEDLES)} AS blocked_detail,
+  {sqlx.block('body', 'status', _MORE_NEEDLES)} AS blocked_list_page FROM {{{{body_doc}}}}""")
 def q_block_flag(spark, sf):
     d = adapter(spark, sf, "body_doc")
-    return d.select("doc_id", *[C.block_flag("body", "status", w).alias(f"blocked_{s}") for s, w in _WINDOWS.items()],
-                    C.block_flag("body", "status", None, C.BLOCK_NEEDLES_EXTENDED).alias("blocked_list_page"))
+    return d.select("doc_id", C.block_flag("body", "status").alias("blocked_detail"),
+                    C.block_flag("body", "status", C.BLOCK_NEEDLES_EXTENDED).alias("blocked_list_page"))

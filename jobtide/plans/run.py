@@ -1,6 +1,6 @@
 """End-to-end runs over landed data (the reference's three entry points as jobs).
 
-* ``run_list``     landed list payloads of one source → common offers (A2–A8, C1–C3, F1, G1, C7)
+* ``run_list``     landed list payloads of one source → common offers (A2–A8, C1–C3, F1, C7)
 * ``run_details``  offers + landed detail responses + cache → enriched offers, new cache, status (Entry 2)
 * ``run_writer``   collect files of a run → deduped, numbered tracker rows, JSON export, summary (Entry 3)
 
@@ -14,9 +14,9 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from jobtide.functions.classify import BLOCK_WINDOW, block_flag, detail_has_content
-from jobtide.functions.dates import run_file_stamp, run_tab_stamp
+from jobtide.functions.classify import block_flag, block_mark, detail_has_content
 from jobtide.functions.detail import with_detail_fields
 from jobtide.functions.urls import identity_key, url_key
 from jobtide.operators import cache as K
@@ -26,7 +26,7 @@ from jobtide.operators.filters import apply_filters
 from jobtide.operators.mapping import conform, require, to_common
 from jobtide.operators.numbering import number_within
 from jobtide.operators.outcomes import RULES, resolve_outcomes, run_status
-from jobtide.operators.positional import CAPS, cap_per_source
+from jobtide.operators.positional import run_names
 from jobtide.operators.status import with_description
 from jobtide.functions.tracker import to_tracker
 from jobtide.sinks import export as SK
@@ -38,20 +38,21 @@ VARIANT = {"nofluffjobs", "talentdays"}
 
 def run_list(landing: DataFrame, source: str, filters: DataFrame | None = None) -> DataFrame:
     """One source's landed list rows (run_id, page_no, position, payload) → common offers.
-    API pages carry many items: list order is (page_no, item index)."""
+    API pages carry many items: list order is (page_no, item index), kept as one number with
+    the page in its upper 32 bits, so pages of any length stay apart.  Every landed row that
+    meets the source's requirement and the filters stays; there is no cap."""
+    order = F.shiftleft(F.col("page_no").cast("bigint"), 32) + F.col("item_pos")
     if source in TYPED:
-        items = L.ingest_board_api(landing).withColumn("position", F.col("page_no") * 100000 + F.col("item_pos"))
+        items = L.ingest_board_api(landing).withColumn("position", order)
     elif source in VARIANT:
-        items = L.ingest_postings(landing).withColumn("position", F.col("page_no") * 100000 + F.col("item_pos"))
+        items = L.ingest_postings(landing).withColumn("position", order)
         if source == "talentdays":
             items = items.withColumn("item", F.try_variant_get("item", "$", L.TALENTDAYS_ITEM.simpleString()))
     else:
         items = L.ingest_cards(landing, source)
-    offers = require(to_common(items, source, keep=("run_id", "position", "id", "jk")), source)
+    offers = require(to_common(items, source, keep=("run_id", "position", "id", "jk")))
     key = source_dedup_key(source) if source in ("olx", "indeed", "nofluffjobs", "pracuj", "theprotocol") else None
     offers = dedup_source(offers, key)
-    if source in CAPS:
-        offers = cap_per_source(offers, {source: CAPS[source]})
     if filters is not None:
         offers = apply_filters(offers, filters.where(F.col("source") == source))
     return conform(offers)
@@ -67,20 +68,26 @@ def run_details(offers: DataFrame, details: DataFrame, cache: DataFrame, source:
     or, for olx, fill-only with the salary triple taken only when the list had none."""
     rules = RULES[source]
     o = EN.cache_lookup(offers.withColumn("url_key", url_key("url")), cache)
-    d = details.select("run_id", "source", "position", "status", "body")
+    if "error" not in details.columns:
+        details = details.withColumn("error", F.lit(None).cast("string"))
+    d = details.select("run_id", "source", "position", "status", "body", "error")
+    has_url = F.coalesce(F.col("url_key") != "", F.lit(False))
+    # nofluffjobs scans every body for needles; the others only where the content is missing.
+    scan = F.lit(False) if source == "nofluffjobs" else F.col("parsed")
     att = (o.join(d, ["run_id", "source", "position"], "left")
-           .withColumn("blocked", block_flag("body", "status", BLOCK_WINDOW.get(source),
-                                             has_content=detail_has_content(F.col("body"), source)))
+           .withColumn("parsed", F.coalesce(detail_has_content(F.col("body"), source), F.lit(False)))
+           .withColumn("blocked", block_flag("body", "status", has_content=scan))
+           .withColumn("block_mark", block_mark("body"))
            .withColumn("_ok_body", F.when(F.col("status").between(200, 299), F.col("body")))
-           .withColumn("no_slug", F.lit(False)))
+           .withColumn("no_slug", has_url & F.coalesce(EN.detail_id(source, "url") == "", F.lit(True))))
     att = with_detail_fields(att, "_ok_body", source, "_det").drop("_ok_body")
     # The outcome rules read the fetched text as ``description``; the list value is kept aside.
     att = att.withColumnRenamed("description", "_list_desc").withColumn("description", F.col("_det.description"))
     out = resolve_outcomes(att, rules, twin_fields=("_det",), materialize=True).drop("description") \
         .withColumnRenamed("_list_desc", "description")
-    hit_fields = F.struct(*[(F.col(f"hit_f.{f}") if f in K_FIELD_TYPES else F.lit(None)).cast(
-        "array<string>" if f.startswith("skills") else "double" if f.startswith("salary_") and f != "salary_currency"
-        else "string").alias(f) for f in DETAIL_ALL])
+    cached = set(cache.schema["f"].dataType.fieldNames())
+    hit_fields = F.struct(*[(F.col(f"hit_f.{f}") if f in cached else F.lit(None)).cast(FIELD_TYPES[f]).alias(f)
+                            for f in DETAIL_ALL])
     oc = F.col("outcome")
     got = (F.when(oc == "fetched", F.col("_det"))
            .when((oc == "cached") & F.col("cache_hit"), hit_fields)
@@ -93,8 +100,7 @@ def run_details(offers: DataFrame, details: DataFrame, cache: DataFrame, source:
         for f in DETAIL_ALL:
             cur = F.col(f) if f in cols else F.lit(None)
             if f in ("salary_from", "salary_to", "salary_currency"):
-                out = out.withColumn(f, F.when(F.col("_guard") & F.col("_got").isNotNull(), F.col(f"_got.{f}"))
-                                     .otherwise(cur))
+                out = out.withColumn(f, F.when(F.col("_guard"), F.coalesce(cur, F.col(f"_got.{f}"))).otherwise(cur))
             else:
                 out = out.withColumn(f, F.coalesce(cur, F.col(f"_got.{f}")))
         out = out.drop("_guard")
@@ -108,7 +114,8 @@ def run_details(offers: DataFrame, details: DataFrame, cache: DataFrame, source:
     stamp = F.lit(now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)).cast("timestamp")
     new_entries = out.where(oc == "fetched").select(
         "url_key", stamp.alias("fetched_at"),
-        F.struct(*[F.col(f"_det.{c}").alias(c) for c in K_FIELD_TYPES]).alias("f"))
+        F.struct(*[F.col(f"_det.{c}").cast(FIELD_TYPES[c]).alias(c) for c in cache.schema["f"].dataType.fieldNames()])
+        .alias("f"))
     new_cache = K.cache_upsert(cache, new_entries, desc="f.description")
     enriched = conform(out.drop("_got", "_det", "twin__det", "body", "hit_f"))
     return {"offers": enriched, "cache": new_cache, "status": run_status(out, rules)}
@@ -116,27 +123,51 @@ def run_details(offers: DataFrame, details: DataFrame, cache: DataFrame, source:
 
 DETAIL_ALL = ["description", "skills_required", "skills_nice", "valid_through", "apply_url", "expires_at",
               "company", "contract_type", "experience_level", "salary_from", "salary_to", "salary_currency"]
-K_FIELD_TYPES = {"description": "string", "skills_required": "array<string>", "skills_nice": "array<string>",
-                 "valid_through": "string", "apply_url": "string", "expires_at": "string"}
+FIELD_TYPES = {f: "array<string>" if f.startswith("skills") else "double" if f in ("salary_from", "salary_to") else "string"
+               for f in DETAIL_ALL}
+
+
+def name_run(spark: SparkSession, started_at: dt.datetime, run_id: str, earlier: DataFrame | None = None) -> dict:
+    """F7 + I19 for one run: its tab and file stamp (both Warsaw time), told apart from the
+    earlier runs (run_id, started_at) of the same minute.  A run that is already among them
+    keeps its name, so writing it again replaces its own output."""
+    me = spark.createDataFrame([(run_id, started_at)], "run_id string, started_at timestamp")
+    if earlier is not None:
+        same = earlier.select("run_id", F.col("started_at").cast("timestamp").alias("started_at")) \
+            .where((F.date_trunc("minute", "started_at") == F.date_trunc("minute", F.lit(started_at)))
+                   & (F.col("run_id") != run_id)).dropDuplicates(["run_id"])
+        me = me.unionByName(same)
+    row = run_names(me).where(F.col("run_id") == run_id).first()
+    return {"run_tab": row["run_tab"], "export_stamp": row["export_stamp"]}
+
+
+RUNS = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("started_at", T.TimestampType())])
 
 
 def run_writer(spark: SparkSession, collect_path: str, started_at: dt.datetime, out: str | None = None,
                identity: str = "identity_key") -> dict[str, DataFrame]:
     """Entry 3.  Collect files → within-run dedup (identity key) → 1..n ids in (source,
-    position) order → 13-column tracker rows; optional writes: tracker append, JSON
-    export with manifest (the sinks are isolated from each other)."""
-    offers = L.read_collect(spark, collect_path).withColumn("run_id", F.lit(started_at.strftime("%Y%m%d%H%M%S")))
+    position) order → 13-column tracker rows; optional writes: tracker, JSON export with
+    manifest (the sinks are isolated from each other) and the run's entry in ``out``/runs,
+    by which later runs of the same minute get a name of their own."""
+    run_id = started_at.strftime("%Y%m%d%H%M%S")
+    earlier = L.read_or_empty(spark, f"{out}/runs", RUNS) if out else None
+    name = name_run(spark, started_at, run_id, earlier)
+    offers = L.read_collect(spark, collect_path).withColumn("run_id", F.lit(run_id))
     offers = offers.withColumn("source", F.coalesce(F.col("_src"), F.col("source")))
     deduped = dedup_run(offers, identity)
-    numbered = number_within(deduped, ["run_id"], ["source", "position"], "id")
-    ts = F.lit(started_at).cast("timestamp")
-    tracker = to_tracker(numbered).withColumn("run_tab", run_tab_stamp(ts))
+    # Two files may carry one source: the file name makes the order total.
+    numbered = number_within(deduped, ["run_id"], ["source", "position", "_file"], "id")
+    tracker = to_tracker(numbered).withColumn("run_tab", F.lit(name["run_tab"]))
     summary = with_description(deduped)
     if out:
-        stamp = started_at.strftime("%Y-%m-%d_%H-%M")
+        stamp = name["export_stamp"]
         SK.run_sinks(numbered, {
-            "tracker": lambda d: SK.append_tracker(to_tracker(d).withColumn("run_tab", run_tab_stamp(ts)), f"{out}/tracker"),
-            "export": lambda d: SK.export_full(d, f"{out}/full/{stamp}", stamp, started_at.isoformat()),
+            "tracker": lambda d: SK.append_tracker(to_tracker(d).withColumn("run_tab", F.lit(name["run_tab"])),
+                                                   f"{out}/tracker"),
+            "export": lambda d: SK.export_full(d, f"{out}/full/{stamp}", name["run_tab"], started_at.isoformat()),
         })
+        if not earlier.where(F.col("run_id") == run_id).take(1):
+            spark.createDataFrame([(run_id, started_at)], RUNS).write.mode("append").parquet(f"{out}/runs")
     return {"offers": deduped.withColumn("identity_key", identity_key("url", "source")), "tracker": tracker,
-            "summary": summary, "file_stamp": spark.range(1).select(run_file_stamp(ts).alias("stamp"))}
+            "summary": summary, "file_stamp": spark.createDataFrame([(name["export_stamp"],)], "stamp string")}

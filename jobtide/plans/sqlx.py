@@ -140,7 +140,9 @@ NAMED = [("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("
          ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"),
          ("&ndash;", "–"), ("&mdash;", "—"), ("&laquo;", "«"), ("&raquo;", "»"),
          ("&bdquo;", "„"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&lsquo;", "‘"),
-         ("&rsquo;", "’"), ("&euro;", "€"), ("&bull;", "•"), ("&shy;", "\u00ad"), ("&amp;", "&")]
+         ("&rsquo;", "’"), ("&euro;", "€"), ("&bull;", "•"), ("&shy;", "\u00ad"), ("&oacute;", "ó"), ("&Oacute;", "Ó"),
+         # names that also exist in capitals: headings are upper-cased before they are decoded
+         ("&LT;", "<"), ("&GT;", ">"), ("&QUOT;", '"'), ("&COPY;", "©"), ("&REG;", "®"), ("&AMP;", "&"), ("&amp;", "&")]
 
 
 def decode_entities(x: str) -> str:
@@ -156,14 +158,14 @@ def sub(x: str, pat: str, rep: str) -> str:
 def dom_text(x: str) -> str:
     x = sub(x, "(?is)<head\\b.*?</head>", "")
     x = sub(x, "(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->", "")
-    x = sub(x, "<[^>]*>", "")
+    x = sub(x, "<[a-zA-Z/!?][^>]*>", "")
     return decode_entities(x)
 
 
 def heading_caps(x: str) -> str:
     head = "(?is)<h[1-6][^>]*>.*?</h[1-6]>"
     h = f"(regexp_extract_all({x}, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1))[i]"
-    fmt = "'\n\n' || upper(replace(" + sub(js_trim(sub(sub(h, "<[^>]+>", " "), "\\s+", " ")), "[:\\s]+$", "") + ", 'ß', 'SS')) || ':\n'"
+    fmt = "'\n\n' || upper(replace(" + sub(js_trim(sub(sub(h, "<[a-zA-Z/!?][^>]*>", " "), "\\s+", " ")), "[:\\s]+$", "") + ", 'ß', 'SS')) || ':\n'"
     return (f"CASE WHEN regexp_matches({x}, '{head}') THEN array_to_string(list_transform(string_split_regex({x}, '{head}'), "
             f"lambda p, i: p || coalesce({fmt}, '')), '') ELSE {x} END")
 
@@ -188,11 +190,9 @@ def html_text(x: str, profile: str) -> str:
     else:
         h = sub(sub(sub(x, "(?i)<br\\s*/?>", "\n"), "(?i)</(p|li|div|h[1-6]|ul|ol|tr)>", "\n"), "(?i)<li[^>]*>", "- ")
         t = js_trim(sub(sub(sub(dom_text(h), "\r", ""), "[ \t]+\n", "\n"), "\n{3,}", "\n\n"))
-    t = f"substr({t}, 1, 15000)"
     return f"nullif({t}, '')"
 
 
-def block(body: str, status: str, window: int | None, needles) -> str:
-    b = f"coalesce({body}, '')"
-    head = f"lower(substr({b}, 1, {window}))" if window else f"lower({b})"
+def block(body: str, status: str, needles) -> str:
+    head = f"lower(coalesce({body}, ''))"
     return f"(coalesce({status} IN (403, 429), false) OR regexp_matches({head}, '{'|'.join(needles)}'))"

@@ -68,7 +68,11 @@ LANDING_DETAIL = T.StructType([
     T.StructField("error", S),
 ])
 
-CACHE_FIELDS = T.StructType([T.StructField(n, ARR_S if n.startswith("skills") else S) for n in DETAIL_FIELDS])
+# Every field a detail response can give is cached, so a hit returns what a fetch would.
+CACHE_FIELDS = T.StructType(
+    [T.StructField(n, ARR_S if n.startswith("skills") else S) for n in DETAIL_FIELDS]
+    + [T.StructField(n, S) for n in ("company", "contract_type", "experience_level")]
+    + [T.StructField("salary_from", D), T.StructField("salary_to", D), T.StructField("salary_currency", S)])
 DESC_CACHE = T.StructType([
     T.StructField("url_key", S),
     T.StructField("fetched_at", T.TimestampType()),

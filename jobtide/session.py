@@ -60,6 +60,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that the "
+                           "driver and all executors share")
     local = tempfile.mkdtemp(prefix="jobtide-ckpt-", dir=os.environ.get("JOBTIDE_SCRATCH", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local

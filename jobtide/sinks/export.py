@@ -4,7 +4,7 @@ failing sink never blocks another."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.functions.urls import url_key
@@ -14,9 +14,7 @@ from jobtide.operators.mapping import drop_temp
 def write_offers(df: DataFrame, path: str) -> None:
     """B1: offers partitioned by (run_id, source); dynamic partition overwrite makes a
     re-run of one run idempotent without touching other runs."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    drop_temp(df).write.mode("overwrite").partitionBy("run_id", "source").parquet(path)
+    drop_temp(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "source").parquet(path)
 
 
 def export_records(df: DataFrame) -> DataFrame:
@@ -42,17 +40,26 @@ def export_full(df: DataFrame, path: str, run_tab: str, generated_at: str) -> Da
     return manifest
 
 
+def tab_time(tab) -> Column:
+    """(time, run within the minute) of a tab name 'dd.MM.yyyy HH-mm' or '… (k)', which sort as time."""
+    t = F.try_to_timestamp(F.substring(tab, 1, 16), F.lit("dd.MM.yyyy HH-mm"))
+    k = F.coalesce(F.regexp_extract(tab, r" \((\d+)\)$", 1).try_cast("int"), F.lit(1))
+    return F.struct(t.alias("t"), k.alias("k"))
+
+
 def latest_rows(history: DataFrame, key: str = "run_tab") -> DataFrame:
-    """Rows of the latest run (max run_tab).  The maximum is a one-row global
-    aggregate, joined back by equality (a one-row broadcast)."""
-    m = history.agg(F.max(key).alias("_latest"))
+    """Rows of the latest run by the time its tab names (not by the tab's text).  The
+    maximum is a one-row global aggregate, joined back by equality (a one-row broadcast)."""
+    named = history.where(tab_time(F.col(key))["t"].isNotNull())
+    m = named.agg(F.max_by(F.col(key), tab_time(F.col(key))).alias("_latest"))
     return history.join(F.broadcast(m), history[key] == m["_latest"], "inner").drop("_latest")
 
 
 def append_tracker(df: DataFrame, path: str) -> None:
-    """Append this run's tracker rows under its own run_tab partition, in ID order."""
+    """This run's tracker rows under its own run_tab partition, in ID order.  Only that
+    partition is replaced, so writing a run again does not double it; other runs stay."""
     out = df.orderBy("run_tab", "id") if "id" in df.columns else df
-    out.write.mode("append").partitionBy("run_tab").parquet(path)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_tab").parquet(path)
 
 
 def write_cache_version(cache: DataFrame, base: str, version: str) -> str:

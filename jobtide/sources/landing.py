@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,20 +115,24 @@ def ingest_cards(landing: DataFrame, source: str, payload: str = "payload") -> D
 
 # ---------------------------------------------------------------- A13–A15 state tables
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The cache table; a missing or unreadable table is an empty cache."""
+def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The Parquet table at the path, or an empty one only if the path does not exist."""
     try:
-        return spark.read.schema(DESC_CACHE).parquet(path)
-    except Exception:  # noqa: BLE001 - a missing cache must never stop a run
-        return spark.createDataFrame([], DESC_CACHE)
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The cache table; a missing table is an empty cache, any other failure is raised."""
+    return read_or_empty(spark, path, DESC_CACHE)
 
 
 def read_tracker(spark: SparkSession, path: str, run_tabs: Sequence[str] | None = None) -> DataFrame:
     """Tracker history; ``run_tabs`` prunes partitions."""
-    try:
-        t = spark.read.schema(TRACKER).parquet(path)
-    except Exception:  # noqa: BLE001
-        return spark.createDataFrame([], TRACKER)
+    t = read_or_empty(spark, path, TRACKER)
     return t.where(F.col("run_tab").isin(list(run_tabs))) if run_tabs else t
 
 

@@ -39,7 +39,7 @@ def extract_jsonld(pages: DataFrame, type_: str | None = None, id_cols: Sequence
     return pages.select(*id_cols, ld.alias("ld"))
 
 
-EMBEDDED_RE = r'(?is)<script[^>]*type="application/(?:ld\+)?json"[^>]*>(.*?)</script>'
+EMBEDDED_RE = r'''(?is)<script[^>]*type=["']application/(?:ld\+)?json["'][^>]*>(.*?)</script>'''
 
 
 def ingest_embedded(pages: DataFrame, paths: Sequence[str] = POSTING_PATHS, id_cols: Sequence[str] = ("page_id",),

@@ -13,6 +13,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,15 +24,16 @@ from jobtide.functions.salary import salary_text
 from jobtide.functions.urls import identity_key, url_key
 from jobtide.operators.cache import cache_prune, cache_upsert
 from jobtide.schema import COLLECT_FILE
-from jobtide.sources.landing import explode_collect
+from jobtide.sources.landing import explode_collect, read_or_empty
 
 
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
-def land_json(df: DataFrame, path: str, files: int = 8) -> str:
-    """Write rows as JSON-lines files (a landing folder for a file stream)."""
-    df.repartition(files).write.mode("overwrite").option("timestampFormat", TS_FORMAT).json(path)
+def land_json(df: DataFrame, path: str, files: int | None = None) -> str:
+    """Write rows as JSON-lines files (a landing folder for a file stream); ``files`` deals them anew."""
+    df = df.repartition(files) if files else df
+    df.write.mode("overwrite").option("timestampFormat", TS_FORMAT).json(path)
     return path
 
 
@@ -40,11 +43,15 @@ def _run(q) -> None:
         raise q.exception()
 
 
-def stream_collect(spark: SparkSession, src: str, out: str, checkpoint: str, files_per_trigger: int = 2) -> None:
+def _stream(spark: SparkSession, schema: T.StructType, files_per_trigger: int | None):
+    r = spark.readStream.schema(schema)
+    return r.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else r
+
+
+def stream_collect(spark: SparkSession, src: str, out: str, checkpoint: str, files_per_trigger: int | None = None) -> None:
     """Collect documents (JSON lines) → exploded offers → tracker columns."""
     schema = T.StructType(COLLECT_FILE.fields + [T.StructField("run_id", T.StringType())])
-    docs = (spark.readStream.schema(schema)
-            .option("maxFilesPerTrigger", files_per_trigger).json(src))
+    docs = _stream(spark, schema, files_per_trigger).json(src)
     offers = explode_collect(docs)
     rows = offers.select(
         "run_id", "source", "position", url_key("url").alias("url_key"),
@@ -60,16 +67,31 @@ def stream_collect(spark: SparkSession, src: str, out: str, checkpoint: str, fil
 
 
 def stream_dedup(spark: SparkSession, src: str, schema: T.StructType, out: str, checkpoint: str,
-                 delay: str = "31 days", files_per_trigger: int = 2) -> None:
-    """Streaming within-run dedup on the identity key (event time = landed_at)."""
-    s = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-         .option("timestampFormat", TS_FORMAT).json(src)
-         .withColumn("landed_at", F.col("landed_at").cast("timestamp"))
-         .withColumn("identity_key", identity_key("url", "source")))
-    d = (s.where(F.col("identity_key") != "").withWatermark("landed_at", delay)
-         .dropDuplicatesWithinWatermark(["run_id", "identity_key"]))
-    _run(d.select("run_id", "identity_key", "source", "position").writeStream.format("parquet")
-         .option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
+                 files_per_trigger: int | None = None) -> None:
+    """Streaming within-run dedup on the identity key, first arrival kept.
+
+    The kept keys are the sink table itself, partitioned by run: a micro-batch drops its own
+    duplicates, then the keys its runs already hold (only those runs' partitions are read), and
+    appends the rest.  No watermark, so a row that comes late by any time is still judged.  A
+    batch that is replayed after a failure finds its own rows under its batch number and
+    replaces them."""
+    s = _stream(spark, schema, files_per_trigger).option("timestampFormat", TS_FORMAT).json(src) \
+        .withColumn("identity_key", identity_key("url", "source")).where(F.col("identity_key") != "")
+    kept = T.StructType([T.StructField("identity_key", T.StringType()), T.StructField("source", T.StringType()),
+                         T.StructField("position", schema["position"].dataType),
+                         T.StructField("batch_id", T.LongType()), T.StructField("run_id", T.StringType())])
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        sp = batch.sparkSession
+        new = batch.groupBy("run_id", "identity_key").agg(
+            F.min_by(F.struct("source", "position"), F.struct("landed_at", "source", "position")).alias("w")) \
+            .select("identity_key", "w.source", "w.position", F.lit(batch_id).cast("bigint").alias("batch_id"), "run_id")
+        old = read_or_empty(sp, out, kept).where(F.col("batch_id") != batch_id).select("run_id", "identity_key")
+        fresh = new.join(old, ["run_id", "identity_key"], "left_anti")
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy("batch_id", "run_id").parquet(out)
+
+    _run(s.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
 
 
@@ -77,32 +99,70 @@ CACHE_ROW = T.StructType([T.StructField("url_key", T.StringType()), T.StructFiel
                           T.StructField("event_id", T.LongType()), T.StructField("description", T.StringType())])
 
 
+N_BUCKETS = 64
+
+
+def _bucket(key: str = "url_key"):
+    return F.pmod(F.xxhash64(key), F.lit(N_BUCKETS)).cast("int")
+
+
+POINTER = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("version", T.LongType()),
+                        T.StructField("newest", T.TimestampType())])
+BUCKETED = T.StructType([*CACHE_ROW.fields, T.StructField("version", T.LongType()),
+                         T.StructField("bucket", T.IntegerType())])
+
+
+def _pointer(spark: SparkSession, base: str, upto: int | None = None) -> DataFrame:
+    """The newest version of each bucket (at most N_BUCKETS rows per version)."""
+    p = read_or_empty(spark, f"{base}/pointer", T.StructType([*POINTER.fields, T.StructField("v", T.LongType())]))
+    if upto is not None:
+        p = p.where(F.col("v") < upto)
+    return p.groupBy("bucket").agg(F.max_by("version", "v").alias("version"), F.max_by("newest", "v").alias("newest"))
+
+
 def stream_cache(spark: SparkSession, src: str, base: str, checkpoint: str, ttl_days: int = 60,
-                 files_per_trigger: int = 2) -> None:
-    """Streaming cache upsert + TTL prune into versioned tables ``base/v=<batch>``.
-    The TTL clock is event time (the newest fetch seen so far)."""
-    s = (spark.readStream.schema(CACHE_ROW).option("maxFilesPerTrigger", files_per_trigger)
-         .option("timestampFormat", TS_FORMAT).json(src))
+                 files_per_trigger: int | None = None) -> None:
+    """Streaming cache upsert + TTL prune.
+
+    The cache lies in N_BUCKETS key buckets.  A micro-batch reads and rewrites only the buckets
+    its keys fall in, as new files under its own version, and then writes the pointer rows of
+    those buckets; files that may be read are never overwritten and a replayed batch writes the
+    same version again.  The TTL clock is event time (the newest fetch seen so far)."""
+    s = _stream(spark, CACHE_ROW, files_per_trigger).option("timestampFormat", TS_FORMAT).json(src)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         sp = batch.sparkSession
-        try:
-            prev = sp.read.parquet(f"{base}/v={batch_id - 1}") if batch_id > 0 else None
-        except Exception:  # noqa: BLE001 - no previous version yet
-            prev = None
-        current = prev if prev is not None else sp.createDataFrame([], CACHE_ROW)
-        merged = cache_upsert(current, batch.select(*CACHE_ROW.fieldNames()), tie="event_id", prefer_new=False)
-        # The TTL clock: one aggregate value (newest fetch so far) read on the driver.
-        now = merged.agg(F.max("fetched_at")).first()[0]
-        pruned = cache_prune(merged, F.lit(now).cast("timestamp"), ttl_days) if now is not None else merged
-        pruned.write.mode("overwrite").parquet(f"{base}/v={batch_id}")
+        batch = batch.select(*CACHE_ROW.fieldNames()).withColumn("bucket", _bucket())
+        newest = batch.groupBy("bucket").agg(F.max("fetched_at").alias("newest")).collect()    # ≤ N_BUCKETS rows
+        if not newest:
+            return
+        point = {r["bucket"]: r for r in _pointer(sp, base, batch_id).collect()}               # ≤ N_BUCKETS rows
+        touched = [r["bucket"] for r in newest]
+        reads = [(b, point[b]["version"]) for b in touched if b in point]
+        data = read_or_empty(sp, f"{base}/data", BUCKETED)
+        old = data.where(F.struct("bucket", "version").isin([F.struct(F.lit(b), F.lit(v).cast("bigint")) for b, v in reads])
+                         if reads else F.lit(False))
+        merged = cache_upsert(old.select(*CACHE_ROW.fieldNames()), batch.select(*CACHE_ROW.fieldNames()),
+                              tie="event_id", prefer_new=False)
+        seen = {b: r["newest"] for b, r in point.items()}
+        for r in newest:
+            seen[r["bucket"]] = max(x for x in (r["newest"], seen.get(r["bucket"]), dt.datetime.min) if x is not None)
+        now = max(seen.values())
+        pruned = cache_prune(merged, F.lit(now).cast("timestamp"), ttl_days)
+        pruned.withColumn("version", F.lit(batch_id).cast("bigint")).withColumn("bucket", _bucket()) \
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy("version", "bucket").parquet(f"{base}/data")
+        sp.createDataFrame([(b, batch_id, seen[b]) for b in touched], POINTER).coalesce(1) \
+            .write.mode("overwrite").parquet(f"{base}/pointer/v={batch_id}")
 
     _run(s.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
 
 
-def latest_version(spark: SparkSession, base: str) -> DataFrame:
-    """Read the newest cache version written by ``stream_cache``."""
-    versions = spark.read.parquet(base)
-    top = versions.agg(F.max("v").alias("_v"))
-    return versions.join(F.broadcast(top), versions["v"] == top["_v"]).drop("v", "_v")
+def latest_version(spark: SparkSession, base: str, ttl_days: int = 60) -> DataFrame:
+    """The cache as of now: each bucket's newest version, entries beyond the TTL left out."""
+    point = _pointer(spark, base)
+    now = point.agg(F.max("newest")).first()[0]
+    data = read_or_empty(spark, f"{base}/data", BUCKETED)
+    live = data.join(F.broadcast(point.select("bucket", "version")), ["bucket", "version"])     # ≤ N_BUCKETS rows
+    return cache_prune(live, F.lit(now).cast("timestamp"), ttl_days).select(*CACHE_ROW.fieldNames())

@@ -133,18 +133,38 @@ def test_salary_text_place_form_display(spark):
     assert [g["d"] for g in got] == ["OLX", "nope", "", "Indeed"]
 
 
-def test_block_flag_windows(spark):
-    body = "x" * 700 + " captcha"
+def test_block_flag_searches_the_whole_body(spark):
+    body = "x" * 7000 + " captcha"
     df = spark.createDataFrame([(body, 200), ("ok", 429), ("fine", 200)], "b string, s int")
-    got = df.select(C.block_flag("b", "s", 600).alias("olx"), C.block_flag("b", "s", 2000).alias("nfj")).collect()
-    assert [(g["olx"], g["nfj"]) for g in got] == [(False, True), (True, True), (False, False)]
+    got = df.select(C.block_flag("b", "s").alias("f"), C.block_mark("b").alias("m")).collect()
+    assert [tuple(g) for g in got] == [(True, "captcha"), (True, None), (False, None)]
 
 
 def test_block_needles_skipped_when_content_present(spark):
     page = '<script type="application/ld+json">{"@type": "JobPosting"}</script><script>captcha()</script>'
     df = spark.createDataFrame([(page, 200), ("<html>captcha</html>", 200)], "b string, s int")
-    got = df.select(C.block_flag("b", "s", 6000, has_content=C.detail_has_content(F.col("b"), "justjoin"))).collect()
+    got = df.select(C.block_flag("b", "s", has_content=C.detail_has_content(F.col("b"), "justjoin"))).collect()
     assert [g[0] for g in got] == [False, True]
     js = spark.createDataFrame([('{"data": {"description": "captcha"}}', 200), ("captcha", 200)], "b string, s int")
-    got = js.select(C.block_flag("b", "s", 600, has_content=C.detail_has_content(F.col("b"), "olx"))).collect()
+    got = js.select(C.block_flag("b", "s", has_content=C.detail_has_content(F.col("b"), "olx"))).collect()
     assert [g[0] for g in got] == [False, True]
+
+
+def test_tags_and_entities_as_a_parser_reads_them(spark):
+    from jobtide.functions.html import decode_entities, dom_text, jsonld_blocks
+    cases = {"wiek <3 lata, staż > 1 rok": "wiek <3 lata, staż > 1 rok", "a<b>c</b> < d <!-- x -->e": "ac < d e",
+             "Kr&oacute;l &Oacute; &Lstrok;&lstrok;": "Król Ó Łł", "&amp;lt; &copy 2024 &ampx &#150;&#x41;&#65 &nope;":
+             "&lt; © 2024 &x –AA &nope;", "&#0; &#xD800; &": "&#0; &#xD800; &"}
+    df = spark.createDataFrame([(k,) for k in cases], "h string")
+    assert {r.h: r.t for r in df.select("h", dom_text("h").alias("t")).collect()} == cases
+    assert df.where("h like 'Kr%'").select(decode_entities("h")).first()[0] == "Król Ó Łł"
+    page = """<script type='application/ld+json'>{"a": 1}</script>"""
+    assert spark.createDataFrame([(page,)], "h string").select(jsonld_blocks("h")).first()[0] == ['{"a": 1}']
+
+
+def test_long_texts_stay_whole(spark):
+    from jobtide.functions.html import PROFILES, html_to_text
+    from jobtide.functions.text import whole_text
+    df = spark.createDataFrame([("<p>" + "słowo " * 5000 + "koniec</p>",)], "h string")
+    got = df.select(F.length(whole_text("h")).alias("w"), *[html_to_text("h", p).alias(p) for p in PROFILES]).first()
+    assert got["w"] == 30_013 and all(got[p].endswith("koniec") and len(got[p]) == 30_006 for p in PROFILES)

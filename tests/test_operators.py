@@ -10,7 +10,7 @@ from jobtide.operators import enrich as EN
 from jobtide.operators.dedup import dedup_run
 from jobtide.operators.numbering import number_within
 from jobtide.operators.outcomes import RULES, resolve_outcomes, run_status
-from jobtide.operators.positional import cap_per_source, run_names
+from jobtide.operators.positional import budget_report, run_names
 
 
 def test_merge_fill_group_guard(spark):
@@ -116,11 +116,11 @@ def test_dedup_run_first_wins_and_idempotent(spark):
     assert sorted(tuple(r) for r in dedup_run(once).collect()) == sorted(tuple(r) for r in once.collect())
 
 
-def test_cap_per_source(spark):
+def test_budget_report_counts_and_drops_nothing(spark):
     df = spark.range(1, 21).select(F.lit("R").alias("run_id"), F.when(F.col("id") % 2 == 0, "a").otherwise("b")
                                    .alias("source"), F.col("id").alias("position"))
-    got = cap_per_source(df, {"a": 3}).groupBy("source").count().collect()
-    assert {r["source"]: r["count"] for r in got} == {"a": 3, "b": 10}
+    got = {r["source"]: (r["rows"], r["budget"], r["beyond"]) for r in budget_report(df, {"a": 3}).collect()}
+    assert got == {"a": (10, 3, 7), "b": (10, None, 0)}
 
 
 def test_param_present_key_without_label_does_not_fall_through(spark):
@@ -128,10 +128,51 @@ def test_param_present_key_without_label_does_not_fall_through(spark):
     assert df.select(EN.param("p", ["agreement", "type"])).first()[0] is None
 
 
-def test_cap_pages(spark):
-    from jobtide.operators.positional import cap_pages
-    df = spark.createDataFrame([("olx", p) for p in range(1, 13)] + [("indeed", p) for p in range(1, 4)] + [("x", 9)],
-                               "source string, page_no int")
-    got = {r["source"]: r["n"] for r in cap_pages(df, {"olx": 10, "indeed": 2}).groupBy("source")
-           .agg(F.count("*").alias("n")).collect()}
-    assert got == {"olx": 10, "indeed": 2, "x": 1}
+def test_detail_messages_by_source(spark):
+    rows = [("no id", None, False, True, None, True), ("forbidden", 403, True, False, None, True),
+            ("needle", 200, True, False, None, True), ("server", 500, False, False, None, True),
+            ("net", 0, False, False, "boom", True), ("silent", 0, False, False, None, True),
+            ("odd body", 200, False, False, None, False), ("empty", 200, False, False, None, True)]
+    att = spark.createDataFrame([(name, "s", 1, f"k{name}", st, False, no_id, blocked, None, parsed, err, "captcha")
+                                 for name, st, blocked, no_id, err, parsed in rows],
+                                "run_id string, source string, position long, url_key string, status int, "
+                                "cache_hit boolean, no_slug boolean, blocked boolean, description string, "
+                                "parsed boolean, error string, block_mark string")
+    want = {
+        "justjoin": ["no slug", "http 403", "block-signal: captcha", "http 500", "boom", "no result", "ld+json not found",
+                     "empty description"],
+        "rocketjobs": ["no slug", "http 403", "block signal", "http 500", "fetch boom", "empty result",
+                       "ld+json JobPosting not found", "empty description"],
+        "talentdays": ["no slug", "http 403", "block signal", "http 500", "fetch boom", "no content", "bad json (http 200)",
+                       "no content"],
+        "nofluffjobs": ["no slug in url", "blocked (status 403)", "blocked (status 200)", "detail fetch failed (status 500)",
+                        "detail fetch failed (status 0)", "detail fetch failed (status 0)",
+                        "detail fetch failed (status 200)", None],
+        "olx": ["no ad id on card", None, None, "HTTP 500", "HTTP 0 / boom", "HTTP 0", "HTTP 200", None],
+    }
+    for source, texts in want.items():
+        got = {r["run_id"]: r["detail_error"] for r in resolve_outcomes(att, RULES[source]).collect()}
+        assert [got[name] for name, *_ in rows] == texts, source
+
+
+def test_fill_takes_each_salary_field_on_its_own(spark):
+    df = spark.createDataFrame([(None, 8000.0, "PLN", None), (None, 8000.0, None, (5000.0, 9000.0, "EUR")),
+                                (1.0, None, None, (5000.0, 9000.0, "EUR"))],
+                               "salary_from double, salary_to double, salary_currency string, "
+                               "det struct<salary_from: double, salary_to: double, salary_currency: string>")
+    f = ["salary_from", "salary_to", "salary_currency"]
+    got = [tuple(r) for r in EN.merge_fill(df, "det", [], group=f, group_guard="salary_from").select(*f).collect()]
+    assert got == [(None, 8000.0, "PLN"), (5000.0, 8000.0, "EUR"), (1.0, None, None)]
+
+
+def test_block_signals_of_each_source(spark):
+    from jobtide.operators.status import block_signal
+    rows = [("justjoin", 200, "cloudflare", "", "", ""), ("indeed", 200, "cloudflare", "", "", ""),
+            ("indeed", 200, "", "Just a moment", "", ""), ("indeed", 503, "", "", "", ""), ("olx", 503, "", "", "", ""),
+            ("pracuj", 200, "", "", "https://x/__cf?", ""), ("theprotocol", 200, "", "", "", "Challenge"),
+            ("olx", 200, "", "", "https://x/captcha", ""), ("talentdays", 429, None, None, None, None)]
+    df = spark.createDataFrame(rows, "source string, status int, text string, title string, final_url string, "
+                                     "cf_mitigated string")
+    got = [r[0] for r in df.select(block_signal(df.columns)).collect()]
+    assert got == [False, True, True, True, False, True, True, True, True]
+    assert df.select("source", "status", "text").select(block_signal(["source", "status", "text"])).count() == len(rows)

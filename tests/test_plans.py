@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from jobtide.operators.dedup import dedup_run
 from jobtide.operators.numbering import number_within
-from jobtide.operators.positional import cap_per_source
 
 
 def _plan(df):
@@ -26,14 +25,6 @@ def test_dedup_is_a_partial_aggregate_not_a_window(spark):
     assert out.count() == 1 + 2000
 
 
-def test_cap_plans_window_group_limit_before_shuffle(spark):
-    df = spark.range(0, 2000).select((F.col("id") % 2).cast("string").alias("run_id"),
-                                     F.when(F.col("id") % 3 == 0, "justjoin").otherwise("olx").alias("source"),
-                                     F.col("id").alias("position"))
-    plan = _plan(cap_per_source(df, {"justjoin": 1000}))
-    assert "WindowGroupLimit" in plan
-
-
 def test_numbering_hot_group_spans_partitions(spark):
     df = spark.range(0, 6000).select((F.col("id") % 3 == 0).cast("int").alias("g"), F.col("id").alias("o"))
     out = number_within(df, ["g"], ["o"], "rn", partitions=6)

@@ -20,7 +20,7 @@ from jobtide.plans.adapters import adapter
 from jobtide.plans.registry import query
 from jobtide.schema import OFFER, SOURCES
 from jobtide.sources.landing import explode_collect, ingest_board_api, ingest_cards, ingest_postings
-from jobtide.sources.pages import extract_jsonld, harvest_links
+from jobtide.sources.pages import extract_jsonld, harvest_links, jsonld
 
 _RN = "CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT)"
 
@@ -372,13 +372,12 @@ SELECT page_id, json_extract_string(ld, '$.title') AS title, json_extract_string
 FROM j""")
 def q_jsonld(spark, sf):
     p = adapter(spark, sf, "jsonld_pg")
-    jp = extract_jsonld(p, "JobPosting")
-    first = extract_jsonld(p, None).select("page_id", F.try_variant_get("ld", "$['@type']", "string").alias("first_type"))
+    both = p.select("page_id", jsonld("html", "JobPosting").alias("ld"), jsonld("html").alias("first"))
     ld = F.col("ld")
-    out = jp.select("page_id", F.try_variant_get(ld, "$.title", "string").alias("title"),
+    return both.select("page_id", F.try_variant_get(ld, "$.title", "string").alias("title"),
                     F.try_variant_get(ld, "$.validThrough", "string").alias("valid_through"),
-                    html_to_text(F.try_variant_get(ld, "$.description", "string"), "rocketjobs").alias("description"))
-    return out.join(first, "page_id")
+                    html_to_text(F.try_variant_get(ld, "$.description", "string"), "rocketjobs").alias("description"),
+        F.try_variant_get("first", "$['@type']", "string").alias("first_type"))
 
 
 @query("q_first_nonempty", sql=f"""

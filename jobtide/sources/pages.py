@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.functions.common import js_trim
@@ -23,20 +23,24 @@ def harvest_links(pages: DataFrame, marker: str, id_cols: Sequence[str] = ("page
     return dedup_first(a, "href", ["link_pos"], list(id_cols))
 
 
-def extract_jsonld(pages: DataFrame, type_: str | None = None, id_cols: Sequence[str] = ("page_id",),
-                   html: str = "html") -> DataFrame:
-    """A10: first JSON-LD block (``type_`` None) or the first block / array element whose
-    ``@type`` equals ``type_``; parsed as VARIANT (``ld``), null when none."""
+def jsonld(html="html", type_: str | None = None) -> Column:
+    """A10 as a column: the first JSON-LD block (``type_`` None) or the first block / array
+    element whose ``@type`` equals ``type_``, as VARIANT; null when none."""
     blocks = F.transform(jsonld_blocks(html), lambda b: F.try_parse_json(b))
     if type_ is None:
-        ld = F.get(blocks, 0)
-    else:
-        def cands(b):
-            is_arr = F.schema_of_variant(b).startswith("ARRAY")
-            return F.when(is_arr, F.try_variant_get(b, "$", "array<variant>")).otherwise(F.array(b))
-        flat = F.flatten(F.transform(F.filter(blocks, lambda b: b.isNotNull()), cands))
-        ld = F.get(F.filter(flat, lambda x: F.try_variant_get(x, "$['@type']", "string") == F.lit(type_)), 0)
-    return pages.select(*id_cols, ld.alias("ld"))
+        return F.get(blocks, 0)
+
+    def cands(b):
+        is_arr = F.schema_of_variant(b).startswith("ARRAY")
+        return F.when(is_arr, F.try_variant_get(b, "$", "array<variant>")).otherwise(F.array(b))
+    flat = F.flatten(F.transform(F.filter(blocks, lambda b: b.isNotNull()), cands))
+    return F.get(F.filter(flat, lambda x: F.try_variant_get(x, "$['@type']", "string") == F.lit(type_)), 0)
+
+
+def extract_jsonld(pages: DataFrame, type_: str | None = None, id_cols: Sequence[str] = ("page_id",),
+                   html: str = "html") -> DataFrame:
+    """A10: ids and ``ld`` of every page."""
+    return pages.select(*id_cols, jsonld(html, type_).alias("ld"))
 
 
 EMBEDDED_RE = r'''(?is)<script[^>]*type=["']application/(?:ld\+)?json["'][^>]*>(.*?)</script>'''

@@ -13,6 +13,7 @@ looser and more hashes pass; none is lost.  Tasks beyond what one task a slice c
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,8 +105,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.minimum(row + np.minimum(add, 2), 2, out=row, casting="unsafe")
     for (s, salt), count in held.items():
         yield pa.RecordBatch.from_pydict({
-            "slice": pa.array([s], pa.int32()), "one": pa.array([np.packbits(count >= 1).tobytes()], pa.binary()),
-            "two": pa.array([np.packbits(count >= 2).tobytes()], pa.binary())})
+            "slice": pa.array([s], pa.int32()),
+            "one": pa.array([zlib.compress(np.packbits(count >= 1).tobytes(), 1)], pa.binary()),
+            "two": pa.array([zlib.compress(np.packbits(count >= 2).tobytes(), 1)], pa.binary())})
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,13 +115,26 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
         for s, *raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            one, two = (np.frombuffer(x, np.uint8) for x in raw)
+            one, two = (np.frombuffer(zlib.decompress(x), np.uint8) for x in raw)
             if s in held:
                 one, two = held[s][0] | one, held[s][1] | two | held[s][0] & one
             held[s] = one, two
     for s, (one, two) in held.items():
         yield pa.RecordBatch.from_pydict({"slice": pa.array([s], pa.int32()), "one": pa.array([b""], pa.binary()),
-                                          "two": pa.array([two.tobytes()], pa.binary())})
+                                          "two": pa.array([zlib.compress(two.tobytes(), 1)], pa.binary())})
+
+
+class _Bits:
+    """The slices' bits, compressed as they travel and opened once in a worker process."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.blobs, self.open = blobs, None
+
+    def array(self) -> np.ndarray:
+        if self.open is None:
+            raw = b"".join(zlib.decompress(b) if b else bytes(SLICE_BYTES) for b in self.blobs)
+            self.open, self.blobs = np.frombuffer(raw, np.uint8), []
+        return self.open
 
 
 class Repeated:
@@ -130,13 +145,13 @@ class Repeated:
         merged = parts.repartition(n_slices * fan, "slice", "salt").mapInArrow(_count, planes)
         if fan > 1:
             merged = merged.repartition(n_slices, "slice").mapInArrow(_add, planes)
-        bits = bytearray(n_slices * SLICE_BYTES)
-        for row in merged.select("slice", "two").collect():      # bounded: MAX_SLICES slices
-            bits[row["slice"] * SLICE_BYTES:(row["slice"] + 1) * SLICE_BYTES] = row["two"]
-        self.n_slices, self.held = n_slices, parts.sparkSession.sparkContext.broadcast(bytes(bits))
+        # bounded: MAX_SLICES slices
+        blobs = {row["slice"]: bytes(row["two"]) for row in merged.select("slice", "two").collect()}
+        bits = _Bits([blobs.get(s, b"") for s in range(n_slices)])
+        self.n_slices, self.held = n_slices, parts.sparkSession.sparkContext.broadcast(bits)
 
     def maybe(self, h: np.ndarray) -> np.ndarray:
-        bits = np.frombuffer(self.held.value, np.uint8)
+        bits = self.held.value.array()
         base = _slice(h, self.n_slices).astype(np.int64) * SLICE_BYTES
         hit = np.ones(len(h), bool)
         for row, at in enumerate(_rows(h & np.uint64((1 << 24) - 1))):

@@ -44,13 +44,14 @@ def _window_hashes(size: int):
 
 
 def _decide(k1, k2, doc, place) -> Iterator[pa.RecordBatch]:
-    """Local decisions as spans (k2 = -1), the smallest document's windows as they are."""
+    """Local decisions as spans (k2 = -1), the smallest document's windows as they are, in text
+    order, in which neighbours compress well."""
     order = np.lexsort((doc, k2, k1))
-    k1, k2, doc, place = k1[order], k2[order], doc[order], place[order]
-    new = np.ones(len(k1), bool)
-    new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-    least = doc[new][np.cumsum(new) - 1]
-    gone = doc > least
+    a, b, d = k1[order], k2[order], doc[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    gone = np.zeros(len(a), bool)
+    gone[order] = d > d[new][np.cumsum(new) - 1]
     d, p = doc[gone], place[gone]
     order = np.lexsort((p, d))
     d, p = d[order], p[order]
@@ -102,7 +103,7 @@ def spans(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     keyed = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"),
                         F.xxhash64("text").bitwiseAND(F.lit(0x7FFF)).cast("int").alias("th"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sketch = repeated(docs.select("text"), _window_hashes(size), total * 3 // 4)
+    sketch = repeated(docs.select("text"), _window_hashes(size), total * 9 // 10)
     found = keyed.mapInArrow(_candidates(size, sketch), "k1 long, k2 int, doc long, place long")
     least = F.min("doc").over(Window.partitionBy("k1", "k2"))
     gone = found.withColumn("least", least).where((F.col("k2") == -1) | (F.col("doc") > F.col("least")))

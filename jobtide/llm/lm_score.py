@@ -114,8 +114,9 @@ def score(docs: DataFrame, target_ids: DataFrame, size: int = VOCABULARY) -> Dat
     v = len(vocab) + 1
     counts = np.zeros((2, (v + 1) * v), np.int64)
     grams = marked.mapInArrow(_bigram_counts(held), "g long, a long, t long") \
-        .groupBy("g").agg(F.sum("a").alias("a"), F.sum("t").alias("t")).toPandas()      # at most (V + 1) V rows
-    counts[0][grams["g"]], counts[1][grams["g"]] = grams["a"], grams["t"]
+        .groupBy("g").agg(F.sum("a").alias("a"), F.sum("t").alias("t")).toArrow()      # at most (V + 1) V rows
+    at = grams["g"].to_numpy()
+    counts[0][at], counts[1][at] = grams["a"].to_numpy(), grams["t"].to_numpy()
     model = sc.broadcast((losses(counts[1], v).tobytes(), losses(counts[0], v).tobytes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

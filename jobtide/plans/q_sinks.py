@@ -16,7 +16,7 @@ from jobtide.plans.run import run_list, run_writer
 from jobtide.schema import OFFER, TRACKER, TRACKER_COLUMNS
 from jobtide.session import scratch_path
 from jobtide.sinks import export as SK
-from jobtide.sources.landing import read_tracker
+from jobtide.sources.landing import quarantine_payloads, read_tracker
 
 
 def _position():
@@ -122,3 +122,15 @@ def q_run_writer(spark, sf):
     for second in (1, 9, 9):
         run_writer(spark, src, dt.datetime(2024, 5, 1, 8, 0, second), out=out)
     return read_tracker(spark, f"{out}/tracker").select("run_tab", url_key("url").alias("url_key"))
+
+
+@query("q_quarantine", sql="""
+SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'no postings' WHEN 2 THEN 'not json' WHEN 3 THEN 'no payload'
+               ELSE 'no postings' END AS reason FROM {{text_doc}} WHERE doc_id % 5 <> 0""")
+def q_quarantine(spark, sf):
+    """A1–A3: landed payloads that give no postings, with the reason."""
+    d, k = adapter(spark, sf, "text_doc"), F.col("doc_id") % 5
+    payload = (F.when(k == 0, F.to_json(F.struct(F.array(F.struct("text")).alias("postings"))))
+               .when(k == 1, F.to_json(F.struct(F.struct("text").alias("elsewhere"))))
+               .when(k == 2, F.concat(F.lit("{"), "text")).when(k == 4, F.lit('{"postings": []}')))
+    return quarantine_payloads(d.select("doc_id", payload.alias("payload")))

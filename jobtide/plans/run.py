@@ -170,4 +170,4 @@ def run_writer(spark: SparkSession, collect_path: str, started_at: dt.datetime,
         if not earlier.where(F.col("run_id") == run_id).take(1):
             spark.createDataFrame([(run_id, started_at)], RUNS).write.mode("append").parquet(f"{out}/runs")
     return {"offers": deduped.withColumn("identity_key", identity_key("url", "source")), "tracker": tracker,
-            "summary": summary, "file_stamp": spark.createDataFrame([(name["export_stamp"],)], "stamp string")}
+            "summary": summary, "quarantine": L.quarantine_files(spark, collect_path), "file_stamp": spark.createDataFrame([(name["export_stamp"],)], "stamp string")}

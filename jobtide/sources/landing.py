@@ -63,12 +63,38 @@ def explode_collect(docs: DataFrame) -> DataFrame:
                                                         F.col("_file_source")).alias("_src"))
 
 
-def read_collect(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """A1: every ``*.json`` collect file under ``path``; corrupt files yield no offers."""
-    docs = (spark.read.schema(COLLECT_FILE).option("multiLine", multi_line).option("mode", "PERMISSIVE")
-            .option("pathGlobFilter", "*.json").json(path)
+def _documents(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """Collect documents with their file and, for what is not JSON, the raw text in ``_raw``."""
+    schema = T.StructType([*COLLECT_FILE.fields, T.StructField("_raw", S)])
+    return (spark.read.schema(schema).option("multiLine", multi_line).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "_raw").option("pathGlobFilter", "*.json").json(path)
             .withColumn("_file", F.col("_metadata.file_path")))
-    return explode_collect(docs)
+
+
+def read_collect(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A1: every ``*.json`` collect file under ``path``; what yields no offers is reported by
+    ``quarantine_files``."""
+    return explode_collect(_documents(spark, path, multi_line).drop("_raw"))
+
+
+def quarantine_files(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """file, reason of the collect documents that give no offers: not JSON, or no offers array."""
+    reason = F.when(F.col("_raw").isNotNull(), F.lit("not json")).when(F.col("offers").isNull(), F.lit("no offers array"))
+    return _documents(spark, path, multi_line).select(F.col("_file").alias("file"), reason.alias("reason")) \
+        .where(F.col("reason").isNotNull())
+
+
+def quarantine_payloads(landing: DataFrame, paths: Sequence[str] = POSTING_PATHS, payload: str = "payload") -> DataFrame:
+    """The landed rows (without payload) that ``ingest_postings`` gets nothing from, with the
+    reason: no payload, not JSON, or no posting array at any candidate path."""
+    v = F.try_parse_json(F.col(payload))
+    found = F.lit(False)
+    for p in paths:
+        found = found | F.coalesce(F.size(F.try_variant_get(v, p, "array<variant>")) > 0, F.lit(False))
+    reason = (F.when(F.coalesce(F.trim(payload), F.lit("")) == "", F.lit("no payload"))
+              .when(v.isNull(), F.lit("not json")).when(~found, F.lit("no postings")))
+    return landing.select(*[c for c in landing.columns if c != payload], reason.alias("reason")) \
+        .where(F.col("reason").isNotNull())
 
 
 # ---------------------------------------------------------------- A2–A4 list payloads

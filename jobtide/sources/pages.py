@@ -11,16 +11,20 @@ from pyspark.sql import functions as F
 
 from jobtide.functions.common import js_trim
 from jobtide.functions.html import anchors, dom_text, jsonld_blocks
-from jobtide.operators.dedup import dedup_first
 from jobtide.sources.landing import POSTING_PATHS
 
 
 def harvest_links(pages: DataFrame, marker: str, id_cols: Sequence[str] = ("page_id",), html: str = "html") -> DataFrame:
     """Anchors whose href contains ``marker``, distinct per page (first wins), with text."""
-    a = pages.select(*id_cols, F.posexplode(anchors(html)).alias("link_pos", "a"))
-    a = a.where(F.col("a.href").contains(marker)).select(
-        *id_cols, "link_pos", F.col("a.href").alias("href"), js_trim(dom_text(F.col("a.text"), drop_head=False)).alias("text"))
-    return dedup_first(a, "href", ["link_pos"], list(id_cols))
+    every = F.transform(anchors(html), lambda x, i: F.struct(i.alias("link_pos"), x["href"].alias("href"),
+                                                             x["text"].alias("text")))
+    a = pages.select(*id_cols, F.filter(every, lambda x: x["href"].contains(marker)).alias("a"))
+    # All links of a page are in one row, so repeats are found inside the array, without a shuffle.
+    a = a.select(*id_cols, "a", F.col("a.href").alias("h"))
+    first = F.filter("a", lambda x, i: F.array_position(F.col("h"), x["href"]) == i + 1)
+    a = a.select(*id_cols, F.explode(first).alias("x"))
+    return a.select(*id_cols, "x.link_pos", "x.href",
+                    js_trim(dom_text(F.col("x.text"), drop_head=False)).alias("text"))
 
 
 def jsonld(html="html", type_: str | None = None) -> Column:

@@ -121,3 +121,14 @@ def test_cached_offer_returns_all_fields_and_ids_are_checked(spark):
     assert (rows[1].company, rows[1].contract_type, rows[1].experience_level) == ("Firma", "umowa o pracę", "junior")
     assert (rows[1].salary_from, rows[1].salary_to, rows[1].salary_currency) == (5000.0, 8000.0, "PLN")
     assert rows[2].detail_error == "no ad id on card"
+
+
+def test_corrupt_files_are_reported(spark, tmp):
+    for name, text in (("good", '{"source": "olx", "offers": [{"title": "a", "url": "https://x.pl/a"}]}'),
+                       ("bad", "{not json"), ("none", '{"source": "olx"}')):
+        with open(os.path.join(tmp, f"{name}.json"), "w") as f:
+            f.write(text)
+    r = run_writer(spark, tmp, dt.datetime(2024, 5, 1, 8, 0))
+    assert r["offers"].count() == 1
+    assert {os.path.basename(x.file): x.reason for x in r["quarantine"].collect()} == {
+        "bad.json": "not json", "none.json": "no offers array"}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from jobtide.functions.urls import ad_id_from_url, slug_from_url, url_key
 from jobtide.schema import DETAIL_FIELDS
+from jobtide.session import broadcast_if_small
 
 
 def with_url_key(df: DataFrame, url: str = "url", out: str = "url_key") -> DataFrame:
@@ -108,8 +109,8 @@ def param(arr, keys: Sequence[str], field: str = "label") -> Column:
 
 def lookup(df: DataFrame, dim: DataFrame, key: str, dim_key: str, value: str, out: str,
            default: Column | None = None) -> DataFrame:
-    """Broadcast left join to a fixed-size dimension + coalesce to a default."""
-    d = F.broadcast(dim.select(F.col(dim_key).alias("_lk"), F.col(value).alias("_lv")))
+    """Left join to a dimension (broadcast if it is small) + coalesce to a default."""
+    d = broadcast_if_small(dim.select(F.col(dim_key).alias("_lk"), F.col(value).alias("_lv")))
     j = df.join(d, df[key] == d["_lk"], "left")
     return j.withColumn(out, F.coalesce(F.col("_lv"), default if default is not None else F.col(key))) \
         .drop("_lk", "_lv")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobtide.session import broadcast_if_small
+
 # Query-string key aliases → filter field, in priority order per field.
 KEY_ALIASES = {
     "employment_type": ["employment-types", "employment-type", "typ-umowy"],
@@ -62,11 +64,11 @@ def apply_filters(offers: DataFrame, filters: DataFrame, key: str = "source") ->
     """Per field, an offer passes when its source has no filter rows for the field or
     its value equals one of them (case-insensitive; cities as slugs).  The filter rows
     (configuration: a handful per source) are folded into one row per source holding a
-    value set per field, broadcast, and checked with one join and native array tests."""
+    value set per field, broadcast if they are few, and checked with one join and native array tests."""
     sets = filters.groupBy(F.col(key).alias("_fk")).agg(*[
         F.collect_set(F.when(F.col("field") == field, _norm(field, F.col("value")))).alias(f"_f_{field}")
         for field in FIELD_COLUMN])
-    j = offers.join(F.broadcast(sets), offers[key] == sets["_fk"], "left")
+    j = offers.join(broadcast_if_small(sets), offers[key] == sets["_fk"], "left")
     ok = F.lit(True)
     for field, col in FIELD_COLUMN.items():
         allowed = F.col(f"_f_{field}")

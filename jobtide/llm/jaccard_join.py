@@ -44,7 +44,7 @@ SHINGLE = 4
 PERCENT = 85
 LAST_ID = (1 << 63) - 1
 FREQUENT = 3              # a task reports shingles it meets this often
-MAX_FREQUENT = 1 << 19    # frequency classes broadcast; others count as rare (order only, never results)
+MAX_FREQUENT = 1 << 18    # frequency classes broadcast; others count as rare (order only, never results)
 MAX_BROADCAST = 1 << 19
 
 
@@ -175,15 +175,19 @@ def links(docs: DataFrame, reps: DataFrame, size: int = SHINGLE, percent: int =
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     texts = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sketch = repeated(docs.select("text"), _hashes(size), total * 3 // 4)
+    sketch = repeated(docs.select("text"), _hashes(size), total * 4 // 10)
     counts = docs.select("text").mapInArrow(_frequent(size, sketch), "s long, c long") \
-        .groupBy("s").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "s").limit(MAX_FREQUENT).toPandas()
-    counts["s"] = counts["s"].to_numpy(np.int64).view(np.uint64)
-    counts = counts.sort_values("s")
-    level = np.floor(np.log2(counts["c"].to_numpy(np.float64) + 1e-9)).astype(np.uint8)
-    frequent = sc.broadcast((counts["s"].to_numpy(np.uint64).tobytes(), level.tobytes()))
+        .groupBy("s").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "s").limit(MAX_FREQUENT).toArrow()
+    known, many = counts["s"].to_numpy().view(np.uint64), counts["c"].to_numpy()
+    order = np.argsort(known)
+    level = np.floor(np.log2(many[order].astype(np.float64) + 1e-9)).astype(np.uint8)
+    frequent = sc.broadcast((known[order].tobytes(), level.tobytes()))
+    del counts, known, many
     found = texts.mapInArrow(_prefixes(size, percent, sketch, frequent), _ENTRY_SQL)
-    entries = stored(found, "shingle-sets").join(reps.select("id").distinct(), "id", "left_semi") \
+    found = stored(found, "shingle-sets")
+    sketch.held.destroy()       # what they were for is written
+    frequent.destroy()
+    entries = found.join(reps.select("id").distinct(), "id", "left_semi") \
         .dropDuplicates(["id", "n"])
     sets = entries.select("id", "n", "set")
     index = checkpointed(entries.select("id", "n", "unique", F.arrays_zip("tokens", "places").alias("t"))
@@ -215,23 +219,29 @@ def links(docs: DataFrame, reps: DataFrame, size: int = SHINGLE, percent: int =
     meet = (F.col("lead_x") < F.col("lead_y")) & (F.col("comp_x") != F.col("comp_y")) \
         & (100 * F.col("n1_x") >= percent * F.col("n0_y")) & (100 * F.col("n1_y") >= percent * F.col("n0_x")) \
         & ((100 + percent) * F.least("left_x", "left_y") >= percent * (F.col("n0_x") + F.col("n0_y")))
-    pairs = x.join(y, "token").where(meet).select(F.col("lead_x").alias("a"), F.col("lead_y").alias("b")).distinct()
-    known = checkpointed(overlaps(pairs, sets).withColumn("gap", F.col("na") + F.col("nb") - 2 * F.col("both")))
+    meets = checkpointed(x.join(y, "token").where(meet).select(
+        "token", F.col("lead_x").alias("a"), F.col("lead_y").alias("b")))
+    known = checkpointed(overlaps(meets.select("a", "b").distinct(), sets)
+                         .withColumn("gap", F.col("na") + F.col("nb") - 2 * F.col("both")))
+    direct = known.where(_linked(percent)).select("a", "b")
+    # leaders that are linked by now make their clusters one component: nothing is open between them
+    now = checkpointed(components(stars.select("a", "b").union(direct)))
     reach = rest.groupBy("lead").agg(F.max("d").alias("r"), F.max("n").alias("m"))
     near = known.join(reach.toDF("a", "ra", "ma"), "a").join(reach.toDF("b", "rb", "mb"), "b") \
         .where(~_far(F.col("gap") - F.col("ra") - F.col("rb"), F.col("ma") + F.col("mb"), percent)) \
-        .where("ra + rb > 0").select("a", "b", "gap")
-    u, v = (rest.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "place", "comp", "lead", "d")))
-            for s in "uv")
-    single = u.join(near, F.col("lead_u") == F.col("a")).join(
-        v.withColumnRenamed("token", "t"), (F.col("lead_v") == F.col("b")) & (F.col("token") == F.col("t"))) \
-        .where(F.col("comp_u") != F.col("comp_v")) \
+        .where("ra + rb > 0").join(now.toDF("a", "ca"), "a", "left").join(now.toDF("b", "cb"), "b", "left") \
+        .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "gap", "rb", "mb")
+    lists = meets.join(near, ["a", "b"])
+    u, v = (rest.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "place", "lead", "d"))) for s in "uv")
+    left = lists.join(u.withColumnRenamed("lead_u", "a"), ["token", "a"]) \
+        .where(~_far(F.col("gap") - F.col("d_u") - F.col("rb"), F.col("n_u") + F.col("mb"), percent))
+    single = left.join(v.withColumnRenamed("lead_v", "b"), ["token", "b"]) \
         .where((F.col("id_u") != F.col("a")) | (F.col("id_v") != F.col("b"))) \
         .where(~_far(F.col("gap") - F.col("d_u") - F.col("d_v"), F.col("n_u") + F.col("n_v"), percent)) \
         .where((100 + percent) * F.least(F.col("n_u") - F.col("place_u"), F.col("n_v") - F.col("place_v"))
                >= percent * (F.col("n_u") + F.col("n_v"))) \
         .select(F.col("id_u").alias("a"), F.col("id_v").alias("b")).distinct()
-    return stars.select("a", "b").union(known.where(_linked(percent)).select("a", "b")) \
+    return stars.select("a", "b").union(direct) \
         .union(overlaps(single, sets).where(_linked(percent)).select("a", "b"))
 
 

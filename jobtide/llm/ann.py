@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from jobtide.llm.common import checkpointed, stored, two_hashes
 
 SAMPLE = 32_768
-PER_LIST = 128
+PER_LIST = 512
 MAX_LISTS = 4096
 REPLICAS = 8        # lists a vector may be copied to
 CLOSURE = 1.02      # ... if their centroid is at most this much farther than the nearest

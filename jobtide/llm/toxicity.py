@@ -4,7 +4,7 @@ Fitting uses a bounded sample of labelled documents (``MAX_TOXIC`` toxic, ``MAX_
 hash of doc_id; longer texts than ``MAX_TRAIN_BYTES`` are not sampled).  Documents are labelled, tokens
 are not, so tokens are labelled first: a word is toxic where it stands in a toxic document and its form or
 one of its beginnings is tied to toxic documents (likelihood ratio and lift).  A two-state chain over word
-forms, beginnings and ends is then fitted to those tokens by gradient ascent on the conditional
+forms and beginnings is then fitted to those tokens by gradient ascent on the conditional
 likelihood, and a logistic curve from the documents' marginals to their labels.
 
 Scoring runs forward-backward over all words of each whole text.  A document's score comes from its largest
@@ -30,8 +30,9 @@ MAX_TOXIC = 1000
 MAX_CLEAN = 2000
 MAX_TRAIN_BYTES = 200_000
 THRESHOLD = 0.7
-MIN_RATIO = 20.0       # likelihood ratio (G squared) of a word form with the label
+MIN_RATIO = 25.0       # likelihood ratio (G squared) of a word form with the label
 MIN_LIFT = 20.0
+COPY_WORD = 9          # letters of a word that tells texts apart
 SEGMENT = 64           # words per training sequence
 MAX_SEGMENTS = 6000
 STEPS = 60
@@ -46,8 +47,7 @@ def held_out():
 
 
 def features(word: str) -> list[str]:
-    return [f"={word}", *(f"<{word[:n]}" for n in range(3, 9) if n <= len(word)),
-            *(f">{word[-n:]}" for n in range(3, 5) if n <= len(word))]
+    return [f"={word}", *(f"<{word[:n]}" for n in range(3, 9) if n <= len(word))]
 
 
 class Model:
@@ -138,7 +138,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
 def _marked(docs: list[list[str]], y: np.ndarray) -> set[str]:
     """Word forms and beginnings tied to toxic documents."""
     toxic: dict[str, int] = {}
-    forms = lambda words: {f for w in set(words) for f in features(w) if f[0] != ">"}
+    forms = lambda words: {f for w in set(words) for f in features(w)}
     for words, mark in zip(docs, y.tolist()):
         for f in forms(words) if mark else ():
             toxic[f] = toxic.get(f, 0) + 1
@@ -158,10 +158,27 @@ def _marked(docs: list[list[str]], y: np.ndarray) -> set[str]:
     return out
 
 
+def _without_copies(rows: list[tuple[list[str], int]]) -> list[tuple[list[str], int]]:
+    """The sample without copies: a text most of whose long words stand in earlier texts says nothing
+    new, and counted again would tie its chance words to its label."""
+    seen: set[str] = set()
+    texts: set[str] = set()
+    out = []
+    for words, toxic in rows:
+        long = {w for w in words if len(w) >= COPY_WORD}
+        if " ".join(words) in texts or len(long & seen) > 0.5 * len(long) and len(long) >= 5:
+            continue
+        texts.add(" ".join(words))
+        seen |= long
+        out.append((words, toxic))
+    return out
+
+
 def fit(rows: list[tuple[str, int]]) -> Model:
     if not rows:
         return Model({}, 0.0, np.zeros((2, 2)), None)
-    docs, y = [_WORD.findall((t or "").lower()) for t, _ in rows], np.array([v for _, v in rows])
+    rows = _without_copies([(_WORD.findall((t or "").lower()), v) for t, v in rows])
+    docs, y = [words for words, _ in rows], np.array([v for _, v in rows])
     marked = _marked(docs, y)
     bad = {w for words in docs for w in set(words) if marked.intersection(features(w))}
     segments = []
@@ -183,11 +200,15 @@ def fit(rows: list[tuple[str, int]]) -> Model:
 def _train(segments: list[tuple[list[str], np.ndarray]]) -> Model:
     """Gradient ascent (Adam) on the conditional likelihood of the tags, with a small L2 penalty."""
     segments = sorted((s for s in segments if s[0]), key=lambda s: len(s[0]))
-    words = sorted({w for s in segments for w in s[0]})
+    many: dict[str, int] = {}
+    for part, _ in segments:
+        for w in part:
+            many[w] = many.get(w, 0) + 1
+    words = sorted(many)
     seen: dict[str, int] = {}
     for w in words:
         for f in features(w):
-            seen[f] = seen.get(f, 0) + 1
+            seen[f] = seen.get(f, 0) + many[w]
     names = sorted(f for f, c in seen.items() if c > 1)
     index = {f: i for i, f in enumerate(names)}
     per = [[index[f] for f in features(w) if f in index] for w in words]

@@ -1,15 +1,20 @@
 """Cross-entropy difference scores from matched n-gram models (operator 7).
 
-Words (lower-cased A-Z, cut at ASCII blanks) of all documents are counted; the ``VOCABULARY`` - 1 most frequent
-make the one vocabulary of both models, all other words are its unknown word.  Bigrams over it are
-counted in the target documents and in all documents (the background), every document counted whole.
-Both models are smoothed alike: p(w | h) = (c(h, w) + MASS p(w)) / (c(h) + MASS), p(w) = (c(w) + 1) / (n + V).
+Words (lower-cased A-Z, cut at ASCII blanks) of all documents make the one vocabulary of both models, which grows
+with the corpus: no word is left out.  Bigrams over it are counted in the target documents and in all documents
+(the background), every document counted whole.
+Both models are smoothed alike: p(w | h) = (c(h, w) + MASS p(w)) / (c(h) + MASS), p(w) = (c(w) + 1) / (n + V), where
+V counts the words and one unknown word.  A caller may ask for a smaller vocabulary (``size``): all but its size - 1
+most frequent words are then the unknown word.
 
 A document's losses are the mean negative log probabilities of its words, the first after a start mark; its score
 is target loss less background loss: the lower, the more it reads like the target.
 
-Word counts grow with the input and are never gathered; what the driver and the tasks hold is the vocabulary
-and its V x V bigram tables, whose size is a parameter.
+Counts are shuffled tables and never gathered.  What a task can tell by itself it sums on the spot: contexts and words
+of the ``MAX_WORDS`` most frequent words, the ``MAX_PAIRS`` most frequent bigrams (both broadcast with exact counts)
+and bigrams that a count-min sketch proves to stand once in the corpus.  Every other occurrence is a row keyed by its
+bigram, or by its word if that is not broadcast; the task that gets a key counts its rows and sends the loss of each
+back to its document.  The bounds change the work, not the result.
 
 Cases: null, empty and blank texts have no tokens, losses 0 and score 0; without target documents the
 target model is uniform; doc_ids that the target table repeats count once, rows of ``docs`` that repeat count
@@ -25,13 +30,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobtide.llm.bytescan import pieces
-from jobtide.llm.common import small
+from jobtide.llm.bytescan import mix, pieces
+from jobtide.llm.common import small, stored
+from jobtide.llm.repeat_sketch import repeated
 
-VOCABULARY = 1024
 MASS = 16.0
 FLUSH = 2 << 20
 MAX_BROADCAST = 1 << 19
+MAX_WORDS = 1 << 19     # words and bigrams whose counts are broadcast (work only, never results)
+MAX_PAIRS = 1 << 19
+FREQUENT = 3            # a task names bigrams it meets this often for the broadcast
+TOP = 1 << 16           # counts above this are alike when the broadcast ones are chosen
+START, UNKNOWN = np.uint64(1), np.uint64(2)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+PAIR, CONTEXT, WORD, LOSS = range(4)    # kinds of open rows; LOSS: sums of a text's settled losses
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,85 +63,261 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held)
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """Sorted hashes of the size - 1 most frequent words; ids are 1 and up, 0 is the unknown word."""
+def vocabulary(docs: DataFrame, size: int) -> np.ndarray:
+    """Sorted hashes of the size - 1 most frequent words, for callers that want a bounded vocabulary."""
     rows = docs.select("text").mapInArrow(_word_counts, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")) \
         .orderBy(F.desc("c"), "w").limit(size - 1).collect()
     return np.sort(np.array([r.w for r in rows], np.int64).view(np.uint64))
 
 
-def _bigrams(batch: pa.RecordBatch, vocab: np.ndarray):
-    """Per piece: its rows, bigram numbers h * (V + 1) + w (the start mark is V) and each text's first."""
-    v = len(vocab) + 1
+def _tokens(batch: pa.RecordBatch, vocab: np.ndarray | None):
+    """Per piece: its rows, the word before each word (or the start mark), the words, each text's first, last words."""
     for p in pieces(batch):
         p.words()
-        h = p.word_hashes(lower=True)
-        if len(vocab):
-            at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
-            ids = np.where(vocab[at] == h, at + 1, 0)
-        else:
-            ids = np.zeros(len(h), np.int64)
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[p.first[:-1][np.diff(p.first) > 0]] = v
-        yield p.rows, before * v + ids, p.first
-
-
-def _bigram_counts(held):
+        w = p.word_hashes(lower=True)
+        if vocab is not None:
+            w = np.where(_find(vocab, w) >= 0, w, UNKNOWN)
+        before = np.empty_like(w)
+        before[1:] = w[:-1]
+        some = np.diff(p.first) > 0
+        before[p.first[:-1][some]] = START
+        last = np.zeros(len(w), bool)
+        last[p.first[1:][some] - 1] = True
+        yield p.rows, before, w, p.first, last
+
+
+def _pair(before: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(before * _ODD + w)
+
+
+def _find(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Where the hashes stand in the sorted keys, -1 where they don't."""
+    if not len(keys):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return np.where(keys[at] == h, at, -1)
+
+
+def _opened(held) -> np.ndarray | None:
+    return None if held is None else np.frombuffer(held.value, np.uint64)
+
+
+def _words(held):
+    """Words with their counts in all and in target documents, and as last words of these."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(rows):
+            w, good, last = map(np.concatenate, zip(*rows))
+            h, at = np.unique(w, return_inverse=True)
+            counts = [np.bincount(at, x, len(h)).astype(np.int64) for x in (np.ones(len(w)), good, last, good & last)]
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *map(pa.array, counts)], ["w", "a", "t", "ea", "et"])
+        vocab, rows, n = _opened(held), [], 0
+        for batch in batches:
+            target = batch.column("target").to_numpy(zero_copy_only=False)
+            for at, _, w, first, last in _tokens(batch, vocab):
+                rows.append((w, np.repeat(target[at], np.diff(first)), last))
+                n += len(w)
+                if n >= FLUSH:
+                    yield flush(rows)
+                    rows, n = [], 0
+        if n:
+            yield flush(rows)
+    return run
+
+
+def _pairs(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        vocab = _opened(held)
+        for batch in batches:
+            for _, before, w, _, _ in _tokens(batch, vocab):
+                yield _pair(before, w)
+    return run
+
+
+def _frequent(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(rows):
+            h, c = np.unique(np.concatenate(rows), return_counts=True)
+            keep = c >= FREQUENT
+            return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(c[keep])], ["g", "a"])
+        rows, n = [], 0
+        for g in _pairs(held)(batches):
+            rows.append(g)
+            n += len(g)
+            if n >= FLUSH:
+                yield flush(rows)
+                rows, n = [], 0
+        if n:
+            yield flush(rows)
+    return run
+
+
+def _exact(held, chosen):
+    """Counts of the chosen bigrams by their number, in all and in target documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = np.frombuffer(held.value, np.uint64)
-        size = (len(vocab) + 2) * (len(vocab) + 1)
-        total = np.zeros((2, size), np.int64)
+        vocab, keys = _opened(held), _opened(chosen)
+        total = np.zeros((2, len(keys)), np.int64)
         for batch in batches:
             target = batch.column("target").to_numpy(zero_copy_only=False)
-            for rows, grams, first in _bigrams(batch, vocab):
-                total[0] += np.bincount(grams, minlength=size)
-                mine = np.repeat(target[rows], np.diff(first))
-                if mine.any():
-                    total[1] += np.bincount(grams[mine], minlength=size)
+            for rows, before, w, first, _ in _tokens(batch, vocab):
+                at = _find(keys, _pair(before, w))
+                total[0] += np.bincount(at[at >= 0], minlength=len(keys))
+                at = at[np.repeat(target[rows], np.diff(first))]
+                total[1] += np.bincount(at[at >= 0], minlength=len(keys))
         at = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], ["g", "a", "t"])
     return run
 
 
-def losses(counts: np.ndarray, v: int) -> np.ndarray:
-    """-log p(w | h) by bigram number from bigram counts."""
-    c = counts.reshape(v + 1, v).astype(np.float64)
-    word = c.sum(axis=0)
-    p = (word + 1) / (word.sum() + v)
-    return -np.log((c + MASS * p) / (c.sum(axis=1, keepdims=True) + MASS)).ravel()
+def _most(table: DataFrame, bound: int) -> DataFrame:
+    """Its rows of greatest count ``a``: all down to a count, at most ``bound`` rows."""
+    rows = table.groupBy(F.least("a", F.lit(TOP)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect()
+    least, n = TOP + 1, 0
+    for r in rows:
+        n += r.n
+        if n > bound:
+            break
+        least = r.c
+    return table.where(F.col("a") >= least)
+
+
+class _Model:
+    """The broadcast counts: sorted words with M p(w) and log(c(h) + M) in target and background, bigrams with counts."""
+
+    def __init__(self, words, pairs, sizes):
+        self.words, counts, contexts = words
+        self.pairs, self.pair_counts = pairs
+        self.sizes, starts = np.array(sizes[:2], np.float64)[:, None], np.array(sizes[2:], np.float64)
+        self.mass = self.masses(counts)
+        self.context = np.log(contexts + MASS)
+        self.start = np.log(starts + MASS)
+
+    def masses(self, counts: np.ndarray) -> np.ndarray:
+        return MASS * (counts + 1) / self.sizes
+
+
+def _settle(held, model, sketch):
+    """Open rows key, sub, doc, flag (kind * 2 + whether target) and the sums of what needs no other rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, m = _opened(held), model.value
+        for batch in batches:
+            docs = batch.column("doc").to_numpy()
+            target = batch.column("target").to_numpy(zero_copy_only=False)
+            for rows, before, w, first, _ in _tokens(batch, vocab):
+                lengths = np.diff(first)
+                row = np.repeat(np.arange(len(lengths)), lengths)
+                good = target[rows][row]
+                g, at, from_ = _pair(before, w), _find(m.words, w), _find(m.words, before)
+                hot = _find(m.pairs, g)
+                begin, near = before == START, at >= 0
+                once = near & (hot < 0)
+                once[once] = ~sketch.maybe(g[once])
+                done = (near & (hot >= 0)) | once
+                sums = []
+                for k, alone in ((0, good), (1, np.ones(len(w), bool))):
+                    loss = np.where(begin, m.start[k], 0.0)
+                    known = from_ >= 0
+                    loss[known] = m.context[k][from_[known]]
+                    count = alone[done].astype(np.float64)
+                    count[~once[done]] = m.pair_counts[k][hot[done & ~once]]
+                    loss[done] -= np.log(count + m.mass[k][at[done]])
+                    sums.append(np.bincount(row, loss, len(lengths)))
+                some = np.flatnonzero(lengths)
+                mine = docs[rows]
+                pair, word, context = np.flatnonzero(near & ~done), np.flatnonzero(~near), np.flatnonzero((from_ < 0) & ~begin)
+                spread = mix(mine[some].view(np.uint64) + np.uint64(rows.start) + some.astype(np.uint64))
+                parts = [(g[pair], at[pair], mine[row[pair]], PAIR * 2 + good[pair]),
+                         (before[context], np.zeros(len(context), np.int64), mine[row[context]], CONTEXT * 2 + good[context]),
+                         (w[word], before[word].view(np.int64), mine[row[word]], WORD * 2 + good[word]),
+                         *((spread, x[some].view(np.int64), mine[some], np.full(len(some), 2 * LOSS + k))
+                           for k, x in enumerate((*sums, lengths)))]
+                key, sub, doc, flag = map(np.concatenate, zip(*parts))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sub), pa.array(doc),
+                                                  pa.array(flag.astype(np.int8))], ["key", "sub", "doc", "flag"])
+    return run
+
+
+def _losses(m: _Model, key, sub, doc, flag) -> pa.RecordBatch:
+    """doc, t, b, n, r: sums of losses, tokens and rows of whole keys."""
+    kind = flag >> 1
+    order = np.lexsort((sub, kind, key))
+    key, sub, doc, flag = key[order], sub[order], doc[order], flag[order]
+    kind, good = np.minimum(flag >> 1, LOSS), (flag & 1).astype(np.float64)
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])
+    finer = new.copy()
+    finer[1:] |= sub[1:] != sub[:-1]
+    whole, part = np.cumsum(new) - 1, np.cumsum(finer) - 1
+    out = np.zeros((4, len(key)))
+    pair, context, word = (np.flatnonzero(kind == k) for k in (PAIR, CONTEXT, WORD))
+    for k, x in enumerate((good, np.ones(len(key)))):
+        by_whole, by_part = np.bincount(whole, x)[whole], np.bincount(part, x)[part]
+        out[k, pair] = -np.log(by_part[pair] + m.mass[k][sub[pair]])
+        out[k, context] = np.log(by_whole[context] + MASS)
+        out[k, word] = -np.log(by_part[word] + MASS * (by_whole[word] + 1) / m.sizes[k])
+    for k in (0, 1):
+        at = flag == 2 * LOSS + k
+        out[k, at] = sub[at].view(np.float64)
+    at = flag == 2 * LOSS + 2
+    out[2, at], out[3, at] = sub[at], 1
+    docs, at = np.unique(doc, return_inverse=True)
+    sums = [np.bincount(at, x, len(docs)) for x in out]
+    return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(sums[0]), pa.array(sums[1]),
+                                       *(pa.array(x.astype(np.int64)) for x in sums[2:])], ["doc", "t", "b", "n", "r"])
 
 
-def score(docs: DataFrame, target_ids: DataFrame, size: int = VOCABULARY) -> DataFrame:
+def _count(model):
+    """Rows sorted by key, some whole keys at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, rows, n = model.value, [], 0
+        for batch in batches:
+            rows.append([c.to_numpy() for c in batch.columns])
+            n += batch.num_rows
+            if n >= FLUSH:
+                joined = [np.concatenate(c) for c in zip(*rows)]
+                to = int(np.searchsorted(joined[0], joined[0][-1]))
+                if to:
+                    yield _losses(m, *(c[:to] for c in joined))
+                rows = [[c[to:] for c in joined]]
+                n = len(rows[0][0])
+        if n:
+            yield _losses(m, *(np.concatenate(c) for c in zip(*rows)))
+    return run
+
+
+def score(docs: DataFrame, target_ids: DataFrame, size: int | None = None) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score of every document.
 
-    ``target_ids``: doc_id of the documents the target model is made of."""
+    ``target_ids``: doc_id of the documents the target model is made of; ``size``: all words if None."""
     sc = docs.sparkSession.sparkContext
-    docs = docs.select("doc_id", "text")
-    vocab = vocabulary(docs, size)
-    held = sc.broadcast(vocab.tobytes())
+    docs = docs.select("doc_id", "text", F.xxhash64(F.lit(1), "doc_id", F.lit(2), "text").alias("doc"))
+    vocab = None if size is None else vocabulary(docs, size)
+    held = None if vocab is None else sc.broadcast(vocab.tobytes())
     good = target_ids.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct()
     marked = docs.join(small(good, good.count(), MAX_BROADCAST), F.col("doc_id") == F.col("__id"), "left") \
-        .select("text", F.col("__id").isNotNull().alias("target"))
-    v = len(vocab) + 1
-    counts = np.zeros((2, (v + 1) * v), np.int64)
-    grams = marked.mapInArrow(_bigram_counts(held), "g long, a long, t long") \
-        .groupBy("g").agg(F.sum("a").alias("a"), F.sum("t").alias("t")).toArrow()      # at most (V + 1) V rows
+        .select("doc", "text", F.col("__id").isNotNull().alias("target"))
+    words = stored(marked.select("text", "target").mapInArrow(_words(held), "w long, a long, t long, ea long, et long").groupBy("w").agg(
+        *(F.sum(c).alias(c) for c in ("a", "t", "ea", "et"))), "lm-words")
+    all_ = words.agg(F.count("*").alias("v"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("a", "t", "ea", "et"))).first()
+    v = (all_.v if vocab is None else len(vocab)) + 1
+    top = _most(words, MAX_WORDS).toArrow()
+    w, a, t, ea, et = (top[c].to_numpy() for c in ("w", "a", "t", "ea", "et"))
+    order = np.argsort(w.view(np.uint64))
+    known = (w.view(np.uint64)[order], np.stack([t, a])[:, order], np.stack([t - et, a - ea])[:, order])
+    often = stored(docs.select("text").mapInArrow(_frequent(held), "g long, a long").groupBy("g").agg(F.sum("a").alias("a")), "lm-pairs")
+    chosen = np.sort(_most(often, MAX_PAIRS).select("g").toArrow()["g"].to_numpy().view(np.uint64))
+    counts = np.zeros((2, len(chosen)), np.int64)
+    grams = marked.select("text", "target").mapInArrow(_exact(held, sc.broadcast(chosen.tobytes())), "g long, a long, t long") \
+        .groupBy("g").agg(F.sum("a").alias("a"), F.sum("t").alias("t")).toArrow()      # at most MAX_PAIRS rows
     at = grams["g"].to_numpy()
-    counts[0][at], counts[1][at] = grams["a"].to_numpy(), grams["t"].to_numpy()
-    model = sc.broadcast((losses(counts[1], v).tobytes(), losses(counts[0], v).tobytes()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, tables = np.frombuffer(held.value, np.uint64), [np.frombuffer(m) for m in model.value]
-        for batch in batches:
-            n, loss = np.zeros(batch.num_rows, np.int64), np.zeros((2, batch.num_rows))
-            for rows, numbers, first in _bigrams(batch, known):
-                n[rows] = np.diff(first)
-                for out, t in zip(loss, tables):
-                    total = np.concatenate([[0.0], np.cumsum(t[numbers])])
-                    out[rows] = (total[first[1:]] - total[first[:-1]]) / np.maximum(n[rows], 1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(loss[0]), pa.array(loss[1]), pa.array(loss[0] - loss[1])],
-                ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    counts[0][at], counts[1][at] = grams["t"].to_numpy(), grams["a"].to_numpy()
+    model = sc.broadcast(_Model(known, (chosen, counts), (all_.t + v, all_.a + v, all_.et, all_.ea)))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sketch = repeated(docs.select("text"), _pairs(held), total * 4 // 10)
+    rows = marked.mapInArrow(_settle(held, model, sketch), "key long, sub long, doc long, flag byte") \
+        .repartition("key").sortWithinPartitions("key")
+    sums = rows.mapInArrow(_count(model), "doc long, t double, b double, n long, r long").groupBy("doc").agg(
+        *(F.sum(c).alias(c) for c in ("t", "b", "n", "r")))
+    loss = lambda c: F.coalesce(F.col(c) / F.col("n"), F.lit(0.0))
+    return docs.select("doc_id", "doc").join(sums, "doc", "left").select(
+        "doc_id", F.coalesce((F.col("n") / F.col("r")).cast("long"), F.lit(0).cast("long")).alias("n_tokens"),
+        loss("t").alias("target_loss"), loss("b").alias("background_loss"), (loss("t") - loss("b")).alias("score"))

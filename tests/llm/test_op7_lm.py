@@ -75,3 +75,26 @@ def test_cases(spark):
                                 "doc_id long, text string")
     s = {r.doc_id: r.score for r in L.score(two, two.where("doc_id = 1").select("doc_id")).collect()}
     assert s[3] < 0 < s[4]
+
+
+@pytest.mark.parametrize("words,pairs,flush", [(1 << 19, 1 << 19, 1 << 21), (300, 200, 500), (0, 0, 1 << 21)])
+def test_no_word_is_left_out(spark, monkeypatch, words, pairs, flush):
+    for name, value in (("MAX_WORDS", words), ("MAX_PAIRS", pairs), ("FLUSH", flush)):
+        monkeypatch.setattr(L, name, value)
+    base = documents_of(SF)
+    frame = pd.concat([odd_documents()[list(base.columns)], base, base.head(5)])
+    vocab = {w for t in frame.text for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(UP))}
+    assert len(vocab) > 2000
+    target = {int(i) for i in frame.doc_id.dropna() if int(i) % 3 == 0}
+    ids = spark.createDataFrame([(i,) for i in sorted(target)], "doc_id long")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.target_loss, r.background_loss, r.score)
+                 for r in L.score(spark_documents(spark, frame).repartition(3), ids).collect())
+    np.testing.assert_allclose(np.array(got, float), np.array(expected(frame, target, vocab), float), atol=1e-9)
+
+
+def test_rare_words_alone_tell_documents_apart(spark):
+    common = [(i, f"w{i} " * 3) for i in range(100, 1300)]       # more words than the 1,023 once kept
+    rare = [(1, "left right"), (2, "up down"), (3, "left right"), (4, "up down")]
+    docs = spark.createDataFrame(common + rare, "doc_id long, text string")
+    s = {r.doc_id: r.score for r in L.score(docs, docs.where("doc_id = 1").select("doc_id")).collect()}
+    assert s[3] < s[4]

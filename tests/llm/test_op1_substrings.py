@@ -81,3 +81,14 @@ def test_sketch_never_loses_a_repeated_hash(spark, monkeypatch):
         sketch = repeat_sketch.Repeated(parts, n, fan)
         sketch.held._value = repeat_sketch._Bits(list(sketch.held.value.blobs))    # as a worker would open it
         assert sketch.maybe(values[:300]).all() and sketch.maybe(values[300:4000]).mean() < 0.05
+
+
+@pytest.mark.parametrize("bound", [1 << 19, 0])
+def test_many_texts_without_id_keep_their_own_words(spark, monkeypatch, bound):
+    monkeypatch.setattr(S, "MAX_BROADCAST", bound)
+    shared = " ".join(f"s{j}" for j in range(13))
+    # 50,000 null-id rows of different lengths: the shared window stands elsewhere in each
+    texts = [" ".join([f"t{i}"] * (i % 9) + [shared] * (i % 4 == 0) + [f"u{i}"]) for i in range(50_000)]
+    frame = pd.DataFrame({"doc_id": pd.array([None] * len(texts) + [1], "Int64"), "text": texts + [shared],
+                          "lang": "en", "source": "s", "n_chars": pd.array([1] * (len(texts) + 1), "Int64")})
+    assert got(S.dedup(spark_documents(spark, frame).repartition(3), whole_text=False)) == expected(frame)

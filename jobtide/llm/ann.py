@@ -7,8 +7,8 @@ bounded and broadcast.
 
 Index: every vector goes to the posting list of its nearest centroid and, near a boundary, to the others
 whose distance is within ``CLOSURE`` of the least.  Search: centroids are found by best-first search in the
-in-memory graph; lists whose centroid is within ``PRUNE`` times the least distance are read.  Lists are
-read in chunks of bounded size against chunks of queries, so a list that holds a third of all rows is
+in-memory graph; lists whose centroid is within ``PRUNE`` times the least distance are read, and the next nearest
+until the lists read hold ``FLOOR`` times k + 1 different entries (all lists if there are fewer).  Lists are read in chunks of bounded size against chunks of queries, so a list that holds a third of all rows is
 many tasks' work.  Distances found are exact cosines in double precision.
 
 Equal vectors share one entry that knows their ``k + 1`` smallest ids, since ties go to the smaller id; equal
@@ -37,6 +37,7 @@ MAX_LISTS = 4096
 REPLICAS = 8        # lists a vector may be copied to
 CLOSURE = 1.02      # ... if their centroid is at most this much farther than the nearest
 PRUNE = 1.3         # lists read for a query, by the same ratio
+FLOOR = 32          # ... and on until they hold this many times k + 1 entries
 DEGREE = 32         # neighbours of a centroid in the graph
 CHUNK = 4096        # vectors or queries of a list that meet in one task
 
@@ -147,18 +148,23 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy().astype(np.float64).reshape(-1, dim)
 
 
-def _to_lists(held, dim: int, beam: int, ratio: float):
-    """Rows id, v become list, id, v for every list within the ratio."""
+def _to_lists(held, dim: int, beam: int, ratio: float, counts: np.ndarray | None = None, least: int = 0):
+    """Rows id, v become list, id, v, first (its nearest list) for every list within the ratio and, beyond it, for the
+    next nearest until those before hold ``least`` of the counted entries."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids = held.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
                 ids, far = centroids.search(_unit(_matrix(piece.column(1), dim)), beam)
-                row, col = np.nonzero(far <= ratio * far[:, :1] + 1e-12)
+                read = far <= ratio * far[:, :1] + 1e-12
+                if counts is not None:
+                    held_by = counts[ids]
+                    read |= np.cumsum(held_by, axis=1) - held_by < least
+                row, col = np.nonzero(read)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[row, col].astype(np.int32)), piece.column(0).take(pa.array(row)),
-                     piece.column(1).take(pa.array(row))], ["list", "id", "v"])
+                     piece.column(1).take(pa.array(row)), pa.array(col == 0)], ["list", "id", "v", "first"])
     return run
 
 
@@ -200,11 +206,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, prune: float = PR
     asked = wanted.groupBy("k1", "k2").agg(F.min("vec_id").alias("query"), F.min_by("v", "vec_id").alias("v"))
     asked = checkpointed(asked)
     held, n = sc.broadcast(centroids), len(centroids.points)
-    to_lists = lambda df, beam, ratio: df.mapInArrow(
-        _to_lists(held, dim, beam, ratio), f"list int, id long, v {found.schema['v'].dataType.simpleString()}")
+    to_lists = lambda df, *how: df.mapInArrow(
+        _to_lists(held, dim, *how), f"list int, id long, v {found.schema['v'].dataType.simpleString()}, first boolean")
     posts = to_lists(found.where(F.size("v") == dim).select("entry", "v"), REPLICAS * 3, CLOSURE)
-    reads = to_lists(asked.select("query", "v"), n, prune)
-    posts, reads = checkpointed(posts), checkpointed(reads)
+    posts = checkpointed(posts)
+    counts = np.zeros(n, np.int64)      # each entry in its nearest list only, so copies count once
+    for r in posts.where("first").groupBy("list").count().collect():
+        counts[r["list"]] = r["count"]
+    reads = checkpointed(to_lists(asked.select("query", "v"), n, prune, counts, FLOOR * (k + 1)))
     # chunks of each list's vectors meet chunks of its queries; n lists, so the counts are small
     sizes = posts.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("np")).join(
         reads.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("nq")), "list")

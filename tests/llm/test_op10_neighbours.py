@@ -79,3 +79,17 @@ def test_graph_search_finds_the_nearest_centroids():
     assert all(len(set(r)) == 24 for r in ids)
     everything, _ = c.search(x, 500)
     assert all(len(set(r)) == 500 for r in everything)
+
+
+def test_small_clusters_get_all_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(A, "PER_LIST", 16)
+    rng = np.random.default_rng(5)
+    sizes = [300] + [1, 2, 3, 4, 5] * 12          # one large cluster and sixty of fewer than 6
+    middle = A._unit(rng.normal(size=(len(sizes), 12)))
+    x = np.concatenate([m + 0.001 * rng.normal(size=(n, 12)) for m, n in zip(middle, sizes)])
+    vectors = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": [v.tolist() for v in x]}))
+    got = collected(A.search(vectors, vectors))
+    want = expected(np.arange(len(x)), x, range(len(x)))
+    assert got.keys() == want.keys() and all(len(rows) == 5 for rows in got.values())
+    right = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+    assert right >= 0.95 * 5 * len(want)

@@ -1,7 +1,8 @@
 """Exact n-gram Jaccard join with set-relation skipping (operator 3).
 
 Sets are the distinct word shingles of a document, as 64-bit hashes.  Documents with equal sets form a
-class and only its smallest doc_id, the representative, is compared.
+class and one set of it is compared.  Sets and links are keyed by class, never by doc_id, since rows of one
+doc_id may hold different texts.
 
 1. All sets agree on an order of shingles: those that a count-min sketch proves unique come first, then
    by frequency class (counted over all rows), then by hash.  Two sets linked at a similarity t share a
@@ -22,7 +23,8 @@ components are exact.
 
 Cases: a text with fewer words than a shingle is one shingle of all its words; null, empty and blank
 texts have the empty set, link with nothing and are their own component; equal texts are linked; rows
-with the same doc_id are one node; a null doc_id is a node that sorts last; extra columns are ignored; an
+with the same doc_id are one node; a null doc_id is a node that sorts last (in ``keep_one`` each such row is a
+node of its own); extra columns are ignored; an
 empty table gives an empty result.
 """
 
@@ -64,6 +66,15 @@ def shingle_sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.nda
                 yield p.rows.start + i, total ^ np.uint64(b - a)
 
 
+def _keys(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    return mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64)
+
+
+def _class(n: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    """63-bit numbers of classes."""
+    return (mix(k1 * np.uint64(0x9E3779B97F4A7C15) + mix(k2 + n.astype(np.uint64))) >> np.uint64(1)).view(np.int64)
+
+
 def _set_keys(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,10 +82,9 @@ def _set_keys(size: int):
             k = np.zeros((2, batch.num_rows), np.uint64)
             for i, s in shingle_sets(batch, size):
                 n[i] = len(s)
-                k[0, i], k[1, i] = mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64)
+                k[0, i], k[1, i] = _keys(s)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n), pa.array(k[0].view(np.int64)), pa.array(k[1].view(np.int64))],
-                ["id", "n", "k1", "k2"])
+                [batch.column("id"), pa.array(n), pa.array(_class(n, k[0], k[1]), mask=n == 0)], ["id", "n", "cls"])
     return run
 
 
@@ -107,7 +117,7 @@ def _frequent(size: int, sketch):
 
 
 def _prefixes(size: int, percent: int, sketch, frequent):
-    """id, n, unique (shingles proven unique), tokens and places of the prefix's other shingles, the set."""
+    """row (the text's doc), id (its class), n, unique (shingles proven unique), tokens and places of the prefix's other shingles, the set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, level = (np.frombuffer(x, t) for x, t in zip(frequent.value, (np.uint64, np.uint8)))
         for batch in batches:
@@ -127,7 +137,8 @@ def _prefixes(size: int, percent: int, sketch, frequent):
                 else:
                     rank = np.zeros(len(s2), np.uint8)
                 first = np.lexsort((s2, rank))[:prefix - unique]
-                rows.append({"id": int(ids[i]), "n": n, "unique": unique, "tokens": s2[first].view(np.int64),
+                k1, k2 = _keys(s)
+                rows.append({"row": int(ids[i]), "id": int(_class(np.array([n]), np.array([k1]), np.array([k2]))[0]), "n": n, "unique": unique, "tokens": s2[first].view(np.int64),
                              "places": np.arange(unique, unique + len(first)), "set": s.tobytes()})
                 if len(rows) >= 500:
                     yield pa.RecordBatch.from_pylist(rows, schema=_ENTRY)
@@ -137,9 +148,9 @@ def _prefixes(size: int, percent: int, sketch, frequent):
     return run
 
 
-_ENTRY = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("unique", pa.int64()), ("tokens", pa.list_(pa.int64())),
+_ENTRY = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("unique", pa.int64()), ("tokens", pa.list_(pa.int64())),
                     ("places", pa.list_(pa.int64())), ("set", pa.binary())])
-_ENTRY_SQL = "id long, n long, unique long, tokens array<bigint>, places array<bigint>, set binary"
+_ENTRY_SQL = "row long, id long, n long, unique long, tokens array<bigint>, places array<bigint>, set binary"
 
 
 def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +182,7 @@ def _far(gap, total, percent: int):
 
 
 def links(docs: DataFrame, reps: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """a, b: links between representatives that connect all that are connected."""
+    """a, b: links between classes that connect all that are connected.  ``reps``: row, id (class) of one row of each."""
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     texts = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -187,8 +198,7 @@ def links(docs: DataFrame, reps: DataFrame, size: int = SHINGLE, percent: int =
     found = stored(found, "shingle-sets")
     sketch.held.destroy()       # what they were for is written
     frequent.destroy()
-    entries = found.join(reps.select("id").distinct(), "id", "left_semi") \
-        .dropDuplicates(["id", "n"])
+    entries = found.join(reps, ["row", "id"], "left_semi").dropDuplicates(["id"])
     sets = entries.select("id", "n", "set")
     index = checkpointed(entries.select("id", "n", "unique", F.arrays_zip("tokens", "places").alias("t"))
                          .select("id", "n", "unique", F.explode("t").alias("t"))
@@ -246,32 +256,44 @@ def links(docs: DataFrame, reps: DataFrame, size: int = SHINGLE, percent: int =
 
 
 def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """id, n_shingles, rep (smallest id with the same set) of every row."""
+    """id, n_shingles, cls (the set's class), rep (smallest id with the same set) of every row."""
     texts = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "text")
-    keys = texts.mapInArrow(_set_keys(size), "id long, n long, k1 long, k2 long")
+    keys = texts.mapInArrow(_set_keys(size), "id long, n long, cls long")
     keys = checkpointed(keys)
-    reps = keys.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
-    return keys.join(reps, ["n", "k1", "k2"], "left").select("id", F.col("n").alias("n_shingles"), "rep")
+    reps = keys.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"))
+    return keys.join(reps, "cls", "left").select("id", F.col("n").alias("n_shingles"), "cls", "rep")
+
+
+def _ties(rows: DataFrame, null_is_one: bool) -> DataFrame:
+    """a, b: every class of a doc_id's rows tied to the least of them."""
+    held = rows.where("cls is not null").select("id", "cls").distinct()
+    least = held.where(F.col("id") != LAST_ID).groupBy("id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")) \
+        .where("a <> b").select("id", "a")
+    ties = held.join(least, "id").select("a", F.col("cls").alias("b"))
+    if null_is_one:
+        none = held.where(F.col("id") == LAST_ID).select("cls")
+        ties = ties.union(none.select(F.lit(none.agg(F.min("cls")).first()[0]).cast("long").alias("a"), F.col("cls").alias("b")))
+    return ties.where("a <> b")
 
 
-def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, null_is_one: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document; rows without a doc_id are one node or each its own."""
     rows = checkpointed(classes(docs, size))
-    reps = rows.where("id = rep").select("id")
+    reps = rows.where("id = rep").select(F.col("id").alias("row"), F.col("cls").alias("id")).distinct()
     found = links(docs, reps, size, percent)
     # rows of one doc_id with different sets tie their classes together
-    twice = rows.where("rep is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")) \
-        .where("a <> b").select("a", "b")
-    comps = components(found.union(twice))
-    out = rows.join(comps.toDF("rep", "component"), "rep", "left")
+    comps = checkpointed(components(found.union(_ties(rows, null_is_one))))
+    least = checkpointed(comps.join(reps, "id").groupBy("component").agg(F.min("row").alias("least")))
+    named = comps.join(small(least, least.count(), MAX_BROADCAST), "component").select(F.col("id").alias("cls"), "least")
+    out = rows.join(named, "cls", "left")
     real = lambda c: F.when(c != LAST_ID, c)
     return out.select(real(F.col("id")).alias("doc_id"), "n_shingles",
-                      real(F.coalesce("component", "rep", "id")).alias("component_id"))
+                      real(F.coalesce("least", "rep", "id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all columns, one of each group of linked ones: that with the smallest doc_id
     (all its rows).  Documents without words and rows without a doc_id stay."""
-    groups = join(docs, size, percent).where("n_shingles > 0 and doc_id <> component_id")
+    groups = join(docs, size, percent, null_is_one=False).where("n_shingles > 0 and doc_id <> component_id")
     gone = checkpointed(groups.select(F.col("doc_id").alias("__gone")).distinct())
     return docs.join(small(gone, gone.count(), MAX_BROADCAST), F.col("doc_id") == F.col("__gone"), "left_anti")

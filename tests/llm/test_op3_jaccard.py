@@ -94,3 +94,18 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 200), (200, 150), (7, 7)] + [(500, i) for i in range(501, 560)]
     got = {r.id: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[200] == got[150] == 100 and got[559] == 500
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    words = [[f"{c}{i}" for i in range(103)] for c in "abcdef"]
+    near = lambda w: " ".join(w[:-1] + ["z"])
+    a, b, c, d, e, f = (" ".join(w) for w in words)
+    # id 10 holds three sets of one size, each like another document; null-id rows resemble 5 and 6
+    rows = [(10, a), (10, b), (10, c), (1, near(words[0])), (2, near(words[1])), (3, near(words[2])),
+            (None, d), (None, e), (5, near(words[3])), (6, near(words[4])), (7, f)]
+    frame = pd.DataFrame([(i, t, "en", "s", 1) for i, t in rows], columns=["doc_id", "text", "lang", "source", "n_chars"])
+    frame["doc_id"] = pd.array([i for i, _ in rows], "Int64")
+    docs = spark_documents(spark, frame)
+    assert got(J.join(docs)) == expected(frame)
+    kept = [r.doc_id for r in J.keep_one(docs).collect()]
+    assert sorted(i for i in kept if i) == [1, 5, 6, 7] and kept.count(None) == 2

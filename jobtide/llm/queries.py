@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jobtide.llm import (ann, decontaminate, jaccard_join, line_dedup, lm_score, oracle, pieces, sharding,
+from jobtide.llm import (ann, byte_pairs, decontaminate, jaccard_join, line_dedup, lm_score, oracle, pieces, sharding,
                          substring_dedup, token_files, toxicity)
 from jobtide.llm.common import table
 from jobtide.session import scratch_path
@@ -56,8 +56,16 @@ def op10_nearest_neighbours(spark, sf_dir):
     return ann.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op11_byte_pairs(spark, sf_dir):
+    import public_tokenizers
+    pairs = byte_pairs.BytePairs.load(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    out = byte_pairs.encode(table(spark, sf_dir, "documents"), pairs, with_ids=False).drop("ids")
+    pairs.close()
+    return out
+
+
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_jaccard_join,
                                      op4_sharding, op5_wavelet_token_files, op6_sentencepiece,
                                      op7_cross_entropy_difference, op8_winnowing_decontamination, op9_toxicity_crf,
-                                     op10_nearest_neighbours)}
+                                     op10_nearest_neighbours, op11_byte_pairs)}
 ORACLE = oracle.ORACLE

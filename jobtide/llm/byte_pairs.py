@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK = 6_000_000       # words of a block
+BLOCK = 4_000_000       # words of a block
 DEAL = 64               # rows a block's requests are dealt to, and blocks whose requests meet
 FOLD = 32_768           # words of a row that is folded
 BYTES = "ISO-8859-1"
@@ -195,8 +195,8 @@ def _character(rank: int) -> str:
     return chr(rank if rank < 0xD800 else rank + 0x800)     # surrogates are no characters
 
 
-def _pack(value: object) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(value, protocol=5))
+def _pack(value: object, level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(value, protocol=5))
 
 
 def _open(raw: bytes) -> object:
@@ -217,7 +217,8 @@ _SQL = "meet long, block long, part int, packed binary"
 
 
 def _row(meet: int, block: int, part: int, value: object) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((meet, block, part, _pack(value)), _ROW.types)], schema=_ROW)
+    packed = _pack(value, 3 if part >= 0 else 9)
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((meet, block, part, packed), _ROW.types)], schema=_ROW)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -228,27 +229,33 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
     ids, sizes, codes, held = [], [], [], 0
 
     def rows():
-        nonlocal number, ids, sizes, codes, held, made
+        nonlocal number, ids, sizes, held, made
         block, meet = (task << 24) + made, (((task // DEAL) << 24) + made) * (DEAL + 1)
+        flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+        codes.clear()
+        # Frequent words get small numbers, whose bytes compress better.
+        rank = np.empty(len(number), np.int32)
+        rank[np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable")] = np.arange(len(number), dtype=np.int32)
         parts: list[tuple[list, list]] = [([], []) for _ in range(DEAL)]
-        for word, n in number.items():
+        for word, n in zip(number, rank.tolist()):
             words, at = parts[xxhash.xxh32_intdigest(word.encode()) % DEAL]
             words.append(word)
             at.append(n)
+        number = {}
         for k, (words, at) in enumerate(parts):
             if words:
                 yield _row(meet + k, block, k, (words, _planes(np.array(at))))
-        flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-        yield _row(meet + DEAL, block, -1, (ids, sizes, len(number), _planes(flat)))
-        number, ids, sizes, codes, held, made = {}, [], [], [], 0, made + 1
+        yield _row(meet + DEAL, block, -1, (ids, sizes, len(rank), _planes(rank[flat])))
+        ids, sizes, held, made = [], [], 0, made + 1
+        pa.default_memory_pool().release_unused()
 
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             piece = batch.slice(at, 512)
             words = piece.column("words")
             flat = words.flatten().dictionary_encode()
-            own = np.array([number.setdefault(w, len(number)) for w in flat.dictionary.to_pylist()], np.int64)
-            codes.append(own[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64))
+            own = np.array([number.setdefault(w, len(number)) for w in flat.dictionary.to_pylist()], np.int32)
+            codes.append(own[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else own)
             ids += piece.column("doc_id").to_pylist()
             sizes += pc.list_value_length(words).to_pylist()
             held += len(flat)

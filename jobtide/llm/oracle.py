@@ -88,3 +88,69 @@ r as (select doc_id as a, doc_id as b from documents union select r.a, l.b from
 select d.doc_id, coalesce(z.n, 0) as n_shingles, c.component_id
 from documents d left join z on z.doc_id = d.doc_id
 join (select a, min(b) as component_id from r group by a) c on c.a = d.doc_id"""
+
+_WORDS12 = _WORDS8.format(src="(select {id} as id, text from {table})")
+_BUCKETS = 10000
+
+ORACLE["op12_importance_resampling"] = f"""
+with t as (
+  select list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i:
+    case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, n)) as crc),
+dw as ({_WORDS12.format(id="doc_id", table="documents")}),
+bw as ({_WORDS12.format(id="item_id", table="benchmark")}),
+w as (select distinct w from (select w from dw union all select w from bw)),
+h as (
+  select w, xor(list_reduce(list_transform(range(1, strlen(w) + 1), lambda i: ('0x' || hex(encode(w))[2 * i - 1:2 * i])::bigint),
+    lambda c, b: xor(c >> 8, t.crc[xor(c & 255, b) + 1]), 4294967295::bigint), 4294967295) % {_BUCKETS} as bucket
+  from w, t),
+s as (select bucket, count(*) as s from dw join h using (w) group by bucket),
+u as (select bucket, count(*) as t from bw join h using (w) group by bucket),
+a as (select (select count(*) from dw) as ss, (select count(*) from bw) as tt),
+g as (
+  select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * (ss + {_BUCKETS})::double
+         / ((coalesce(s, 0) + 1)::double * (tt + {_BUCKETS})::double)))::bigint as gain
+  from (select bucket, s, t from s full join u using (bucket)), a),
+f as (select id, count(*) as n, floor(sum(gain) / count(*))::bigint as weight from dw join h using (w) join g using (bucket) group by id),
+d as (
+  select doc_id, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight,
+         ('0x' || sha256('2024:' || doc_id)[1:8])::bigint as h
+  from documents left join f on f.id = doc_id),
+e as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint as score from d),
+r as (
+  select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as n from e where n_features >= 20)
+select e.doc_id, n_features, weight, score, case when rank <= 10 * n // 100 then rank end as rank
+from e left join r on r.doc_id = e.doc_id"""
+
+_NEAREST = """
+{a} as (
+  select vec_id, p, e, d from (
+    select x.vec_id, x.p, c.e, sum((x.v - c.v) * (x.v - c.v)) as d,
+           row_number() over (partition by x.vec_id, x.p order by sum((x.v - c.v) * (x.v - c.v)), c.e) as k
+    from x join {c} c on c.p = x.p and c.i = x.i group by x.vec_id, x.p, c.e) where k = 1)"""
+
+_MEANS = """
+{new} as (
+  select c.p, c.e, c.i, coalesce(m.v, c.v) as v
+  from {old} c left join (
+    select x.p, a.e, x.i, floor(sum(x.v) / count(*)::double)::bigint as v
+    from x join {a} a on a.vec_id = x.vec_id and a.p = x.p group by x.p, a.e, x.i) m on m.p = c.p and m.e = c.e and m.i = c.i)"""
+
+ORACLE["op13_vector_codes"] = f"""
+with k as (
+  select vec_id, label, list_transform(embedding, lambda z: floor(256 * z::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda z: z is null or not isfinite(z))) = 0),
+y as (select vec_id, unnest(v) as v, generate_subscripts(v, 1) - 1 as j, len(v) // 16 as width from k),
+x as (select vec_id, (j // width) as p, (j % width) as i, v from y),
+first as (select vec_id, row_number() over (order by vec_id) - 1 as e from k order by vec_id limit 64),
+c0 as (select p, e, i, v from x join first using (vec_id)),
+{_NEAREST.format(a="a0", c="c0")},
+{_MEANS.format(new="c1", old="c0", a="a0")},
+{_NEAREST.format(a="a1", c="c1")},
+{_MEANS.format(new="c2", old="c1", a="a1")},
+{_NEAREST.format(a="a2", c="c2")},
+r as (
+  select k.vec_id, k.label, string_agg(lower(lpad(to_hex(e), 2, '0')), '' order by p) as code, sum(d)::bigint as error
+  from k join a2 on a2.vec_id = k.vec_id group by k.vec_id, k.label)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error,
+       (select sha256(string_agg(v::varchar, ',' order by p, e, i)) from c2) as codebooks_sha256
+from r"""

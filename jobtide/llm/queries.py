@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from jobtide.llm import (ann, byte_pairs, decontaminate, jaccard_join, line_dedup, lm_score, oracle, pieces, sharding,
-                         substring_dedup, token_files, toxicity)
+from jobtide.llm import (ann, byte_pairs, decontaminate, jaccard_join, line_dedup, lm_score, oracle, pieces,
+                         resampling, sharding, substring_dedup, token_files, toxicity, vector_codes)
 from jobtide.llm.common import table
 from jobtide.session import scratch_path
 
@@ -64,8 +64,17 @@ def op11_byte_pairs(spark, sf_dir):
     return out
 
 
+def op12_importance_resampling(spark, sf_dir):
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark, sf_dir):
+    return vector_codes.digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_jaccard_join,
                                      op4_sharding, op5_wavelet_token_files, op6_sentencepiece,
                                      op7_cross_entropy_difference, op8_winnowing_decontamination, op9_toxicity_crf,
-                                     op10_nearest_neighbours, op11_byte_pairs)}
+                                     op10_nearest_neighbours, op11_byte_pairs, op12_importance_resampling,
+                                     op13_vector_codes)}
 ORACLE = oracle.ORACLE

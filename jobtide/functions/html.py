@@ -136,18 +136,9 @@ def html_to_text(c, profile: str) -> Column:
     return F.when(F.length(t) > 0, t)
 
 
-ANCHOR_RE = r'(?is)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
 JSONLD_RE = r'''(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>'''
 
 
-def anchors(html) -> Column:
-    """array<struct<href, text>> of every anchor in document order."""
-    h = col_of(html)
-    hrefs = F.regexp_extract_all(h, rx(ANCHOR_RE), F.lit(1))
-    texts = F.regexp_extract_all(h, rx(ANCHOR_RE), F.lit(2))
-    return F.arrays_zip(hrefs.alias("href"), texts.alias("text"))
-
-
 def jsonld_blocks(html) -> Column:
     """Raw JSON-LD script bodies in document order."""
     return F.regexp_extract_all(col_of(html), rx(JSONLD_RE), F.lit(1))

@@ -19,8 +19,8 @@ from jobtide.plans import sqlx
 from jobtide.plans.adapters import adapter
 from jobtide.plans.registry import query
 from jobtide.schema import OFFER, SOURCES
-from jobtide.sources.landing import explode_collect, ingest_board_api, ingest_cards, ingest_postings
-from jobtide.sources.pages import extract_jsonld, harvest_links, jsonld
+from jobtide.sources.landing import explode_collect, ingest_board_api, ingest_cards, ingest_items, ingest_postings
+from jobtide.sources.pages import extract_jsonld, harvest_links, harvest_offers, ingest_embedded, jsonld
 
 _RN = "CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT)"
 
@@ -135,15 +135,22 @@ SELECT * FROM (
          strftime(CASE WHEN turn % 2 = 0 THEN make_timestamp((1704067200000 + turn * 86400000) * 1000)
                        ELSE make_timestamp(1706745600000 * 1000) END, '%Y-%m-%dT%H:%M:%S.%gZ') AS published_at,
          turn % 4 = 0 AS remote
-  FROM conversations) WHERE title IS NOT NULL OR url IS NOT NULL""")
+  FROM (SELECT *, bool_and(text IS NOT NULL AND (role IS NOT NULL OR turn % 3 <> 1)) OVER (PARTITION BY conv_id) AS whole
+        FROM conversations) WHERE whole OR conv_id % 6 IN (0, 5))
+WHERE title IS NOT NULL OR url IS NOT NULL""")
 def q_variant_postings(spark, sf):
+    """A3: payloads of six shapes, some with arrays that must not be taken; away from ``postings`` an array counts only
+    if all its elements are postings."""
     t = adapter(spark, sf, "turns_cv")
     docs = _per_conv(t, _nfj_item_json(), "items")
     arr = F.concat(F.lit("["), F.array_join("items", ", "), F.lit("]"))
-    k = F.col("conv_id") % 3
+    k = F.col("conv_id") % 6
     payload = (F.when(k == 0, F.concat(F.lit('{"postings": '), arr, F.lit("}")))
                .when(k == 1, F.concat(F.lit('{"json": {"data": '), arr, F.lit("}}")))
-               .otherwise(F.concat(F.lit('{"meta": {"pages": [1, 2]}, "result": {"data": '), arr, F.lit("}}"))))
+               .when(k == 2, F.concat(F.lit('{"meta": {"pages": [1, 2]}, "result": {"data": '), arr, F.lit("}}")))
+               .when(k == 3, F.concat(F.lit('{"data": [{"id": 1}, {"id": 2}], "state": {"x": {"list": '), arr, F.lit("}}}")))
+               .when(k == 4, F.concat(F.lit('[[], [{"title": "t"}, 5], "postings", ['), arr, F.lit("]]")))
+               .otherwise(F.concat(F.lit('{"a": [{"title": "t"}], "z": {"postings": '), arr, F.lit("}}"))))
     items = ingest_postings(docs.select("conv_id", payload.alias("payload"))).withColumnRenamed("item_pos", "position")
     out = require(to_common(items, "nofluffjobs", keep=("conv_id", "position")))
     return out.select("conv_id", F.col("position").cast("bigint").alias("position"), "source", "company", "title", "url",
@@ -359,6 +366,46 @@ def q_link_harvest(spark, sf):
     return links.select("page_id", "href", "text", F.col("link_pos").cast("bigint").alias("link_pos"))
 
 
+@query("q_offer_links", sql=f"""
+SELECT doc_id, '/job/' || CAST(doc_id AS VARCHAR) || '-1' AS href, {sqlx.js_trim('text')} AS text, 0 AS link_pos FROM {{{{text_doc}}}}
+UNION ALL SELECT doc_id, '/job/' || CAST(doc_id AS VARCHAR) || '-3', {sqlx.js_trim('title')}, 1 FROM {{{{text_doc}}}}
+UNION ALL SELECT doc_id, '/job/' || CAST(doc_id AS VARCHAR) || '-4', {sqlx.js_trim('lang')}, 4 FROM {{{{text_doc}}}}""")
+def q_offer_links(spark, sf):
+    """A9 by the source's rule: quoted, bare and repeated hrefs, headings, and anchors that are none to a parser (in a
+    comment, in a script, with another attribute).  The expected rows come from the table, not from the pages."""
+    esc = lambda c: F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    n = F.col("doc_id").cast("string")
+    html = F.concat(
+        F.lit('<!-- <a href="/job/c">no</a> --><script>"<a href=\'/job/s\'>no</a>"</script><a class=x href=\'/job/'), n,
+        F.lit("-1'>"), esc("text"), F.lit('</a><a data-href="/job/'), n, F.lit('-2">no</a><A HREF=/job/'), n,
+        F.lit('-3 title="a > b"><span>'), esc("source"), F.lit("</span><h3> "), esc("title"), F.lit(" </h3></A>"),
+        F.lit('<a href="/job/'), n, F.lit('-1">again</a><a href="/about">'), esc("lang"), F.lit('</a><a href="/job/'), n,
+        F.lit('-4"><i data-cy="job title">'), esc("lang"), F.lit("</i> "), esc("source"), F.lit("</a>"))
+    pages = adapter(spark, sf, "text_doc").select("doc_id", html.alias("html"))
+    return harvest_offers(pages, "nofluffjobs", ["doc_id"]).select("doc_id", "href", "text", "link_pos")
+
+
+@query("q_embedded", sql=f"""
+SELECT doc_id, 0 AS position, {sqlx.js_trim('title')} AS title, 'https://nofluffjobs.com/pl/job/d' || CAST(doc_id AS VARCHAR) AS url FROM {{{{text_doc}}}}
+UNION ALL SELECT doc_id, 1, nullif({sqlx.js_trim('lang')}, ''), 'https://nofluffjobs.com/pl/job/e' FROM {{{{text_doc}}}} WHERE doc_id % 2 = 0""")
+def q_embedded(spark, sf):
+    """Postings in the first data script that holds some, at an unknown path; its type attribute is quoted or bare."""
+    n = F.col("doc_id").cast("string")
+    first = F.struct("title", F.concat(F.lit("/pl/job/d"), n).alias("url"))
+    second = F.struct(F.col("lang").alias("title"), F.lit("/pl/job/e").alias("url"))
+    postings = F.when(F.col("doc_id") % 2 == 0, F.array(first, second)).otherwise(F.array(first))
+    blob = F.to_json(F.struct(F.struct(F.array(F.lit(1)).alias("pages"), postings.alias("rows")).alias("state")))
+    kind = F.when(F.col("doc_id") % 3 == 0, F.lit("type=application/json")).when(
+        F.col("doc_id") % 3 == 1, F.lit("async TYPE='application/ld+json'")).otherwise(F.lit('id=x type="application/json"'))
+    html = F.concat(F.lit('<!-- <script type="application/json">{"postings": [{"title": "no"}]}</script> -->'
+                          '<script type="text/x">{"postings": [{"title": "no"}]}</script>'
+                          '<script type="application/json">{"postings": [], "pad": "xxxxxxxxxx"}</script><script '), kind,
+                    F.lit(">"), F.replace(blob, F.lit("</"), F.lit("<\\/")), F.lit("</script>"))
+    items = ingest_embedded(adapter(spark, sf, "text_doc").select("doc_id", html.alias("html")), ["doc_id"])
+    out = to_common(items.withColumnRenamed("item_pos", "position"), "nofluffjobs", keep=("doc_id", "position"))
+    return out.select("doc_id", "position", "title", "url")
+
+
 _LD_SQL = f"""
 WITH b AS (SELECT page_id, regexp_extract_all(html, '{_JSONLD}', 1) AS blocks FROM {{{{jsonld_pg}}}}),
      j AS (SELECT page_id, (list_filter(blocks, lambda x: json_extract_string(x, '$."@type"') = 'JobPosting'))[1] AS ld,
@@ -433,7 +480,7 @@ def q_talentdays(spark, sf):
     payload = (F.when(k == 0, F.concat(F.lit('{"json": {"data": '), arr, F.lit(', "meta": {"nextCursor": null}}}')))
                .when(k == 1, F.concat(F.lit('{"result": {"data": '), arr, F.lit("}}")))
                .otherwise(F.concat(F.lit('{"items": '), arr, F.lit("}"))))
-    items = ingest_postings(docs.select("conv_id", payload.alias("payload")))
+    items = ingest_items(docs.select("conv_id", payload.alias("payload")))
     typed = items.select("conv_id", F.col("item_pos").alias("position"),
                          F.try_variant_get("item", "$", TALENTDAYS_ITEM.simpleString()).alias("item"))
     out = require(to_common(typed, "talentdays", keep=("conv_id", "position")))

@@ -33,7 +33,6 @@ from jobtide.sinks import export as SK
 from jobtide.sources import landing as L
 
 TYPED = {"justjoin", "rocketjobs"}
-VARIANT = {"nofluffjobs", "talentdays"}
 
 
 def run_list(landing: DataFrame, source: str, filters: DataFrame | None = None) -> DataFrame:
@@ -44,10 +43,11 @@ def run_list(landing: DataFrame, source: str, filters: DataFrame | None = None)
     order = F.shiftleft(F.col("page_no").cast("bigint"), 32) + F.col("item_pos")
     if source in TYPED:
         items = L.ingest_board_api(landing).withColumn("position", order)
-    elif source in VARIANT:
+    elif source == "nofluffjobs":
         items = L.ingest_postings(landing).withColumn("position", order)
-        if source == "talentdays":
-            items = items.withColumn("item", F.try_variant_get("item", "$", L.TALENTDAYS_ITEM.simpleString()))
+    elif source == "talentdays":
+        items = L.ingest_items(landing).withColumn("position", order).withColumn(
+            "item", F.try_variant_get("item", "$", L.TALENTDAYS_ITEM.simpleString()))
     else:
         items = L.ingest_cards(landing, source)
     offers = require(to_common(items, source, keep=("run_id", "position", "id", "jk")))

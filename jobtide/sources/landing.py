@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from jobtide.functions.classify import keep_labels
+from jobtide.functions.variant_search import find_postings
 from jobtide.schema import COLLECT_FILE, DESC_CACHE, TRACKER
 
 S, D, B = T.StringType(), T.DoubleType(), T.BooleanType()
@@ -46,9 +47,8 @@ CARD_SCHEMAS = {
         "title", "jk", "href", "company", "loc", "salaryText", "metaText", "publishedAt", "cardText")]),
 }
 
-# Candidate paths of posting arrays (A3/A4), searched in this order.
-POSTING_PATHS = ["$.postings", "$.json.postings", "$.result.postings", "$.json.data", "$.json.items",
-                 "$.result.data", "$.data", "$.items"]
+# Candidate paths of item arrays in enveloped payloads (A4), searched in this order.
+ITEM_PATHS = ["$.json.data", "$.json.items", "$.result.data", "$.data", "$.items"]
 
 
 # ---------------------------------------------------------------- A1 collect files
@@ -84,15 +84,13 @@ def quarantine_files(spark: SparkSession, path: str, multi_line: bool = True) ->
         .where(F.col("reason").isNotNull())
 
 
-def quarantine_payloads(landing: DataFrame, paths: Sequence[str] = POSTING_PATHS, payload: str = "payload") -> DataFrame:
+def quarantine_payloads(landing: DataFrame, payload: str = "payload") -> DataFrame:
     """The landed rows (without payload) that ``ingest_postings`` gets nothing from, with the
-    reason: no payload, not JSON, or no posting array at any candidate path."""
-    v = F.try_parse_json(F.col(payload))
-    found = F.lit(False)
-    for p in paths:
-        found = found | F.coalesce(F.size(F.try_variant_get(v, p, "array<variant>")) > 0, F.lit(False))
+    reason: no payload, not JSON, or no posting array anywhere."""
+    col = F.col(payload)
+    found = F.coalesce(F.size(find_postings(col)) > 0, F.lit(False))
     reason = (F.when(F.coalesce(F.trim(payload), F.lit("")) == "", F.lit("no payload"))
-              .when(v.isNull(), F.lit("not json")).when(~found, F.lit("no postings")))
+              .when(F.try_parse_json(col).isNull(), F.lit("not json")).when(~found, F.lit("no postings")))
     return landing.select(*[c for c in landing.columns if c != payload], reason.alias("reason")) \
         .where(F.col("reason").isNotNull())
 
@@ -108,8 +106,14 @@ def ingest_board_api(landing: DataFrame, payload: str = "payload") -> DataFrame:
     return landing.select(*keep, F.posexplode(items).alias("item_pos", "item"))
 
 
-def ingest_postings(landing: DataFrame, paths: Sequence[str] = POSTING_PATHS, payload: str = "payload") -> DataFrame:
-    """A3/A4: parse as VARIANT, take the first candidate path holding a non-empty array."""
+def ingest_postings(landing: DataFrame, payload: str = "payload") -> DataFrame:
+    """A3: one row per posting of the array found by walking the payload in breadth."""
+    keep = [c for c in landing.columns if c != payload]
+    return landing.select(*keep, F.posexplode(find_postings(F.col(payload))).alias("item_pos", "item"))
+
+
+def ingest_items(landing: DataFrame, paths: Sequence[str] = ITEM_PATHS, payload: str = "payload") -> DataFrame:
+    """A4: one row per item of the first non-empty array at a candidate path of the envelope."""
     v = F.try_parse_json(F.col(payload))
     arrays = [F.try_variant_get(v, p, "array<variant>") for p in paths]
     first = F.coalesce(*[F.when(F.size(a) > 0, a) for a in arrays])

@@ -1,6 +1,6 @@
-"""Saved HTML pages: link harvest (A9), JSON-LD extraction (A10), embedded JSON
-blobs (A11).  All extraction is regex over the html column, then the html column is
-dropped before any shuffle (pages are wide)."""
+"""Saved HTML pages: link harvest (A9), JSON-LD extraction (A10), embedded JSON blobs (A11).  Links and
+embedded scripts are read as a parser sees them (``functions.markup``); the html column is dropped before any shuffle
+(pages are wide)."""
 
 from __future__ import annotations
 
@@ -10,21 +10,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.functions.common import js_trim
-from jobtide.functions.html import anchors, dom_text, jsonld_blocks
-from jobtide.sources.landing import POSTING_PATHS
+from jobtide.functions.html import jsonld_blocks
+from jobtide.functions.markup import attribute, links, raw_content, raw_elements
+from jobtide.functions.variant_search import find_postings
 
+# Marker of an offer link and what makes a heading inside it, by source.
+LINK_RULES = {"nofluffjobs": ("/job/", ("h3",), ("data-cy", "title")), "pracuj": (",oferta,", ("h2",), None)}
 
-def harvest_links(pages: DataFrame, marker: str, id_cols: Sequence[str] = ("page_id",), html: str = "html") -> DataFrame:
-    """Anchors whose href contains ``marker``, distinct per page (first wins), with text."""
-    every = F.transform(anchors(html), lambda x, i: F.struct(i.alias("link_pos"), x["href"].alias("href"),
-                                                             x["text"].alias("text")))
+
+def harvest_links(pages: DataFrame, marker: str, id_cols: Sequence[str] = ("page_id",), html: str = "html",
+                  heading_tags: Sequence[str] = (), heading_attribute: tuple[str, str] | None = None) -> DataFrame:
+    """Anchors whose href contains ``marker``, distinct per page (first wins); ``text`` is the text of the
+    first heading inside the anchor if it has any, else the anchor's."""
+    every = F.transform(links(html, heading_tags, heading_attribute), lambda x, i: F.struct(
+        i.alias("link_pos"), x["href"].alias("href"),
+        F.coalesce(F.nullif(x["heading"], F.lit("")), x["text"]).alias("text")))
     a = pages.select(*id_cols, F.filter(every, lambda x: x["href"].contains(marker)).alias("a"))
     # All links of a page are in one row, so repeats are found inside the array, without a shuffle.
     a = a.select(*id_cols, "a", F.col("a.href").alias("h"))
     first = F.filter("a", lambda x, i: F.array_position(F.col("h"), x["href"]) == i + 1)
     a = a.select(*id_cols, F.explode(first).alias("x"))
-    return a.select(*id_cols, "x.link_pos", "x.href",
-                    js_trim(dom_text(F.col("x.text"), drop_head=False)).alias("text"))
+    return a.select(*id_cols, "x.link_pos", "x.href", "x.text")
+
+
+def harvest_offers(pages: DataFrame, source: str, id_cols: Sequence[str] = ("page_id",), html: str = "html") -> DataFrame:
+    """A9 by a source's own rule."""
+    return harvest_links(pages, LINK_RULES[source][0], id_cols, html, *LINK_RULES[source][1:])
 
 
 def jsonld(html="html", type_: str | None = None) -> Column:
@@ -47,18 +58,14 @@ def extract_jsonld(pages: DataFrame, type_: str | None = None, id_cols: Sequence
     return pages.select(*id_cols, jsonld(html, type_).alias("ld"))
 
 
-EMBEDDED_RE = r'''(?is)<script[^>]*type=["']application/(?:ld\+)?json["'][^>]*>(.*?)</script>'''
+# Types of scripts that hold data.
+DATA_TYPES = ["application/json", "application/ld+json"]
 
 
-def ingest_embedded(pages: DataFrame, paths: Sequence[str] = POSTING_PATHS, id_cols: Sequence[str] = ("page_id",),
-                    html: str = "html") -> DataFrame:
+def ingest_embedded(pages: DataFrame, id_cols: Sequence[str] = ("page_id",), html: str = "html") -> DataFrame:
     """Embedded JSON script blobs longer than 20 characters; the first blob (in page
     order) that yields postings wins; one row per posting."""
-    blobs = F.filter(F.regexp_extract_all(F.col(html), F.lit(EMBEDDED_RE), F.lit(1)), lambda b: F.length(b) > 20)
-
-    def postings(b):
-        v = F.try_parse_json(b)
-        return F.coalesce(*[F.when(F.size(a) > 0, a) for a in [F.try_variant_get(v, p, "array<variant>") for p in paths]])
-
-    first = F.get(F.filter(F.transform(blobs, postings), lambda a: a.isNotNull()), 0)
+    data = F.filter(raw_elements(html, "script"), lambda t: F.lower(attribute(t, "type")).isin(DATA_TYPES))
+    blobs = F.filter(F.transform(data, lambda t: js_trim(raw_content(t))), lambda b: F.length(b) > 20)
+    first = F.get(F.filter(F.transform(blobs, find_postings), lambda a: F.size(a) > 0), 0)
     return pages.select(*id_cols, F.posexplode(first).alias("item_pos", "item"))

@@ -230,7 +230,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
 
     def rows():
         nonlocal number, ids, sizes, held, made
-        block, meet = (task << 24) + made, (((task // DEAL) << 24) + made) * (DEAL + 1)
+        block, meet = (task << 24) + made, (((task // DEAL) << 24) + made) * DEAL
         flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
         codes.clear()
         # Frequent words get small numbers, whose bytes compress better.
@@ -245,7 +245,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         for k, (words, at) in enumerate(parts):
             if words:
                 yield _row(meet + k, block, k, (words, _planes(np.array(at))))
-        yield _row(meet + DEAL, block, -1, (ids, sizes, len(rank), _planes(rank[flat])))
+        yield _row(-1 - block, block, -1, (ids, sizes, len(rank), _planes(rank[flat])))
         ids, sizes, held, made = [], [], 0, made + 1
         pa.default_memory_pool().release_unused()
 

@@ -126,16 +126,25 @@ def block_mark(body, needles=None) -> Column:
 
 def detail_has_content(body, source: str) -> Column:
     """Structured content whose presence disables the needle scan (per source):
-    justjoin any JSON-LD block, rocketjobs a JobPosting block, talentdays a JSON body,
-    olx a JSON body with ``data``; nofluffjobs a JSON body (the original always scans)."""
-    from jobtide.functions.html import jsonld_blocks
+    justjoin any JSON-LD block, rocketjobs a parsed JobPosting (at the top of a block or in its array),
+    talentdays a JSON body, olx a JSON body with ``data``; nofluffjobs a JSON body (the original always scans)."""
+    from jobtide.functions.html import first_job_posting, jsonld_blocks
     b = col_of(body)
     if source == "justjoin":
         return F.size(jsonld_blocks(b)) > 0
     if source == "rocketjobs":
-        return F.exists(jsonld_blocks(b), lambda x: F.lower(x).contains('"jobposting"'))
+        return first_job_posting(b).isNotNull()
     if source in ("talentdays", "nofluffjobs"):
         return F.try_parse_json(b).isNotNull()
     if source == "olx":
         return F.try_variant_get(F.try_parse_json(b), "$.data", "variant").isNotNull()
     return F.lit(False)
+
+
+def detail_malformed(body, source: str) -> Column:
+    """Content that is there but can't be read: justjoin's first JSON-LD block is no JSON."""
+    from jobtide.functions.html import jsonld_blocks
+    if source != "justjoin":
+        return F.lit(False)
+    first = F.get(jsonld_blocks(col_of(body)), 0)
+    return F.coalesce(first.isNotNull() & F.try_parse_json(first).isNull(), F.lit(False))

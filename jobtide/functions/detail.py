@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.functions.common import col_of, js_trim, trimmed_or_null
-from jobtide.functions.html import html_to_text, jsonld_blocks
+from jobtide.functions.html import first_job_posting, html_to_text, jsonld_blocks
 from jobtide.functions.jsonx import embedded_skill_list, list_values
 from jobtide.functions.text import compose_sections, format_skills
 from jobtide.operators.positional import concat_lists
@@ -51,12 +51,7 @@ def detail_fields(body, source: str) -> Column:
         return _pack(description=html_to_text(_s(ld, "$.description"), "justjoin"), skills_required=req,
                      skills_nice=nice)
     if source == "rocketjobs":
-        def cands(x):
-            v = F.try_parse_json(x)
-            return F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")) \
-                .otherwise(F.array(v))
-        flat = F.flatten(F.transform(jsonld_blocks(b), cands))
-        jp = F.get(F.filter(flat, lambda x: _s(x, "$['@type']") == F.lit("JobPosting")), 0)
+        jp = first_job_posting(b)
         return _pack(description=html_to_text(_s(jp, "$.description"), "rocketjobs"),
                      valid_through=trimmed_or_null(_s(jp, "$.validThrough")))
     v = F.try_parse_json(b)

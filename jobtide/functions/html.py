@@ -142,3 +142,12 @@ JSONLD_RE = r'''(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</s
 def jsonld_blocks(html) -> Column:
     """Raw JSON-LD script bodies in document order."""
     return F.regexp_extract_all(col_of(html), rx(JSONLD_RE), F.lit(1))
+
+
+def first_job_posting(html) -> Column:
+    """The first JSON-LD object with ``@type`` JobPosting, at the top of a block or in its array, as VARIANT."""
+    def objects(b):
+        v = F.try_parse_json(b)
+        return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
+    every = F.flatten(F.transform(jsonld_blocks(html), objects))
+    return F.get(F.filter(every, lambda x: F.try_variant_get(x, "$['@type']", "string") == F.lit("JobPosting")), 0)

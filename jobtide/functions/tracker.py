@@ -32,12 +32,12 @@ def source_display(src) -> Column:
     return F.coalesce(F.try_element_at(m, s), s, F.lit(""))
 
 
-def to_tracker(df: DataFrame, id_col: str = "id") -> DataFrame:
-    """13 tracker columns (description excluded); B, K, L, M left empty."""
+def to_tracker(df: DataFrame, id_col: str = "id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """13 tracker columns (description excluded); B, K, L, M left empty.  The run's columns and ``keep`` stay."""
     src = F.coalesce(F.nullif(F.col("_src"), F.lit("")), F.col("source")) if "_src" in df.columns else F.col("source")
     raw_salary = F.col("salary") if "salary" in df.columns else None
     return df.select(
-        *[c for c in ("run_tab", "run_id") if c in df.columns],
+        *[c for c in ("run_tab", "run_id", *keep) if c in df.columns],
         F.col(id_col).cast("bigint").alias("id"),
         F.lit("").alias("applied_at"),
         F.coalesce(F.col("company"), F.lit("")).alias("company"),

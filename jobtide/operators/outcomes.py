@@ -34,6 +34,7 @@ class OutcomeRules:
     transport_error: str = "{error}"
     no_response: str = "no result"                 # status 0 without an error text
     unparsed: str | None = None                    # a 2xx body without the expected content; None: http_error
+    malformed: str | None = None                   # a 2xx body whose content is there but can't be read
     unparsed_any_status: bool = False              # the body is parsed before the status is looked at
     empty_error: str = "empty description"
     empty_is_fetched: bool = False
@@ -45,7 +46,8 @@ class OutcomeRules:
 
 # Per-source detail rules and messages.
 RULES = {
-    "justjoin": OutcomeRules(unparsed="ld+json not found", block_needle="block-signal: {mark}"),
+    "justjoin": OutcomeRules(unparsed="ld+json not found", malformed="ld+json parse: invalid JSON",
+                             block_needle="block-signal: {mark}"),
     "rocketjobs": OutcomeRules(unparsed="ld+json JobPosting not found", transport_error="fetch {error}",
                                no_response="empty result"),
     "talentdays": OutcomeRules(unparsed="bad json (http {status})", unparsed_any_status=True,
@@ -67,14 +69,14 @@ MAX_CUTS = 1 << 17   # (run, source) rows, some dozens of bytes each, that may b
 
 def _flags(att: DataFrame) -> DataFrame:
     """Expects run_id, source, position, url_key, cache_hit, no_slug, status, blocked, description;
-    optional: parsed (the body has the expected content; default true), error (transport
-    error text), block_mark (the needle found)."""
-    for name, default in (("parsed", F.lit(True)), ("error", F.lit(None).cast("string")),
+    optional: parsed (the body has the expected content; default true), malformed (the content can't be
+    read; default false), error (transport error text), block_mark (the needle found)."""
+    for name, default in (("parsed", F.lit(True)), ("malformed", F.lit(False)), ("error", F.lit(None).cast("string")),
                           ("block_mark", F.lit(None).cast("string"))):
         if name not in att.columns:
             att = att.withColumn(name, default)
     got = F.coalesce(F.col("status").between(200, 299) & ~F.col("blocked"), F.lit(False))
-    ok = got & F.coalesce(F.col("parsed"), F.lit(False))
+    ok = got & F.coalesce(F.col("parsed") & ~F.col("malformed"), F.lit(False))
     nonempty = F.coalesce(F.length(F.col("description")) > 0, F.lit(False))
     has_url = F.coalesce(F.col("url_key") != "", F.lit(False))
     return (att.withColumn("_has_url", has_url).withColumn("_got", got)
@@ -100,6 +102,7 @@ def error_text(rules: OutcomeRules, outcome: Column) -> Column:
     bad_body = ~F.coalesce(F.col("parsed"), F.lit(False))
     failed = (F.when(F.col("no_slug"), F.lit(rules.no_id))
               .when(F.col("_ok"), F.lit(rules.empty_error))
+              .when(F.col("_got") & F.col("malformed") & F.lit(rules.malformed is not None), _text(rules.malformed))
               .when(F.col("_got"), _text(rules.unparsed or rules.http_error))
               .when((status == 0) & (F.coalesce(F.col("error"), F.lit("")) != ""), _text(rules.transport_error))
               .when(status == 0, _text(rules.no_response))
@@ -181,7 +184,7 @@ def resolve_outcomes(att: DataFrame, rules: OutcomeRules, twin_fields: tuple[str
                .otherwise(F.lit("error")))
     return (a.withColumn("outcome", outcome).withColumn("detail_error", error_text(rules, F.col("outcome")))
              .withColumn("attempt", F.col("_attempt"))
-             .drop("_has_url", "_got", "_ok", "_success", "_attempt", "parsed", "error", "block_mark"))
+             .drop("_has_url", "_got", "_ok", "_success", "_attempt", "parsed", "malformed", "error", "block_mark"))
 
 
 def run_status(outcomes: DataFrame, rules: OutcomeRules, by=("run_id", "source")) -> DataFrame:

@@ -7,21 +7,23 @@ from pyspark.sql import functions as F
 
 from jobtide.plans import sqlx
 from jobtide.plans.adapters import adapter
+from jobtide.plans.q_core import RUN_DEDUP_SQL
 from jobtide.plans.registry import query
 from jobtide.schema import OFFER
 from jobtide.session import scratch_path
 from jobtide.streaming import pipeline as SP
+from jobtide.streaming import ttl_cache as TC
 
 
 def _collect_docs(spark, sf):
-    """offers_ev as collect documents of at most 100 offers (bounded groups)."""
+    """offers_ev as collect documents of at most 100 offers (bounded groups), with the position of their first one."""
     o = adapter(spark, sf, "offers_ev")
     offer = F.struct(*[(F.col(f.name) if f.name in o.columns else F.lit(None)).cast(f.dataType).alias(f.name)
                        for f in OFFER.fields])
     return (o.groupBy("run_id", "source", F.floor(F.col("position") / 100).alias("chunk"))
              .agg(F.sort_array(F.collect_list(F.struct("position", offer.alias("o")))).alias("xs"))
-             .select("run_id", "source", F.size("xs").cast("bigint").alias("count"),
-                     F.transform("xs", lambda x: x["o"]).alias("offers")))
+             .select("run_id", "source", F.col("xs")[0]["position"].cast("bigint").alias("first"),
+                     F.size("xs").cast("bigint").alias("count"), F.transform("xs", lambda x: x["o"]).alias("offers")))
 
 
 @query("q_stream_collect", sql=f"""
@@ -60,3 +62,35 @@ def q_stream_cache(spark, sf):
     cur = SP.latest_version(spark, base)
     return cur.select("url_key", F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"), "description")
 
+
+@query("q_stream_tracker", sql=f"""
+SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY source, position) AS BIGINT) AS id,
+       {sqlx.tracker_cols()}
+FROM ({RUN_DEDUP_SQL})""")
+def q_stream_tracker(spark, sf):
+    """J1 with dedup and ids: the streamed tracker equals the batch tracker, ids included."""
+    src, out, ck = (scratch_path(spark, n) for n in ("landing-tracked", "stream-ids", "ckpt-ids"))
+    SP.land_json(_collect_docs(spark, sf), src)
+    SP.stream_tracker(spark, src, out, ck)
+    return SP.read_stream_tracker(spark, out)
+
+
+TTL_DAYS = 5
+
+
+@query("q_stream_ttl", sql=f"""
+SELECT url_key, fetched_at, description FROM (
+  SELECT *, row_number() OVER (PARTITION BY url_key ORDER BY fetched_at DESC, event_id DESC) AS rn
+  FROM {{{{cache_ev}}}} WHERE length(description) > 0)
+WHERE rn = 1 AND fetched_at >= (SELECT max(fetched_at) FROM {{{{cache_ev}}}}) - INTERVAL {TTL_DAYS} DAY""")
+def q_stream_ttl(spark, sf):
+    """J3 as keyed state with timers, over several micro-batches, folded into a snapshot half way."""
+    c = adapter(spark, sf, "cache_ev").select("url_key", F.col("fetched_at").cast("timestamp").alias("fetched_at"),
+                                              "event_id", "description")
+    src, base, ck = (scratch_path(spark, n) for n in ("landing-ttl", "stream-ttl", "ckpt-ttl"))
+    for part in range(2):
+        SP.land_json(c.where(F.col("event_id") % 2 == part), f"{src}/{part}")
+        TC.stream_ttl_cache(spark, f"{src}/*", base, ck, TTL_DAYS, timestamp_format=SP.TS_FORMAT)
+        if not part:
+            TC.compact(spark, base)
+    return TC.current(spark, base).select("url_key", F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"), "description")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobtide.functions.classify import block_flag, block_mark, detail_has_content
+from jobtide.functions.classify import block_flag, block_mark, detail_has_content, detail_malformed
 from jobtide.functions.detail import with_detail_fields
 from jobtide.functions.urls import identity_key, url_key
 from jobtide.operators import cache as K
@@ -76,6 +76,7 @@ def run_details(offers: DataFrame, details: DataFrame, cache: DataFrame, source:
     scan = F.lit(False) if source == "nofluffjobs" else F.col("parsed")
     att = (o.join(d, ["run_id", "source", "position"], "left")
            .withColumn("parsed", F.coalesce(detail_has_content(F.col("body"), source), F.lit(False)))
+           .withColumn("malformed", detail_malformed("body", source))
            .withColumn("blocked", block_flag("body", "status", has_content=scan))
            .withColumn("block_mark", block_mark("body"))
            .withColumn("_ok_body", F.when(F.col("status").between(200, 299), F.col("body")))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from jobtide.functions.urls import abs_url, identity_key, query_id, url_key
+from jobtide.operators import rules as RU
 from jobtide.operators import shortlist as SL
 from jobtide.operators.dedup import dedup_run, dedup_source
 from jobtide.operators.filters import apply_filters, filters_from_url
@@ -16,9 +17,11 @@ from jobtide.plans import sqlx
 from jobtide.plans.adapters import adapter
 from jobtide.plans.registry import query
 from jobtide.schema import SOURCES
+from jobtide.session import read_table
 from jobtide.sinks.export import export_records
 from jobtide.sources.landing import ingest_cards
 
+
 def _pos():
     return F.col("position").cast("bigint").alias("position")
 
@@ -351,3 +354,33 @@ def q_pick_variant(spark, sf):
     return SL.pick_variant(adapter(spark, sf, "text_doc"), VARIANTS, ["title", "text"]).select(
         "doc_id", "cv_variant", "variant_score")
 
+
+# Rules as a table: every longer plain word of the benchmark texts, weighted by its length.
+_RULES_SQL = """
+SELECT DISTINCT w AS rule_id, w AS pattern, CAST(length(w) % 7 - 3 AS DOUBLE) AS weight
+FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM benchmark) WHERE length(w) >= 6"""
+
+
+def _rule_table(spark, sf):
+    w = F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")
+    return read_table(spark, sf, "benchmark").select(w).where(F.length("w") >= 6).distinct().select(
+        F.col("w").alias("rule_id"), F.col("w").alias("pattern"), (F.length("w") % 7 - 3).cast("double").alias("weight"))
+
+
+@query("q_rule_score", sql=f"""
+WITH d AS (SELECT doc_id, lower(coalesce(title, '') || ' ' || coalesce(text, '')) AS t FROM {{{{text_doc}}}}),
+     h AS (SELECT doc_id, sum(weight) AS s, count(*) AS n FROM d JOIN ({_RULES_SQL}) r ON contains(d.t, r.pattern) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(h.s, 0.0) AS fit_score, coalesce(h.n, 0) AS n_rules FROM d LEFT JOIN h USING (doc_id)""")
+def q_rule_score(spark, sf):
+    """L3 with a rule table: found by grams, tried exactly."""
+    hits = RU.match(adapter(spark, sf, "text_doc"), _rule_table(spark, sf), ["title", "text"])
+    total = F.aggregate("rule_hits", F.lit(0.0), lambda s, h: s + h["weight"])
+    return hits.select("doc_id", total.alias("fit_score"), F.size("rule_hits").cast("bigint").alias("n_rules"))
+
+
+@query("q_rule_exclude", sql=f"""
+SELECT doc_id FROM {{{{text_doc}}}} d WHERE NOT EXISTS (
+  SELECT 1 FROM ({_RULES_SQL}) r WHERE contains(lower(coalesce(d.title, '') || ' ' || coalesce(d.text, '')), r.pattern))""")
+def q_rule_exclude(spark, sf):
+    """L1 with a rule table."""
+    return RU.exclude(adapter(spark, sf, "text_doc"), _rule_table(spark, sf), ["title", "text"]).select("doc_id")

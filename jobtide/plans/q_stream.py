@@ -75,7 +75,7 @@ def q_stream_tracker(spark, sf):
     return SP.read_stream_tracker(spark, out)
 
 
-TTL_DAYS = 5
+TTL_DAYS = 1
 
 
 @query("q_stream_ttl", sql=f"""

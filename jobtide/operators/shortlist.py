@@ -61,7 +61,8 @@ def pick_variant(offers: DataFrame, variants: Sequence[tuple[str, Sequence[str]]
 
 def join_back(tracker: DataFrame, result: DataFrame, key: str = "url_key") -> DataFrame:
     """1:1 join of shortlist results to tracker rows; ``dup_left`` / ``dup_right``
-    report keys that are not unique on a side (the join must not fan out silently)."""
+    report keys that are not unique on a side (the join must not fan out silently).  Where a repeated key
+    must fail the run, ``sinks.observed.unique_join`` joins in one pass."""
     lc = tracker.groupBy(key).agg(F.count(F.lit(1)).alias("_nl"))
     rc = result.groupBy(key).agg(F.count(F.lit(1)).alias("_nr"))
     j = tracker.join(result, key, "inner").join(lc, key).join(rc, key)

@@ -34,7 +34,8 @@ def q_dedup_run(spark, sf):
 
 
 def tracker_rows(spark, sf):
-    d = dedup_run(adapter(spark, sf, "offers_ev"))
+    # The tracker has no description, so the wide column enters neither the dedup exchange nor the numbering checkpoint.
+    d = dedup_run(adapter(spark, sf, "offers_ev").drop("description"))
     return to_tracker(number_within(d, ["run_id"], ["source", "position"], out="id"))
 
 
@@ -53,7 +54,7 @@ SELECT run_id, source, CAST(position AS BIGINT) AS position,
 FROM ({RUN_DEDUP_SQL})
 """)
 def q_tracker_id(spark, sf):
-    d = dedup_run(adapter(spark, sf, "offers_ev"))
+    d = dedup_run(adapter(spark, sf, "offers_ev").select("run_id", "source", "position", "url"))
     return number_within(d, ["run_id"], ["source", "position"], out="id") \
         .select("run_id", "source", F.col("position").cast("bigint").alias("position"), "id")
 

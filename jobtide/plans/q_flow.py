@@ -19,6 +19,7 @@ from jobtide.plans.registry import query
 from jobtide.schema import SOURCES
 from jobtide.session import read_table
 from jobtide.sinks.export import export_records
+from jobtide.sinks.observed import unique_join
 from jobtide.sources.landing import ingest_cards
 
 
@@ -318,6 +319,18 @@ def q_join_back(spark, sf):
                                      "dup_right")
 
 
+@query("q_unique_join", sql=f"""
+WITH r AS (SELECT {sqlx.url_key('url')} AS url_key, salary_from AS fit_score, title,
+                  row_number() OVER (PARTITION BY run_id, {sqlx.url_key('url')} ORDER BY source, position) AS rn
+           FROM {{{{offers_ev}}}} WHERE {sqlx.url_key('url')} <> '')
+SELECT url_key, fit_score, title FROM r WHERE rn = 1""")
+def q_unique_join(spark, sf):
+    """D11 / L5 with the assertion in the join's own pass: a run's shortlist back to its deduplicated offers."""
+    d = dedup_run(adapter(spark, sf, "offers_ev").drop("description")).withColumn("url_key", url_key("url"))
+    return unique_join(d.select("url_key", "title"), d.select("url_key", F.col("salary_from").alias("fit_score")), "url_key") \
+        .select("url_key", "fit_score", "title")
+
+
 # Shortlist configuration (rules, weights, CV variants).
 EXCLUDE_RULES = [("title", "senior|team lead"), ("text", "praca stacjonarna")]
 WEIGHTS = [("staż|praktyk", 3.0), ("zdaln", 2.0), ("b2b", -1.0), ("junior|młodszy", 1.5)]

@@ -156,19 +156,24 @@ def run_writer(spark: SparkSession, collect_path: str, started_at: dt.datetime,
     name = name_run(spark, started_at, run_id, earlier)
     offers = L.read_collect(spark, collect_path).withColumn("run_id", F.lit(run_id))
     offers = offers.withColumn("source", F.coalesce(F.col("_src"), F.col("source")))
-    deduped = dedup_run(offers, identity)
-    # Two files may carry one source: the file name makes the order total.
-    numbered = number_within(deduped, ["run_id"], ["source", "position", "_file"], "id")
+    # Winners and ids are found on rows without the description; two files may carry one source, so the file name
+    # makes the order total.  Whole rows are fetched by that order key, once, where they are exported.
+    place = ["source", "position", "_file"]
+    narrow = dedup_run(offers.drop("description"), identity)
+    numbered = number_within(narrow, ["run_id"], place, "id")
+    whole = offers.join(numbered.select(*place, "id"), place)
     tracker = to_tracker(numbered).withColumn("run_tab", F.lit(name["run_tab"]))
-    summary = with_description(deduped)
+    summary = with_description(whole)
     if out:
-        stamp = name["export_stamp"]
+        stamp, seen = name["export_stamp"], {}
         SK.run_sinks(numbered, {
             "tracker": lambda d: SK.append_tracker(to_tracker(d).withColumn("run_tab", F.lit(name["run_tab"])),
                                                    f"{out}/tracker"),
-            "export": lambda d: SK.export_full(d, f"{out}/full/{stamp}", name["run_tab"], started_at.isoformat()),
+            "export": lambda d: SK.export_full(whole, f"{out}/full/{stamp}", name["run_tab"], started_at.isoformat(), seen),
         })
+        if "offers" in seen:        # counted while they were written
+            summary = spark.createDataFrame([(run_id, seen["offers"], seen["with_description"])], summary.schema)
         if not earlier.where(F.col("run_id") == run_id).take(1):
             spark.createDataFrame([(run_id, started_at)], RUNS).write.mode("append").parquet(f"{out}/runs")
-    return {"offers": deduped.withColumn("identity_key", identity_key("url", "source")), "tracker": tracker,
+    return {"offers": whole.withColumn("identity_key", identity_key("url", "source")), "tracker": tracker,
             "summary": summary, "quarantine": L.quarantine_files(spark, collect_path), "file_stamp": spark.createDataFrame([(name["export_stamp"],)], "stamp string")}

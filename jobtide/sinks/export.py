@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from jobtide.functions.urls import url_key
 from jobtide.operators.mapping import drop_temp
+from jobtide.sinks.observed import run_metrics, write_observed
 
 
 def write_offers(df: DataFrame, path: str) -> None:
@@ -25,18 +26,27 @@ def export_records(df: DataFrame) -> DataFrame:
     return rec.select("run_id", F.to_json(F.struct(*cols)).alias("json"))
 
 
-def export_full(df: DataFrame, path: str, run_tab: str, generated_at: str) -> DataFrame:
-    """B2: JSON lines per run plus a one-row manifest (run_tab, generated_at, count).
+def export_full(df: DataFrame, path: str, run_tab: str, generated_at: str, seen: dict | None = None) -> DataFrame:
+    """B2: JSON lines per run plus a manifest (run_tab, generated_at, count).
     The single-document envelope is never built: it would pass the whole run through
-    one task."""
+    one task.  The rows of one run are counted as they are written; ``seen`` gets these metrics (E2)."""
     # Records in (source, list position) order.  orderBy range-partitions the rows, so a
     # large run is sorted by many tasks, not gathered into one.
     order = [c for c in ("run_id", "source", "position") if c in df.columns]
-    rec = export_records(df.orderBy(*order))
-    rec.write.mode("overwrite").partitionBy("run_id").text(path + "/records")
-    manifest = df.groupBy("run_id").agg(F.count(F.lit(1)).cast("bigint").alias("count")) \
-        .withColumn("run_tab", F.lit(run_tab)).withColumn("generated_at", F.lit(generated_at))
+    metrics = {**(run_metrics() if "description" in df.columns else {"offers": F.count(F.lit(1))}),
+               "least": F.min("run_id"), "most": F.max("run_id")}
+    # Observed behind the sort: the sort's sampling reads the rows before it, too.
+    got = write_observed(df.orderBy(*order), lambda d: export_records(d).write.mode("overwrite").partitionBy("run_id")
+                         .text(path + "/records"), metrics)
+    if got["least"] == got["most"]:
+        rows = [(got["most"], got["offers"])] if got["offers"] else []
+        manifest = df.sparkSession.createDataFrame(rows, "run_id string, count bigint")
+    else:
+        manifest = df.groupBy("run_id").agg(F.count(F.lit(1)).cast("bigint").alias("count"))
+    manifest = manifest.withColumn("run_tab", F.lit(run_tab)).withColumn("generated_at", F.lit(generated_at))
     manifest.write.mode("append").json(path + "/manifest")
+    if seen is not None:
+        seen.update(got)
     return manifest
 
 

@@ -100,17 +100,15 @@ def with_detail_fields(df: DataFrame, body: str, source: str, out: str = "_det")
     def lst(path):
         return list_values(F.try_variant_get(v, path, "variant"))
 
-    x = x.withColumn("_dl", F.struct(
-        lst("$.requirements.musts").alias("musts"), lst("$.requirements.nices").alias("nices"),
-        lst("$.requirements.languages").alias("langs"), lst("$.specs.dailyTasks").alias("daily"),
-        lst("$.specs.responsibilities").alias("resp"),
-        concat_lists(lst("$.benefits.benefits"), lst("$.benefits.equipment"), lst("$.benefits.officePerks")).alias("ben"),
-        html_to_text(F.coalesce(_s(v, "$.details.description"), _s(v, "$.description")), "nofluffjobs").alias("desc"),
-        html_to_text(_s(v, "$.requirements.description"), "nofluffjobs").alias("req")))
-    x = x.withColumn("_dl", F.col("_dl"))  # keep the staged struct a separate projection
-    L = F.col("_dl")
-    text = compose_sections(L["desc"], L["musts"], L["langs"], L["nices"], L["daily"], L["resp"], L["ben"],
-                            requirements_text=L["req"])
-    fields = _pack(description=text, skills_required=F.when(F.size(L["musts"]) > 0, L["musts"]),
-                   skills_nice=F.when(F.size(L["nices"]) > 0, L["nices"]))
-    return x.withColumn(out, F.when(F.col(body).isNotNull(), fields)).drop("_dv", "_dl")
+    # Columns of their own: fields of one struct would be folded back into each of their uses.
+    staged = {
+        "_musts": lst("$.requirements.musts"), "_nices": lst("$.requirements.nices"), "_langs": lst("$.requirements.languages"),
+        "_daily": lst("$.specs.dailyTasks"), "_resp": lst("$.specs.responsibilities"),
+        "_ben": concat_lists(lst("$.benefits.benefits"), lst("$.benefits.equipment"), lst("$.benefits.officePerks")),
+        "_desc": html_to_text(F.coalesce(_s(v, "$.details.description"), _s(v, "$.description")), "nofluffjobs"),
+        "_req": html_to_text(_s(v, "$.requirements.description"), "nofluffjobs")}
+    x = x.withColumns(staged)
+    text = compose_sections("_desc", "_musts", "_langs", "_nices", "_daily", "_resp", "_ben", requirements_text="_req")
+    fields = _pack(description=text, skills_required=F.when(F.size("_musts") > 0, F.col("_musts")),
+                   skills_nice=F.when(F.size("_nices") > 0, F.col("_nices")))
+    return x.withColumn(out, F.when(F.col(body).isNotNull(), fields)).drop("_dv", *staged)

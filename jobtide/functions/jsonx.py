@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from jobtide.functions.common import col_of, js_trim
 from jobtide.functions.html import strip_fragment
+from jobtide.functions.literals import let
 
 
 def list_values(v) -> Column:
@@ -18,11 +19,11 @@ def list_values(v) -> Column:
                      F.array().cast("array<variant>"))
 
     def one(el):
-        is_str = F.schema_of_variant(el) == "STRING"
-        obj = F.schema_of_variant(el).startswith("OBJECT")
-        raw = F.coalesce(*[F.try_variant_get(el, f"$.{k}", "string") for k in ("value", "name", "code")])
-        s = F.when(is_str, F.try_variant_get(el, "$", "string")).when(obj, raw)
-        return js_trim(strip_fragment(F.coalesce(s, F.lit("")), noise_stripped=True))
+        # One typed read of an object's members; expressions in a lambda are computed anew at each use, hence the lets.
+        text = let(F.try_variant_get(el, "$", "struct<value:string,name:string,code:string>"), lambda o: F.when(
+            o.isNotNull(), F.coalesce(o["value"], o["name"], o["code"])).when(
+            F.schema_of_variant(el) == "STRING", F.try_variant_get(el, "$", "string")))
+        return let(F.coalesce(text, F.lit("")), lambda s: js_trim(strip_fragment(s, noise_stripped=True)))
 
     return F.filter(F.transform(arr, one), lambda s: s != "")
 

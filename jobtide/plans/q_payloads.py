@@ -214,6 +214,12 @@ def q_skills(spark, sf):
     return docs.select("conv_id", F.array_join(sk, "|").alias("skills_required")).where("skills_required IS NOT NULL")
 
 
+def _all_turns():
+    """The texts of all turns in order, a paragraph each."""
+    turns = F.sort_array(F.collect_list(F.struct("turn", F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>")).alias("p"))))
+    return F.array_join(F.transform(turns, lambda s: s["p"]), "")
+
+
 def _sections_sql():
     bul = "array_to_string(list_transform({x}, lambda z: '- ' || z), chr(10))"
     desc = f"nullif({sqlx.js_trim('d')}, '')"
@@ -228,7 +234,7 @@ def _sections_sql():
     joined = f"concat_ws(chr(10) || chr(10), {parts})"
     final = f"nullif({sqlx.js_trim(sqlx.sub(joined, "\n{3,}", "\n\n"))}, '')"
     return f"""
-WITH g AS (SELECT conv_id, {sqlx.html_text("arg_min(text, turn)", 'nofluffjobs')} AS d,
+WITH g AS (SELECT conv_id, {sqlx.html_text("string_agg('<p>' || text || '</p>', '' ORDER BY turn)", 'nofluffjobs')} AS d,
                   coalesce(list(label ORDER BY turn) FILTER (WHERE role = 'user'), []) AS musts,
                   CASE WHEN conv_id % 2 = 0 THEN ['polski', 'angielski'] ELSE [] END AS langs,
                   CASE WHEN conv_id % 3 <> 0 THEN coalesce(list(label ORDER BY turn) FILTER (WHERE role <> 'user'), [])
@@ -244,7 +250,7 @@ def q_sections(spark, sf):
     t = adapter(spark, sf, "turns_cv")
     lab = lambda s: s["label"]
     g = t.groupBy("conv_id").agg(
-        F.min_by("text", "turn").alias("d"),
+        _all_turns().alias("d"),
         F.sort_array(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "label")))).alias("u"),
         F.sort_array(F.collect_list(F.when(F.col("role") != "user", F.struct("turn", "label")))).alias("o"),
         F.sort_array(F.collect_list(F.when(F.col("turn") % 3 == 0, F.struct(
@@ -522,7 +528,7 @@ def q_pracuj_cards(spark, sf):
 
 @query("q_detail_fields", sql=f"""
 WITH g AS (SELECT conv_id,
-                  arg_min('<p>' || text || '</p>', turn) AS d,
+                  string_agg('<p>' || text || '</p>', '' ORDER BY turn) AS d,
                   coalesce(list(label ORDER BY turn) FILTER (WHERE role = 'user'), []) AS musts,
                   CASE WHEN conv_id % 2 = 0 THEN ['PL'] ELSE [] END AS langs,
                   CASE WHEN conv_id % 3 <> 0 THEN coalesce(list(label ORDER BY turn) FILTER (WHERE role <> 'user'), [])
@@ -545,8 +551,7 @@ def q_detail_fields(spark, sf):
     lab = lambda s: s["label"]
     cid = F.col("conv_id")
     g = t.groupBy("conv_id").agg(
-        F.min_by(F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>")),
-                 "turn").alias("d"),
+        _all_turns().alias("d"),
         F.sort_array(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "label")))).alias("u"),
         F.sort_array(F.collect_list(F.when(F.col("role") != "user", F.struct("turn", "label")))).alias("o"),
         F.sort_array(F.collect_list(F.when(F.col("turn") % 3 == 0, F.struct("turn", "label")))).alias("k"),

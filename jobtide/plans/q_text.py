@@ -43,9 +43,12 @@ def q_contract_class(spark, sf):
 
 
 @query("q_seniority_class",
-       sql=f"SELECT doc_id, {sqlx.classify('title', sqlx.SENIORITY)} AS experience_level FROM {{{{text_doc}}}}")
+       sql=f"""SELECT doc_id, {sqlx.classify("concat_ws(' ', title, text)", sqlx.SENIORITY)} AS experience_level
+FROM {{{{text_doc}}}}""")
 def q_seniority_class(spark, sf):
-    return adapter(spark, sf, "text_doc").select("doc_id", C.seniority("title").alias("experience_level"))
+    """I5 over the title and the card's whole text."""
+    return adapter(spark, sf, "text_doc").select(
+        "doc_id", C.seniority(F.concat_ws(" ", "title", "text")).alias("experience_level"))
 
 
 @query("q_entry_level", sql=f"""

@@ -28,8 +28,42 @@ def valid_cache(cache: DataFrame) -> DataFrame:
 def cache_lookup(offers: DataFrame, cache: DataFrame) -> DataFrame:
     """Left join on url_key; adds ``cache_hit`` and the struct ``hit_f``."""
     hits = valid_cache(cache).select("url_key", F.col("f").alias("hit_f"))
-    return (offers.join(hits, "url_key", "left")
-                  .withColumn("cache_hit", F.col("hit_f").isNotNull()))
+    keyed = offers.withColumn("_hk", spread_blank("url_key", offers.columns))
+    return (keyed.join(hits.withColumnRenamed("url_key", "_hk"), "_hk", "left").drop("_hk")
+                 .withColumn("cache_hit", F.col("hit_f").isNotNull()))
+
+
+def spread_blank(key: str, columns: Sequence[str]) -> Column:
+    """A join key in which blank and null keys, which match nothing, differ from row to row, so that they don't meet
+    in one task."""
+    k = F.col(key)
+    return F.when(F.coalesce(k, F.lit("")) != "", k).otherwise(
+        F.concat(F.lit("\x00"), F.xxhash64(*[F.col(c) for c in columns]).cast("string")))
+
+
+def attach_responses(offers: DataFrame, details: DataFrame, source: str) -> DataFrame:
+    """D3 in a run: adds status, body and error of the response that was landed for each offer.
+
+    A response belongs to the offers whose detail id (of their url) is its own; of several, to each offer the one landed
+    at the offer's position, else the first.  A response without an id of its own belongs to its position."""
+    own = detail_id(source, "url")
+    if source in ("justjoin", "rocketjobs"):        # the id is the address itself
+        own = F.when(F.col("url").rlike("^https?://"), F.col("url"))
+    got = F.struct("status", "body", "error")
+    d = details.select("run_id", "source", "position", own.alias("_did"), got.alias("_got"))
+    o = offers.withColumn("_did", F.nullif(own, F.lit("")))
+    here = d.withColumnRenamed("_did", "_own").withColumnRenamed("_got", "_here") \
+        .where(F.col("position").isNotNull())
+    here = here.groupBy("run_id", "source", "position", "_own").agg(F.first("_here").alias("_here"))
+    exact = here.groupBy("run_id", "source", "position").agg(F.collect_list(F.struct("_own", "_here")).alias("_at"))
+    first = d.where(F.coalesce(F.col("_did"), F.lit("")) != "").groupBy("run_id", "source", "_did") \
+        .agg(F.min_by("_got", F.struct(F.col("position").isNull(), "position")).alias("_first")).withColumnRenamed("_did", "_dk")
+    o = o.join(exact, ["run_id", "source", "position"], "left").withColumn("_dk", spread_blank("_did", ["run_id", "source", "position"]))
+    o = o.join(first, ["run_id", "source", "_dk"], "left")
+    mine = F.get(F.filter("_at", lambda x: F.coalesce(x["_own"], F.lit("")) == F.coalesce(F.col("_did"), F.lit(""))), 0)["_here"]
+    free = F.get(F.filter("_at", lambda x: F.coalesce(x["_own"], F.lit("")) == ""), 0)["_here"]
+    return o.withColumn("_r", F.coalesce(mine, free, F.col("_first"))).withColumns(
+        {c: F.col("_r")[c] for c in ("status", "body", "error")}).drop("_did", "_dk", "_at", "_first", "_r")
 
 
 def needs_detail(offers: DataFrame, cache: DataFrame) -> DataFrame:
@@ -40,13 +74,14 @@ def needs_detail(offers: DataFrame, cache: DataFrame) -> DataFrame:
 
 def detail_id(source: str, url) -> Column:
     """D3 id per source: url (API sources), '/job/<slug>' lower-cased (nofluffjobs),
-    slug (talentdays), numeric ad id of ≥ 6 digits (olx)."""
+    what follows '/praca-i-staz/' (talentdays), numeric ad id of ≥ 6 digits (olx)."""
     if source == "nofluffjobs":
         return F.nullif(slug_from_url(url, "/job/"), F.lit(""))
     if source == "olx":
         return ad_id_from_url(url, 6)
     if source == "talentdays":
-        return F.nullif(slug_from_url(url, "/"), F.lit(""))
+        after = F.split_part(F.coalesce(F.col(url) if isinstance(url, str) else url, F.lit("")), F.lit("/praca-i-staz/"), F.lit(2))
+        return F.nullif(F.regexp_replace(after, "/+$", ""), F.lit(""))
     return F.col(url) if isinstance(url, str) else url
 
 

@@ -17,6 +17,7 @@ from jobtide.plans import sqlx
 from jobtide.plans.adapters import adapter
 from jobtide.plans.registry import query
 from jobtide.schema import SOURCE_NAMES, SOURCES
+from jobtide.session import read_table
 
 NOW = dt.datetime(2024, 1, 31)
 TTL = 15
@@ -397,3 +398,70 @@ def q_detail_pipeline(spark, sf):
              .when(F.col("outcome") == "fetched", F.col("description")))
     return out.select("source", F.col("position").cast("bigint").alias("position"), "outcome",
                       F.md5(final).alias("description_md5"), "detail_error")
+
+
+# ---------------------------------------------------------------- the shipped detail run, per source, from bodies
+
+# Offer url by source; its detail id is unique.
+_RUN_URLS = {"justjoin": "https://justjoin.it/job-offer/d{}", "rocketjobs": "https://rocketjobs.pl/oferta-pracy/d{}",
+             "nofluffjobs": "https://nofluffjobs.com/pl/job/d{}", "talentdays": "https://talentdays.pl/praca-i-staz/d{}",
+             "olx": "https://www.olx.pl/oferta/praca/x-CID4-ID{}.html"}
+_RUN_HTTP = {"justjoin": "http ", "rocketjobs": "http ", "talentdays": "bad json (http ",
+             "nofluffjobs": "detail fetch failed (status ", "olx": "HTTP "}
+_RUN_EMPTY = {"justjoin": "'empty description'", "rocketjobs": "'empty description'", "talentdays": "'no content'",
+              "nofluffjobs": "NULL", "olx": "NULL"}
+_RUN_BLOCK = {"justjoin": "'http 403'", "rocketjobs": "'http 403'", "talentdays": "'http 403'",
+              "nofluffjobs": "'blocked (status 403)'", "olx": "NULL"}
+
+
+def _run_body(source):
+    """The document's text as the source's detail response carries it."""
+    html = F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>"))
+    page = lambda ld: F.concat(F.lit('<html><script type="application/ld+json">'),
+                               F.replace(ld, F.lit("</"), F.lit("<\\/")), F.lit("</script></html>"))
+    if source == "justjoin":
+        return page(F.to_json(F.struct(html.alias("description"))))
+    if source == "rocketjobs":
+        return page(F.to_json(F.array(F.struct(F.lit("Organization").alias("@type"), F.lit(None).cast("string").alias("description")),
+                                      F.struct(F.lit("JobPosting").alias("@type"), html.alias("description")))))
+    if source == "nofluffjobs":
+        return F.to_json(F.struct(F.struct(html.alias("description")).alias("details")))
+    if source == "talentdays":
+        return F.to_json(F.struct(F.struct(html.alias("content")).alias("json")))
+    return F.to_json(F.struct(F.struct(html.alias("description")).alias("data")))
+
+
+def _run_sql(source):
+    t = sqlx.html_text("'<p>' || text || '</p>'", source)
+    desc = f"CASE WHEN {t} IS NOT NULL THEN 'OPIS:' || chr(10) || {t} END" if source == "nofluffjobs" else t
+    end = " || ')'" if "(" in _RUN_HTTP[source] else ""
+    return f"""
+SELECT '{source}' AS source, doc_id AS position,
+       md5(CASE WHEN position_cut IS NULL OR doc_id < position_cut THEN CASE WHEN status = 200 THEN {desc} END END) AS description_md5,
+       CASE WHEN doc_id > position_cut THEN NULL WHEN status = 403 THEN {_RUN_BLOCK[source]}
+            WHEN status <> 200 THEN '{_RUN_HTTP[source]}' || CAST(status AS VARCHAR){end}
+            WHEN {desc} IS NULL THEN {_RUN_EMPTY[source]} END AS detail_error
+FROM (SELECT *, min(doc_id) FILTER (WHERE status = 403) OVER () AS position_cut FROM (
+        SELECT doc_id, text, CASE WHEN doc_id % 977 = 976 THEN 403 WHEN doc_id % 13 = 5 THEN 500 ELSE 200 END AS status FROM documents))"""
+
+
+@query("q_run_details", sql=" UNION ALL ".join(_run_sql(p) for p in _RUN_URLS))
+def q_run_details(spark, sf):
+    """The shipped detail run of each source, from landed response bodies.  Responses lie in another order than the offers
+    and are attached by url, slug or ad id."""
+    from jobtide.plans.run import run_details
+    from jobtide.schema import DESC_CACHE
+    docs, n, cache = read_table(spark, sf, "documents"), F.col("doc_id"), spark.createDataFrame([], DESC_CACHE)
+    status = F.when(n % 977 == 976, 403).when(n % 13 == 5, 500).otherwise(200)
+    parts = []
+    for source, url in _RUN_URLS.items():
+        head, tail = url.split("{}")
+        number = (n + 100_000).cast("string") if source == "olx" else n.cast("string")
+        base = docs.select(F.lit("R1").alias("run_id"), F.lit(source).alias("source"), n.alias("position"),
+                           F.concat(F.lit(head), number, F.lit(tail)).alias("url"), status.alias("status"),
+                           F.when(status == 200, _run_body(source)).alias("body"))
+        offers = base.select("run_id", "source", "position", "url", F.lit(None).cast("string").alias("description"))
+        details = base.withColumn("position", -F.col("position") - 1).withColumn("error", F.lit(None).cast("string"))
+        out = run_details(offers, details, cache, source)["offers"]
+        parts.append(out.select("source", "position", F.md5("description").alias("description_md5"), "detail_error"))
+    return union_sources(*parts)

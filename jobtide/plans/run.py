@@ -61,7 +61,8 @@ def run_list(landing: DataFrame, source: str, filters: DataFrame | None = None)
 def run_details(offers: DataFrame, details: DataFrame, cache: DataFrame, source: str,
                 now: dt.datetime | None = None) -> dict[str, DataFrame]:
     """Entry 2.  ``details`` = landing_detail rows (run_id, source, position, url, status,
-    body, error) holding the source's detail response for the offer at that position.
+    body, error) holding the source's detail responses; they are attached by the source's detail id
+    (``attach_responses``).
 
     Cache hits, twins and fresh fetches carry a fields struct; the source's merge rule
     applies it: override (fields present replace list values; the description always)
@@ -70,11 +71,10 @@ def run_details(offers: DataFrame, details: DataFrame, cache: DataFrame, source:
     o = EN.cache_lookup(offers.withColumn("url_key", url_key("url")), cache)
     if "error" not in details.columns:
         details = details.withColumn("error", F.lit(None).cast("string"))
-    d = details.select("run_id", "source", "position", "status", "body", "error")
     has_url = F.coalesce(F.col("url_key") != "", F.lit(False))
     # nofluffjobs scans every body for needles; the others only where the content is missing.
     scan = F.lit(False) if source == "nofluffjobs" else F.col("parsed")
-    att = (o.join(d, ["run_id", "source", "position"], "left")
+    att = (EN.attach_responses(o, details, source)
            .withColumn("parsed", F.coalesce(detail_has_content(F.col("body"), source), F.lit(False)))
            .withColumn("malformed", detail_malformed("body", source))
            .withColumn("blocked", block_flag("body", "status", has_content=scan))

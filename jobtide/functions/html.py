@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from jobtide.functions.common import col_of, js_trim, rx
+from jobtide.functions.literals import let
 
 # The standard's character names, from Python's library: those that end in ';' and the older ones
 # that also count without it.
@@ -38,12 +39,15 @@ def decode_entities(c) -> Column:
     """Decode named and numeric entities in a single pass over the text's tokens, each exactly
     once, like a parser (so '&amp;lt;' becomes '&lt;').  Text without '&' is returned
     unchanged, and only tokens that start with '&' are looked up."""
-    x = col_of(c)
     table = F.from_json(F.lit(json.dumps(_NAMES)), "map<string,string>")     # folded to one constant
-    toks = F.regexp_extract_all(x, rx(ENTITY_TOKEN), F.lit(0))
-    decoded = F.array_join(F.transform(toks, lambda t: F.when(
-        t.startswith("&"), F.coalesce(F.try_element_at(table, t), _decode_numeric_token(t))).otherwise(t)), "")
-    return F.when(x.contains("&"), decoded).otherwise(x)
+
+    def decoded(x):
+        toks = F.regexp_extract_all(x, rx(ENTITY_TOKEN), F.lit(0))
+        return F.array_join(F.transform(toks, lambda t: F.when(
+            t.startswith("&"), F.coalesce(F.try_element_at(table, t), _decode_numeric_token(t))).otherwise(t)), "")
+
+    # Bound once: the text is itself a chain of replacements, which each use would run again.
+    return let(col_of(c), lambda x: F.when(x.contains("&"), decoded(x)).otherwise(x))
 
 
 # A parser opens a tag only before a letter, '/', '!' or '?'; any other '<' is text.
@@ -74,25 +78,28 @@ def _sub(x: Column, pat: str, rep: str) -> Column:
 def _heading_caps(x: Column) -> Column:
     """<hN>t</hN> → blank line + UPPER(t without tags/trailing ':') + ':' + newline."""
     head_re = r"(?is)<h[1-6][^>]*>.*?</h[1-6]>"
-    parts = F.split(x, head_re, -1)
-    heads = F.regexp_extract_all(x, rx(r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>"), F.lit(1))
 
     def fmt(h):
         t = js_trim(_sub(_sub(h, TAG_RE, " "), r"\s+", " "))
         t = _sub(t, r"[:\s]+$", "")
         return F.concat(F.lit("\n\n"), F.upper(t), F.lit(":\n"))
 
-    return F.when(x.rlike(head_re),
-                  F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(fmt(F.get(heads, i)), F.lit("")))), ""))\
-        .otherwise(x)
+    def capped(y):
+        heads = F.regexp_extract_all(y, rx(r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>"), F.lit(1))
+        return let(heads, lambda hs: F.array_join(F.transform(F.split(y, head_re, -1), lambda p, i: F.concat(
+            p, F.coalesce(fmt(F.get(hs, i)), F.lit("")))), ""))
+
+    return let(x, lambda y: F.when(y.rlike(head_re), capped(y)).otherwise(y))
 
 
 def strip_fragment(c, noise_stripped: bool = False) -> Column:
     """Light strip for structured fields: plain text is only trimmed; text with '<' or '&'
     gets line breaks for <br> and block closes, then tags and entities are resolved."""
-    x = col_of(c)
-    h = _sub(_sub(x, r"(?i)<br\s*/?>", "\n"), r"(?i)</(p|li|div|h[1-6]|tr|ul|ol|section)>", "\n")
-    return F.when(x.rlike("[<&]"), js_trim(dom_text(h, noise_stripped=noise_stripped))).otherwise(js_trim(x))
+    def stripped(x):
+        h = _sub(_sub(x, r"(?i)<br\s*/?>", "\n"), r"(?i)</(p|li|div|h[1-6]|tr|ul|ol|section)>", "\n")
+        return F.when(x.rlike("[<&]"), js_trim(dom_text(h, noise_stripped=noise_stripped))).otherwise(js_trim(x))
+
+    return let(col_of(c), stripped)
 
 
 PROFILES = ("justjoin", "rocketjobs", "nofluffjobs", "talentdays", "olx")
@@ -133,7 +140,7 @@ def html_to_text(c, profile: str) -> Column:
         t = js_trim(t)
     else:
         raise ValueError(f"unknown html profile {profile!r}")
-    return F.when(F.length(t) > 0, t)
+    return let(t, lambda y: F.when(F.length(y) > 0, y))
 
 
 JSONLD_RE = r'''(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>'''

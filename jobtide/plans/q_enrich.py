@@ -17,7 +17,6 @@ from jobtide.plans import sqlx
 from jobtide.plans.adapters import adapter
 from jobtide.plans.registry import query
 from jobtide.schema import SOURCE_NAMES, SOURCES
-from jobtide.session import read_table
 
 NOW = dt.datetime(2024, 1, 31)
 TTL = 15
@@ -442,7 +441,7 @@ SELECT '{source}' AS source, doc_id AS position,
             WHEN status <> 200 THEN '{_RUN_HTTP[source]}' || CAST(status AS VARCHAR){end}
             WHEN {desc} IS NULL THEN {_RUN_EMPTY[source]} END AS detail_error
 FROM (SELECT *, min(doc_id) FILTER (WHERE status = 403) OVER () AS position_cut FROM (
-        SELECT doc_id, text, CASE WHEN doc_id % 977 = 976 THEN 403 WHEN doc_id % 13 = 5 THEN 500 ELSE 200 END AS status FROM documents))"""
+        SELECT doc_id, text, CASE WHEN doc_id % 977 = 976 THEN 403 WHEN doc_id % 13 = 5 THEN 500 ELSE 200 END AS status FROM {{{{text_doc}}}}))"""
 
 
 @query("q_run_details", sql=" UNION ALL ".join(_run_sql(p) for p in _RUN_URLS))
@@ -451,7 +450,7 @@ def q_run_details(spark, sf):
     and are attached by url, slug or ad id."""
     from jobtide.plans.run import run_details
     from jobtide.schema import DESC_CACHE
-    docs, n, cache = read_table(spark, sf, "documents"), F.col("doc_id"), spark.createDataFrame([], DESC_CACHE)
+    docs, n, cache = adapter(spark, sf, "text_doc"), F.col("doc_id"), spark.createDataFrame([], DESC_CACHE)
     status = F.when(n % 977 == 976, 403).when(n % 13 == 5, 500).otherwise(200)
     parts = []
     for source, url in _RUN_URLS.items():

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +47,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
     """Broadcast hint for a table whose counted rows stay within the bound, else as it is."""
     return F.broadcast(df) if rows <= max_rows else df
+
+
+_HELD: dict[str, dict] = {}     # a worker process serves many tasks
+
+
+def held(owner: str, key: object, make: Callable[[], object]) -> object:
+    """What tasks of one operator keep in their worker process; a worker that turns to another operator lets go of it
+    first, so a worker holds one operator's memory at a time."""
+    if owner not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    mine = _HELD.setdefault(owner, {})
+    if key not in mine:
+        mine[key] = make()
+    return mine[key]

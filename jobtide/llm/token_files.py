@@ -20,12 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from jobtide.llm.common import held
+
 SHARD_TOKENS = 4 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 END_ID = 2
 _BLOCK = 512   # bits per rank directory entry
 
@@ -186,16 +189,36 @@ class WordEncoder:
         seen.update((w, self._one(w)) for w in (*rest, ".", ",") if w not in seen)
         seen.update((w, seen[w[:-1]] + seen[w[-1]]) for w in ends)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+    def flat(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by the end id, and the number of ids of each text.
+
+        Words are cut and told apart on the Arrow buffers; only distinct words are looked up, and the ids of all
+        words are gathered at once."""
+        texts = pc.fill_null(texts, "")
         # The vocabulary is lower case: ASCII texts may be lower-cased first, so that fewer words differ.
-        split = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").split(" ")
-                 for t in (t or "" for t in texts)]
+        plain = pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring(texts, "<|")))
+        texts = pc.replace_substring(pc.if_else(plain, pc.ascii_lower(texts), texts), "\n", " ")
+        split = pc.split_pattern(texts, " ")
+        words = split.flatten().dictionary_encode()
         if len(self.seen) > CACHE_WORDS:
             self.old, self.seen = self.seen, {"": b""}
-        self._learn(set().union(*split).difference(self.seen))
-        get = self.seen.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        distinct = words.dictionary.to_pylist()
+        self._learn(set(distinct).difference(self.seen))
+        known = [self.seen[w] for w in distinct] + [np.uint32(end_id).tobytes()]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(known), np.uint32)
+        # The end id is one more word behind each text's last.
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        at = np.insert(words.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends, len(distinct))
+        n = sizes[at]
+        last = np.cumsum(n)
+        ids = flat[np.repeat(starts[at] - (last - n), n) + np.arange(last[-1] if len(last) else 0)]
+        return ids, np.diff(last[ends + np.arange(len(ends))], prepend=0)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        ids, sizes = self.flat(pa.array(texts, pa.string()), END_ID)
+        return [part[:-1].astype("<u4").tobytes() for part in np.split(ids, np.cumsum(sizes)[:-1])]
 
 
 def _simple(word: str) -> bool:
@@ -203,45 +226,45 @@ def _simple(word: str) -> bool:
     return word.isalpha() and (word.isascii() or max(word) < "\u0130")
 
 
-_CODERS: dict[str, WordEncoder] = {}   # a worker process serves many tasks and keeps what it learned
-
-
 def coder(path: str) -> WordEncoder:
-    if path not in _CODERS:
-        _CODERS[path] = WordEncoder(path)
-    return _CODERS[path]
+    return held("token_files", path, lambda: WordEncoder(path))
 
 
 def _shards(path: str, end_id: int, shard_tokens: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = coder(path), np.uint32(end_id).tobytes()
+        words = coder(path)
         part, number = TaskContext.get().partitionId(), 0
-        held, ids, lengths, size = [], [], [], 0
+        owned, ids, lengths, size = [], [], [], 0
 
         def shard():
-            nonlocal number, held, ids, lengths, size
-            w = WaveletMatrix.build(np.frombuffer(b"".join(ids), np.uint32))
+            nonlocal number, owned, ids, lengths, size
+            w = WaveletMatrix.build(np.concatenate(ids))
             row = pa.RecordBatch.from_pylist([{
-                "part": part, "shard": number, "n_tokens": w.n, "doc_ids": held, "lengths": lengths,
+                "part": part, "shard": number, "n_tokens": w.n, "doc_ids": owned, "lengths": lengths,
                 "symbols": w.symbols.tobytes(), "planes": [p.tobytes() for p in w.planes],
                 "ranks": [r.tobytes() for r in w.ranks]}], schema=pa.schema([
                     ("part", pa.int32()), ("shard", pa.int32()), ("n_tokens", pa.int64()),
                     ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("symbols", pa.binary()),
                     ("planes", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary()))]))
-            number, held, ids, lengths, size = number + 1, [], [], [], 0
+            number, owned, ids, lengths, size = number + 1, [], [], [], 0
             return row
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
-                for doc, raw in zip(piece.column("doc_id").to_pylist(), words.encode(piece.column("text").to_pylist())):
-                    held.append(doc)
-                    ids += [raw, end]
-                    lengths.append(len(raw) // 4 + 1)
-                    size += lengths[-1]
+                flat, sizes = words.flat(piece.column("text"), end_id)
+                docs, ends, low = piece.column("doc_id").to_pylist(), np.cumsum(sizes), 0
+                while low < len(docs):      # documents that still fit into the shard; at least one
+                    before = int(ends[low - 1]) if low else 0
+                    high = min(len(docs), int(np.searchsorted(ends, before + shard_tokens - size)) + 1)
+                    docs_here, upto = docs[low:high], int(ends[high - 1])
+                    owned += docs_here
+                    lengths += sizes[low:high].tolist()
+                    ids.append(flat[before:upto])
+                    size, low = size + upto - before, high
                     if size >= shard_tokens:
                         yield shard()
-        if held:
+        if owned:
             yield shard()
     return build
 
@@ -251,8 +274,12 @@ def write_files(docs: DataFrame, tokenizer: str, out: str, end_id: int = END_ID,
     """Encode the documents and write one file per shard below ``out``."""
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()) \
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32(F.col("text").cast("binary")))
+    # Rows of one id are ordered by the CRC of their text, equal rows by their place, so that an id (or null) that many
+    # rows share is spread over partitions like any other.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("crc"), F.col("place")]
+    rows = docs.select("doc_id", "text", F.crc32(F.col("text").cast("binary")).alias("crc"),
+                       F.monotonically_increasing_id().alias("place")) \
+        .repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     rows.mapInArrow(_shards(tokenizer, end_id, shard_tokens), SHARD_SCHEMA) \
         .write.option("compression", "zstd").option("maxRecordsPerFile", 1).parquet(out)
 

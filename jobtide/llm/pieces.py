@@ -28,7 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CACHE_WORDS = 250_000
+from jobtide.llm.common import held
+
+CACHE_WORDS = 100_000
 BLANK = "▁"
 _WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
@@ -135,13 +137,8 @@ class Pieces:
         return "".join(out).replace(BLANK, " ").removeprefix(" ")
 
 
-_LOADED: dict[str, Pieces] = {}   # a worker process serves many tasks
-
-
 def loaded(path: str) -> Pieces:
-    if path not in _LOADED:
-        _LOADED[path] = Pieces.load(path)
-    return _LOADED[path]
+    return held("pieces", path, lambda: Pieces.load(path))
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:

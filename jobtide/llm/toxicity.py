@@ -1,7 +1,9 @@
 """Toxic spans by a linear-chain conditional random field (operator 9).
 
 Fitting uses a bounded sample of labelled documents (``MAX_TOXIC`` toxic, ``MAX_CLEAN`` clean, the first by
-hash of doc_id; longer texts than ``MAX_TRAIN_BYTES`` are not sampled).  Documents are labelled, tokens
+hash of doc_id; longer texts than ``MAX_TRAIN_BYTES`` are not sampled).  The chain is trained on at most ``MAX_SEGMENTS``
+segments of ``SEGMENT`` words of that sample: up to half of them with toxic words, in the sample's order, the rest
+evenly from the others.  Documents are labelled, tokens
 are not, so tokens are labelled first: a word is toxic where it stands in a toxic document and its form or
 one of its beginnings is tied to toxic documents (likelihood ratio and lift).  A two-state chain over word
 forms and beginnings is then fitted to those tokens by gradient ascent on the conditional
@@ -37,7 +39,7 @@ SEGMENT = 64           # words per training sequence
 MAX_SEGMENTS = 6000
 STEPS = 60
 POOL, BATCH = 1024, 128
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 

@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from jobtide.llm.common import held
 
 SHARD_TOKENS = 4 << 20
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 END_ID = 2
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 _BLOCK = 512   # bits per rank directory entry
 
 SHARD_SCHEMA = ("part int, shard int, n_tokens long, doc_ids array<bigint>, lengths array<bigint>, "
@@ -148,8 +149,8 @@ class WordEncoder:
     """Ids of whole texts by the tokenizers library, the ids of words remembered.
 
     Words are what stands between blanks and line ends.  Words of letters alone are one token of the
-    pre-tokenizer, so many are encoded in one call and told apart by the tokens that end a word; a full
-    stop or comma behind such a word is a token of its own.  All other words are encoded one by one.  Two
+    pre-tokenizer, so many are encoded in one call and told apart by the tokens that end a word; ASCII marks
+    (but the apostrophe) behind such a word are a token of their own.  All other words are encoded one by one.  Two
     generations of at most CACHE_WORDS words are kept; words in use move to the younger one.
     """
 
@@ -170,12 +171,14 @@ class WordEncoder:
                 seen[w] = old[w]
             elif _simple(w):
                 plain.add(w)
-            elif w[-1] in ".," and _simple(w[:-1]):
-                ends.append(w)
-                if w[:-1] not in seen:
-                    plain.add(w[:-1])
             else:
-                rest.append(w)
+                stem = w.rstrip(_MARKS)
+                if len(stem) < len(w) and _simple(stem):
+                    ends.append((w, stem, w[len(stem):]))
+                    if stem not in seen:
+                        plain.add(stem)
+                else:
+                    rest.append(w)
         plain = list(plain)
         for i in range(0, len(plain), 4096):
             part = plain[i:i + 4096]
@@ -186,8 +189,9 @@ class WordEncoder:
                 continue
             raw = ids.tobytes()
             seen.update((w, raw[cut[k]:cut[k + 1]]) for k, w in enumerate(part))
-        seen.update((w, self._one(w)) for w in (*rest, ".", ",") if w not in seen)
-        seen.update((w, seen[w[:-1]] + seen[w[-1]]) for w in ends)
+        rest += {tail for _, _, tail in ends}
+        seen.update((w, self._one(w)) for w in rest if w not in seen)
+        seen.update((w, seen[stem] + seen[tail]) for w, stem, tail in ends)
 
     def flat(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by the end id, and the number of ids of each text.
@@ -195,8 +199,9 @@ class WordEncoder:
         Words are cut and told apart on the Arrow buffers; only distinct words are looked up, and the ids of all
         words are gathered at once."""
         texts = pc.fill_null(texts, "")
-        # The vocabulary is lower case: ASCII texts may be lower-cased first, so that fewer words differ.
-        plain = pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring(texts, "<|")))
+        # The vocabulary is lower case, so A-Z may be lower-cased first, so that fewer words differ; not in texts with
+        # special tokens, nor with marks that compose with some letters in one case only.
+        plain = pc.invert(pc.match_substring_regex(texts, "<\\||[\u0300-\u036f]"))
         texts = pc.replace_substring(pc.if_else(plain, pc.ascii_lower(texts), texts), "\n", " ")
         split = pc.split_pattern(texts, " ")
         words = split.flatten().dictionary_encode()
@@ -250,8 +255,8 @@ def _shards(path: str, end_id: int, shard_tokens: int):
             return row
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                piece = batch.slice(at, 1024)
                 flat, sizes = words.flat(piece.column("text"), end_id)
                 docs, ends, low = piece.column("doc_id").to_pylist(), np.cumsum(sizes), 0
                 while low < len(docs):      # documents that still fit into the shard; at least one

@@ -27,10 +27,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import json
 import pickle
-import uuid
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +38,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobtide.functions.literals import Literals, let
+
 BLOCK = 4_000_000       # words of a block
 DEAL = 64               # rows a block's requests are dealt to, and blocks whose requests meet
 FOLD = 32_768           # words of a row that is folded
@@ -88,42 +88,6 @@ def load(path: str) -> dict[bytes, int]:
     return ranks
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
-class Literals:
-    """Literals of any size: session variables whose present value an analysed plan takes over as one binary value (a
-    literal built from expressions would be some 100,000 objects in every task)."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.names = spark, []
-
-    def put(self, value: object, kind: str) -> Column:
-        name = f"jobtide_{uuid.uuid4().hex}"
-        self.spark.sql(f"DECLARE VARIABLE {name} {kind}")
-        self.names.append(name)
-        self.spark.sql(f"SET VAR {name} = from_json(:value, '{kind}')",
-                       args={"value": json.dumps(value, separators=(",", ":"))})
-        return F.expr(f"system.session.{name}")
-
-    def drop(self) -> None:
-        while self.names:
-            self.spark.sql(f"DROP TEMPORARY VARIABLE IF EXISTS {self.names.pop()}")
-
-
-def literal_map(literals: Literals, entries: Mapping[str, object], kind: str) -> Callable[[Column], Column]:
-    """Lookup (null if missing) in a literal map, as an array of maps by the keys' hash."""
-    import xxhash
-    n = 1 << max(1, len(entries)).bit_length()
-    maps: list[dict] = [{} for _ in range(n)]
-    for key, value in entries.items():
-        maps[xxhash.xxh64_intdigest(key.encode(), seed=42) & (n - 1)][key] = value
-    table = literals.put(maps, f"array<map<string,{kind}>>")
-    return lambda key: F.get(table, F.xxhash64(key).bitwiseAND(F.lit(n - 1)).cast("int"))[key]
-
-
 class BytePairs:
     """A vocabulary and its pattern, as column expressions.  ``close`` frees the literals' variables; DataFrames built
     before keep their values."""
@@ -133,8 +97,8 @@ class BytePairs:
         self.pieces = {i: p for p, i in ranks.items()}
         self.pattern = java_pattern(pattern)
         # A rank is one character, so that the ranks of a word's pairs are a string; ranks order as characters do.
-        self.known = literal_map(self.literals, {p.decode(BYTES): _character(i) for p, i in ranks.items()}, "string")
-        self.id = literal_map(self.literals, {p.decode(BYTES): i for p, i in ranks.items()}, "int")
+        self.known = self.literals.put_map({p.decode(BYTES): _character(i) for p, i in ranks.items()}, "string")
+        self.id = self.literals.put_map({p.decode(BYTES): i for p, i in ranks.items()}, "int")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, pattern: str) -> "BytePairs":
@@ -151,8 +115,8 @@ class BytePairs:
 
     def fold(self, word: Column) -> Column:
         """Ids of one word: the id of a word that is a piece, else its bytes with all merges done."""
-        return _let(F.decode(word.cast("binary"), BYTES), lambda b: _let(
-            self.id(b), lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(_let(
+        return let(F.decode(word.cast("binary"), BYTES), lambda b: let(
+            self.id(b), lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(let(
                 F.split(self._merged(F.split(b, "")), MARK),
                 lambda p: F.transform(F.slice(p, 2, F.size(p) - 2), lambda x: self.id(x))))))
 
@@ -171,10 +135,10 @@ class BytePairs:
                             F.concat(none, ranks, none).alias("r"))
 
         def step(s, _):
-            return F.when(s["r"] == "", s).otherwise(_let(F.array_min(F.split(s["r"], "")), lambda least: F.when(
-                least == NONE, F.struct(s["p"].alias("p"), F.lit("").alias("r"))).otherwise(_let(
-                    F.instr(s["r"], least), lambda i: _let(
-                        before(s["p"], i), lambda left: _let(
+            return F.when(s["r"] == "", s).otherwise(let(F.array_min(F.split(s["r"], "")), lambda least: F.when(
+                least == NONE, F.struct(s["p"].alias("p"), F.lit("").alias("r"))).otherwise(let(
+                    F.instr(s["r"], least), lambda i: let(
+                        before(s["p"], i), lambda left: let(
                             F.concat(left, F.substr(s["p"], F.char_length(left) + 2)),
                             lambda p: joined(p, s["r"], i)))))))
 
@@ -182,7 +146,7 @@ class BytePairs:
             pair = lambda n: self.rank(F.replace(before(before(p, n), F.lit(-2)), mark, F.lit("")))
             return F.struct(p.alias("p"), F.overlay(r, F.concat(pair(i), pair(i + 1)), i - 1, F.lit(3)).alias("r"))
 
-        return _let(pieces, lambda p: F.aggregate(F.slice(p, 2, F.size(p)), start(p), step)["p"])
+        return let(pieces, lambda p: F.aggregate(F.slice(p, 2, F.size(p)), start(p), step)["p"])
 
     def decoded(self, ids: Column) -> Column:
         """The bytes the ids stand for."""

@@ -140,12 +140,18 @@ def fit(found: DataFrame) -> tuple[Centroids | None, int]:
     rows = found.select("entry", "v").orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).collect()
     sizes = np.array([len(r.v) for r in rows])
     dim = int(np.bincount(sizes).argmax())
-    x = _unit(np.array([r.v for r in rows if len(r.v) == dim], np.float64))
+    x = _unit(_scaled(np.array([r.v for r in rows if len(r.v) == dim], np.float64)))
     return Centroids(balanced_means(x, max(1, min(MAX_LISTS, -(-n // PER_LIST), len(x) // 4)))), dim
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows scaled by a power of two to a largest magnitude of 0.5 to 1: no square overflows or vanishes, and cosines
+    are the same to the last bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0, keepdims=True))[1])
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy().astype(np.float64).reshape(-1, dim)
+    return _scaled(column.flatten().to_numpy().astype(np.float64).reshape(-1, dim))
 
 
 def _to_lists(held, dim: int, beam: int, ratio: float, counts: np.ndarray | None = None, least: int = 0):

@@ -169,15 +169,17 @@ def _exact(held, chosen):
 
 
 def _most(table: DataFrame, bound: int) -> DataFrame:
-    """Its rows of greatest count ``a``: all down to a count, at most ``bound`` rows."""
-    rows = table.groupBy(F.least("a", F.lit(TOP)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect()
-    least, n = TOP + 1, 0
+    """Its rows of greatest count ``a``: all down to a level of counts, at most ``bound`` rows.  Counts above TOP are
+    told apart by 64ths of an octave; if more rows than the bound share the top level, there are none."""
+    level = F.when(F.col("a") < TOP, F.col("a")).otherwise(TOP + F.floor(64 * F.log2(F.col("a") / F.lit(TOP))))
+    rows = table.groupBy(level.alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect()
+    least, n = None, 0
     for r in rows:
         n += r.n
         if n > bound:
             break
         least = r.c
-    return table.where(F.col("a") >= least)
+    return table.where(F.lit(False) if least is None else level >= least)
 
 
 class _Model:

@@ -93,3 +93,14 @@ def test_small_clusters_get_all_their_rows(spark, monkeypatch):
     assert got.keys() == want.keys() and all(len(rows) == 5 for rows in got.values())
     right = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
     assert right >= 0.95 * 5 * len(want)
+
+
+def test_extreme_magnitudes(spark):
+    rows = [(0, [1e-200, 1e-200]), (50, [1.0, 0.0]), (1, [1e200, 1e200]), (2, [1.0, 2.0]), (3, [5e-324, 0.0]), (4, [-1e308, 1e308])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collected(A.search(vectors, vectors.where("vec_id % 50 = 0")))
+    half, wide = 1 / np.sqrt(2), 3 / np.sqrt(10)
+    want = {0: [(1, 1.0), (2, wide), (3, half), (50, half), (4, 0.0)],
+            50: [(3, 1.0), (0, half), (1, half), (2, 1 / np.sqrt(5)), (4, -half)]}
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+    assert all(abs(s - w) < 1e-15 for q in want for (_, s), (_, w) in zip(got[q], want[q]))

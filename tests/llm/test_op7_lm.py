@@ -98,3 +98,12 @@ def test_rare_words_alone_tell_documents_apart(spark):
     docs = spark.createDataFrame(common + rare, "doc_id long, text string")
     s = {r.doc_id: r.score for r in L.score(docs, docs.where("doc_id = 1").select("doc_id")).collect()}
     assert s[3] < s[4]
+
+
+def test_the_most_frequent_rows_stay_within_the_bound(spark):
+    big = spark.range(100).selectExpr("id AS w", "65536L * 4 + id % 2 AS a")
+    assert L._most(big, 3).count() == 0 and L._most(big, 100).count() == 100
+    mixed = spark.createDataFrame([(i, c) for i, c in enumerate([1, 1, 1, 5, 5, 70_000, 1 << 20, 1 << 40])], "w long, a long")
+    assert sorted(r.a for r in L._most(mixed, 4).collect()) == [70_000, 1 << 20, 1 << 40]
+    assert sorted(r.a for r in L._most(mixed, 1).collect()) == [1 << 40]
+    assert L._most(mixed, 8).count() == 8 and L._most(mixed.where("false"), 3).count() == 0

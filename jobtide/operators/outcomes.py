@@ -150,41 +150,73 @@ def consecutive_fail_cut(att: DataFrame, n: int = 3) -> DataFrame:
         .groupBy(*KEY).agg(F.min("_pos").alias("cut_consecutive"))
 
 
-def resolve_outcomes(att: DataFrame, rules: OutcomeRules, twin_fields: tuple[str, ...] = (),
-                     materialize: bool = False) -> DataFrame:
-    """Adds twin, attempt, cut, outcome (cached|fetched|error|blocked|skipped) and detail_error.
-
-    The attempts table feeds several aggregates and joins; when its columns are expensive
-    (text extracted from detail bodies) ``materialize`` writes it once as a reliable
-    checkpoint so the extraction is not repeated per branch."""
+def _with_cuts(att: DataFrame, fail_limit: int | None, twin_fields: tuple[str, ...], materialize: bool) -> DataFrame:
+    """The attempts with twins and the positions at which their (run, source) was cut, by block and by failures."""
     a = _flags(att)
     if materialize:
         a = cut_lineage(a)
     a = reuse_twins(a, twin_fields)
     a = a.withColumn("_attempt", F.col("_has_url") & ~F.col("cache_hit") & ~F.col("twin") & ~F.col("no_slug"))
-    cuts = abort_cut(a)
-    if rules.consecutive_fail_limit:
-        cc = consecutive_fail_cut(a, rules.consecutive_fail_limit)
-        cuts = cuts.join(cc, KEY, "full_outer")
+    # Both cuts are read off the same narrow rows, written once.
+    narrow = cut_lineage(a.where("_attempt").select(*KEY, "position", "status", "blocked", "_attempt"))
+    cuts = abort_cut(narrow)
+    if fail_limit:
+        cuts = cuts.join(consecutive_fail_cut(narrow, fail_limit), KEY, "full_outer")
     else:
         cuts = cuts.withColumn("cut_consecutive", F.lit(None).cast("bigint"))
     # One row per (run, source) that was cut: counted, so the wide rows need no exchange on a key
     # with few values.
     cuts = cut_lineage(cuts)
     cuts = F.broadcast(cuts) if cuts.count() <= MAX_CUTS else cuts
-    a = a.join(cuts, KEY, "left").withColumn("cut", F.least("cut_blocked", "cut_consecutive"))
-    after_cut = F.coalesce(F.col("position") > F.col("cut"), F.lit(False))
+    return a.join(cuts, KEY, "left")
+
+
+def _outcome(rules: OutcomeRules) -> tuple[Column, Column]:
+    """The cut and the outcome of an attempt by a source's rules."""
+    cut = F.least("cut_blocked", "cut_consecutive") if rules.consecutive_fail_limit else F.col("cut_blocked")
+    after_cut = F.coalesce(F.col("position") > cut, F.lit(False))
     empty_outcome = "fetched" if rules.empty_is_fetched else "error"
-    outcome = (F.when(~F.col("_has_url") | after_cut, F.lit("skipped"))
-               .when(F.col("cache_hit") | F.col("twin"), F.lit("cached"))
-               .when(F.col("no_slug"), F.lit("error"))
-               .when(F.col("blocked"), F.lit("blocked"))
-               .when(F.col("_success"), F.lit("fetched"))
-               .when(F.col("_ok"), F.lit(empty_outcome))
-               .otherwise(F.lit("error")))
-    return (a.withColumn("outcome", outcome).withColumn("detail_error", error_text(rules, F.col("outcome")))
-             .withColumn("attempt", F.col("_attempt"))
-             .drop("_has_url", "_got", "_ok", "_success", "_attempt", "parsed", "malformed", "error", "block_mark"))
+    return cut, (F.when(~F.col("_has_url") | after_cut, F.lit("skipped"))
+                 .when(F.col("cache_hit") | F.col("twin"), F.lit("cached"))
+                 .when(F.col("no_slug"), F.lit("error"))
+                 .when(F.col("blocked"), F.lit("blocked"))
+                 .when(F.col("_success"), F.lit("fetched"))
+                 .when(F.col("_ok"), F.lit(empty_outcome))
+                 .otherwise(F.lit("error")))
+
+
+_INNER = ("_has_url", "_got", "_ok", "_success", "_attempt", "parsed", "malformed", "error", "block_mark")
+
+
+def resolve_outcomes(att: DataFrame, rules: OutcomeRules, twin_fields: tuple[str, ...] = (),
+                     materialize: bool = False) -> DataFrame:
+    """Adds twin, attempt, cut, outcome (cached|fetched|error|blocked|skipped) and detail_error.
+
+    The attempts table feeds several aggregates and joins; when its columns are expensive
+    (text extracted from detail bodies) ``materialize`` writes it once as a reliable
+    checkpoint so the extraction is not repeated per branch."""
+    a = _with_cuts(att, rules.consecutive_fail_limit, twin_fields, materialize)
+    cut, outcome = _outcome(rules)
+    return (a.withColumn("cut", cut).withColumn("outcome", outcome)
+             .withColumn("detail_error", error_text(rules, F.col("outcome")))
+             .withColumn("attempt", F.col("_attempt")).drop(*_INNER))
+
+
+def resolve_by_rules(att: DataFrame, rules: dict[str, OutcomeRules]) -> DataFrame:
+    """The outcomes of the same attempts by several rule sets: rules (its name), run_id, source, position, outcome,
+    detail_error.  Twins and cuts, which the rules share, are found once (a cut by failures counts for the rule sets that
+    have one; their limits must agree)."""
+    limits = {r.consecutive_fail_limit for r in rules.values()} - {None}
+    if len(limits) > 1:
+        raise ValueError("rule sets with different limits of consecutive failures")
+    a = _with_cuts(att, next(iter(limits), None), (), False)
+    outcomes = F.array(*[F.struct(F.lit(name).alias("rules"), _outcome(r)[1].alias("outcome")) for name, r in rules.items()])
+    rows = a.withColumn("_o", F.explode(outcomes)).withColumn("outcome", F.col("_o.outcome"))
+    error = None
+    for name, r in rules.items():
+        mine = F.col("_o.rules") == name
+        error = F.when(mine, error_text(r, F.col("outcome"))) if error is None else error.when(mine, error_text(r, F.col("outcome")))
+    return rows.select("_o.rules", *KEY, "position", "outcome", error.alias("detail_error"))
 
 
 def run_status(outcomes: DataFrame, rules: OutcomeRules, by=("run_id", "source")) -> DataFrame:

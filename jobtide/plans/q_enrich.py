@@ -11,7 +11,7 @@ from jobtide.functions.classify import block_flag, block_mark
 from jobtide.functions.urls import url_key
 from jobtide.operators import cache as K
 from jobtide.operators import enrich as EN
-from jobtide.operators.outcomes import RULES, resolve_outcomes, run_status
+from jobtide.operators.outcomes import RULES, resolve_by_rules, resolve_outcomes, run_status
 from jobtide.operators.positional import union_sources
 from jobtide.plans import sqlx
 from jobtide.plans.adapters import adapter
@@ -295,10 +295,8 @@ def _outcomes(spark, sf, profile):
     f"""SELECT '{p}' AS rules, run_id, source, CAST(position AS BIGINT) AS position, outcome, detail_error
 FROM ({_outcome_sql(p)})""" for p in _MESSAGES))
 def q_outcome(spark, sf):
-    parts = [_outcomes(spark, sf, p).select(F.lit(p).alias("rules"), "run_id", "source",
-                                            F.col("position").cast("bigint").alias("position"), "outcome", "detail_error")
-             for p in RULES]
-    return union_sources(*parts)
+    return resolve_by_rules(_attempts(spark, sf), RULES).select(
+        "rules", "run_id", "source", F.col("position").cast("bigint").alias("position"), "outcome", "detail_error")
 
 
 @query("q_twin_reuse", sql=f"""SELECT run_id, source, CAST(position AS BIGINT) AS position, twin, outcome

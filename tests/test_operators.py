@@ -92,6 +92,19 @@ def test_blocked_error_rules_by_source(spark):
         assert run_status(o, RULES[profile]).first()["detail_errors"] == counts
 
 
+def test_all_rule_sets_in_one_pass(spark):
+    from jobtide.operators.outcomes import resolve_by_rules
+    seq = [(200, "a", None), (0, None, None), (0, None, "cached"), (200, "a", None), (0, None, None), (500, None, None), (0, None, None),
+           (0, None, None), (0, None, None), (None, None, "noslug"), (200, None, None), (403, None, None), (200, "z", None)]
+    for att in (_att(spark, seq), _att(spark, seq[:4]), _att(spark, seq[-3:]), _att(spark, seq).where("false")):
+        got = {}
+        for r in resolve_by_rules(att, RULES).collect():
+            got.setdefault(r.rules, []).append((r.position, r.outcome, r.detail_error))
+        for name, rules in RULES.items():
+            want = [(r.position, r.outcome, r.detail_error) for r in resolve_outcomes(att, rules).collect()]
+            assert sorted(got.get(name, [])) == sorted(want), name
+
+
 def test_number_within_matches_row_number(spark):
     df = spark.range(0, 5000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 5003).alias("o"))
     got = number_within(df, ["g"], ["o"], "rn", partitions=7)

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -55,3 +56,28 @@ def test_wavelet_matrix():
             assert w.count(token) == (ids == token).sum()
             assert w.count(token, n // 2) == (ids[:n // 2] == token).sum()
             assert (w.locate(token) == np.flatnonzero(ids == token)).all()
+
+
+def test_words_cut_on_the_buffers_are_the_library_words():
+    tok, words = Tokenizer.from_file(PATH), T.WordEncoder(PATH)
+    texts = ["H\u0331ello T\u0308 J\u030c W\u030a Y\u030a I\u0307", "WOW!! hey?!... a<b> <|x|> {Z} [q]; 'tis rock'n'roll' I'LL", "É Été ÀB",
+             "", None, "\n\n", "A\nB C", "x--y -z- _a_ #b $5 %c &d (e) *f +g, /h: =i @j \\k ^l `m |n ~o", "ab'cd' ef'", "Ünï!? 1.5 v2."]
+    end = 2
+    ids, sizes = words.flat(pa.array(texts, pa.string()), end)
+    want = [tok.encode(t or "", add_special_tokens=False).ids + [end] for t in texts]
+    assert np.split(ids, np.cumsum(sizes)[:-1])[0].tolist() == want[0]
+    assert ids.tolist() == sum(want, []) and sizes.tolist() == [len(w) for w in want]
+    ids, sizes = words.flat(pa.array([], pa.string()), end)
+    assert not len(ids) and not len(sizes)
+
+
+def test_one_id_for_many_rows_is_spread_over_parts(spark):
+    rows = [(None, f"text {i}") for i in range(300)] + [(7, "same")] * 300 + [(i, "x") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = folder(spark) + "/files"
+    T.write_files(docs, PATH, out, parts=8)
+    per = [len(r.doc_ids) for r in spark.read.parquet(out).collect()]
+    assert sum(per) == 900 and max(per) < 250
+    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in T.read_files(spark, out).collect())
+    import pandas as pd
+    assert got == expected(pd.DataFrame({"doc_id": pd.array([r[0] for r in rows], "Int64"), "text": [r[1] for r in rows]}))

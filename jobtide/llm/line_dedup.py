@@ -187,7 +187,7 @@ def update_filters(filters: DataFrame, added: DataFrame, removed: DataFrame, n_s
         made.remove(key[sign < 0])
         full = not made.insert(np.unique(key[sign > 0]))
         n += int((sign > 0).sum()) - int((sign < 0).sum())
-        # A full filter can't grow from fingerprints alone: an empty table says "rebuild from refs".
+        # A full filter can't grow from fingerprints alone: an empty table rules nothing out until ``rebuild_full``.
         return pa.table({"shard": pa.array([shard], pa.int32()), "n_keys": pa.array([n], pa.int64()),
                          "filter": pa.array([b"" if full else made.table.tobytes()], pa.binary())})
 
@@ -195,13 +195,22 @@ def update_filters(filters: DataFrame, added: DataFrame, removed: DataFrame, n_s
         .applyInArrow(change, "shard int, n_keys long, filter binary")
 
 
+def rebuild_full(filters: DataFrame, refs: DataFrame, n_shards: int) -> DataFrame:
+    """The filters, those that were full (empty tables) built anew from the reference table's keys (k1, k2)."""
+    full = [r.shard for r in filters.where(F.length("filter") == 0).select("shard").collect()]      # at most n_shards
+    if not full:
+        return filters
+    mine = refs.where(F.pmod("k2", F.lit(n_shards)).cast("int").isin(full))
+    return filters.where(F.length("filter") > 0).unionByName(shard_filters(mine, n_shards))
+
+
 def maybe_in(lines: DataFrame, filters: DataFrame, n_shards: int) -> DataFrame:
     """The lines whose key the shard's filter doesn't rule out."""
     sc = lines.sparkSession.sparkContext
     held = sc.broadcast({r.shard: r.filter for r in filters.collect()})
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {s: CuckooFilter(table=np.frombuffer(t, np.uint16).reshape(-1, SLOTS))
+        tables = {s: CuckooFilter(table=np.frombuffer(t, np.uint16).reshape(-1, SLOTS)) if t else None
                   for s, t in held.value.items()}
         for b in batches:
             k1, shard = b.column("k1").to_numpy(), np.mod(b.column("k2").to_numpy(), n_shards)
@@ -209,7 +218,8 @@ def maybe_in(lines: DataFrame, filters: DataFrame, n_shards: int) -> DataFrame:
             for s in np.unique(shard):
                 if int(s) in tables:
                     at = np.flatnonzero(shard == s)
-                    keep[at] = tables[int(s)].contains(k1[at])
+                    table = tables[int(s)]
+                    keep[at] = table.contains(k1[at]) if table else True       # a full filter rules nothing out
             yield b.filter(pa.array(keep))
 
     return lines.mapInArrow(probe, lines.schema)

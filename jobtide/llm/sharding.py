@@ -55,22 +55,30 @@ def rebalance(owner: np.ndarray, weights: np.ndarray, n_shards: int) -> np.ndarr
     no such step brings the two closer together."""
     owner = owner.copy()
     load = np.bincount(owner, weights=weights, minlength=n_shards).astype(np.int64)
-    for _ in range(64 * n_shards):
+    while True:     # every step brings two loads closer together, so this ends
         hi, lo = int(load.argmax()), int(load.argmin())
         gap = int(load[hi] - load[lo])
         a, b = np.flatnonzero(owner == hi), np.flatnonzero(owner == lo)
-        # One slot of hi against one slot of lo or against nothing: the shift nearest gap / 2.
-        give = np.concatenate([[0], weights[b]])
-        shift = weights[a][:, None] - give[None, :]
+        if not len(a):
+            break
+        # One slot of hi against one slot of lo or against nothing: the shift nearest gap / 2.  For each slot of hi
+        # the best of lo stands next to its weight less gap / 2 among the sorted weights.
+        order = np.argsort(weights[b], kind="stable")
+        give = np.concatenate([[0], weights[b][order]])
+        ascending = np.argsort(give, kind="stable")
+        near = np.searchsorted(give[ascending], weights[a] - gap / 2)
+        near = ascending[np.clip(np.stack([near - 1, near]), 0, len(give) - 1)]
+        shift = weights[a] - give[near]
         off = np.where((shift > 0) & (shift < gap), np.abs(2 * shift - gap), gap)
-        if not off.size or off.min() >= gap:
+        if off.min() >= gap:
             break
-        i, j = np.unravel_index(off.argmin(), off.shape)
+        side, i = np.unravel_index(off.argmin(), off.shape)
+        j = near[side, i]
         owner[a[i]] = lo
         if j:
-            owner[b[j - 1]] = hi
-        load[hi] -= shift[i, j]
-        load[lo] += shift[i, j]
+            owner[b[order[j - 1]]] = hi
+        load[hi] -= shift[side, i]
+        load[lo] += shift[side, i]
     return owner
 
 

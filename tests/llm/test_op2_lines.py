@@ -74,3 +74,33 @@ def test_filters_follow_the_reference_table(spark):
     new = L.update_filters(made, keys.where("id >= 1000 and id < 1100"), keys.where("id < 500"), 4)
     left = {r.id for r in L.maybe_in(keys, new, 4).collect()}
     assert set(range(500, 1100)) <= left and len(left) < 620
+
+
+def test_a_full_filter_rules_nothing_out_until_it_is_built_anew(spark):
+    keys = spark.range(6000).selectExpr("xxhash64(id) as k1", "xxhash64(id, 5) as k2", "id")
+    made = L.shard_filters(keys.where("id < 1000"), 4)
+    grown = L.update_filters(made, keys.where("id between 1000 and 4999"), keys.where("id < 10"), 4)
+    assert grown.where("length(filter) = 0").count() > 0
+    held = set(range(10, 5000))
+    assert held <= {r.id for r in L.maybe_in(keys, grown, 4).collect()}
+    refs = keys.where("id between 10 and 4999")
+    anew = L.rebuild_full(grown, refs, 4)
+    assert anew.where("length(filter) = 0").count() == 0 and anew.count() == 4
+    left = {r.id for r in L.maybe_in(keys, anew, 4).collect()}
+    assert held <= left and len(left) < 5100
+    assert L.rebuild_full(anew, refs, 4) is anew
+
+
+def test_deleting_documents_brings_their_lines_back(spark):
+    import pandas as pd
+    texts = {1: "A line that repeats here.\none", 2: "A line that repeats here.\ntwo", 3: "A line that repeats here.\nthree", 4: "other\n"}
+    docs = spark_documents(spark, pd.DataFrame({"doc_id": list(texts), "text": list(texts.values()), "lang": "x", "source": "x", "n_chars": 1}))
+    held = L.insert(None, docs)
+    cut = {r.doc_id: r.text for r in L.apply(docs, held).collect()}
+    assert cut[1] == "one" and cut[2] == "two" and cut[3] == texts[3]
+    two = spark.createDataFrame([(3,)], "doc_id long")
+    left = L.delete(held, two)
+    rest = docs.where("doc_id <> 3")
+    assert {r.doc_id: r.text for r in L.apply(rest, left).collect()} == {i: t for i, t in texts.items() if i != 3}
+    again = L.insert(left, docs.where("doc_id = 3"))
+    assert {r.doc_id: r.text for r in L.apply(docs, again).collect()} == cut

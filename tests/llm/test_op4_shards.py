@@ -38,3 +38,14 @@ def test_map_versions(spark):
     assert ((grown == new) | (grown == 16)).all()
     load = np.bincount(grown, weights=size, minlength=17)
     assert load[16] > 0.5 * load.mean() and load.sum() == size.sum()
+
+
+def test_rebalancing_goes_on_until_no_step_helps():
+    rng = np.random.default_rng(3)
+    weights = rng.integers(1, 100, 4096)
+    owner = np.zeros(4096, np.int64)                 # all on one shard
+    new = S.rebalance(owner, weights, 16)
+    load = np.bincount(new, weights=weights, minlength=16)
+    assert load.max() - load.min() <= 1 and load.sum() == weights.sum()
+    one = S.rebalance(np.zeros(5, np.int64), np.array([7, 0, 0, 0, 0]), 4)
+    assert np.bincount(one, weights=[7, 0, 0, 0, 0], minlength=4).max() == 7

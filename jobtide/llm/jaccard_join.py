@@ -240,11 +240,16 @@ def links(docs: DataFrame, reps: DataFrame, size: int = SHINGLE, percent: int =
     near = known.join(reach.toDF("a", "ra", "ma"), "a").join(reach.toDF("b", "rb", "mb"), "b") \
         .where(~_far(F.col("gap") - F.col("ra") - F.col("rb"), F.col("ma") + F.col("mb"), percent)) \
         .where("ra + rb > 0").join(now.toDF("a", "ca"), "a", "left").join(now.toDF("b", "cb"), "b", "left") \
-        .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "gap", "rb", "mb")
-    lists = meets.join(near, ["a", "b"])
+        .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "gap")
+    # what b's members on this list allow: their largest distance to the leader, sizes and shingles left
+    there = blocks.select("token", F.col("lead").alias("b"), F.col("n0").alias("n0_b"), F.col("n1").alias("n1_b"),
+                          F.col("left").alias("left_b"), F.col("d").alias("d_b"))
+    lists = meets.join(near, ["a", "b"]).join(there, ["token", "b"])
     u, v = (rest.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "place", "lead", "d"))) for s in "uv")
     left = lists.join(u.withColumnRenamed("lead_u", "a"), ["token", "a"]) \
-        .where(~_far(F.col("gap") - F.col("d_u") - F.col("rb"), F.col("n_u") + F.col("mb"), percent))
+        .where(~_far(F.col("gap") - F.col("d_u") - F.col("d_b"), F.col("n_u") + F.col("n1_b"), percent)) \
+        .where((100 * F.col("n_u") >= percent * F.col("n0_b")) & (100 * F.col("n1_b") >= percent * F.col("n_u"))) \
+        .where((100 + percent) * F.least(F.col("n_u") - F.col("place_u"), "left_b") >= percent * (F.col("n_u") + F.col("n0_b")))
     single = left.join(v.withColumnRenamed("lead_v", "b"), ["token", "b"]) \
         .where((F.col("id_u") != F.col("a")) | (F.col("id_v") != F.col("b"))) \
         .where(~_far(F.col("gap") - F.col("d_u") - F.col("d_v"), F.col("n_u") + F.col("n_v"), percent)) \

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from jobtide.functions.literals import Literals, let
 
-BLOCK = 4_000_000       # words of a block
+BLOCK = 6_000_000       # words of a block
 DEAL = 64               # rows a block's requests are dealt to, and blocks whose requests meet
 FOLD = 32_768           # words of a row that is folded
 BYTES = "ISO-8859-1"
@@ -176,6 +176,18 @@ def _numbers(planes: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def _split(codes: np.ndarray) -> tuple[bytes, bytes]:
+    """Numbers as one byte each, 255 for what stands in the second part: frequent words have a byte stream of their own."""
+    small = codes < 255
+    return np.where(small, codes, 255).astype(np.uint8).tobytes(), _planes(codes[~small] - 255)
+
+
+def _joined(first: bytes, second: bytes) -> np.ndarray:
+    codes = np.frombuffer(first, np.uint8).astype(np.uint32)
+    codes[codes == 255] += _numbers(second)
+    return codes
+
+
 _ROW = pa.schema([("meet", pa.int64()), ("block", pa.int64()), ("part", pa.int32()), ("packed", pa.binary())])
 _SQL = "meet long, block long, part int, packed binary"
 
@@ -209,7 +221,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         for k, (words, at) in enumerate(parts):
             if words:
                 yield _row(meet + k, block, k, (words, _planes(np.array(at))))
-        yield _row(-1 - block, block, -1, (ids, sizes, len(rank), _planes(rank[flat])))
+        yield _row(-1 - block, block, -1, (ids, sizes, len(rank), *_split(rank[flat])))
         ids, sizes, held, made = [], [], 0, made + 1
         pa.default_memory_pool().release_unused()
 
@@ -293,7 +305,7 @@ def _documents(pieces: Mapping[int, bytes], with_ids: bool):
     piece_of = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
 
     def finish(payload, answers):
-        docs, n_words, n_distinct, codes = payload
+        docs, n_words, n_distinct, *codes = payload
         sizes, starts, flat, at = np.zeros(n_distinct, np.int64), np.zeros(n_distinct, np.int64), [], 0
         for own, n, ids in answers:
             own, n, ids = _numbers(own), _numbers(n).astype(np.int64), _numbers(ids)
@@ -301,7 +313,7 @@ def _documents(pieces: Mapping[int, bytes], with_ids: bool):
             flat.append(ids)
             at += len(ids)
         flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-        codes, first = _numbers(codes), 0
+        codes, first = _joined(*codes), 0
         for low in range(0, len(docs), 256):
             out = []
             for doc, n in zip(docs[low:low + 256], n_words[low:low + 256]):

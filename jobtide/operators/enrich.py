@@ -41,15 +41,17 @@ def spread_blank(key: str, columns: Sequence[str]) -> Column:
         F.concat(F.lit("\x00"), F.xxhash64(*[F.col(c) for c in columns]).cast("string")))
 
 
-def attach_responses(offers: DataFrame, details: DataFrame, source: str) -> DataFrame:
-    """D3 in a run: adds status, body and error of the response that was landed for each offer.
+def attach_responses(offers: DataFrame, details: DataFrame, source: str,
+                     fields: Sequence[str] = ("status", "body", "error")) -> DataFrame:
+    """D3 in a run: adds ``fields`` of the response that was landed for each offer; they are exchanged several times, so
+    large ones are better joined afterwards by a number of the response.
 
     A response belongs to the offers whose detail id (of their url) is its own; of several, to each offer the one landed
     at the offer's position, else the first.  A response without an id of its own belongs to its position."""
     own = detail_id(source, "url")
     if source in ("justjoin", "rocketjobs"):        # the id is the address itself
         own = F.when(F.col("url").rlike("^https?://"), F.col("url"))
-    got = F.struct("status", "body", "error")
+    got = F.struct(*fields)
     d = details.select("run_id", "source", "position", own.alias("_did"), got.alias("_got"))
     o = offers.withColumn("_did", F.nullif(own, F.lit("")))
     here = d.withColumnRenamed("_did", "_own").withColumnRenamed("_got", "_here") \
@@ -63,7 +65,7 @@ def attach_responses(offers: DataFrame, details: DataFrame, source: str) -> Data
     mine = F.get(F.filter("_at", lambda x: F.coalesce(x["_own"], F.lit("")) == F.coalesce(F.col("_did"), F.lit(""))), 0)["_here"]
     free = F.get(F.filter("_at", lambda x: F.coalesce(x["_own"], F.lit("")) == ""), 0)["_here"]
     return o.withColumn("_r", F.coalesce(mine, free, F.col("_first"))).withColumns(
-        {c: F.col("_r")[c] for c in ("status", "body", "error")}).drop("_did", "_dk", "_at", "_first", "_r")
+        {c: F.col("_r")[c] for c in fields}).drop("_did", "_dk", "_at", "_first", "_r")
 
 
 def needs_detail(offers: DataFrame, cache: DataFrame) -> DataFrame:

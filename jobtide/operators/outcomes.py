@@ -70,14 +70,15 @@ MAX_CUTS = 1 << 17   # (run, source) rows, some dozens of bytes each, that may b
 def _flags(att: DataFrame) -> DataFrame:
     """Expects run_id, source, position, url_key, cache_hit, no_slug, status, blocked, description;
     optional: parsed (the body has the expected content; default true), malformed (the content can't be
-    read; default false), error (transport error text), block_mark (the needle found)."""
+    read; default false), error (transport error text), block_mark (the needle found), nonempty (there is a description;
+    by default ``description`` is looked at)."""
     for name, default in (("parsed", F.lit(True)), ("malformed", F.lit(False)), ("error", F.lit(None).cast("string")),
                           ("block_mark", F.lit(None).cast("string"))):
         if name not in att.columns:
             att = att.withColumn(name, default)
     got = F.coalesce(F.col("status").between(200, 299) & ~F.col("blocked"), F.lit(False))
     ok = got & F.coalesce(F.col("parsed") & ~F.col("malformed"), F.lit(False))
-    nonempty = F.coalesce(F.length(F.col("description")) > 0, F.lit(False))
+    nonempty = F.col("nonempty") if "nonempty" in att.columns else F.coalesce(F.length(F.col("description")) > 0, F.lit(False))
     has_url = F.coalesce(F.col("url_key") != "", F.lit(False))
     return (att.withColumn("_has_url", has_url).withColumn("_got", got)
                .withColumn("_ok", ok).withColumn("_success", ok & nonempty))
@@ -185,7 +186,7 @@ def _outcome(rules: OutcomeRules) -> tuple[Column, Column]:
                  .otherwise(F.lit("error")))
 
 
-_INNER = ("_has_url", "_got", "_ok", "_success", "_attempt", "parsed", "malformed", "error", "block_mark")
+_INNER = ("_has_url", "_got", "_ok", "_success", "_attempt", "parsed", "malformed", "error", "block_mark", "nonempty")
 
 
 def resolve_outcomes(att: DataFrame, rules: OutcomeRules, twin_fields: tuple[str, ...] = (),

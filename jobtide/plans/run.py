@@ -30,6 +30,7 @@ from jobtide.operators.positional import run_names
 from jobtide.operators.status import with_description
 from jobtide.functions.tracker import to_tracker
 from jobtide.sinks import export as SK
+from jobtide.session import scratch_path
 from jobtide.sources import landing as L
 
 TYPED = {"justjoin", "rocketjobs"}
@@ -69,31 +70,25 @@ def run_details(offers: DataFrame, details: DataFrame, cache: DataFrame, source:
     or, for olx, fill-only with the salary triple taken only when the list had none."""
     rules = RULES[source]
     o = EN.cache_lookup(offers.withColumn("url_key", url_key("url")), cache)
-    if "error" not in details.columns:
-        details = details.withColumn("error", F.lit(None).cast("string"))
+    landed = _landed(details, source)
+    flags = ["status", "error", "parsed", "malformed", "blocked", "block_mark", "nonempty", "_rid"]
+    narrow = landed.withColumn("nonempty", F.coalesce(F.length("_det.description") > 0, F.lit(False))).drop("_det")
     has_url = F.coalesce(F.col("url_key") != "", F.lit(False))
-    # nofluffjobs scans every body for needles; the others only where the content is missing.
-    scan = F.lit(False) if source == "nofluffjobs" else F.col("parsed")
-    att = (EN.attach_responses(o, details, source)
-           .withColumn("parsed", F.coalesce(detail_has_content(F.col("body"), source), F.lit(False)))
-           .withColumn("malformed", detail_malformed("body", source))
-           .withColumn("blocked", block_flag("body", "status", has_content=scan))
-           .withColumn("block_mark", block_mark("body"))
-           .withColumn("_ok_body", F.when(F.col("status").between(200, 299), F.col("body")))
-           .withColumn("no_slug", has_url & F.coalesce(EN.detail_id(source, "url") == "", F.lit(True))))
-    att = with_detail_fields(att, "_ok_body", source, "_det").drop("_ok_body")
-    # The outcome rules read the fetched text as ``description``; the list value is kept aside.
-    att = att.withColumnRenamed("description", "_list_desc").withColumn("description", F.col("_det.description"))
-    out = resolve_outcomes(att, rules, twin_fields=("_det",), materialize=True).drop("description") \
-        .withColumnRenamed("_list_desc", "description")
+    att = EN.attach_responses(o, narrow, source, flags)
+    att = att.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("parsed", "malformed", "blocked", "nonempty")}) \
+        .withColumn("no_slug", has_url & F.coalesce(EN.detail_id(source, "url") == "", F.lit(True)))
+    resolved = resolve_outcomes(att, rules, twin_fields=("_rid",), materialize=True)
+    # The texts move once: to the offers that take them.  Offers that take none don't meet in one task.
+    oc = F.col("outcome")
+    hit = (oc == "cached") & F.col("cache_hit")
+    taken = F.when(oc == "fetched", F.col("_rid")).when((oc == "cached") & ~hit, F.col("twin__rid"))
+    none = -1 - F.shiftrightunsigned(F.xxhash64("run_id", "source", "position"), 1)
+    out = resolved.withColumn("_taken", F.coalesce(taken, none)).drop("_rid", "twin__rid")
+    out = out.join(landed.select(F.col("_rid").alias("_taken"), "_det"), "_taken", "left").drop("_taken")
     cached = set(cache.schema["f"].dataType.fieldNames())
     hit_fields = F.struct(*[(F.col(f"hit_f.{f}") if f in cached else F.lit(None)).cast(FIELD_TYPES[f]).alias(f)
                             for f in DETAIL_ALL])
-    oc = F.col("outcome")
-    got = (F.when(oc == "fetched", F.col("_det"))
-           .when((oc == "cached") & F.col("cache_hit"), hit_fields)
-           .when(oc == "cached", F.col("twin__det")))
-    out = out.withColumn("_got", got)
+    out = out.withColumn("_got", F.when(hit, hit_fields).otherwise(F.col("_det")))
     cols = set(out.columns)
     if rules.empty_is_fetched and source == "olx":          # fill-only merge
         guard = F.col("salary_from").isNull() if "salary_from" in cols else F.lit(True)
@@ -118,8 +113,28 @@ def run_details(offers: DataFrame, details: DataFrame, cache: DataFrame, source:
         F.struct(*[F.col(f"_det.{c}").cast(FIELD_TYPES[c]).alias(c) for c in cache.schema["f"].dataType.fieldNames()])
         .alias("f"))
     new_cache = K.cache_upsert(cache, new_entries, desc="f.description")
-    enriched = conform(out.drop("_got", "_det", "twin__det", "body", "hit_f"))
-    return {"offers": enriched, "cache": new_cache, "status": run_status(out, rules)}
+    enriched = conform(out.drop("_got", "_det", "hit_f"))
+    return {"offers": enriched, "cache": new_cache, "status": run_status(resolved, rules)}
+
+
+def _landed(details: DataFrame, source: str) -> DataFrame:
+    """The responses with what their bodies tell, read once and written with a number (``_rid``) of their own.  Joins and
+    outcomes then work on flags and numbers, and a body is never exchanged."""
+    if "error" not in details.columns:
+        details = details.withColumn("error", F.lit(None).cast("string"))
+    # nofluffjobs scans every body for needles; the others only where the content is missing.
+    scan = F.lit(False) if source == "nofluffjobs" else F.col("parsed")
+    d = (details.select("run_id", "source", "position", "url", "status", "error", "body")
+         .withColumn("parsed", F.coalesce(detail_has_content(F.col("body"), source), F.lit(False)))
+         .withColumn("malformed", detail_malformed("body", source))
+         .withColumn("blocked", block_flag("body", "status", has_content=scan))
+         .withColumn("block_mark", block_mark("body"))
+         .withColumn("_ok_body", F.when(F.col("status").between(200, 299), F.col("body"))))
+    d = with_detail_fields(d, "_ok_body", source, "_det").drop("_ok_body", "body") \
+        .withColumn("_rid", F.monotonically_increasing_id())
+    path = scratch_path(details.sparkSession, "responses")
+    d.write.option("compression", "zstd").parquet(path)
+    return details.sparkSession.read.schema(d.schema).parquet(path)
 
 
 DETAIL_ALL = ["description", "skills_required", "skills_nice", "valid_through", "apply_url", "expires_at",

@@ -75,3 +75,26 @@ def test_blank_keys_spread_over_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_texts_are_not_exchanged_with_flags(spark, monkeypatch):
+    from jobtide.operators import enrich as EN
+    plain, seen = EN.attach_responses, []
+
+    def spy(offers, details, *rest):
+        out = plain(offers, details, *rest)
+        seen.append(set(out.columns))
+        return out
+    monkeypatch.setattr(EN, "attach_responses", spy)
+    u = "https://justjoin.it/x/{}".format
+    body = [ld(json.dumps({"description": d})) for d in ("A", "B")]
+    offers = spark.createDataFrame([("R", "justjoin", i, u(k), d) for i, (k, d) in enumerate(
+        [("a", None), ("b", None), ("b/", None), ("c", "own"), ("d", None)])] + [("R", "justjoin", 9, None, "kept")], OFFER)
+    same = [("R", "justjoin", 0, u("a"), 200, body[0], None)] * 3
+    details = spark.createDataFrame(same + [("R", "justjoin", 1, u("b"), 200, body[1], None), ("R", "justjoin", 3, u("c"), 500, body[0], None)], DETAIL)
+    out = run_details(offers, details, spark.createDataFrame([], DESC_CACHE), "justjoin")
+    assert seen and not seen[0] & {"body", "_det"}
+    assert sorted((r.position, r.description, r.detail_error) for r in out["offers"].collect()) == [
+        (0, "A", None), (1, "B", None), (2, "B", None), (3, "own", "http 500"), (4, None, "no result"), (9, "kept", None)]
+    assert sorted(r.f.description for r in out["cache"].collect()) == ["A", "B"]
+    assert out["status"].first().asDict()["details_fetched"] == 2

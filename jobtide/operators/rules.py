@@ -1,12 +1,13 @@
 """Rule tables over texts (L1, L3): many patterns against many offers without trying each pair.
 
-A rule is (rule_id, pattern, weight): a regular expression over the lower-cased text.  Every match of an indexable rule
-holds one of a few literal grams (``GRAM`` characters, one for each top-level alternative of its pattern).  The grams of
-all rules are an index, a text's own grams are looked up in it, and only the rules found that way are tried exactly.
-Rules without such grams (``.*``, ``b2``) are tried on every text.
+A rule is (rule_id, pattern, weight): a regular expression over the lower-cased text.  Patterns of plain strings, also
+several as top-level alternatives, are searched as such, all at once (``needles``).  Every match of another indexable rule
+holds one of a few literal grams (``GRAM`` characters, one for each top-level alternative of its pattern); these are
+searched in the same pass, and the rules whose grams a text holds are tried exactly.
+Rules without such grams (``.*``, ``b.``) are tried on every text.
 
-The offers are read once and never exchanged: index and rules are literals of the plan.  Rules are configuration and
-pass through the driver; more than ``MAX_RULES`` are refused.
+The offers are read once and never exchanged: the strings are broadcast, the rules literals of the plan.  Rules are
+configuration and pass through the driver; more than ``MAX_RULES`` are refused.
 
 Cases: a null text matches nothing; null patterns match nothing; rules of one id count once each; hits are in rule order
 (rule_id, then pattern), so sums of weights don't depend on how a text is read.
@@ -14,16 +15,20 @@ Cases: a null text matches nothing; null patterns match nothing; rules of one id
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobtide.functions.literals import Literals, let
+from jobtide.operators.needles import Needles
 
 GRAM = 3
 MAX_RULES = 200_000
 _GAP = "\x00"
+_PLAIN = re.compile(r"[^\\^$.\[\](){}?*+|]+(?:\|[^\\^$.\[\](){}?*+|]+)*")     # strings without signs of expressions
 
 
 def required_grams(pattern: Column) -> Column:
@@ -45,11 +50,6 @@ def required_grams(pattern: Column) -> Column:
     return F.when(plain & F.forall(grams, lambda g: g.isNotNull()), F.array_distinct(grams))
 
 
-def grams_of(text: Column) -> Column:
-    """array<string>: the distinct overlapping grams of a text, in one pass."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
-
-
 def _rows(rules: DataFrame) -> list:
     rows = rules.where(F.col("pattern").isNotNull()).select(
         F.col("rule_id").cast("string").alias("rule_id"), "pattern", F.col("weight").cast("double").alias("weight"),
@@ -62,25 +62,28 @@ def _rows(rules: DataFrame) -> list:
 def match(offers: DataFrame, rules: DataFrame, text_cols: Sequence[str], out: str = "rule_hits") -> DataFrame:
     """Adds ``out``: array<struct<rule_id, weight>> of the rules that match the joined lower-cased texts."""
     rows = _rows(rules)
-    index: dict[str, list[int]] = {}
-    for k, r in enumerate(rows):
-        for g in r.grams or ():
-            index.setdefault(g, []).append(k)
-    always = [k for k, r in enumerate(rows) if not r.grams]
+    plain = [k for k, r in enumerate(rows) if _PLAIN.fullmatch(r.pattern)]
+    exact = set(plain)
+    strings = [r.pattern.split("|") if k in exact else r.grams or () for k, r in enumerate(rows)]
+    always = [k for k, s in enumerate(strings) if not s]
+    held = offers.sparkSession.sparkContext.broadcast(Needles(strings))
     literals = Literals(offers.sparkSession)
-    found = literals.put_map(index, "array<int>")
-    table = literals.put([r.asDict() for r in rows], "array<struct<rule_id:string,pattern:string,weight:double>>")
+    table = literals.put([{**r.asDict(), "plain": k in exact} for k, r in enumerate(rows)],
+                         "array<struct<rule_id:string,pattern:string,weight:double,plain:boolean>>")
     every = literals.put(always, "array<int>")
     text = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in text_cols]))
-    none = F.array().cast("array<int>")
-
-    def hits(t):
-        near = F.flatten(F.transform(grams_of(t), lambda g: F.coalesce(found(g), none)))
-        tried = F.array_sort(F.concat(F.array_distinct(near), every))
-        return F.transform(F.filter(tried, lambda k: F.rlike(t, F.get(table, k)["pattern"])), lambda k: F.struct(
-            F.get(table, k)["rule_id"].alias("rule_id"), F.get(table, k)["weight"].alias("weight")))
 
-    matched = offers.withColumn(out, let(text, hits))
+    @F.arrow_udf("array<int>")
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield held.value.search(texts)
+
+    found = search(text)
+    if len(plain) < len(rows):
+        found = F.filter(F.array_sort(F.concat(found, every)), lambda k: F.get(table, k)["plain"] | F.rlike(
+            text, F.get(table, k)["pattern"]))
+    matched = offers.withColumn(out, F.transform(found, lambda k: F.struct(
+        F.get(table, k)["rule_id"].alias("rule_id"), F.get(table, k)["weight"].alias("weight"))))
     matched.schema      # analysed: the plan holds the literals
     literals.drop()
     return matched

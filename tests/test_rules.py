@@ -61,3 +61,30 @@ def test_too_many_rules_are_refused(spark, monkeypatch):
     with pytest.raises(ValueError):
         R.match(spark.range(1).select(F.lit("x").alias("t")), spark.createDataFrame([(str(i), "a", 1.0) for i in range(3)],
                 "rule_id string, pattern string, weight double"), ["t"])
+
+
+def test_needles_equal_plain_search(monkeypatch):
+    import pyarrow as pa
+    from jobtide.operators import needles as N
+    rng = random.Random(3)
+    word = lambda a, b: "".join(rng.choice("abż") for _ in range(rng.randrange(a, b)))
+    needles = [[word(1, 14) for _ in range(rng.randrange(0, 3))] for _ in range(300)] + [["abżabżabżabżabżabż" * 3]]
+    texts = [word(0, 90) for _ in range(200)] + [None, "", needles[-1][0], needles[-1][0][:-1], "x" + needles[-1][0]]
+    want = [[k for k, mine in enumerate(needles) if any(s in (t or "") for s in mine)] for t in texts]
+    for piece, expand in ((1 << 20, 1 << 22), (50, 7)):
+        monkeypatch.setattr(N, "PIECE", piece)
+        monkeypatch.setattr(N, "EXPAND", expand)
+        found = N.Needles(needles)
+        assert found.search(pa.array(texts)).to_pylist() == want
+        assert found.search(pa.array(texts).slice(7, 150)).to_pylist() == want[7:157]
+    assert N.Needles([]).search(pa.array(texts)).to_pylist() == [[]] * len(texts) and found.search(pa.array([], pa.string())).to_pylist() == []
+    assert N.Needles([["a"]]).search(pa.array([None], pa.string())).to_pylist() == [[]]
+
+
+def test_plain_rules_are_tried_in_no_expression(spark):
+    rules = spark.createDataFrame([("a", "senior|b2", 1.0), ("b", "praca zdalna", 2.0), ("c", "ż", 4.0)], "rule_id string, pattern string, weight double")
+    offers = spark.createDataFrame([(1, "SENIOR"), (2, "B2B, praca ZDALNA"), (3, "Ż senio r"), (4, None)], "k long, t string")
+    out = R.score(offers, rules, ["t"])
+    plan = out._jdf.queryExecution().executedPlan().toString().lower()
+    assert "rlike" not in plan and "regexp" not in plan
+    assert {r.k: r.fit_score for r in out.collect()} == {1: 1.0, 2: 3.0, 3: 4.0, 4: 0.0}

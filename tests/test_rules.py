@@ -88,3 +88,12 @@ def test_plain_rules_are_tried_in_no_expression(spark):
     plan = out._jdf.queryExecution().executedPlan().toString().lower()
     assert "rlike" not in plan and "regexp" not in plan
     assert {r.k: r.fit_score for r in out.collect()} == {1: 1.0, 2: 3.0, 3: 4.0, 4: 0.0}
+
+
+def test_exclude_tries_no_plain_rule_one_by_one(spark):
+    rules = spark.createDataFrame([("a", "senior|b2", None), ("b", "stacjonarna", None)], "rule_id string, pattern string, weight double")
+    offers = spark.createDataFrame([(1, "SENIOR"), (2, "zdalna"), (3, "b 2"), (4, None), (5, "praca stacjonarna")], "k long, t string")
+    out = R.exclude(offers, rules, ["t"])
+    plan = out._jdf.queryExecution().executedPlan().toString().lower()
+    assert "rlike" not in plan and plan.count("arrowevalpython") == 1
+    assert sorted(r.k for r in out.collect()) == [2, 3, 4]

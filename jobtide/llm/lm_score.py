@@ -12,9 +12,11 @@ is target loss less background loss: the lower, the more it reads like the targe
 
 Counts are shuffled tables and never gathered.  What a task can tell by itself it sums on the spot: contexts and words
 of the ``MAX_WORDS`` most frequent words, the ``MAX_PAIRS`` most frequent bigrams (both broadcast with exact counts)
-and bigrams that a count-min sketch proves to stand once in the corpus.  Every other occurrence is a row keyed by its
-bigram, or by its word if that is not broadcast; the task that gets a key counts its rows and sends the loss of each
-back to its document.  The bounds change the work, not the result.
+and bigrams that a count-min sketch proves to stand once in the corpus.  Every other occurrence is asked for under its
+bigram, or under its word if that is not broadcast.  Questions travel as blocks: one for each of ``FAN`` parts of the keys
+and each chunk of some ``CHUNK`` tokens, so there are as many blocks as the text has chunks.  The task that gets a part
+counts it and answers block by block with the counts, from which the chunk's losses are summed.  The bounds change the
+work, not the result.
 
 Cases: null, empty and blank texts have no tokens, losses 0 and score 0; without target documents the
 target model is uniform; doc_ids that the target table repeats count once, rows of ``docs`` that repeat count
@@ -27,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +46,10 @@ FREQUENT = 3            # a task names bigrams it meets this often for the broad
 TOP = 1 << 16           # counts above this are alike when the broadcast ones are chosen
 START, UNKNOWN = np.uint64(1), np.uint64(2)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-PAIR, CONTEXT, WORD, LOSS = range(4)    # kinds of open rows; LOSS: sums of a text's settled losses
+CHUNK = 1 << 19         # tokens whose open occurrences are asked for together
+FAN = 512               # parts of the keys
+PAIR, CONTEXT, WORD, LOSS = range(4)    # kinds of blocks; LOSS: a chunk's texts with the sums of their settled losses
+BLOCK = "part int, chunk long, kind int, key binary, sub binary, doc binary"
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,10 +203,49 @@ class _Model:
         return MASS * (counts + 1) / self.sizes
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte: first the lowest bytes of all, and so on, so that the zeros of small ones lie together."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _numbers(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, len(raw) // size).T).view(kind).ravel()
+
+
+def _blocks(rows: list[tuple]) -> pa.RecordBatch:
+    part, chunk, kind, *blobs = zip(*rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part, pa.int32()), pa.array(chunk, pa.int64()), pa.array(kind, pa.int32()),
+         *(pa.array(b, pa.binary()) for b in blobs)], ["part", "chunk", "kind", "key", "sub", "doc"])
+
+
 def _settle(held, model, sketch):
-    """Open rows key, sub, doc, flag (kind * 2 + whether target) and the sums of what needs no other rows."""
+    """Blocks of the open occurrences of each chunk, and the sums of what needs no other rows.
+
+    In a block: keys; for bigrams the number of their word, for words the word before; and for each the step to its text
+    from the text of the one before, * 2 + whether that is a target."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, m = _opened(held), model.value
+        number = TaskContext.get().partitionId() << 32
+
+        def ask(open_, texts):
+            rows = [(number % FAN, number, LOSS, np.concatenate(texts[0]).tobytes(),
+                     b"".join(np.concatenate(x).astype(np.float64).tobytes() for x in texts[1:]), b"")]
+            for kind, parts in enumerate(open_):
+                key, sub, doc, good = map(np.concatenate, zip(*parts))
+                part = (mix(key) >> np.uint64(55)).astype(np.uint16) % np.uint16(FAN)
+                order = np.argsort(part, kind="stable")
+                key, sub, doc, good = key[order], sub[order], doc[order], good[order]
+                cut = np.searchsorted(part[order], np.arange(FAN + 1))
+                for k in np.flatnonzero(np.diff(cut)).tolist():
+                    at = slice(cut[k], cut[k + 1])
+                    step = np.diff(doc[at], prepend=0).astype(np.uint32) * np.uint32(2) + good[at]
+                    rows.append((k, number, kind, key[at].tobytes(), b"" if kind == CONTEXT else sub[at].tobytes() if kind == WORD
+                                 else _planes(sub[at].astype(np.uint32)), _planes(step)))
+            return _blocks(rows)
+
+        open_, texts, n, base = ([], [], []), ([], [], [], []), 0, 0
         for batch in batches:
             docs = batch.column("doc").to_numpy()
             target = batch.column("target").to_numpy(zero_copy_only=False)
@@ -214,7 +259,6 @@ def _settle(held, model, sketch):
                 once = near & (hot < 0)
                 once[once] = ~sketch.maybe(g[once])
                 done = (near & (hot >= 0)) | once
-                sums = []
                 for k, alone in ((0, good), (1, np.ones(len(w), bool))):
                     loss = np.where(begin, m.start[k], 0.0)
                     known = from_ >= 0
@@ -222,67 +266,106 @@ def _settle(held, model, sketch):
                     count = alone[done].astype(np.float64)
                     count[~once[done]] = m.pair_counts[k][hot[done & ~once]]
                     loss[done] -= np.log(count + m.mass[k][at[done]])
-                    sums.append(np.bincount(row, loss, len(lengths)))
-                some = np.flatnonzero(lengths)
-                mine = docs[rows]
-                pair, word, context = np.flatnonzero(near & ~done), np.flatnonzero(~near), np.flatnonzero((from_ < 0) & ~begin)
-                spread = mix(mine[some].view(np.uint64) + np.uint64(rows.start) + some.astype(np.uint64))
-                parts = [(g[pair], at[pair], mine[row[pair]], PAIR * 2 + good[pair]),
-                         (before[context], np.zeros(len(context), np.int64), mine[row[context]], CONTEXT * 2 + good[context]),
-                         (w[word], before[word].view(np.int64), mine[row[word]], WORD * 2 + good[word]),
-                         *((spread, x[some].view(np.int64), mine[some], np.full(len(some), 2 * LOSS + k))
-                           for k, x in enumerate((*sums, lengths)))]
-                key, sub, doc, flag = map(np.concatenate, zip(*parts))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sub), pa.array(doc),
-                                                  pa.array(flag.astype(np.int8))], ["key", "sub", "doc", "flag"])
+                    texts[1 + k].append(np.bincount(row, loss, len(lengths)))
+                texts[0].append(docs[rows])
+                texts[3].append(lengths)
+                for kind, chosen, key, sub in ((PAIR, near & ~done, g, at), (CONTEXT, (from_ < 0) & ~begin, before, at),
+                                               (WORD, ~near, w, before)):
+                    chosen = np.flatnonzero(chosen)
+                    open_[kind].append((key[chosen], sub[chosen], base + row[chosen], good[chosen].astype(np.uint32)))
+                n, base = n + len(w), base + len(lengths)
+                if n >= CHUNK or base >= CHUNK:
+                    yield ask(open_, texts)
+                    open_, texts, n, base, number = ([], [], []), ([], [], [], []), 0, 0, number + 1
+        if base:
+            yield ask(open_, texts)
+    return run
+
+
+def _count(model):
+    """Answers to the blocks of whole parts, which come sorted by part: for bigrams the counts in target and background,
+    for the others the losses of each text."""
+    def answers(m, blocks):
+        for kind in (PAIR, CONTEXT, WORD):
+            mine = [b for b in blocks if b[2] == kind]
+            if not mine:
+                continue
+            key = np.frombuffer(b"".join(b[3] for b in mine), np.uint64)
+            step = [_numbers(b[5], np.uint32) for b in mine]
+            good = (np.concatenate(step) & 1).astype(np.float64)
+            ends = np.cumsum([len(x) for x in step]).tolist()
+            sub = None if kind == CONTEXT else np.concatenate([
+                np.frombuffer(b[4], np.uint64) if kind == WORD else _numbers(b[4], np.uint32) for b in mine])
+            order = np.argsort(key)
+            new = np.ones(len(key), bool)
+            new[1:] = key[order][1:] != key[order][:-1]
+            finer = new.copy()
+            if sub is not None:
+                differs = sub[order][1:] != sub[order][:-1]
+                if (differs & ~new[1:]).any():      # one key, several bigrams
+                    order = np.lexsort((sub, key))
+                    differs = sub[order][1:] != sub[order][:-1]
+                finer[1:] |= differs
+            whole, part = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+            whole[order], part[order] = np.cumsum(new) - 1, np.cumsum(finer) - 1
+            for k, x in enumerate((good, None)):
+                by_whole, by_part = np.bincount(whole, x)[whole], np.bincount(part, x)[part]
+                out = by_part.astype(np.uint64) if kind == PAIR else np.log(by_whole + MASS) if kind == CONTEXT else \
+                    -np.log(by_part + MASS * (by_whole + 1) / m.sizes[k])
+                if k == 0:
+                    first = out
+            for (_, chunk, _, _, at, doc), steps, low, high in zip(mine, step, [0, *ends], ends):
+                t, b = first[low:high], out[low:high]
+                if kind == PAIR:
+                    yield 0, chunk, kind, _planes(t) + _planes(b), at, doc
+                else:
+                    docs = np.cumsum(steps >> 1, dtype=np.int64)
+                    cut = np.flatnonzero(np.diff(docs, prepend=-1))
+                    yield (0, chunk, kind, np.add.reduceat(t, cut).tobytes() + np.add.reduceat(b, cut).tobytes(), b"",
+                           _planes(np.diff(docs[cut], prepend=0).astype(np.uint32) * np.uint32(2)))
+        for b in blocks:
+            if b[2] == LOSS:
+                yield b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blocks in _groups(batches, 0):
+            yield _blocks(list(answers(model.value, blocks)))
     return run
 
 
-def _losses(m: _Model, key, sub, doc, flag) -> pa.RecordBatch:
-    """doc, t, b, n, r: sums of losses, tokens and rows of whole keys."""
-    kind = flag >> 1
-    order = np.lexsort((sub, kind, key))
-    key, sub, doc, flag = key[order], sub[order], doc[order], flag[order]
-    kind, good = np.minimum(flag >> 1, LOSS), (flag & 1).astype(np.float64)
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])
-    finer = new.copy()
-    finer[1:] |= sub[1:] != sub[:-1]
-    whole, part = np.cumsum(new) - 1, np.cumsum(finer) - 1
-    out = np.zeros((4, len(key)))
-    pair, context, word = (np.flatnonzero(kind == k) for k in (PAIR, CONTEXT, WORD))
-    for k, x in enumerate((good, np.ones(len(key)))):
-        by_whole, by_part = np.bincount(whole, x)[whole], np.bincount(part, x)[part]
-        out[k, pair] = -np.log(by_part[pair] + m.mass[k][sub[pair]])
-        out[k, context] = np.log(by_whole[context] + MASS)
-        out[k, word] = -np.log(by_part[word] + MASS * (by_whole[word] + 1) / m.sizes[k])
-    for k in (0, 1):
-        at = flag == 2 * LOSS + k
-        out[k, at] = sub[at].view(np.float64)
-    at = flag == 2 * LOSS + 2
-    out[2, at], out[3, at] = sub[at], 1
-    docs, at = np.unique(doc, return_inverse=True)
-    sums = [np.bincount(at, x, len(docs)) for x in out]
-    return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(sums[0]), pa.array(sums[1]),
-                                       *(pa.array(x.astype(np.int64)) for x in sums[2:])], ["doc", "t", "b", "n", "r"])
+def _groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[tuple]]:
+    """Rows of equal value in a column, by which they come sorted."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and row[by] != held[0][by]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
 
 
-def _count(model):
-    """Rows sorted by key, some whole keys at a time."""
+def _sum(model):
+    """doc, t, b, n, r of every text: sums of losses, tokens and rows; the answers come sorted by chunk."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, rows, n = model.value, [], 0
-        for batch in batches:
-            rows.append([c.to_numpy() for c in batch.columns])
-            n += batch.num_rows
-            if n >= FLUSH:
-                joined = [np.concatenate(c) for c in zip(*rows)]
-                to = int(np.searchsorted(joined[0], joined[0][-1]))
-                if to:
-                    yield _losses(m, *(c[:to] for c in joined))
-                rows = [[c[to:] for c in joined]]
-                n = len(rows[0][0])
-        if n:
-            yield _losses(m, *(np.concatenate(c) for c in zip(*rows)))
+        m = model.value
+        for blocks in _groups(batches, 1):
+            loss = next(b for b in blocks if b[2] == LOSS)
+            docs, (t, b, n) = np.frombuffer(loss[3], np.int64), np.frombuffer(loss[4], np.float64).reshape(3, -1)
+            sums = [t.copy(), b.copy()]
+            for _, _, kind, key, sub, doc in blocks:
+                if kind == LOSS:
+                    continue
+                row = np.cumsum(_numbers(doc, np.uint32) >> 1, dtype=np.int64)
+                half = len(key) // 2
+                for k, raw in enumerate((key[:half], key[half:])):
+                    x = -np.log(_numbers(raw, np.uint64) + m.mass[k][_numbers(sub, np.uint32)]) if kind == PAIR \
+                        else np.frombuffer(raw, np.float64)
+                    sums[k] += np.bincount(row, x, len(docs))
+            some = n > 0
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (docs, *sums, n.astype(np.int64), np.ones(len(n), np.int64))],
+                                             ["doc", "t", "b", "n", "r"])
     return run
 
 
@@ -295,7 +378,8 @@ def score(docs: DataFrame, target_ids: DataFrame, size: int | None = None) -> Da
     vocab = None if size is None else vocabulary(docs, size)
     held = None if vocab is None else sc.broadcast(vocab.tobytes())
     good = target_ids.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct()
-    marked = docs.join(small(good, good.count(), MAX_BROADCAST), F.col("doc_id") == F.col("__id"), "left") \
+    labels = good.count()
+    marked = docs.join(small(good, labels, MAX_BROADCAST), F.col("doc_id") == F.col("__id"), "left") \
         .select("doc", "text", F.col("__id").isNotNull().alias("target"))
     words = stored(marked.select("text", "target").mapInArrow(_words(held), "w long, a long, t long, ea long, et long").groupBy("w").agg(
         *(F.sum(c).alias(c) for c in ("a", "t", "ea", "et"))), "lm-words")
@@ -315,9 +399,11 @@ def score(docs: DataFrame, target_ids: DataFrame, size: int | None = None) -> Da
     model = sc.broadcast(_Model(known, (chosen, counts), (all_.t + v, all_.a + v, all_.et, all_.ea)))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sketch = repeated(docs.select("text"), _pairs(held), total * 4 // 10)
-    rows = marked.mapInArrow(_settle(held, model, sketch), "key long, sub long, doc long, flag byte") \
-        .repartition("key").sortWithinPartitions("key")
-    sums = rows.mapInArrow(_count(model), "doc long, t double, b double, n long, r long").groupBy("doc").agg(
+    if labels > MAX_BROADCAST:      # rows behind an exchange have no order of their own; a chunk's texts must keep theirs
+        marked = marked.sortWithinPartitions("doc")
+    asked = marked.mapInArrow(_settle(held, model, sketch), BLOCK).repartition("part").sortWithinPartitions("part")
+    answered = asked.mapInArrow(_count(model), BLOCK).repartition("chunk").sortWithinPartitions("chunk")
+    sums = answered.mapInArrow(_sum(model), "doc long, t double, b double, n long, r long").groupBy("doc").agg(
         *(F.sum(c).alias(c) for c in ("t", "b", "n", "r")))
     loss = lambda c: F.coalesce(F.col(c) / F.col("n"), F.lit(0.0))
     return docs.select("doc_id", "doc").join(sums, "doc", "left").select(

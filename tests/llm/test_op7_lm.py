@@ -107,3 +107,23 @@ def test_the_most_frequent_rows_stay_within_the_bound(spark):
     assert sorted(r.a for r in L._most(mixed, 4).collect()) == [70_000, 1 << 20, 1 << 40]
     assert sorted(r.a for r in L._most(mixed, 1).collect()) == [1 << 40]
     assert L._most(mixed, 8).count() == 8 and L._most(mixed.where("false"), 3).count() == 0
+
+
+def test_blocks_grow_with_the_text_not_with_documents_times_parts(spark, monkeypatch):
+    monkeypatch.setattr(L, "MAX_WORDS", 0)
+    monkeypatch.setattr(L, "MAX_PAIRS", 0)
+    monkeypatch.setattr(L, "CHUNK", 3000)
+    docs = spark_documents(spark, documents_of(SF)).repartition(2)
+    one = L.score(docs, docs.select("doc_id").where("doc_id % 2 = 0")).collect()
+    monkeypatch.setattr(L, "CHUNK", 1 << 19)
+    monkeypatch.setattr(L, "FAN", 3)
+    two = L.score(docs, docs.select("doc_id").where("doc_id % 2 = 0")).collect()
+    plain = lambda rows: np.array(sorted(tuple(r) for r in rows), float)
+    np.testing.assert_allclose(plain(one), plain(two), atol=1e-9)
+
+
+def test_planes():
+    for kind in (np.uint32, np.uint64):
+        x = np.array([0, 1, 255, 256, 70_000, 2 ** 32 - 1], kind)
+        assert (L._numbers(L._planes(x), kind) == x).all() and not len(L._numbers(L._planes(x[:0]), kind))
+    assert L._planes(np.array([1, 2, 3], np.uint32)) == b"\1\2\3" + bytes(9)

@@ -104,6 +104,32 @@ def _find(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == h, at, -1)
 
 
+class _Places:
+    """``_find`` by a table: keys in ascending order, each at the place its leading bits name or at the next free one."""
+
+    def __init__(self, keys: np.ndarray):
+        self.shift = np.uint64(64 - max(1, (2 * len(keys)).bit_length()))
+        at = np.arange(len(keys))
+        place = np.maximum.accumulate((keys >> self.shift).astype(np.int64) - at) + at
+        n = max(1 << int(64 - self.shift), int(place[-1]) + 1 if len(keys) else 0) + 1
+        self.keys, self.at = np.full(n, ~np.uint64(0)), np.full(n, -1, np.int32)
+        self.keys[place], self.at[place] = keys, at
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        place = (h >> self.shift).astype(np.int64)
+        met = self.keys[place]
+        out = np.where(met == h, self.at[place], -1)
+        left = np.flatnonzero(met < h)
+        place, h = place[left], h[left]
+        while len(left):
+            place += 1
+            met = self.keys[place]
+            hit, on = met == h, met < h
+            out[left[hit]] = self.at[place[hit]]
+            left, place, h = left[on], place[on], h[on]
+        return out
+
+
 def _opened(held) -> np.ndarray | None:
     return None if held is None else np.frombuffer(held.value, np.uint64)
 
@@ -161,14 +187,25 @@ def _exact(held, chosen):
     """Counts of the chosen bigrams by their number, in all and in target documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, keys = _opened(held), _opened(chosen)
-        total = np.zeros((2, len(keys)), np.int64)
+        places, total, rows, n = _Places(keys), np.zeros((2, len(keys)), np.int64), ([], []), 0
+
+        def add():
+            for sums, found in zip(total, rows):
+                sums += np.bincount(np.concatenate(found), minlength=len(keys))
+
         for batch in batches:
             target = batch.column("target").to_numpy(zero_copy_only=False)
-            for rows, before, w, first, _ in _tokens(batch, vocab):
-                at = _find(keys, _pair(before, w))
-                total[0] += np.bincount(at[at >= 0], minlength=len(keys))
-                at = at[np.repeat(target[rows], np.diff(first))]
-                total[1] += np.bincount(at[at >= 0], minlength=len(keys))
+            for at_, before, w, first, _ in _tokens(batch, vocab):
+                at = places.find(_pair(before, w))
+                known = at >= 0
+                rows[0].append(at[known])
+                rows[1].append(at[known & np.repeat(target[at_], np.diff(first))])
+                n += len(w)
+                if n >= FLUSH:
+                    add()
+                    rows, n = ([], []), 0
+        if n:
+            add()
         at = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], ["g", "a", "t"])
     return run
@@ -227,6 +264,7 @@ def _settle(held, model, sketch):
     from the text of the one before, * 2 + whether that is a target."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, m = _opened(held), model.value
+        words, pairs = _Places(m.words), _Places(m.pairs)
         number = TaskContext.get().partitionId() << 32
 
         def ask(open_, texts):
@@ -253,9 +291,9 @@ def _settle(held, model, sketch):
                 lengths = np.diff(first)
                 row = np.repeat(np.arange(len(lengths)), lengths)
                 good = target[rows][row]
-                g, at, from_ = _pair(before, w), _find(m.words, w), _find(m.words, before)
-                hot = _find(m.pairs, g)
-                begin, near = before == START, at >= 0
+                g, at, begin = _pair(before, w), words.find(w), before == START
+                from_ = np.where(begin, -1, np.roll(at, 1))
+                hot, near = pairs.find(g), at >= 0
                 once = near & (hot < 0)
                 once[once] = ~sketch.maybe(g[once])
                 done = (near & (hot >= 0)) | once

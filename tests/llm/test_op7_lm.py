@@ -127,3 +127,12 @@ def test_planes():
         x = np.array([0, 1, 255, 256, 70_000, 2 ** 32 - 1], kind)
         assert (L._numbers(L._planes(x), kind) == x).all() and not len(L._numbers(L._planes(x[:0]), kind))
     assert L._planes(np.array([1, 2, 3], np.uint32)) == b"\1\2\3" + bytes(9)
+
+
+def test_places_find_what_a_search_finds():
+    rng = np.random.default_rng(5)
+    top = np.uint64(2 ** 64 - 1)
+    for keys in (rng.integers(0, 2 ** 64, 1000, np.uint64), top - rng.integers(0, 2000, 900, np.uint64), np.zeros(0, np.uint64), np.array([top])):
+        keys = np.unique(keys)
+        h = np.concatenate([keys, keys + np.uint64(1), keys - np.uint64(1), rng.integers(0, 2 ** 64, 500, np.uint64), np.array([0, 1, top], np.uint64)])
+        assert (L._Places(keys).find(h) == L._find(keys, h)).all()

@@ -7,6 +7,8 @@ the original, see README "decisions")."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -111,17 +113,19 @@ def block_flag(body, status, needles=None, has_content=None) -> Column:
     """True when the status is 403/429 or a needle appears anywhere in the body.  With
     ``has_content`` the needles are only searched when the expected structured content is
     missing (a real offer page may mention 'captcha' in a script)."""
-    needles = needles or BLOCK_NEEDLES
-    needle = F.lower(F.coalesce(col_of(body), F.lit(""))).rlike("|".join(needles))
+    from jobtide.functions.literals import let
+    low = F.lower(F.coalesce(col_of(body), F.lit("")))
+    needle = let(low, lambda t: reduce(Column.__or__, [t.contains(n) for n in needles or BLOCK_NEEDLES]))
     if has_content is not None:
-        needle = needle & ~F.coalesce(has_content, F.lit(False))
+        needle = ~F.coalesce(has_content, F.lit(False)) & needle
     return F.coalesce(col_of(status).isin(403, 429), F.lit(False)) | needle
 
 
 def block_mark(body, needles=None) -> Column:
     """The first needle (in list order) that the body holds; null if none."""
+    from jobtide.functions.literals import let
     low = F.lower(F.coalesce(col_of(body), F.lit("")))
-    return F.coalesce(*[F.when(low.contains(n), F.lit(n)) for n in needles or BLOCK_NEEDLES])
+    return let(low, lambda t: F.coalesce(*[F.when(t.contains(n), F.lit(n)) for n in needles or BLOCK_NEEDLES]))
 
 
 def detail_has_content(body, source: str) -> Column:

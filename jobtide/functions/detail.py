@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from jobtide.functions.common import col_of, js_trim, trimmed_or_null
 from jobtide.functions.html import first_job_posting, html_to_text, jsonld_blocks
 from jobtide.functions.jsonx import embedded_skill_list, list_values
+from jobtide.functions.literals import let
 from jobtide.functions.text import compose_sections, format_skills
 from jobtide.operators.positional import concat_lists
 
@@ -34,6 +35,10 @@ def _s(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "string")
 
 
+def _nonempty(text: Column) -> Column:
+    return let(text, lambda t: F.when(t != "", t))
+
+
 def _pack(**cols) -> Column:
     return F.struct(*[(cols[f] if f in cols else F.lit(None)).cast(_TYPES.get(f, "string")).alias(f) for f in FIELDS])
 
@@ -42,19 +47,38 @@ def _param(params: Column, key: str) -> Column:
     return F.get(F.filter(params, lambda p: _s(p, "$.key") == F.lit(key)), 0)
 
 
-def detail_fields(body, source: str) -> Column:
+def content_stages(body, source: str) -> list[dict[str, Column]]:
+    """Columns, stage by stage, that read a body's structured content once: ``_dv`` (VARIANT) and, for justjoin, ``_ld``
+    (its first JSON-LD block, which may be no JSON)."""
+    b = col_of(body)
+    if source == "justjoin":
+        return [{"_ld": F.get(jsonld_blocks(b), 0)}, {"_dv": F.try_parse_json("_ld")}]
+    return [{"_dv": first_job_posting(b) if source == "rocketjobs" else F.try_parse_json(b)}]
+
+
+def content_found(source: str) -> tuple[Column, Column]:
+    """``detail_has_content`` and ``detail_malformed`` of a body whose content stages are at hand."""
+    if source == "justjoin":
+        return F.col("_ld").isNotNull(), F.col("_ld").isNotNull() & F.col("_dv").isNull()
+    if source == "olx":
+        return F.try_variant_get("_dv", "$.data", "variant").isNotNull(), F.lit(False)
+    return F.col("_dv").isNotNull(), F.lit(False)
+
+
+def detail_fields(body, source: str, content: Column | None = None) -> Column:
+    """The fields; ``content``: the body's ``_dv``, where it was read before."""
     b = col_of(body)
     if source == "justjoin":
-        ld = F.try_parse_json(F.get(jsonld_blocks(b), 0))
+        ld = F.try_parse_json(F.get(jsonld_blocks(b), 0)) if content is None else content
         req = format_skills(embedded_skill_list(b, "requiredSkills"))
         nice = format_skills(embedded_skill_list(b, "niceToHaveSkills"))
         return _pack(description=html_to_text(_s(ld, "$.description"), "justjoin"), skills_required=req,
                      skills_nice=nice)
     if source == "rocketjobs":
-        jp = first_job_posting(b)
+        jp = first_job_posting(b) if content is None else content
         return _pack(description=html_to_text(_s(jp, "$.description"), "rocketjobs"),
                      valid_through=trimmed_or_null(_s(jp, "$.validThrough")))
-    v = F.try_parse_json(b)
+    v = F.try_parse_json(b) if content is None else content
     if source == "nofluffjobs":
         def lst(path):
             return list_values(F.try_variant_get(v, path, "variant"))
@@ -67,19 +91,20 @@ def detail_fields(body, source: str) -> Column:
         return _pack(description=text, skills_required=F.when(F.size(musts) > 0, musts),
                      skills_nice=F.when(F.size(nices) > 0, nices))
     if source == "talentdays":
-        root = F.coalesce(F.try_variant_get(v, "$.json", "variant"), F.try_variant_get(v, "$.result.data", "variant"),
-                          F.try_variant_get(v, "$.result", "variant"), v)
-        html = F.coalesce(F.nullif(_s(root, "$.content"), F.lit("")), F.nullif(_s(root, "$.summary"), F.lit("")))
-        return _pack(description=html_to_text(html, "talentdays"),
-                     apply_url=F.nullif(_s(root, "$.application.url"), F.lit("")),
-                     expires_at=F.nullif(_s(root, "$.expirationDate"), F.lit("")))
+        def read(root):
+            html = F.coalesce(_nonempty(_s(root, "$.content")), _nonempty(_s(root, "$.summary")))
+            return _pack(description=html_to_text(html, "talentdays"),
+                         apply_url=_nonempty(_s(root, "$.application.url")),
+                         expires_at=_nonempty(_s(root, "$.expirationDate")))
+        return let(F.coalesce(F.try_variant_get(v, "$.json", "variant"), F.try_variant_get(v, "$.result.data", "variant"),
+                              F.try_variant_get(v, "$.result", "variant"), v), read)
     if source == "olx":
-        d = F.try_variant_get(v, "$.data", "variant")
-        params = F.coalesce(F.try_variant_get(d, "$.params", "array<variant>"), F.array().cast("array<variant>"))
+        # Whole paths: ``data`` as a VARIANT would be copied, text and all, at each use.
+        params = F.coalesce(F.try_variant_get(v, "$.data.params", "array<variant>"), F.array().cast("array<variant>"))
         agreement = F.coalesce(_param(params, "agreement"), _param(params, "type"))
         sal = _param(params, "salary")
-        return _pack(description=html_to_text(_s(d, "$.description"), "olx"),
-                     company=F.nullif(js_trim(_s(d, "$.user.name")), F.lit("")),
+        return _pack(description=html_to_text(_s(v, "$.data.description"), "olx"),
+                     company=F.nullif(js_trim(_s(v, "$.data.user.name")), F.lit("")),
                      contract_type=F.nullif(_s(agreement, "$.value.label"), F.lit("")),
                      experience_level=F.nullif(_s(_param(params, "experience"), "$.value.label"), F.lit("")),
                      salary_from=F.try_variant_get(sal, "$.value.from", "double"),
@@ -88,14 +113,17 @@ def detail_fields(body, source: str) -> Column:
     raise ValueError(f"no detail shape for source {source!r}")
 
 
-def with_detail_fields(df: DataFrame, body: str, source: str, out: str = "_det") -> DataFrame:
-    """``detail_fields`` staged over several projections: the JSON body is parsed once and
-    every list is computed once per row (a single nested expression would re-evaluate
+def with_detail_fields(df: DataFrame, body: str, source: str, out: str = "_det", content: str | None = None,
+                       where: Column | None = None) -> DataFrame:
+    """``detail_fields``, for the rows that ``where`` holds for, staged over several projections: the JSON body is parsed once (or taken from the column
+    ``content``) and every list is computed once per row (a single nested expression would re-evaluate
     them in each section test).  Other sources are a single projection."""
+    given = F.col(content) if content else None
+    wanted = F.col(body).isNotNull() if where is None else F.col(body).isNotNull() & where
     if source != "nofluffjobs":
-        return df.withColumn(out, F.when(F.col(body).isNotNull(), detail_fields(F.col(body), source)))
-    v = F.col("_dv")
-    x = df.withColumn("_dv", F.try_parse_json(F.col(body)))
+        return df.withColumn(out, F.when(wanted, detail_fields(F.col(body), source, given)))
+    v = F.col("_dn")
+    x = df.withColumn("_dn", F.when(wanted, F.try_parse_json(F.col(body)) if given is None else given))
 
     def lst(path):
         return list_values(F.try_variant_get(v, path, "variant"))
@@ -111,4 +139,4 @@ def with_detail_fields(df: DataFrame, body: str, source: str, out: str = "_det")
     text = compose_sections("_desc", "_musts", "_langs", "_nices", "_daily", "_resp", "_ben", requirements_text="_req")
     fields = _pack(description=text, skills_required=F.when(F.size("_musts") > 0, F.col("_musts")),
                    skills_nice=F.when(F.size("_nices") > 0, F.col("_nices")))
-    return x.withColumn(out, F.when(F.col(body).isNotNull(), fields)).drop("_dv", *staged)
+    return x.withColumn(out, F.when(wanted, fields)).drop("_dn", *staged)

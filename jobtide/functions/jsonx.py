@@ -34,7 +34,12 @@ SKILL_LIST = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.
 def embedded_skill_list(payload, key: str) -> Column:
     """I13 input: the escaped JSON list ``\\"<key>\\":[...]`` inside a page payload →
     array<struct<name, level>> (null when absent)."""
+    start = '\\"' + key + '\\":['
     pat = r'\\"' + key + r'\\":\[([^\]]*)\]'
-    inner = F.regexp_extract(col_of(payload), pat, 1)
-    fixed = F.replace(inner, F.lit('\\"'), F.lit('"'))
-    return F.when(inner != "", F.from_json(F.concat(F.lit("["), fixed, F.lit("]")), SKILL_LIST))
+
+    def read(inner):
+        fixed = F.replace(inner, F.lit('\\"'), F.lit('"'))
+        return F.when(inner != "", F.from_json(F.concat(F.lit("["), fixed, F.lit("]")), SKILL_LIST))
+
+    # The pattern is tried only on a payload that has its start.
+    return F.when(col_of(payload).contains(start), let(F.regexp_extract(col_of(payload), pat, 1), read))

@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from jobtide.functions.common import col_of, fold_accents, js_trim, rx, trimmed_or_null
+from jobtide.functions.html import blank_lines, trim_text
+from jobtide.functions.literals import let
 
 
 def slug(c, variant: str = "dash") -> Column:
@@ -87,7 +89,7 @@ def compose_sections(description, musts, languages, nices, daily_tasks, responsi
     OPIS (description), WYMAGANIA (requirement text, bullet list of musts, 'Języki: ' line),
     MILE WIDZIANE (bullets), OBOWIĄZKI (daily tasks if any, else responsibilities), BENEFITY (bullets).
     """
-    desc = trimmed_or_null(description)
+    desc = let(trim_text(col_of(description)), lambda d: F.when(d != "", d))
     req_parts = [trimmed_or_null(requirements_text)] if requirements_text is not None else []
     req_parts.append(F.when(F.size(F.coalesce(col_of(musts), F.array())) > 0, bullet_list(musts)))
     req_parts.append(F.when(F.size(F.coalesce(col_of(languages), F.array())) > 0,
@@ -98,11 +100,9 @@ def compose_sections(description, musts, languages, nices, daily_tasks, responsi
         .otherwise(col_of(responsibilities))
     tasks = F.when(F.size(F.coalesce(tasks_arr, F.array())) > 0, bullet_list(tasks_arr))
     ben = F.when(F.size(F.coalesce(col_of(benefits), F.array())) > 0, bullet_list(benefits))
-    parts = []
-    for label, body in zip(SECTION_LABELS, [desc, req, nice, tasks, ben]):
-        parts.append(F.when(body.isNotNull(), F.concat(F.lit(label + "\n"), body)))
-    joined = js_trim(F.regexp_replace(F.concat_ws("\n\n", *parts), rx("\n{3,}"), F.lit("\n\n")))
-    return F.nullif(joined, F.lit(""))
+    # A section without a body is null.
+    parts = [F.concat(F.lit(label + "\n"), body) for label, body in zip(SECTION_LABELS, [desc, req, nice, tasks, ben])]
+    return let(trim_text(blank_lines(F.concat_ws("\n\n", *parts))), lambda j: F.when(j != "", j))
 
 
 def format_skills(skills) -> Column:

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from jobtide.functions.classify import block_flag, block_mark, detail_has_content, detail_malformed
-from jobtide.functions.detail import with_detail_fields
+from jobtide.functions.classify import block_flag, block_mark
+from jobtide.functions.detail import content_found, content_stages, with_detail_fields
 from jobtide.functions.urls import identity_key, url_key
 from jobtide.operators import cache as K
 from jobtide.operators import enrich as EN
@@ -72,7 +72,7 @@ def run_details(offers: DataFrame, details: DataFrame, cache: DataFrame, source:
     o = EN.cache_lookup(offers.withColumn("url_key", url_key("url")), cache)
     landed = _landed(details, source)
     flags = ["status", "error", "parsed", "malformed", "blocked", "block_mark", "nonempty", "_rid"]
-    narrow = landed.withColumn("nonempty", F.coalesce(F.length("_det.description") > 0, F.lit(False))).drop("_det")
+    narrow = landed.drop("_det")
     has_url = F.coalesce(F.col("url_key") != "", F.lit(False))
     att = EN.attach_responses(o, narrow, source, flags)
     att = att.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("parsed", "malformed", "blocked", "nonempty")}) \
@@ -122,16 +122,21 @@ def _landed(details: DataFrame, source: str) -> DataFrame:
     outcomes then work on flags and numbers, and a body is never exchanged."""
     if "error" not in details.columns:
         details = details.withColumn("error", F.lit(None).cast("string"))
+    d = details.select("run_id", "source", "position", "url", "status", "error", "body")
+    stages = content_stages("body", source)
+    for stage in stages:
+        d = d.withColumns(stage)
+    parsed, malformed = content_found(source)
     # nofluffjobs scans every body for needles; the others only where the content is missing.
     scan = F.lit(False) if source == "nofluffjobs" else F.col("parsed")
-    d = (details.select("run_id", "source", "position", "url", "status", "error", "body")
-         .withColumn("parsed", F.coalesce(detail_has_content(F.col("body"), source), F.lit(False)))
-         .withColumn("malformed", detail_malformed("body", source))
-         .withColumn("blocked", block_flag("body", "status", has_content=scan))
-         .withColumn("block_mark", block_mark("body"))
-         .withColumn("_ok_body", F.when(F.col("status").between(200, 299), F.col("body"))))
-    d = with_detail_fields(d, "_ok_body", source, "_det").drop("_ok_body", "body") \
-        .withColumn("_rid", F.monotonically_increasing_id())
+    d = (d.withColumns({"parsed": F.coalesce(parsed, F.lit(False)), "malformed": F.coalesce(malformed, F.lit(False))})
+         .withColumn("blocked", block_flag("body", "status", has_content=scan)))
+    d = with_detail_fields(d, "body", source, "_det", content="_dv", where=F.col("status").between(200, 299))
+    # Which needle it was matters in the blocked ones only.
+    d = (d.withColumns({"block_mark": F.when(F.col("blocked"), block_mark("body")),
+                        "nonempty": F.coalesce(F.length("_det.description") > 0, F.lit(False))})
+         .drop("body", *[c for stage in stages for c in stage])
+         .withColumn("_rid", F.monotonically_increasing_id()))
     path = scratch_path(details.sparkSession, "responses")
     d.write.option("compression", "zstd").parquet(path)
     return details.sparkSession.read.schema(d.schema).parquet(path)
